@@ -55,19 +55,19 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]
             yield ids[i].as_py(), texts[i].as_py()
 
 
-def with_home(docs: DataFrame) -> DataFrame:
-    """byte_texts plus `home`: a group of about GROUP_BYTES of text by a hash of the id, and dealt by it.
+def with_home(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, rk, home) dealt by `home`, and the number of homes.
 
-    Keys gathered over the whole corpus come back to the groups that asked for them, so nothing
-    is broadcast and no task holds more than a group. Documents are dealt once; the exchange is reused.
-    Rows without an id share the id -1 for dealing.
+    A home is a group of about GROUP_BYTES of text by a hash of the id; rk tells rows of one home apart (rows equal in
+    id and text share it, and share every result). Keys gathered over the whole corpus come back to the
+    homes that asked for them, so nothing is broadcast and no task holds more than a home. Documents are
+    dealt once; Spark reuses the exchange wherever the same frame is read again.
     """
     base = byte_texts(docs)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    parts = max(groups, min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * groups))
-    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(groups)).cast("int")
-    return base.withColumn("home", home).repartition(parts, "home")
+    homes = max(1, -(-total // GROUP_BYTES))
+    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(homes)).cast("int")
+    return base.withColumn("rk", F.xxhash64("doc_id", "text")).withColumn("home", home).repartition(homes, "home"), homes
 
 
 def signed(x: np.ndarray) -> np.ndarray:

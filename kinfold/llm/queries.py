@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, quality, sentencepieces, token_files, topk
+from . import exact_dedup, licenses, mixing, quality, sentencepieces, suffix_dedup, token_files, topk
 from .common import table
 
 #: The folder of vocabulary files.
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_mixing, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_mixing, op5_suffix_dedup, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
