@@ -1,8 +1,9 @@
 """Quality classifier (6): compression with dictionaries built from good and bad labelled text.
 
 Each text is cut into pieces of PIECE bytes, every piece is compressed once with the dictionary of good
-text and once with that of bad text, and the difference of the compressed sizes over the length of the text is
-calibrated to a probability by a logistic fit on labelled texts that the dictionaries haven't seen.
+text and once with that of bad text. The difference of the compressed sizes over the length of the text, with how far
+the text compresses at all (endless repetition compresses equally well with either), is calibrated to a
+probability by a logistic fit on labelled texts that the dictionaries haven't seen.
 Fitting takes a bounded sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes a class, in the order of a
 hash of the id. Scoring covers every document and all of its text.
 """
@@ -35,18 +36,21 @@ def remainder(id_col: str, by: int):
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    weights: list[float]
     base: float
 
+    def packed(self) -> list[zstandard.ZstdCompressor]:
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
+
     def scorer(self):
         """A function from a text to its score."""
         if not self.good or not self.bad:
             flat = 1 / (1 + math.exp(-self.base))
             return lambda text: flat
-        packed = [zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
+        packed = self.packed()
 
         def score(text: bytes) -> float:
-            x = self.slope * difference(text, *packed) + self.base
+            x = self.base + sum(w * f for w, f in zip(self.weights, features(text, *packed), strict=True))
             return 1 / (1 + math.exp(-min(50.0, max(-50.0, x))))
 
         return score
@@ -58,12 +62,16 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """Compressed size with bad text's dictionary less that with good text's, as a share of the length; 0 for an empty text."""
+def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """Compressed size with bad text's dictionary less that with good text's, over the length; and the logarithm of the smaller size over the length. 0, 0 for an empty text."""
     if not text:
-        return 0.0
-    pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-    return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces) / len(text)
+        return 0.0, 0.0
+    g = b = 0
+    for i in range(0, len(text), PIECE):
+        piece = text[i : i + PIECE]
+        g += len(good.compress(piece))
+        b += len(bad.compress(piece))
+    return (b - g) / len(text), math.log(min(g, b) / len(text))
 
 
 def trained(texts: list[bytes]) -> bytes:
@@ -75,19 +83,18 @@ def trained(texts: list[bytes]) -> bytes:
         return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a slight pull of the slope to 0."""
-    scale = x.std() or 1.0
-    a, z, w = np.column_stack([x / scale, np.ones_like(x)]), y.astype(float), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[list[float], float]:
+    """Weights and intercept by Newton's method, with a slight pull of the weights to 0."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.column_stack([x / scale, np.ones(len(x))])
+    w, pull = np.zeros(a.shape[1]), np.array([0.05] * x.shape[1] + [1e-9])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        g = a.T @ (z - p) - 0.05 * w * [1, 0]
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05, 1e-9])
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * w)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return (w[:-1] / scale).tolist(), float(w[-1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tuple[int, bytes]]:
@@ -108,16 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Model:
     good, bad = [t for q, t in got if q], [t for q, t in got if not q]
     base = math.log((len(good) + 1) / (len(bad) + 1))
     if len(good) < 4 or len(bad) < 4:
-        return Model(b"", b"", 0.0, base)
-    model = Model(trained(good[::2]), trained(bad[::2]), 0.0, base)
-    packed = [zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+        return Model(b"", b"", [], base)
+    model = Model(trained(good[::2]), trained(bad[::2]), [], base)
+    packed = model.packed()
     rest = [(t, 1) for t in good[1::2]] + [(t, 0) for t in bad[1::2]]
-    model.slope, model.base = logistic(np.array([difference(t, *packed) for t, _ in rest]), np.array([q for _, q in rest]))
+    model.weights, model.base = logistic(np.array([features(t, *packed) for t, _ in rest]), np.array([float(q) for _, q in rest]))
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row; null and empty texts get the score of difference 0; an empty table gives no rows."""
+    """doc_id, score of every row; null and empty texts get the score of features 0, 0; an empty table gives no rows."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
