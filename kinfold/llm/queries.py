@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, quality, sentencepieces, suffix_dedup, token_files, topk
+from . import exact_dedup, licenses, mixing, ppm, quality, sentencepieces, suffix_dedup, token_files, topk
 from .common import table
 
 #: The folder of vocabulary files.
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -53,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_mixing, op5_suffix_dedup, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_mixing, op5_suffix_dedup, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
