@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, quality, sentencepieces
+from kinfold.llm import exact_dedup, mixing, ngram_join, quality, sentencepieces
 from kinfold.llm.common import shared_dir, table
 from kinfold.llm.queries import vocabulary
 
@@ -19,6 +19,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -27,7 +31,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
 
 
-STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("mixing", mix_stage), ("sentencepiece", encode_stage)]
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("mixing to weights", mix_stage), ("sentencepiece", encode_stage)]
 
 #: Compression and tokenizing can't be said in SQL; tests hold run() against the operators' brute-force versions.
 ORACLE_SQL = None
