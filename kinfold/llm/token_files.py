@@ -1,7 +1,7 @@
 """Token-ID output (10): flat unsigned 32-bit files plus 64-bit document offsets, memory-mapped.
 
 Documents are dealt by ranges of doc_id and sorted; each task writes one `ids-PPPPP.bin` (little-endian
-uint32) and one `offsets-PPPPP.bin` (little-endian int64: the start of each document within the file,
+unsigned integers: 16 bits where the vocabulary and the end id fit, else 32) and one `offsets-PPPPP.bin` (little-endian int64: the start of each document within the file,
 and the end). Partition bases come from a prefix sum over the tasks' token counts, which are a few
 numbers a task. A task writes under its attempt's own name and the driver records in the manifest which attempts count, so
 a lost executor or a repeated task leaves no half-written file in use.
@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 from .common import byte_texts, rows, short_batches, shared_dir
 
 #: Words of one generation of the encoder's cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+#: Marks that may follow a word; the tokenizer splits there.
+MARKS = b".,;:!?*$%&#|()\""
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -43,9 +45,48 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         mark = self.tok.encode("\0", add_special_tokens=False).ids
+        #: whether the tokenizer splits words from marks and drops white space, as it says of itself
+        self.apart = self._apart()
+        self.bare = self._bare()
         self.mark = mark[0] if len(mark) == 1 and self.tok.encode("a \0 b", add_special_tokens=False).ids[1:2] == mark else None
 
+    def _bare(self):
+        """The model alone behind a split at white space, if that gives the same ids for words of a-z, each with one token that ends it; else None."""
+        import tokenizers
+
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        bare = tokenizers.Tokenizer(self.tok.model)
+        bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        probe = ["a", "the", "words", "zzqqxj", "unbelievable", "q" * 50]
+        got = bare.encode(" ".join(probe), add_special_tokens=False).ids
+        same = got == self.tok.encode(" ".join(probe), add_special_tokens=False).ids and int(self.ends[got].sum()) == len(probe)
+        return bare if same else None
+
+    def _apart(self) -> bool:
+        probe = ["word", "mot", "éé", "x"]
+        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        return all(one(w + m) == one(w) + one(m) for w in probe for m in [*MARKS.decode(), "!!", "***", "$$$", ".,", "?!)"])
+
     def _encoded(self, words: list[bytes]) -> None:
+        if self.bare is not None:  # letters a-z need no normalising and no splitting
+            letters = [w for w in words if w.isalpha() and w.islower()]
+            words = [w for w in words if not (w.isalpha() and w.islower())]
+            for i in range(0, len(letters), 1000):
+                part = letters[i : i + 1000]
+                (e,) = self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(part):
+                    raise ValueError("a word has no end of its own")
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(part, cuts.tolist(), strict=True):
+                    self.young[w] = raw[4 * a : 4 * b]
+                    a = b
         plain = [w for w in words if self.mark is not None and b"\0" not in w]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
@@ -70,11 +111,23 @@ class WordEncoder:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         young, old = self.young, self.old
         new = set().union(*split) - young.keys() if split else set()
-        for w in [w for w in new if w in old]:
+        found = [w for w in new if w in old]
+        for w in found:
             young[w] = old[w]
-            new.discard(w)
+        new.difference_update(found)
+        # a letter and the marks after it are never in one token
+        pairs = [(w, base, w[len(base) :]) for w in new if (base := w.rstrip(MARKS)) != w and base and self.apart and base.decode("utf-8", "replace")[-1].isalpha()]
+        new.difference_update([w for w, _, _ in pairs])
+        parts = {x for _, *two in pairs for x in two} - young.keys()
+        found = [w for w in parts if w in old]
+        for w in found:
+            young[w] = old[w]
+        parts.difference_update(found)
+        new |= parts
         if new:
             self._encoded(list(new))
+        for w, base, marks in pairs:
+            young[w] = young[base] + young[marks]
         return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
@@ -85,7 +138,13 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _writer(vocabulary: str, out: str, end_id: int):
+def id_kind(vocabulary: str, end_id: int) -> str:
+    """The type of an id in the files."""
+    enc = encoder(vocabulary)
+    return "<u2" if max(enc.tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
+
+
+def _writer(vocabulary: str, out: str, end_id: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         fs, root = pafs.FileSystem.from_uri(out)
@@ -97,7 +156,8 @@ def _writer(vocabulary: str, out: str, end_id: int):
             def flush() -> None:
                 nonlocal at, docs
                 for (doc_id, _), got in zip(last, enc.batch([t for _, t in last]), strict=True):
-                    ids.write(got + end)
+                    whole = got + end
+                    ids.write(whole if kind == "<u4" else np.frombuffer(whole, "<u4").astype(kind).tobytes())
                     offsets.write(struct.pack("<q", at))
                     names.write(struct.pack("<?q", doc_id is not None, doc_id or 0))
                     at += len(got) // 4 + 1
@@ -119,7 +179,7 @@ def _writer(vocabulary: str, out: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> DataFrame:
-    """Writes the files into folder `out` (any URI that pyarrow opens) and returns the manifest: part, name, docs, tokens, base.
+    """Writes the files into folder `out` (any URI that pyarrow opens) and returns the manifest: part, name, docs, tokens, base, kind (numpy's name of the ids' type).
 
     A null text is empty (its document is the end id alone); rows without an id come first; rows that
     share an id stay side by side. An empty table gives a manifest without documents.
@@ -128,13 +188,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) ->
     short_batches(spark)
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root, recursive=True)
-    schema = "part int, name string, docs long, tokens long"
-    parts = byte_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_writer(vocabulary, out, end_id), schema).collect()  # one row a task
+    schema, kind = "part int, name string, docs long, tokens long", id_kind(vocabulary, end_id)
+    parts = byte_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_writer(vocabulary, out, end_id, kind), schema).collect()  # one row a task
     manifest, base = [], 0
     for r in sorted(parts, key=lambda r: r["part"]):
-        manifest.append((*r, base))
+        manifest.append((*r, base, kind))
         base += r["tokens"]
-    return spark.createDataFrame(manifest, schema + ", base long")
+    return spark.createDataFrame(manifest, schema + ", base long, kind string")
 
 
 def mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
@@ -153,8 +213,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str, with_ids: bo
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
         for batch in batches:
-            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, offsets = mapped(fs, f"{root}/ids-{name}.bin", "<u4"), mapped(fs, f"{root}/offsets-{name}.bin", "<i8")
+            for name, base, kind in zip(*(batch.column(c).to_pylist() for c in ("name", "base", "kind")), strict=True):
+                ids, offsets = mapped(fs, f"{root}/ids-{name}.bin", kind), mapped(fs, f"{root}/offsets-{name}.bin", "<i8")
                 names = mapped(fs, f"{root}/docs-{name}.bin", np.dtype([("has", "?"), ("id", "<i8")]))
                 for a in range(0, len(names), 2000):
                     cut = offsets[a : a + 2001]
@@ -164,13 +224,13 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str, with_ids: bo
                         pa.array(names["id"][a : a + n], mask=~names["has"][a : a + n]),
                         pa.array(cut[:-1] + base),
                         pa.array(np.diff(cut)),
-                        pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(cols + [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = T.StructType.fromDDL("doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     files = max(1, manifest.count())
-    return manifest.select("part", "name", "base").repartitionByRange(files, "part").mapInArrow(read, schema)
+    return manifest.select("part", "name", "base", "kind").repartitionByRange(files, "part").mapInArrow(read, schema)
 
 
 def token_table(docs: DataFrame, vocabulary: str, out: str | None = None) -> DataFrame:
