@@ -1,0 +1,173 @@
+"""The yearly step and the run driver: all replicates at once, state frames in, state frames out."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..operators import genome, mating, mortality, people, statistics
+from ..sources import dims, founders
+
+
+def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame into spark.checkpoint.dir (a temporary folder only where it is unset) and reads it back."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+        spark.sparkContext.setCheckpointDir(where)
+
+    def saved(df: DataFrame) -> DataFrame:
+        path = f"{where.rstrip('/')}/state-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return saved
+
+
+@dataclass
+class State:
+    people: DataFrame
+    haplotypes: DataFrame  # carriers only
+    mutations: DataFrame
+    seeds: DataFrame  # run_id, ind_id
+    sizes: DataFrame  # run_id, n: last year's population
+    last_ids: DataFrame  # run_id, last_id
+
+
+EMPTY = {
+    "haplotypes": "run_id int, ind_id bigint, copy int, bits string",
+    "mutations": "run_id int, ind_id bigint, copy int, position int, effect int",
+    "seeds": "run_id int, ind_id bigint",
+    "new_mutations": "run_id int, year int, ind_id bigint, copy int, position int, effect int",
+}
+
+
+def begun(spark: SparkSession, cfg: Config, saved) -> State:
+    """Founders of every run; child ids go on from start_pop_size, whatever the scenario."""
+    first = founders.founders(spark, cfg)
+    numbits = dims.genome_size(cfg.multiplier)
+    hap = spark.createDataFrame([], EMPTY["haplotypes"])
+    if cfg.track_DNA and cfg.init_heterozygosity > 0:
+        hap = founders.heterozygous(first, cfg, numbits)
+        counts = genome.allele_counts(hap).select("run_id", "ind_id", F.col("allele_count").alias("_a"))
+        first = first.join(counts, ["run_id", "ind_id"], "left").withColumn("allele_count", F.col("_a")).drop("_a")
+    first = saved(first)
+    runs = first.select("run_id").distinct()
+    sizes = runs.withColumn("n", F.lit(cfg.start_pop_size).cast("bigint"))
+    last = runs.withColumn("last_id", F.lit(cfg.start_pop_size - 1).cast("bigint"))
+    return State(first, saved(hap), spark.createDataFrame([], EMPTY["mutations"]), spark.createDataFrame([], EMPTY["seeds"]), saved(sizes), saved(last))
+
+
+@dataclass
+class Year:
+    """A year's logs."""
+
+    births: DataFrame
+    marriages: DataFrame
+    deaths: DataFrame  # the dead with their attributes, cause and whether they count
+    new_mutations: DataFrame
+
+
+def step(spark: SparkSession, s: State, cfg: Config, year: int, saved) -> tuple[State, Year]:
+    """One year: seed, conception, birth, marriage, death, culls."""
+    numbits = dims.genome_size(cfg.multiplier)
+    if year == cfg.seed_year:
+        seeds = saved(founders.seed_person(s.people, cfg, year))
+        carriers = mortality.without(s.haplotypes, seeds).unionByName(founders.seed_haplotypes(seeds, numbits))
+        s = replace(s, people=founders.inoculated(s.people, seeds, numbits), haplotypes=saved(carriers), seeds=seeds)
+    mothers = people.conceiving(people.eligible_mothers(s.people, cfg, year), cfg, year)
+    births = saved(people.with_ids(people.couples(mothers, s.people, cfg, year), s.last_ids))
+    young = people.children(births, s.people, cfg, year)
+    hap, mut = s.haplotypes, s.mutations
+    made = spark.createDataFrame([], EMPTY["new_mutations"])
+    if cfg.track_DNA or cfg.track_mutations:
+        cross = saved(genome.crossovers(births, dims.chromosomes(spark, cfg.multiplier), cfg, year))
+        if cfg.track_DNA:
+            own = saved(genome.meiosis(cross, s.haplotypes, numbits))
+            young = young.join(genome.allele_counts(own), ["run_id", "ind_id"], "left")
+            young = young.join(genome.centromeres(cross, s.people).withColumnRenamed("child_id", "ind_id"), ["run_id", "ind_id"], "left")
+            hap = hap.unionByName(own)
+        if cfg.track_mutations:
+            fresh = saved(genome.new_mutations(births, cfg, year, numbits))
+            made = fresh.withColumn("year", F.lit(year))
+            own = saved(genome.inherited_mutations(s.mutations, cross, cfg).unionByName(fresh))
+            fit = genome.fitness(own, cfg.fitness_model).select("run_id", "ind_id", F.col("mutations").alias("mutations"), F.col("fitness").alias("_f"))
+            young = young.join(fit, ["run_id", "ind_id"], "left").withColumn("fitness", F.coalesce("_f", "fitness")).withColumn("mutations", F.coalesce("mutations", F.lit(0))).drop("_f")
+            mut = mut.unionByName(own)
+    alive = saved(people.after_births(s.people, births, year).unionByName(founders.shaped(young)))
+    pairs = saved(mating.marriages(alive, cfg, year, saved))
+    alive = saved(mating.married(alive, pairs, cfg))
+    dead = saved(mortality.random_deaths(alive, dims.actuarial(spark), cfg, year, s.seeds))
+    alive, gone = saved(mortality.buried(alive, dead)), alive.join(dead, ["run_id", "ind_id"])
+    caps = mortality.growth_caps(s.sizes, cfg)
+    log = [gone]
+    if not cfg.max_breeding_inds:
+        caps = caps.select("run_id", F.least("cap", F.lit(cfg.cap(year))).alias("cap"))  # one ranking serves both caps: the smaller decides
+    cull = saved(mortality.culled(alive, caps, cfg, year, s.seeds))
+    marked = lambda c: c.withColumn("cause", F.lit("c")).withColumn("counted", F.lit(True))
+    log.append(alive.join(marked(cull), ["run_id", "ind_id"]))
+    all_dead = dead.select("run_id", "ind_id").unionByName(cull)
+    alive = saved(mortality.buried(alive, cull))
+    if cfg.max_breeding_inds:
+        cull = saved(mortality.culled_breeders(alive, cfg.cap(year), cfg, year, s.seeds))
+        log.append(alive.join(marked(cull), ["run_id", "ind_id"]))
+        all_dead = all_dead.unionByName(cull)
+        alive = saved(mortality.buried(alive, cull))
+    deaths = log[0]
+    for more in log[1:]:
+        deaths = deaths.unionByName(more)
+    top = births.groupBy("run_id").agg(F.max("child_id").alias("_top"))
+    last = s.last_ids.join(top, "run_id", "left").select("run_id", F.coalesce("_top", "last_id").alias("last_id"))
+    # births can shrink no number: a run without survivors keeps no row here and ends
+    sizes = alive.groupBy("run_id").agg(F.count("*").alias("n"))
+    kept = replace(s, people=alive, haplotypes=saved(mortality.without(hap, all_dead)) if cfg.track_DNA else hap, mutations=saved(mortality.without(mut, all_dead)) if cfg.track_mutations else mut, sizes=saved(sizes), last_ids=saved(last))
+    return kept, Year(births, pairs, saved(deaths.withColumn("year", F.lit(year))), made)
+
+
+def events(y: Year, year: int) -> DataFrame:
+    """(run_id, sim_year, kind) of a year's marriages, births and counted deaths."""
+    one = lambda df, kind: df.select("run_id", F.lit(year).alias("sim_year"), F.lit(kind).alias("kind"))
+    counted = y.deaths.filter("counted")
+    return one(y.marriages, "marriage").unionByName(one(y.births, "birth")).unionByName(one(counted.filter("cause = 'r'"), "random_death")).unionByName(one(counted.filter("cause = 'c'"), "cull_death"))
+
+
+@dataclass
+class Outcome:
+    state: State
+    results: DataFrame
+    deaths: DataFrame
+    new_mutations: DataFrame
+    events: DataFrame
+
+
+def simulate(spark: SparkSession, cfg: Config, years: int | None = None) -> Outcome:
+    """Runs all replicates from year 0 to end_year (or `years`), both included, or until nobody is left."""
+    from .report import results_row
+
+    saved = checkpointer(spark)
+    s = begun(spark, cfg, saved)
+    end = cfg.end_year if years is None else years
+    results: list[DataFrame] = []
+    logs: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    for year in range(end + 1):
+        s, y = step(spark, s, cfg, year, saved)
+        logs.append((y.deaths, y.new_mutations, saved(events(y, year))))
+        over = not s.sizes.limit(1).count()
+        if not over and year % cfg.save_interval == 0 or over and cfg.report_at_end:
+            results.append(saved(results_row(s, _all([e for *_, e in logs]), cfg, year)))
+        if over:
+            break
+    return Outcome(s, _all(results) if results else spark.createDataFrame([], "run_id int, year int"), _all([d for d, *_ in logs]), _all([m for _, m, _ in logs]), _all([e for *_, e in logs]))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
