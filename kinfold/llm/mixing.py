@@ -29,19 +29,19 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict, weights: tuple = WEIGHTS, limit: float = REPEATS) -> dict:
+def targets(sizes: dict, weights: tuple = WEIGHTS, limit: float = REPEATS, total: int | None = None) -> dict:
     """Words wanted of each source: its weight's share of all words, at most `limit` times what it has; the excess is shared anew by weight.
 
-    Sources in the order of code points, null last; weights repeat. A source of size 0 gets 0.
+    Sources in the order of code points, null last; weights repeat. A source of size 0 gets 0. total: all words, where sources overlap.
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = float(sum(sizes.values())), list(order), {}
+    left, open_, out = float(sum(sizes.values()) if total is None else total), list(order), {}
     while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > limit * sizes[s]]
+        whole = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / whole > limit * sizes[s]]
         if not over:
-            return out | {s: left * weight[s] / total for s in open_}
+            return out | {s: left * weight[s] / whole for s in open_}
         for s in over:
             out[s] = float(limit * sizes[s])
         left -= sum(out[s] for s in over)
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weight
     for r in plan:
         for s in r["sources"] or [None]:
             sizes[s] = sizes.get(s, 0) + r["words"]
-    want = targets(sizes, weights, limit)
+    want = targets(sizes, weights, limit, sum(r["words"] for r in plan))
     got = flow([(tuple(r["sources"] or [None]), r["words"]) for r in plan], want, limit)
     cuts = []
     for r, words in zip(plan, got, strict=True):
