@@ -105,9 +105,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         if small:
             s = scores[i, at] if len(x) > 4 * k and dense else xf[at] @ qf[i]
         else:
-            s = np.array([sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)) for row in x[at]], object)
+            s = np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)))) for row in x[at]], object)
         best = np.argsort(-s, kind="stable")[:k]  # at is in the order of ids
-        out += [(int(q_ids[i]), int(ids[at[j]]), max(-(2**63), min(2**63 - 1, int(s[j])))) for j in best]
+        out += [(int(q_ids[i]), int(ids[at[j]]), int(s[j])) for j in best]
     return out
 
 
@@ -115,7 +115,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with the candidates, its own id left out.
 
     Both tables are as `quantised` makes them. Vectors of another length than the query's take no part; a
-    repeated id counts once per row; a score beyond 64 bits is held at the bound; fewer than k candidates give fewer rows; empty tables none.
+    repeated id counts once per row; scores beyond 64 bits are held at the bound, where they tie; fewer than k candidates give fewer rows; empty tables none.
     """
     short_batches(queries.sparkSession)
     # the blocks of queries get consecutive numbers; they are few: one in QUERIES_PER_BLOCK queries

@@ -481,9 +481,10 @@ def test_top_k_of_large_numbers(spark):
     got = plain(topk.top_k(v.filter("vec_id % 100 = 0"), v, 3), "query_id", "rank", "vec_id", "score")
     x = {i: [math.floor(1024 * (1e9 + i)), math.floor(1024 * (-3e8 * i))] for i in range(0, 300, 10)}
     want = []
+    held = lambda v: max(-(2**63), min(2**63 - 1, v))
     for q in (0, 100, 200):
-        best = sorted((-(x[q][0] * x[j][0] + x[q][1] * x[j][1]), j) for j in x if j != q)[:3]
-        want += [(q, k, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best, 1)]
+        best = sorted((-held(x[q][0] * x[j][0] + x[q][1] * x[j][1]), j) for j in x if j != q)[:3]
+        want += [(q, k, j, -s) for k, (s, j) in enumerate(best, 1)]
     assert got == sorted(want, key=repr)
 
 
