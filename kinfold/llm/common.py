@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch between the JVM and Python: documents may be long, so batches are short.
 ROWS_PER_BATCH = 2000
 #: Text bytes of one home group (see `with_home`): what one task holds in memory at once.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 10 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +33,48 @@ END_WORD = b" "
 
 def packed(texts: list[bytes]) -> np.ndarray:
     """Of each place of the texts, and of the end of each: the ORDER bytes before (0 before the start) in the high bits, the symbol in the low 9."""
-    lens = np.array([len(t) + 1 for t in texts])
-    data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    at = np.arange(len(data)) - np.repeat(starts, lens)
+    gap = bytes(1 + ORDER)  # a place for the end, and what comes before the next text
+    data = np.frombuffer(bytes(ORDER) + gap.join(texts) + b"\0", np.uint8).astype(np.int64)
     key = data.copy()
-    key[starts + lens - 1] = END
+    ends = ORDER + np.cumsum([len(t) + 1 + ORDER for t in texts]) - 1 - ORDER
+    key[ends] = END
     for back in range(1, ORDER + 1):
-        before = np.zeros(len(data), np.int64)
-        before[back:] = data[:-back]
-        before[at < back] = 0
-        key |= before << (9 + 8 * (back - 1))
-    return key
+        key[back:] |= data[:-back] << (9 + 8 * (back - 1))
+    keep = np.ones(len(key), bool)
+    keep[:ORDER] = False
+    for skip in range(1, ORDER + 1):
+        keep[ends[:-1] + skip] = False
+    return key[keep]
+
+
+class Lookup:
+    """A table from keys to values that answers whole arrays at once (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[left[free]]
+            mine = self.keys[slot] == keys[left]
+            self.values[slot[mine]] = values[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def total(self, keys: np.ndarray) -> float:
+        """The sum of the values of keys, all of which are in the table."""
+        slot = self._slot(keys)
+        found = self.keys[slot] == keys
+        parts = self.values[slot[found]].sum()
+        while not found.all():
+            keys, slot = keys[~found], (slot[~found] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot] == keys
+            parts += self.values[slot[found]].sum()
+        return float(parts)
 
 
 def trains(doc_id, by: int | None = 7, out: int = 2):
@@ -58,6 +89,7 @@ COUNTS = "home int, word binary, gram long, n long"
 
 def counter(by: int | None, out: int):
     def count(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         home = key[0].as_py()
         words: Counter = Counter()
         seen: set[bytes] = set()
@@ -86,7 +118,7 @@ def counter(by: int | None, out: int):
                 size[train] = 0
         flush(True)
         flush(False)
-        for w in seen:
+        for w in (*seen, END_WORD):
             words[w] += 0
         k = np.concatenate([g[0] for g in grams]) if grams else np.empty(0, np.int64)
         n = np.concatenate([g[1] for g in grams]) if grams else np.empty(0, np.int64)
@@ -194,25 +226,23 @@ FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_token
 
 def finisher(tokens: int, distinct: int, by: int | None, out: int):
     def finish(key: tuple[pa.Scalar, ...], docs: pa.Table, model: pa.Table) -> pa.Table:
-        is_word = np.asarray(model.column("word").is_valid())
-        words = model.filter(pa.array(is_word))
-        counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
+        pa.default_memory_pool().release_unused()
+        is_word = model.column("word").is_valid()
+        words = model.filter(is_word)
         log_all = math.log10(tokens + distinct + 1)
-        value = {w: math.log10(c + 1) - log_all for w, c in counts.items()}
-        unknown = {w for w, c in counts.items() if not c}
-        end_known, end_value = (0, -log_all) if END_WORD not in counts or not counts[END_WORD] else (1, value[END_WORD])
-        rest = model.filter(pa.array(~is_word))
-        grams, logs = rest.column("gram").to_numpy(), rest.column("value").to_numpy()
-        order = np.argsort(grams)
-        grams, logs = grams[order], logs[order]
+        logs = np.log10(words.column("value").to_numpy() + 1) - log_all
+        value = dict(zip(words.column("word").to_pylist(), logs.tolist(), strict=True))
+        new = -log_all + 1e-9  # no more than a word gets that wasn't learnt
+        end = value.pop(END_WORD, -log_all)
+        rest = model.filter(pc.invert(is_word))
+        table = Lookup(rest.column("gram").to_numpy(), rest.column("value").to_numpy())
         result = []
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), (t.as_py() for t in docs.column("text")), strict=True):
             text = text.lower()
             split = text.split()
-            known = len(split) - sum(map(unknown.__contains__, split)) if unknown else len(split)
-            keys = np.sort(packed([text]))
-            score = float(logs[np.searchsorted(grams, keys)].sum())
-            result.append((doc_id, not trains(doc_id, by, out), len(split) + 1, known + end_known, tokens, math.fsum(map(value.__getitem__, split)) + end_value, score))
+            own = np.fromiter(map(value.__getitem__, split), np.float64, len(split))
+            known = int((own > new).sum()) + (end > new)
+            result.append((doc_id, not trains(doc_id, by, out), len(split) + 1, known, tokens, float(own.sum()) + end, table.total(packed([text]))))
         cols = list(zip(*result, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FINAL.split(", ")])
@@ -231,10 +261,10 @@ def scored(docs: DataFrame, by: int | None = 7, out: int = 2) -> DataFrame:
     dealt, homes = with_home(docs)
     counts = dealt.select("doc_id", "text", "home").groupBy("home").applyInArrow(counter(by, out), COUNTS)
     # a home asks once for each of its words and grams, so no key has more rows than there are homes
-    words = counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes"))
+    keys = written(counts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")), "keys")
+    words = keys.filter("word is not null").select("word", "n", "homes")
     ending = (F.shiftright("gram", 9).bitwiseAND(F.lit(0xFFFF))).cast("int")
-    grams = counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")).withColumn("ending", ending)
-    words, grams = written(words, "words"), written(grams, "grams")
+    grams = keys.filter("gram is not null").select("gram", "n", "homes", ending.alias("ending"))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     # counts after single bytes: 256 * 257 numbers at most
     low: dict[int, dict[int, int]] = {}
