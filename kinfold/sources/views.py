@@ -59,8 +59,10 @@ def yearly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = spark.read.parquet(f"{sf_dir}/customer.parquet")
     both = people.select(F.lit(0).alias("run_id"), F.col("c_custkey").alias("ind_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    bit = lambda p: F.when((F.col("ind_id") * 7 + F.col("copy") * 13 + F.floor(p / 16)) % 11 < 4, "1").otherwise("0")
-    return both.withColumn("bits", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3045)), bit), ""))
+    # bits come in stretches of 16 equal ones
+    stretch = lambda k: F.repeat(F.when((F.col("ind_id") * 7 + F.col("copy") * 13 + k) % 11 < 4, "1").otherwise("0"), F.lit(16))
+    size = dims.genome_size()
+    return both.withColumn("bits", F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 16)), stretch), ""), 1, size))
 
 
 def values(rows: list[tuple], names: str) -> str:
