@@ -75,6 +75,18 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
     """,
+    "op4_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS k FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS w FROM d GROUP BY source),
+        o AS (SELECT *, CAST((SELECT sum(ss) FROM s) - coalesce(sum(3 * ss) OVER (ORDER BY ss::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS words,
+              CAST(sum(w) OVER (ORDER BY ss::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS ws FROM s),
+        c AS (SELECT words, ws FROM o WHERE NOT words * w / ws > 3 * ss ORDER BY ss::DOUBLE / w, source NULLS LAST LIMIT 1),
+        t AS (SELECT source, ss, CASE WHEN c.words * w / c.ws > 3 * ss THEN CAST(3 * ss AS DOUBLE) ELSE c.words * w / c.ws END AS target FROM o, c),
+        g AS (SELECT *, CASE WHEN ss = 0 THEN 1 ELSE least(3, CAST(round_even(target, 0) AS BIGINT) // ss) END AS n, CASE WHEN ss = 0 THEN 0 ELSE CAST(round_even(target, 0) AS BIGINT) - least(3, CAST(round_even(target, 0) AS BIGINT) // ss) * ss END AS rest FROM t),
+        r AS (SELECT d.*, g.ss, g.target, g.n, g.rest, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, size, ss AS source_size, target, CAST(n * size + greatest(0, least(size, rest - (upto - size))) AS BIGINT) AS taken FROM r
+    """,
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
