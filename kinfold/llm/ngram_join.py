@@ -10,8 +10,9 @@ n - ceil(0.75 n) + k of each (the prefix rule). The steps:
 3. Sets in play meet under their first two shingles, in groups that are dealt in chunks with one common member when they are large.
    In a chunk the sets form a prefix tree, most frequent shingles first; each set walks it, sharing partial
    overlaps, leaving out subtrees that can't reach the overlap in what remains, or whose members are all connected with it by now.
-4. For what step 3 hasn't connected, prefixes that lie in two or more components give candidate pairs, under the prefix
-   rule again, and each is verified on the whole sets. So no link between different components is missed.
+4. What step 3 hasn't connected is left out again, by the prefix rule with half of each set, unless enough of it lies in
+   other components; this is repeated while it helps. Of the few sets that are left, prefixes in two components give candidate pairs,
+   and each pair is verified on the whole sets. So no link between different components is missed.
 
 Hashes of 64 bits stand for shingles and sets; a collision is the only way to a wrong result.
 """
@@ -23,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, byte_texts, mixed, rows, short_batches, signed, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them; sets of one chunk of a group.
-HELD, CHUNK = 3_000_000, 1500
+HELD, CHUNK = 1_500_000, 1500
 MULTIPLIERS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -56,22 +57,22 @@ def least_overlap(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def extra(n: int) -> int:
-    """Shingles that a set of n must share within its prefix: one, and a twentieth of the set."""
-    return 1 + n // 20
+#: A set must share one shingle and so large a part of its size within its prefix: over all sets, and between components.
+PART, WIDE_PART = 10, 4
 
 
-def prefix(n: int) -> int:
-    return n - least_overlap(n) + extra(n)
+def prefix(n: int, part: int = PART) -> int:
+    """The length of a prefix in which linked sets share 1 + n // part."""
+    return n - least_overlap(n) + 1 + n // part
 
 
 def linked(n: int, m: int, overlap: int) -> bool:
     return overlap > 0 and DENOMINATOR * overlap >= NUMERATOR * (n + m - overlap)
 
 
-def least_shared(n):
-    """What a set of n must share with any partner, which has three quarters of n at least (Column or number)."""
-    return 1 + least_overlap(n) // 20
+def least_shared(part: int) -> Column:
+    """What a set of n must share within its prefix with any partner, which has three quarters of n at least."""
+    return 1 + F.expr(f"((({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}) div {part})")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +124,7 @@ def _postings(shards: int):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((s, out.tobytes(), marked.tobytes(), table[own].tobytes(), None, None, None, None), POSTING_KINDS, strict=True)], POSTING_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         seen: set[int] = set()
         sids, ns, parts, held = [], [], [], 0
         for _, text in rows(batches):
@@ -161,9 +163,8 @@ def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         shared = (np.minimum.reduceat(sid, start) != np.maximum.reduceat(sid, start)) | (np.maximum.reduceat(given, start) > 0)
         hit = np.repeat(shared, np.diff([*start, len(tokens)])) & (given == 0)
-        own, back = np.unique(sid[hit], return_inverse=True)
-        credit = np.bincount(back, minlength=len(own))
-        return pa.RecordBatch.from_pydict({"sid": pa.array(own, pa.int64()), "credit": pa.array(credit, pa.int64())})
+        # one row a set and shingle; Spark sums them up before its shuffle
+        return pa.RecordBatch.from_pydict({"sid": pa.array(sid[hit]), "credit": pa.array(np.ones(int(hit.sum()), np.int64))})
 
     shard, parts = None, []
     for batch in batches:
@@ -297,12 +298,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [np.frombuffer(d.as_py(), np.uint64) for d in batch.column("data")]
-        parts = [d[: prefix(len(d))] for d in data]
-        times = [len(p) for p in parts]
-        yield pa.RecordBatch.from_pydict({"token": pa.array(signed(np.concatenate(parts)) if parts else [], pa.int64())} | {c: pa.array(np.repeat(batch.column(c).to_numpy(), times), pa.int64()) for c in ("sid", "n", "component")})
+def _prefixes(part: int):
+    """A row for each set and shingle of its prefix, in short batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            times = [len(h[0]) for h in held]
+            made = {"token": pa.array(signed(np.concatenate([h[0] for h in held])))} | {c: pa.array(np.repeat([h[k] for h in held], times)) for k, c in enumerate(("sid", "n", "component"), 1)}
+            held.clear()
+            return pa.RecordBatch.from_pydict(made)
+
+        for batch in batches:
+            n = 0
+            for data, *rest in zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("sid", "n", "component")), strict=True):
+                t = np.frombuffer(data.as_py(), np.uint64)
+                held.append((t[: prefix(len(t), part)], *rest))
+                n += len(held[-1][0])
+                if n > 50_000:
+                    yield out()
+                    n = 0
+            if held:
+                yield out()
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +338,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _closing(sets: DataFrame, known: DataFrame) -> DataFrame:
     """Verified links between different components of `known` (sets without one are their own)."""
     named = sets.select("sid", "n", "data").join(known, sets["sid"] == known["node"], "left").select("sid", "n", "data", F.coalesce("component", "sid").alias("component"))
-    p = named.mapInArrow(_prefixes, "token long, sid long, n long, component long")
-    across = p.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
-    p = written(p.join(across, "token"), "prefixes")
-    n = F.col("n")
-    least = 1 + F.expr(f"(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}) div 20")
-    live = p.groupBy("sid", "n").count().filter(F.col("count") >= least).select("sid")
-    p = p.join(live, "sid").withColumn("k", 1 + F.expr("n div 20"))
+    schema = "token long, sid long, n long, component long"
+    p = written(named.mapInArrow(_prefixes(WIDE_PART), schema), "prefixes")
+    before = None
+    while True:
+        across = p.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+        live = written(p.join(across, "token").groupBy("sid", "n").count().filter(F.col("count") >= least_shared(WIDE_PART)).select("sid"), "open")
+        now = live.count()
+        if not now:
+            return p.sparkSession.createDataFrame([], "u long, v long")
+        if before is not None and now > 0.9 * before:
+            break
+        before, p = now, p.join(live, "sid")
+    p = named.join(live, "sid").mapInArrow(_prefixes(PART), schema).withColumn("k", 1 + F.expr(f"n div {PART}"))
     a, b = p.alias("a"), p.alias("b")
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
     fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n"))
@@ -352,8 +378,7 @@ def join(docs: DataFrame) -> DataFrame:
     near = posted.filter("shard is null").select("sid", "n", "credit", "holds")
     far = posted.filter("shard is not null").select("shard", "tokens", "owners", "sids").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_credits, "sid long, credit long")
     credit = near.unionByName(far.select("sid", F.lit(None).cast("long").alias("n"), "credit", F.lit(0).cast("long").alias("holds")))
-    least = 1 + F.expr(f"((({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}) div 20)")
-    live = credit.groupBy("sid").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"), F.sum("holds").alias("holds")).filter(F.col("credit") >= least * F.col("holds")).select("sid")
+    live = credit.groupBy("sid").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"), F.sum("holds").alias("holds")).filter(F.col("credit") >= least_shared(PART) * F.col("holds")).select("sid")
     chosen = reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid").filter("doc_id is not null")
     # an id may be repeated with another text: the key worked out again tells which row was meant
     texts = base.join(chosen, "doc_id").select("sid", "text")
