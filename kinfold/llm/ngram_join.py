@@ -7,12 +7,12 @@ n - ceil(0.75 n) + k of each (the prefix rule). The steps:
 1. Texts with equal sets become one set with the smallest id.
 2. A set stays in play only if enough of its prefix occurs in other sets' prefixes. Input partitions settle what they see themselves and
    send one row per shard of shingles, so a shingle that a third of all rows hold reaches a shard once a partition.
-3. Sets in play meet under their first two shingles, in groups that are dealt in chunks with one common member when they are large.
+3. Sets in play meet under their first HEADS shingles, in groups that are dealt in chunks with one common member when they are large.
    In a chunk the sets form a prefix tree, most frequent shingles first; each set walks it, sharing partial
    overlaps, leaving out subtrees that can't reach the overlap in what remains, or whose members are all connected with it by now.
 4. What step 3 hasn't connected is left out again, by the prefix rule with half of each set, unless enough of it lies in
-   other components; this is repeated while it helps. Of the few sets that are left, prefixes in two components give candidate pairs,
-   and each pair is verified on the whole sets. So no link between different components is missed.
+   other components. Of the sets that are left, prefixes in two components give candidate pairs, but for pairs that met in
+   a chunk of step 3 and so are decided; each pair is verified on the whole sets. So no link between different components is missed.
 
 Hashes of 64 bits stand for shingles and sets; a collision is the only way to a wrong result.
 """
@@ -32,6 +32,8 @@ from .common import GROUP_BYTES, byte_texts, mixed, rows, short_batches, signed,
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them; sets of one chunk of a group.
 HELD, CHUNK = 1_500_000, 1500
+#: First shingles of a set under which it meets others. Of the pairs just below the threshold one in some thirty doesn't meet under three.
+HEADS = 3
 MULTIPLIERS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -180,7 +182,7 @@ def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sids, n, data, first, second = [], [], [], [], []
+        sids, n, data, heads = [], [], [], []
         for sid, text in zip(batch.column("sid").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True):
             t = shingles(text)
             if not len(t) or set_key(t) != sid:
@@ -188,9 +190,8 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sids.append(sid)
             n.append(len(t))
             data.append(t.tobytes())
-            first.append(int(signed(t[:1])[0]))
-            second.append(int(signed(t[1:2])[0]) if len(t) > 1 else None)
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "n": pa.array(n, pa.int64()), "first": pa.array(first, pa.int64()), "second": pa.array(second, pa.int64()), "data": pa.array(data, pa.binary())})
+            heads.append(signed(t[:HEADS]).tolist())
+        yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "n": pa.array(n, pa.int64()), "heads": pa.array(heads, pa.list_(pa.int64())), "data": pa.array(data, pa.binary())})
 
 
 def tree_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -298,21 +299,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _prefixes(part: int):
-    """A row for each set and shingle of its prefix, in short batches."""
+def _prefixes(part: int, *columns: str):
+    """A row for each set and shingle of its prefix, with the columns named, in short batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             times = [len(h[0]) for h in held]
-            made = {"token": pa.array(signed(np.concatenate([h[0] for h in held])))} | {c: pa.array(np.repeat([h[k] for h in held], times)) for k, c in enumerate(("sid", "n", "component"), 1)}
+            at = pa.array(np.repeat(np.arange(len(held)), times))
+            made = {"token": pa.array(signed(np.concatenate([h[0] for h in held])))} | {c: pa.array([h[k] for h in held]).take(at) for k, c in enumerate(columns, 1)}
             held.clear()
             return pa.RecordBatch.from_pydict(made)
 
         for batch in batches:
             n = 0
-            for data, *rest in zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("sid", "n", "component")), strict=True):
+            for data, *rest in zip(batch.column("data"), *(batch.column(c).to_pylist() for c in columns), strict=True):
                 t = np.frombuffer(data.as_py(), np.uint64)
                 held.append((t[: prefix(len(t), part)], *rest))
                 n += len(held[-1][0])
@@ -335,25 +337,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
 
-def _closing(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """Verified links between different components of `known` (sets without one are their own)."""
+def _closing(sets: DataFrame, known: DataFrame, meets: DataFrame) -> DataFrame:
+    """Verified links between different components of `known` (sets without one are their own), of pairs that have none of `meets` in common."""
     named = sets.select("sid", "n", "data").join(known, sets["sid"] == known["node"], "left").select("sid", "n", "data", F.coalesce("component", "sid").alias("component"))
-    schema = "token long, sid long, n long, component long"
-    p = written(named.mapInArrow(_prefixes(WIDE_PART), schema), "prefixes")
-    before = None
-    while True:
-        across = p.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
-        live = written(p.join(across, "token").groupBy("sid", "n").count().filter(F.col("count") >= least_shared(WIDE_PART)).select("sid"), "open")
-        now = live.count()
-        if not now:
-            return p.sparkSession.createDataFrame([], "u long, v long")
-        if before is not None and now > 0.9 * before:
-            break
-        before, p = now, p.join(live, "sid")
-    p = named.join(live, "sid").mapInArrow(_prefixes(PART), schema).withColumn("k", 1 + F.expr(f"n div {PART}"))
+    p = written(named.mapInArrow(_prefixes(WIDE_PART, "sid", "n", "component"), "token long, sid long, n long, component long"), "prefixes")
+    across = p.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+    live = p.select("token", "sid", "n").join(across, "token").groupBy("sid", "n").count().filter(F.col("count") >= least_shared(WIDE_PART)).select("sid")
+    met = meets.groupBy("sid").agg(F.collect_set("meet").alias("meets"))  # HEADS at most
+    open_ = named.join(live, "sid").join(met, "sid", "left").withColumn("meets", F.coalesce("meets", F.array().cast("array<long>")))
+    p = written(open_.mapInArrow(_prefixes(PART, "sid", "n", "component", "meets"), "token long, sid long, n long, component long, meets array<long>"), "open").withColumn("k", 1 + F.expr(f"n div {PART}"))
     a, b = p.alias("a"), p.alias("b")
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
-    fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n"))
+    fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n")) & ~F.arrays_overlap("a.meets", "b.meets")
     pairs = a.join(b, fits).groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).agg(F.count("*").alias("c"), F.least(F.first("a.k"), F.first("b.k")).alias("k")).filter("c >= k")
     whole = sets.select("sid", "data")
     both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("data").alias("a")), "u").join(whole.select(F.col("sid").alias("v"), F.col("data").alias("b")), "v")
@@ -382,19 +377,21 @@ def join(docs: DataFrame) -> DataFrame:
     chosen = reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid").filter("doc_id is not null")
     # an id may be repeated with another text: the key worked out again tells which row was meant
     texts = base.join(chosen, "doc_id").select("sid", "text")
-    sets = written(texts.mapInArrow(_whole_sets, "sid long, n long, first long, second long, data binary").dropDuplicates(["sid"]), "live")
+    sets = written(texts.mapInArrow(_whole_sets, "sid long, n long, heads array<long>, data binary"), "live")
+    if sets.groupBy("sid").count().filter("count > 1").limit(1).count():  # only where rows are repeated whole
+        sets = written(sets.dropDuplicates(["sid"]), "live")
     return _finished(keys, reps, sets)
 
 
 def _finished(keys: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    heads = sets.select("sid", F.explode(F.array_compact(F.array("first", "second"))).alias("key"))
+    heads = sets.select("sid", F.explode("heads").alias("key"))
     counted = heads.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).filter("c > 1").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
     own = heads.join(counted, "key").select("key", F.pmod("sid", F.col("chunks")).cast("int").alias("chunk"), "sid")
     pivots = counted.filter("chunks > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("sid"))
     placed = own.unionByName(pivots).join(sets.select("sid", "data"), "sid")
     links = written(placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_tree, "u long, v long"), "links")
     known = components(links)
-    closing = written(_closing(sets, known), "closing")
+    closing = written(_closing(sets, known, own.select("sid", F.xxhash64("key", "chunk").alias("meet"))), "closing")
     if closing.limit(1).count():
         known = components(links.unionByName(closing))
     named = reps.join(known, reps["sid"] == known["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
