@@ -11,8 +11,10 @@ n - ceil(0.75 n) + k of each (the prefix rule). The steps:
    In a chunk the sets form a prefix tree, most frequent shingles first; each set walks it, sharing partial
    overlaps, leaving out subtrees that can't reach the overlap in what remains, or whose members are all connected with it by now.
 4. What step 3 hasn't connected is left out again, by the prefix rule with half of each set, unless enough of it lies in
-   other components. Of the sets that are left, prefixes in two components give candidate pairs, but for pairs that met in
-   a chunk of step 3 and so are decided; each pair is verified on the whole sets. So no link between different components is missed.
+   other components. What is left of a large group is dealt in blocks: each block of the group's largest component meets each
+   block of the other members, and these meet each other, in prefix trees again that leave out members of one component.
+   Pairs under one of the first shingles are decided then. Of the rest, prefixes in two components give candidate pairs, and
+   each pair is verified on the whole sets. So no link between different components is missed.
 
 Hashes of 64 bits stand for shingles and sets; a collision is the only way to a wrong result.
 """
@@ -194,8 +196,8 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "n": pa.array(n, pa.int64()), "heads": pa.array(heads, pa.list_(pa.int64())), "data": pa.array(data, pa.binary())})
 
 
-def tree_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning star (set, smallest set of its component) of the links among sets, by a prefix tree."""
+def tree_links(sids: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning star (set, smallest set of its component) of the links among sets, by a prefix tree; with the components known so far, only links that join two of them."""
     lens = [len(s) for s in sets]
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int32)
@@ -231,7 +233,8 @@ def tree_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
             for a, b in zip(starts, starts[1:], strict=False):
                 children.append(node(a, b, end))
                 todo.append(children[-1])
-    label = np.arange(k)
+    label = np.arange(k) if known is None else np.unique([known[i] for i in order], return_inverse=True)[1]
+    joined: list[tuple[int, int]] = []
     mark = np.zeros(common, bool)
     for x in range(k - 1):
         if (label[x + 1 :] == label[x]).all():
@@ -255,8 +258,11 @@ def tree_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
             if children:
                 walk += [(c, overlap, passed) for c in reversed(children)]
             elif linked(nx, int(n[i]), overlap):
+                joined.append((ids[x], ids[i]))
                 label[label == label[i]] = label[x]
         mark[own] = False
+    if known is not None:
+        return joined
     least: dict[int, int] = {}
     for i, c in zip(ids, label.tolist(), strict=True):
         least[c] = min(i, least.get(c, i))
@@ -264,20 +270,21 @@ def tree_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each (key, chunk), rows sorted by them."""
+    """Links of each (key, chunk), rows sorted by them; between components, if the rows have them."""
 
-    def finish(group: dict[int, bytes]) -> pa.RecordBatch:
-        got = tree_links(list(group), [np.frombuffer(d, np.uint64) for d in group.values()]) if len(group) > 1 else []
+    def finish(group: dict[int, tuple]) -> pa.RecordBatch:
+        known = [c for _, c in group.values()]
+        got = tree_links(list(group), [np.frombuffer(d, np.uint64) for d, _ in group.values()], None if None in known else known) if len(group) > 1 else []
         return pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in got], pa.int64()), "v": pa.array([b for _, b in got], pa.int64())})
 
     last, group = None, {}
     for batch in batches:
-        for key, chunk, sid, data in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "sid", "data")), strict=True):
+        for key, chunk, sid, data, component in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "sid", "data", "component")), strict=True):
             if (key, chunk) != last:
                 if group:
                     yield finish(group)
                 last, group = (key, chunk), {}
-            group[sid] = data
+            group[sid] = data, component
     if group:
         yield finish(group)
 
@@ -337,22 +344,50 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
 
-def _closing(sets: DataFrame, known: DataFrame, meets: DataFrame) -> DataFrame:
-    """Verified links between different components of `known` (sets without one are their own), of pairs that have none of `meets` in common."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, chunk, sid, component): members (key, sid, component) of large groups dealt so that all pairs of different components meet.
+
+    The largest component of a key goes block by block to every block of the others, which also go to each other. So
+    a set is repeated once a block of the others, however large the largest component is.
+    """
+    block = CHUNK // 2 or 1
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("all")).filter(F.col("all") > F.col("most.c"))
+    sizes = sizes.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.c") / block).alias("m"), F.ceil((F.col("all") - F.col("most.c")) / block).alias("r"))
+    m = members.join(sizes, "key").withColumn("h", F.xxhash64("sid"))
+    main = m.filter("component = main").select("key", "sid", "component", F.lit("main").alias("kind"), F.expr("pmod(h, m)").alias("i"), F.explode(F.expr("sequence(0L, r - 1)")).alias("j"))
+    rest = m.filter("component <> main").withColumn("b", F.expr("pmod(h, r)"))
+    to_main = rest.select("key", "sid", "component", F.lit("main").alias("kind"), F.explode(F.expr("sequence(0L, m - 1)")).alias("i"), F.col("b").alias("j"))
+    other = rest.filter("r > 1").select("key", "sid", "component", "b", F.explode(F.expr("sequence(0L, r - 1)")).alias("o")).filter("o <> b")
+    to_rest = other.select("key", "sid", "component", F.lit("rest").alias("kind"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    return main.unionByName(to_main).unionByName(to_rest).select("key", F.concat_ws("-", "kind", "i", "j").alias("chunk"), "sid", "component")
+
+
+def _tree_joined(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) within each (key, chunk) of placed."""
+    return placed.join(sets.select("sid", "data"), "sid").repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_tree, "u long, v long")
+
+
+def _closing(sets: DataFrame, known: DataFrame, own: DataFrame) -> DataFrame:
+    """Verified links between different components of `known` (sets without one are their own); own: the keys of each set, and in how many chunks their groups were dealt."""
     named = sets.select("sid", "n", "data").join(known, sets["sid"] == known["node"], "left").select("sid", "n", "data", F.coalesce("component", "sid").alias("component"))
     p = written(named.mapInArrow(_prefixes(WIDE_PART, "sid", "n", "component"), "token long, sid long, n long, component long"), "prefixes")
     across = p.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
     live = p.select("token", "sid", "n").join(across, "token").groupBy("sid", "n").count().filter(F.col("count") >= least_shared(WIDE_PART)).select("sid")
-    met = meets.groupBy("sid").agg(F.collect_set("meet").alias("meets"))  # HEADS at most
+    live = written(live, "open")
+    large = own.filter("chunks > 1").join(live, "sid").join(named.select("sid", "component"), "sid").select("key", "sid", "component")
+    across_chunks = _tree_joined(_blocks(large), sets)
+    met = own.select("sid", F.col("key").alias("meet"))
+    met = met.groupBy("sid").agg(F.collect_set("meet").alias("meets"))  # HEADS at most
     open_ = named.join(live, "sid").join(met, "sid", "left").withColumn("meets", F.coalesce("meets", F.array().cast("array<long>")))
-    p = written(open_.mapInArrow(_prefixes(PART, "sid", "n", "component", "meets"), "token long, sid long, n long, component long, meets array<long>"), "open").withColumn("k", 1 + F.expr(f"n div {PART}"))
+    p = written(open_.mapInArrow(_prefixes(PART, "sid", "n", "component", "meets"), "token long, sid long, n long, component long, meets array<long>"), "left").withColumn("k", 1 + F.expr(f"n div {PART}"))
     a, b = p.alias("a"), p.alias("b")
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
     fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n")) & ~F.arrays_overlap("a.meets", "b.meets")
     pairs = a.join(b, fits).groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).agg(F.count("*").alias("c"), F.least(F.first("a.k"), F.first("b.k")).alias("k")).filter("c >= k")
     whole = sets.select("sid", "data")
     both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("data").alias("a")), "u").join(whole.select(F.col("sid").alias("v"), F.col("data").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long").unionByName(across_chunks)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -386,12 +421,12 @@ def join(docs: DataFrame) -> DataFrame:
 def _finished(keys: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     heads = sets.select("sid", F.explode("heads").alias("key"))
     counted = heads.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).filter("c > 1").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
-    own = heads.join(counted, "key").select("key", F.pmod("sid", F.col("chunks")).cast("int").alias("chunk"), "sid")
+    own = heads.join(counted, "key").select("key", F.pmod("sid", F.col("chunks")).cast("int").alias("chunk"), "sid", "chunks")
     pivots = counted.filter("chunks > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("sid"))
-    placed = own.unionByName(pivots).join(sets.select("sid", "data"), "sid")
-    links = written(placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_tree, "u long, v long"), "links")
+    placed = own.select("key", "chunk", "sid").unionByName(pivots).withColumn("component", F.lit(None).cast("long"))
+    links = written(_tree_joined(placed, sets), "links")
     known = components(links)
-    closing = written(_closing(sets, known, own.select("sid", F.xxhash64("key", "chunk").alias("meet"))), "closing")
+    closing = written(_closing(sets, known, own), "closing")
     if closing.limit(1).count():
         known = components(links.unionByName(closing))
     named = reps.join(known, reps["sid"] == known["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
