@@ -33,7 +33,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("mixing to weights", mix_stage), ("sentencepiece", encode_stage)]
 
-#: Compression and tokenizing can't be said in SQL; tests hold run() against the operators' brute-force versions.
+#: Compression and tokenizing can't be said in SQL; tests hold the dedup stages against brute force, each on its own input.
 ORACLE_SQL = None
 
 
