@@ -13,8 +13,9 @@ n - ceil(0.75 n) + k of each (the prefix rule). The steps:
 4. What step 3 hasn't connected is left out again, by the prefix rule with half of each set, unless enough of it lies in
    other components. What is left of a large group is dealt in blocks: each block of the group's largest component meets each
    block of the other members, and these meet each other, in prefix trees again that leave out members of one component.
-   Pairs under one of the first shingles are decided then. Of the rest, prefixes in two components give candidate pairs, and
-   each pair is verified on the whole sets. So no link between different components is missed.
+   Pairs under one of the first shingles are decided then. Of the rest, prefixes in two components give candidate pairs, those
+   whose parity sketches differ by more than linked sets can are dropped, and each other pair is verified on the whole sets.
+   So no link between different components is missed.
 
 Hashes of 64 bits stand for shingles and sets; a collision is the only way to a wrong result.
 """
@@ -34,6 +35,8 @@ from .common import GROUP_BYTES, byte_texts, mixed, rows, short_batches, signed,
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them; sets of one chunk of a group.
 HELD, CHUNK = 1_500_000, 1500
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 #: First shingles of a set under which it meets others. Of the pairs just below the threshold one in some thirty doesn't meet under three.
 HEADS = 3
 MULTIPLIERS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -70,6 +73,21 @@ def prefix(n: int, part: int = PART) -> int:
     return n - least_overlap(n) + 1 + n // part
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """SKETCH parity bits of a set, as signed 64-bit numbers. Two sets differ by at least as many shingles as their sketches do by bits."""
+    odd = np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH // 64)]
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether the sketches of two rows allow a link: linked sets differ by (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR) of their sizes' sum at most."""
+    differ = F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in SKETCH_COLUMNS))
+    return (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def linked(n: int, m: int, overlap: int) -> bool:
     return overlap > 0 and DENOMINATOR * overlap >= NUMERATOR * (n + m - overlap)
 
@@ -306,8 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _prefixes(part: int, *columns: str):
-    """A row for each set and shingle of its prefix, with the columns named, in short batches."""
+def _prefixes(part: int, *columns: str, sketched: bool = False):
+    """A row for each set and shingle of its prefix, with the columns named and the sketch if asked for, in short batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -315,7 +333,8 @@ def _prefixes(part: int, *columns: str):
         def out() -> pa.RecordBatch:
             times = [len(h[0]) for h in held]
             at = pa.array(np.repeat(np.arange(len(held)), times))
-            made = {"token": pa.array(signed(np.concatenate([h[0] for h in held])))} | {c: pa.array([h[k] for h in held]).take(at) for k, c in enumerate(columns, 1)}
+            named = (*columns, *(SKETCH_COLUMNS if sketched else ()))
+            made = {"token": pa.array(signed(np.concatenate([h[0] for h in held])))} | {c: pa.array([h[k] for h in held]).take(at) for k, c in enumerate(named, 1)}
             held.clear()
             return pa.RecordBatch.from_pydict(made)
 
@@ -323,7 +342,7 @@ def _prefixes(part: int, *columns: str):
             n = 0
             for data, *rest in zip(batch.column("data"), *(batch.column(c).to_pylist() for c in columns), strict=True):
                 t = np.frombuffer(data.as_py(), np.uint64)
-                held.append((t[: prefix(len(t), part)], *rest))
+                held.append((t[: prefix(len(t), part)], *rest, *(sketch(t) if sketched else ())))
                 n += len(held[-1][0])
                 if n > 50_000:
                     yield out()
@@ -380,10 +399,11 @@ def _closing(sets: DataFrame, known: DataFrame, own: DataFrame) -> DataFrame:
     met = own.select("sid", F.col("key").alias("meet"))
     met = met.groupBy("sid").agg(F.collect_set("meet").alias("meets"))  # HEADS at most
     open_ = named.join(live, "sid").join(met, "sid", "left").withColumn("meets", F.coalesce("meets", F.array().cast("array<long>")))
-    p = written(open_.mapInArrow(_prefixes(PART, "sid", "n", "component", "meets"), "token long, sid long, n long, component long, meets array<long>"), "left").withColumn("k", 1 + F.expr(f"n div {PART}"))
+    columns = "token long, sid long, n long, component long, meets array<long>" + "".join(f", {c} long" for c in SKETCH_COLUMNS)
+    p = written(open_.mapInArrow(_prefixes(PART, "sid", "n", "component", "meets", sketched=True), columns), "left").withColumn("k", 1 + F.expr(f"n div {PART}"))
     a, b = p.alias("a"), p.alias("b")
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.component") != F.col("b.component"))
-    fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n")) & ~F.arrays_overlap("a.meets", "b.meets")
+    fits &= (DENOMINATOR * F.col("a.n") >= NUMERATOR * F.col("b.n")) & (DENOMINATOR * F.col("b.n") >= NUMERATOR * F.col("a.n")) & may_link("a", "b") & ~F.arrays_overlap("a.meets", "b.meets")
     pairs = a.join(b, fits).groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).agg(F.count("*").alias("c"), F.least(F.first("a.k"), F.first("b.k")).alias("k")).filter("c >= k")
     whole = sets.select("sid", "data")
     both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("data").alias("a")), "u").join(whole.select(F.col("sid").alias("v"), F.col("data").alias("b")), "v")

@@ -134,6 +134,23 @@ def test_tree_finds_the_links_of_brute_force():
         assert [got.get(i, i) for i in range(12)] == label
 
 
+def test_sketches_never_leave_out_a_link(spark):
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 8000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    pairs = []
+    for n in (1, 2, 7, 60, 190, 600, 3000):
+        for share in np.linspace(0.6, 1, 9):
+            a = r.choice(pool, n, replace=False)
+            rest = np.setdiff1d(pool, a)
+            pairs.append((a, np.concatenate([a[: int(share * n)], r.choice(rest, n - int(share * n), replace=False)])))
+    cells = [(k, len(a), len(b), ngram_join.sketch(a), ngram_join.sketch(b)) for k, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(cells, "k int, na long, nb long, sa array<long>, sb array<long>")
+    side = lambda x: df.select("k", f"n{x}", *[df[f"s{x}"][i].alias(c) for i, c in enumerate(ngram_join.SKETCH_COLUMNS)]).withColumnRenamed(f"n{x}", "n").alias(x)
+    kept = {row[0] for row in side("a").join(side("b"), "k").filter(ngram_join.may_link("a", "b")).select("k").collect()}
+    links = {k for k, (a, b) in enumerate(pairs) if ngram_join.linked(len(a), len(b), len(np.intersect1d(a, b)))}
+    assert links and links <= kept and len(kept) < len(pairs)
+
+
 def test_representatives_keep_all_columns(docs, texts):
     kept = ngram_join.representatives(docs)
     assert kept.columns == docs.columns
