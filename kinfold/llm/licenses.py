@@ -3,8 +3,9 @@
 Candidate blocks are stretches of a text around a template's cue words. A template with n words tolerates
 n // TOLERANCE differing words, and its cues are one more than that of its longest words, so a stretch
 without any cue can't match. Each distinct block is compressed alone and with every template that it has a cue of as
-zstandard raw dictionary; templates are ranked by the size reduction, and in that order each is confirmed or
-refused by the exact wording differences (word edits against the best-fitting stretch).
+zstandard raw dictionary; templates are ranked by the size reduction, and each is confirmed or refused by the exact
+wording differences (word edits against the best-fitting stretch). Where confirmed stretches overlap, the wording decides (see `judged`), and
+the rank only between equals: templates that differ in one word often compress a block to the same size.
 """
 
 from __future__ import annotations
@@ -108,25 +109,27 @@ class Scanner:
         return [(a, b, tuple({t.name: t for t in ts}.values())) for a, b, ts in out]
 
     def judged(self, block: list[str], templates: tuple[Template, ...]) -> list[tuple]:
-        """(name, reduction, rank, differing, from, to) of confirmed templates of a block; a word belongs to one match, the higher ranked."""
+        """(name, reduction, rank, differing, from, to) of confirmed templates of a block; a word belongs to one match.
+
+        Of overlapping stretches the one wins whose template has most words, less two for each that differs: of templates of one
+        length the one with fewest differing words, and a near copy of a long text before a short notice inside it. Then the better rank, then the name.
+        """
         key = (" ".join(block), tuple(t.name for t in templates))
         if key in self.seen:
             return self.seen[key]
         text = key[0].encode()
         alone = len(self.plain.compress(text))
-        ranked = sorted(templates, key=lambda t: (len(t.raw.compress(text)) - alone, t.name))
+        sizes = {t.name: len(t.raw.compress(text)) for t in templates}
+        ranked = sorted(templates, key=lambda t: (sizes[t.name], t.name))
         out: list[tuple] = []
-        free = [(0, len(block))]
-        for rank, t in enumerate(ranked, 1):
-            reduction = (alone - len(t.raw.compress(text))) / alone
-            todo, free = free, []
-            while todo:
-                a, b = todo.pop()
-                if got := fitted(t.words, block[a:b], t.slack):
-                    out.append((t.name, reduction, rank, got[0], a + got[1], a + got[2]))
-                    todo += [(a, a + got[1]), (a + got[2], b)]
-                elif b > a:
-                    free.append((a, b))
+        todo = [(0, len(block))]
+        while todo:
+            a, b = todo.pop()
+            fits = [(2 * got[0] - t.length, rank, t.name, got) for rank, t in enumerate(ranked, 1) if b - a >= t.length - t.slack and (got := fitted(t.words, block[a:b], t.slack))]
+            if fits:
+                _, rank, name, (differing, x, y) = min(fits)
+                out.append((name, (alone - sizes[name]) / alone, rank, differing, a + x, a + y))
+                todo += [(a, a + x), (a + y, b)]
         if len(self.seen) > CACHE_BLOCKS:
             self.seen.clear()
         self.seen[key] = sorted(out, key=lambda m: m[4:])
@@ -150,8 +153,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per match: doc_id, license (template name), reduction (share of the block's compressed size), rank of the template for the block,
     n_diff (differing words), start and end in characters.
 
-    Null and empty texts have no matches; repeated rows repeat their matches; a word belongs to one match, so of
-    templates with the same words the one with the larger reduction wins, then the name.
+    Null and empty texts have no matches; repeated rows repeat their matches; a word belongs to one match, that of the
+    template whose wording fits best (see `Scanner.judged`); of templates that fit equally the one with the larger reduction wins, then the name.
     """
     short_batches(docs.sparkSession)
     templates = templates or TEMPLATES

@@ -541,6 +541,25 @@ def test_license_scan_misses_nothing_within_tolerance():
             assert s.scan(text), text
 
 
+def test_license_scan_names_each_exact_wording():
+    """Every template's own wording, alone in random contexts, comes out under its own name with no differing word."""
+    r = random.Random(8)
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for _ in range(40):
+            low = " ".join([*words(r, r.randrange(25)), text, *words(r, r.randrange(25))])
+            assert [(m[0], m[3]) for m in s.scan(low.encode())] == [(name, 0)], low
+
+
+def test_license_scan_keeps_near_copies_of_long_texts_whole():
+    """A short notice that begins a long text doesn't take the place of a near copy of that text."""
+    s = licenses.Scanner(licenses.TEMPLATES)
+    text = licenses.TEMPLATES["Apache-2.0-text"].replace("compliance", "accordance")
+    assert [(m[0], m[3]) for m in s.scan(text.encode())] == [("Apache-2.0-text", 1)]
+    both = licenses.TEMPLATES["GPL-2.0"] + " " + licenses.TEMPLATES["GPL-3.0"]
+    assert [(m[0], m[3]) for m in s.scan(both.encode())] == [("GPL-2.0", 0), ("GPL-3.0", 0)]
+
+
 # 10
 
 
