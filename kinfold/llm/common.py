@@ -42,9 +42,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def byte_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text binary), nothing else; a null text becomes the empty one. Extra or clashing columns are left behind here."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, and that column's name. Written, so that every reading finds the same numbers."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def byte_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id long, text binary), and the numbers of `keyed` as row if named, nothing else; a null text becomes the empty one. Extra or clashing columns are left behind here."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *([F.col(row).alias("row")] if row else []))
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:

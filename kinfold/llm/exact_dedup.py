@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, rows, short_batches
+from .common import byte_texts, keyed, rows, short_batches
 
 SLOTS, KICKS = 4, 200
 #: Distinct texts of one local index before it is flushed; the shards merge what several flushes send.
@@ -175,10 +175,48 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
+TOP = "digest binary, top long, row long"
+
+
+def _tops(found: Iterator[tuple[bytes, int | None, int]], flush: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The largest (id, row) of each digest, rows without an id last; every `flush` digests if given."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        es = index.entries()
+        for i in range(0, len(es), 10_000):
+            part = es[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.binary()), pa.array([e[1][1] for e in part], pa.int64()), pa.array([e[1][2] for e in part], pa.int64())], ["digest", "top", "row"])
+
+    index = CuckooIndex()
+    for d, doc_id, row in found:
+        own = (doc_id is not None, doc_id, row)
+        if (entry := index.get(d)) is None:
+            index.insert(d, own)
+        elif own > entry[1]:
+            entry[1] = own
+        if flush and index.n >= flush:
+            yield from out()
+            index = CuckooIndex()
+    yield from out()
+
+
+def _local_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tops(((digest(text), i, row) for b in batches for (i, text), row in zip(rows([b]), b.column("row").to_pylist(), strict=True)), LOCAL_TEXTS)
+
+
+def _shard_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tops(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("digest", "top", "row")), strict=True))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = groups(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """The documents that stay, with all their columns: one row of each group of equal texts, of those with its largest doc_id if it has any.
+
+    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text.
+    """
+    short_batches(docs.sparkSession)
+    held, row = keyed(docs)
+    keep = byte_texts(held, row=row).mapInArrow(_local_tops, TOP).repartition("digest").mapInArrow(_shard_tops, TOP).select(F.col("row").alias("_keep"))
+    return held.join(keep, held[row] == keep["_keep"], "left_semi").drop(row)
 
 
 def live_index(docs: DataFrame, shards: int = 64) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, byte_texts, mixed, rows, short_batches, signed, written
+from .common import GROUP_BYTES, byte_texts, keyed, mixed, rows, short_batches, signed, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them; sets of one chunk of a group.
@@ -105,7 +105,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             n.append(len(t))
             keys.append(set_key(t) if len(t) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "sid": pa.array(keys, pa.int64())})
+        own = {"row": batch.column("row")} if "row" in batch.schema.names else {}
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "sid": pa.array(keys, pa.int64())} | own)
 
 
 POSTINGS = "shard int, tokens binary, owners binary, sids binary, sid long, n long, credit long, holds long"
@@ -417,12 +418,20 @@ def join(docs: DataFrame) -> DataFrame:
     reported (an id's rows may lie in different components); rows without an id take part in links but
     don't lend their id (component_id is null where no member has one); an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    base = byte_texts(docs)
+    keys, named = _connected(byte_texts(docs))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of_set = named.join(least, "c").select("sid", "component_id")
+    linked_ = keys.filter("sid is not null").join(of_set, "sid")
+    out = linked_.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(keys.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _connected(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid, and row if base has it) of each row of `byte_texts`; and (sid, rep, c): the smallest id and the component of each set."""
+    short_batches(base.sparkSession)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // GROUP_BYTES))
-    keys = written(base.mapInArrow(_sets, "doc_id long, n long, sid long"), "sets")
+    keys = written(base.mapInArrow(_sets, "doc_id long, n long, sid long" + ", row long" * ("row" in base.columns)), "sets")
     reps = keys.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     posted = base.select("doc_id", "text").mapInArrow(_postings(shards), POSTINGS)
     near = posted.filter("shard is null").select("sid", "n", "credit", "holds")
@@ -435,10 +444,11 @@ def join(docs: DataFrame) -> DataFrame:
     sets = written(texts.mapInArrow(_whole_sets, "sid long, n long, heads array<long>, data binary"), "live")
     if sets.groupBy("sid").count().filter("count > 1").limit(1).count():  # only where rows are repeated whole
         sets = written(sets.dropDuplicates(["sid"]), "live")
-    return _finished(keys, reps, sets)
+    return keys, _named(reps, sets)
 
 
-def _finished(keys: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def _named(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, rep, c) of all sets: c is the component, that of the links between sets in play or the set itself."""
     heads = sets.select("sid", F.explode("heads").alias("key"))
     counted = heads.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).filter("c > 1").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
     own = heads.join(counted, "key").select("key", F.pmod("sid", F.col("chunks")).cast("int").alias("chunk"), "sid", "chunks")
@@ -449,15 +459,19 @@ def _finished(keys: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     closing = written(_closing(sets, known, own), "closing")
     if closing.limit(1).count():
         known = components(links.unionByName(closing))
-    named = reps.join(known, reps["sid"] == known["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(least, "c").select("sid", "component_id")
-    linked_ = keys.filter("sid is not null").join(of_set, "sid")
-    out = linked_.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(keys.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return reps.join(known, reps["sid"] == known["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (the smallest doc_id) and every document that links with nothing, with all their columns."""
-    first = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi")
+    """One row of each group of near copies (with the smallest doc_id, if one has an id) and every row that links with nothing, with all their columns.
+
+    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text; rows without words link with nothing.
+    """
+    held, row = keyed(docs)
+    keys, named = _connected(byte_texts(held, row=row))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    # the set's own first row, then its component's: a set that very many rows share is reduced before it is joined
+    of_set = keys.filter("sid is not null").groupBy("sid").agg(F.min(order).alias("first"))
+    of_class = of_set.join(named.select("sid", "c"), "sid").groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_keep"))
+    keep = of_class.unionByName(keys.filter("sid is null").select(F.col("row").alias("_keep")))
+    return held.join(keep, held[row] == keep["_keep"], "left_semi").drop(row)

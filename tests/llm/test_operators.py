@@ -445,6 +445,37 @@ def test_exact_dedup(docs, texts, odd):
     assert got == collections.Counter({(None, None, 1): 1, (None, 3, 2): 1, (3, 3, 2): 1, (1, 2, 3): 2, (2, 2, 3): 1, (2, 2, 1): 1})
 
 
+def repeated(spark):
+    """A source loaded twice, ids repeated with other texts, groups of copies without ids; each with a number of its own."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    rows = [(5, a), (9, a), (5, b), (5, b), (7, c), (7, c), (None, "d e f g h i"), (None, "D e f g h i"), (None, a), (3, None), (None, None)]
+    return spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, _row bigint").repartition(4), rows
+
+
+def test_exact_dedup_keeps_one_row_a_text(spark):
+    docs, rows = repeated(spark)
+    kept = exact_dedup.dedup(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all(rows[r["_row"]] == (r["doc_id"], r["text"]) for r in got)
+    by = collections.defaultdict(list)
+    for i, t in rows:
+        by[low(t)].append(-1 if i is None else i)
+    assert sorted((low(r["text"]), -1 if r["doc_id"] is None else r["doc_id"]) for r in got) == sorted((t, max(g)) for t, g in by.items())
+
+
+def test_near_dedup_keeps_one_row_a_class(spark):
+    docs, rows = repeated(spark)
+    kept = ngram_join.representatives(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all(rows[r["_row"]] == (r["doc_id"], r["text"]) for r in got)
+    by = collections.defaultdict(list)
+    for n, (i, t) in enumerate(rows):  # texts without words link with nothing
+        by[low(t) or n].append(math.inf if i is None else i)
+    assert sorted((low(r["text"]), math.inf if r["doc_id"] is None else r["doc_id"]) for r in got) == sorted((t if isinstance(t, bytes) else b"", min(g)) for t, g in by.items())
+
+
 def test_cuckoo_index_against_a_set():
     r = random.Random(4)
     index, live = exact_dedup.CuckooIndex(2), {}
