@@ -28,7 +28,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
+    return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("mixing to weights", mix_stage), ("sentencepiece", encode_stage)]

@@ -188,7 +188,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip
 
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), parity, round_trip (decoding gives the text back), and ids if asked for.
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), parity, round_trip (decoding gives the text back), and if asked for ids and text (decoded from them).
 
     A null text is empty: 0 ids. round_trip compares with the text as the model normalises it. Repeated rows give repeated results.
     """
@@ -198,7 +198,6 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         c = codec(path)
         for batch in batches:
             all_rows = list(rows([batch]))
-            out: list[tuple] = []
             a = 0
             while a < len(all_rows):
                 b, held = a, 0
@@ -206,20 +205,24 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     held += len(all_rows[b][1])
                     b += 1
                 texts = [t.decode("utf-8", "replace") for _, t in all_rows[a:b]]
+                out: list[tuple] = []
                 for (doc_id, _), text, (ids, same) in zip(all_rows[a:b], texts, c.encode(texts), strict=True):
                     if same and zlib.crc32(str(doc_id).encode()) % WHOLE_CHECK == 0:
                         same = c.judged().encode(text) == np.frombuffer(ids, "<u4").tolist()
                     plain = text if c.normal is None and not c.spec.squeeze else c.marked(text).replace(MARK, " ").removeprefix(" ")
-                    back = c.decode(ids) == plain.replace(MARK, " ").encode()
-                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back, np.frombuffer(ids, "<u4").astype(np.int64) if with_ids else None))
+                    back = c.decode(ids)
+                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back == plain.replace(MARK, " ").encode(), ids, back))
                 a = b
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-            names = ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip", "ids"]
-            n = 5 + with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols[:n], kinds, strict=False)], names[:n])
-
-    return byte_texts(docs).mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
+                *cols, all_ids, backs = zip(*out, strict=True)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+                arrays, names = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
+                if with_ids:
+                    starts = pa.array(np.cumsum([0, *cols[1]]), pa.int32())
+                    arrays += [pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int64))), pa.array([x.decode("utf-8", "replace") for x in backs], pa.string())]
+                    names += ["ids", "text"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return byte_texts(docs).mapInArrow(run, SCHEMA + ", ids array<long>, text string" * with_ids)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:

@@ -242,6 +242,23 @@ def test_sentencepiece(docs, texts):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: (t or "").replace("▁", " ") for i, t in numbered(texts)}
 
 
+def test_sentencepiece_queries_return_tokens_and_text(spark):
+    """op3 and the pipeline's last stage hold each document's ids and the text decoded from them."""
+    import corpus_pipeline
+    import sentencepiece
+
+    from kinfold.llm.queries import op3_sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    judge = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for made in (op3_sentencepiece(spark, sf), corpus_pipeline.encode_stage(spark, docs, sf)):
+        got = made.collect()
+        assert len(got) == len(given)
+        assert all(r["ids"] == judge.encode(given[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["text"] == given[r["doc_id"]].replace("▁", " ") for r in got)
+
+
 def test_sentencepiece_unigram_model(tmp_path):
     """A unigram model with byte fallback, written by hand."""
 
