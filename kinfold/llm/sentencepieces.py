@@ -3,8 +3,7 @@
 The model protobuf is parsed here (no sentencepiece needed for that): pieces with scores and types, the
 trainer's model type and byte fallback, the normaliser's rules. From it a tokenizer is rebuilt: normaliser (a
 precompiled character map, if the model has one), the metaspace marker, unigram scores or the merges that
-the scores of a BPE model imply, and byte fallback. Parity with the sentencepiece library is checked on every distinct
-word that is encoded, and on whole texts for one document in WHOLE_CHECK.
+the scores of a BPE model imply, and byte fallback. Parity with the sentencepiece library is checked on the whole text of every document.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import byte_texts, rows, short_batches
 
 MARK = "▁"
-CACHE_WORDS, WHOLE_CHECK = 200_000, 64
+CACHE_WORDS = 200_000
 _codecs: dict[str, Codec] = {}
 
 
@@ -109,8 +108,8 @@ class Codec:
         self.parts = not any(MARK in p.lstrip(MARK) for p, _, _ in spec.pieces)
         self.byte_of = [int(p[3:5], 16) if kind == 6 else -1 for p, _, kind in spec.pieces]
         self.raw = [bytes([b]) if b >= 0 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(MARK, " ").encode() for (p, _, kind), b in zip(spec.pieces, self.byte_of, strict=True)]
-        self.young: dict[str, tuple[bytes, bool]] = {}
-        self.old: dict[str, tuple[bytes, bool]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.judge = None
 
     def marked(self, text: str) -> str:
@@ -145,17 +144,11 @@ class Codec:
         return self.judge
 
     def _encoded(self, new: list[str]) -> None:
-        got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-        # a part is checked without its first marker, which the other library adds itself
-        plain = [w[1:].replace(MARK, " ") if self.spec.dummy_prefix and w[0] == MARK else None for w in new]
-        sure = iter(self.judged().encode([p for p in plain if p], num_threads=1)) if self.normal is None and not self.spec.squeeze else None
-        for w, p, e in zip(new, plain, got, strict=True):
-            ids = e.ids
-            same = next(sure) == ids if sure is not None and p else True
-            self.young[w] = np.array(ids, "<u4").tobytes(), same
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Each text's ids as little-endian uint32, and whether all its parts had parity."""
+        """Each text's ids as little-endian uint32, and whether the sentencepiece library gives the same for the whole text."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         split = [self.split(t) for t in texts]
@@ -165,11 +158,8 @@ class Codec:
             new.discard(w)
         if new:
             self._encoded(list(new))
-        out = []
-        for parts in split:
-            got = [self.young[w] for w in parts]
-            out.append((b"".join([g[0] for g in got]), all([g[1] for g in got])))
-        return out
+        made = [b"".join([self.young[w] for w in parts]) for parts in split]
+        return [(ids, np.array(sure, "<u4").tobytes() == ids) for ids, sure in zip(made, self.judged().encode(texts, num_threads=1), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids (UTF-8; bytes of pieces as they are), without the prefix that encoding added."""
@@ -207,8 +197,6 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 texts = [t.decode("utf-8", "replace") for _, t in all_rows[a:b]]
                 out: list[tuple] = []
                 for (doc_id, _), text, (ids, same) in zip(all_rows[a:b], texts, c.encode(texts), strict=True):
-                    if same and zlib.crc32(str(doc_id).encode()) % WHOLE_CHECK == 0:
-                        same = c.judged().encode(text) == np.frombuffer(ids, "<u4").tolist()
                     plain = text if c.normal is None and not c.spec.squeeze else c.marked(text).replace(MARK, " ").removeprefix(" ")
                     back = c.decode(ids)
                     out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back == plain.replace(MARK, " ").encode(), ids, back))

@@ -289,6 +289,30 @@ def test_sentencepiece_unigram_model(tmp_path):
         assert c.decode(ids).decode() == t
 
 
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_sentencepiece_parity_is_compared_for_every_text(tmp_path, kind):
+    """A model with a character map and squeezed spaces has parity; with another tokenizer in its place no text that differs passes."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    r = random.Random(4)
+    lines = [" ".join(words(r, 12)) for _ in range(300)]
+    path = f"{tmp_path}/m.model"
+    with open(path, "wb") as f:
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=f, vocab_size=120, model_type=kind, normalization_rule_name="nmt_nfkc", byte_fallback=False, hard_vocab_limit=False, minloglevel=2)
+    c = sentencepieces.Codec(path)
+    assert c.normal is not None and c.spec.squeeze
+    judge = sentencepiece.SentencePieceProcessor(model_file=path)
+    tests = ["", *lines[:80], "  alpha1   Beta2 ", "ａｌｐｈａ１ ⅷ", "gamma3\u00a0delta4\ttheta5"]
+    got = c.encode(tests)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == [judge.encode(t) for t in tests] and all(same for _, same in got)
+    c.tok = Tokenizer(models.WordLevel({"<unk>": 0}, unk_token="<unk>"))
+    c.young, c.old = {}, {}
+    wrong = c.encode(tests)
+    assert [same for _, same in wrong] == [np.frombuffer(ids, "<u4").tolist() == judge.encode(t) for t, (ids, _) in zip(tests, wrong, strict=True)]
+    assert sum(not same for _, same in wrong) >= 80
+
+
 # 4
 
 
