@@ -15,6 +15,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document is taken at most so many times.
@@ -102,19 +104,20 @@ def flow(patterns: list[tuple[tuple, int]], quotas: dict, limit: int = REPEATS)
     return [sum(cap[e] for e in graph[i] if e % 2 and to[e] == 0) for i in range(1, len(patterns) + 1)]
 
 
-def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weights: tuple = WEIGHTS, limit: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weights: tuple = WEIGHTS, limit: int = REPEATS, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, sources, source_size, target, times, part, taken.
 
     `sources` is a string column (one source a document, null its own source) or an array column
     (overlapping sources; source_size and target are then those of its first source). times is how often the
-    document is taken whole, part the words of one more copy (of one document a pattern at most), taken = times * size + part. Runs agree: the order is md5(seed, doc_id), ties by doc_id. Empty documents are taken
+    document is taken whole, part the words of one more copy (of one document a pattern at most), taken = times * size + part. Runs agree: the order is md5(seed, doc_id), ties by doc_id, then by
+    the column `row` if named (a number of each row's own, see `keyed`), which is returned too. Empty documents are taken
     once or as often as others (taken 0); an empty table gives no rows.
     """
     column = F.col(sources) if isinstance(sources, str) else sources
     kind = docs.select(column.alias("s")).schema["s"].dataType.typeName()
     members = F.array_sort(F.array_distinct(column)) if kind == "array" else F.array(column.cast("string"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), members.alias("sources")).withColumn("key", key)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), members.alias("sources"), *([F.col(row).alias("row")] if row else [])).withColumn("key", key)
     base = base.withColumn("bin", (F.col("key") / F.lit((1 << 52) // RANGES)).cast("int"))
     hist = base.groupBy("sources", "bin").agg(F.sum("size").alias("words")).groupBy("sources").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))
     plan = hist.collect()  # at most RANGES numbers a pattern
@@ -140,17 +143,18 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weight
     table = spark.createDataFrame(cuts, "sources array<string>, whole int, rest long, cut int, source_size long, target double")
     joined = base.join(F.broadcast(table), base["sources"].eqNullSafe(table["sources"])).drop(table["sources"])  # a row a pattern
     inside = joined.filter("bin = cut")
-    order = Window.partitionBy("sources").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("sources").orderBy("key", "doc_id", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("size").over(order)
     # the document at the cut is taken in part: just the words that are missing
     ranked = inside.withColumn("extra", (total <= F.col("rest")).cast("int")).withColumn("part", F.when(total > F.col("rest"), F.greatest(F.col("rest") - total + F.col("size"), F.lit(0))).otherwise(0))
     outside = joined.filter("bin <> cut").withColumn("extra", (F.col("bin") < F.col("cut")).cast("int")).withColumn("part", F.lit(0).cast("long"))
     both = ranked.unionByName(outside).withColumn("times", F.col("whole") + F.col("extra"))
-    return both.select("doc_id", "size", "sources", "source_size", "target", "times", "part", (F.col("times") * F.col("size") + F.col("part")).alias("taken"))
+    return both.select("doc_id", "size", "sources", "source_size", "target", "times", "part", (F.col("times") * F.col("size") + F.col("part")).alias("taken"), *(["row"] if row else []))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed documents with their own columns: a document taken k times is k rows, one taken 0 times is gone; a part counts as a copy from half the document on."""
+    """The mixed documents with their own columns: a document taken k times is k rows, one taken 0 times is gone; a part counts as a copy from half the document on. Rows without an id and repeated ids are taken row by row."""
     more = ((F.col("size") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
-    times = mix(docs, seed=seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("times") + more).alias("_times"))
-    return docs.join(times.filter("_times > 0"), docs["doc_id"] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    held, row = keyed(docs)
+    times = mix(held, seed=seed, row=row).select(F.col("row").alias("_id"), (F.col("times") + more).alias("_times")).filter("_times > 0")
+    return held.join(times, held[row] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), times["_times"]))).select(*[held[c] for c in docs.columns])

@@ -204,11 +204,12 @@ def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sids, n, data, heads = [], [], [], []
-        for sid, text in zip(batch.column("sid").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True):
+        wanted = batch.column("sid").to_pylist() if "sid" in batch.schema.names else [None] * batch.num_rows  # None: whatever the text's own is
+        for sid, text in zip(wanted, (t.as_py() for t in batch.column("text")), strict=True):
             t = shingles(text)
-            if not len(t) or set_key(t) != sid:
+            if not len(t) or (own := set_key(t)) != (own if sid is None else sid):
                 continue
-            sids.append(sid)
+            sids.append(own)
             n.append(len(t))
             data.append(t.tobytes())
             heads.append(signed(t[:HEADS]).tolist())
@@ -438,10 +439,13 @@ def _connected(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     far = posted.filter("shard is not null").select("shard", "tokens", "owners", "sids").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_credits, "sid long, credit long")
     credit = near.unionByName(far.select("sid", F.lit(None).cast("long").alias("n"), "credit", F.lit(0).cast("long").alias("holds")))
     live = credit.groupBy("sid").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"), F.sum("holds").alias("holds")).filter(F.col("credit") >= least_shared(PART) * F.col("holds")).select("sid")
-    chosen = reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid").filter("doc_id is not null")
+    chosen = reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid")
     # an id may be repeated with another text: the key worked out again tells which row was meant
-    texts = base.join(chosen, "doc_id").select("sid", "text")
-    sets = written(texts.mapInArrow(_whole_sets, "sid long, n long, heads array<long>, data binary"), "live")
+    texts = base.join(chosen.filter("doc_id is not null"), "doc_id").select("sid", "text")
+    kind = "sid long, n long, heads array<long>, data binary"
+    # a set that only rows without an id hold is found by its key among those rows, equal ones reduced before they are joined
+    loose = base.filter("doc_id is null").select("text").mapInArrow(_whole_sets, kind).dropDuplicates(["sid"]).join(chosen.filter("doc_id is null").select("sid"), "sid", "left_semi")
+    sets = written(texts.mapInArrow(_whole_sets, kind).unionByName(loose), "live")
     if sets.groupBy("sid").count().filter("count > 1").limit(1).count():  # only where rows are repeated whole
         sets = written(sets.dropDuplicates(["sid"]), "live")
     return keys, _named(reps, sets)

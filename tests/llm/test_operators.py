@@ -151,6 +151,16 @@ def test_sketches_never_leave_out_a_link(spark):
     assert links and links <= kept and len(kept) < len(pairs)
 
 
+def test_ngram_join_through_rows_without_an_id(spark):
+    """An id-less near copy lends nothing but its links; an id-less bridge connects what doesn't link itself."""
+    w = [f"w{k}" for k in range(36)]
+    a, bridge, b = w[:30], w[3:33], w[6:36]  # 26 shingles each: neighbours share 23 of 29, the ends 20 of 32
+    other = [f"o{k}" for k in range(30)]
+    rows = [(4, " ".join(a)), (None, " ".join(bridge)), (9, " ".join(b)), (7, " ".join(other)), (None, " ".join(other[1:])), (None, " ".join(other[1:])), (12, "not linked at all with anything")]
+    got = collections.Counter(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("doc_id", "component_id").collect()))
+    assert got == collections.Counter({(4, 4): 1, (None, 4): 1, (9, 4): 1, (7, 7): 1, (None, 7): 2, (12, 12): 1})
+
+
 def test_representatives_keep_all_columns(docs, texts):
     kept = ngram_join.representatives(docs)
     assert kept.columns == docs.columns
@@ -363,6 +373,29 @@ def test_mixed_documents(docs):
     assert collections.Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == collections.Counter({i: n for i, n in times.items() if n})
 
 
+def test_mixed_documents_without_ids_and_with_repeated_ids(spark):
+    """Each row, whatever its id, comes out as often as the mix took it."""
+    r = random.Random(12)
+    rows = [(None if n % 4 == 0 else n // 2, " ".join(words(r, r.randrange(1, 60))), "abc"[n % 3], n) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _row bigint").repartition(3)
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all(rows[x["_row"]] == tuple(x) for x in got)
+    sizes, had = collections.Counter(), collections.Counter()
+    for x in got:
+        had[x["source"]] += len(x["text"].split())
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = mixing.targets(sizes)
+    assert all(abs(had[s] - want[s]) <= 60 for s in sizes), (had, want)
+    held, row = common.keyed(docs)
+    times = {x["row"]: x["times"] + (x["size"] > 0 and 2 * x["part"] >= x["size"]) for x in mixing.mix(held, row=row).collect()}
+    of = {x[row]: x["_row"] for x in held.collect()}
+    assert sorted(collections.Counter(x["_row"] for x in got).values()) == sorted(n for n in times.values() if n) and len(of) == len(rows)
+    assert any(x["doc_id"] is None for x in got)
+
+
 # 5
 
 
