@@ -5,7 +5,8 @@ text and once with that of bad text. The difference of the compressed sizes over
 the text compresses at all (endless repetition compresses equally well with either), is calibrated to a
 probability by a logistic fit on labelled texts that the dictionaries haven't seen.
 Fitting takes a bounded sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes a class, in the order of a
-hash of the id. Scoring covers every document and all of its text.
+hash of the id, of a text no more than its first TEXT_BYTES, so that no text takes the sample of the others. Scoring covers every
+document and all of its text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, rows, short_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12 << 20
+#: What one text gives to the sample at most: a hundred texts fit in, however long.
+TEXT_BYTES = SAMPLE_BYTES // 100
 DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 4096, 3
 
 
@@ -98,10 +101,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[list[float]
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tuple[int, bytes]]:
-    """At most SAMPLE_ROWS (label, text) a class, in hash order, of labelled rows that aren't held out."""
+    """At most SAMPLE_ROWS (label, first TEXT_BYTES of the text) a class, in hash order, of labelled rows that aren't held out."""
     ids = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(remainder("doc_id", held_out_mod) != 0).distinct().withColumn("h", F.xxhash64("doc_id"))
     picked = ids.filter("quality = 0").orderBy("h", "doc_id").limit(SAMPLE_ROWS).unionByName(ids.filter("quality = 1").orderBy("h", "doc_id").limit(SAMPLE_ROWS))
-    texts = byte_texts(docs).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE_ROWS ids
+    texts = byte_texts(docs).withColumn("text", F.substring("text", 1, TEXT_BYTES)).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE_ROWS ids
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     return [(r["quality"], bytes(r["text"])) for r in texts.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).orderBy("h", "doc_id").select("quality", "text").collect()]
 
@@ -109,7 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tu
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Model:
     """Dictionaries from one half of the sample, calibration on the other.
 
-    Without labelled texts of both classes the score is the share of good labels, smoothed; texts of any length count whole.
+    Without labelled texts of both classes the score is the share of good labels, smoothed; longer texts count with their first TEXT_BYTES.
     """
     got = sample(docs, labels, held_out_mod)
     good, bad = [t for q, t in got if q], [t for q, t in got if not q]

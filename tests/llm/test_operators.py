@@ -496,6 +496,20 @@ def test_quality_takes_labels_only_where_allowed(spark):
     assert (a.good, a.bad, a.weights, a.base) == (b.good, b.bad, b.weights, b.base)
 
 
+def test_quality_of_a_huge_text_first_in_order(spark):
+    """A labelled text beyond the whole sample's bytes, first in hash order, leaves the others of its class in."""
+    train, labels = labelled(spark)
+    bad = labels.filter("quality = 0 AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()
+    huge = f"CASE WHEN doc_id = {bad[0]['doc_id']} THEN repeat(text || ' ', cast(ceil({quality.SAMPLE_BYTES} / length(text)) AS int)) ELSE text END AS text"
+    train = train.selectExpr("doc_id", huge)
+    got = quality.sample(train, labels)
+    assert sum(not q for q, _ in got) == len(bad) and sum(len(t) for q, t in got if not q) <= quality.SAMPLE_BYTES
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(train, quality.fit(train, labels)).collect()}
+    held = [i for i in scores if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((scores[i] >= 0.3) == truth[i] for i in held) / len(held) > 0.95
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality.fit(docs, none)
