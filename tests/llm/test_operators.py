@@ -100,10 +100,11 @@ def test_ngram_join(docs, texts, homes):
     assert plain(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == sorted(brute_components(numbered(texts)), key=repr)
 
 
-@pytest.mark.parametrize("chunk", [2, 1500])
-def test_ngram_join_of_chains(spark, monkeypatch, chunk):
-    """Families near the threshold: chains of links, borderline pairs, sets of a few shingles, small chunks, prefixes settled often."""
-    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+@pytest.mark.parametrize(("chunk", "shingles", "whole", "heads"), [(2, 10**6, 30_000, 2), (1500, 10**6, 30_000, 1), (3, 10**6, 1, 1), (1500, 60, 30_000, 1)])
+def test_ngram_join_of_chains(spark, monkeypatch, chunk, shingles, whole, heads):
+    """Families near the threshold: chains of links, borderline pairs, sets of a few shingles, small chunks, families dealt by shingle, prefixes settled often."""
+    for name, value in (("CHUNK", chunk), ("CHUNK_SHINGLES", shingles), ("WHOLE", whole), ("HEADS", heads)):
+        monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "HELD", 200)
     r = random.Random(chunk)
     rows = []
@@ -132,23 +133,17 @@ def test_tree_finds_the_links_of_brute_force():
                     label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
         got = dict(ngram_join.tree_links(list(range(12)), sets))
         assert [got.get(i, i) for i in range(12)] == label
-
-
-def test_sketches_never_leave_out_a_link(spark):
-    r = np.random.default_rng(5)
-    pool = r.integers(0, 1 << 63, 8000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    pairs = []
-    for n in (1, 2, 7, 60, 190, 600, 3000):
-        for share in np.linspace(0.6, 1, 9):
-            a = r.choice(pool, n, replace=False)
-            rest = np.setdiff1d(pool, a)
-            pairs.append((a, np.concatenate([a[: int(share * n)], r.choice(rest, n - int(share * n), replace=False)])))
-    cells = [(k, len(a), len(b), ngram_join.sketch(a), ngram_join.sketch(b)) for k, (a, b) in enumerate(pairs)]
-    df = spark.createDataFrame(cells, "k int, na long, nb long, sa array<long>, sb array<long>")
-    side = lambda x: df.select("k", f"n{x}", *[df[f"s{x}"][i].alias(c) for i, c in enumerate(ngram_join.SKETCH_COLUMNS)]).withColumnRenamed(f"n{x}", "n").alias(x)
-    kept = {row[0] for row in side("a").join(side("b"), "k").filter(ngram_join.may_link("a", "b")).select("k").collect()}
-    links = {k for k, (a, b) in enumerate(pairs) if ngram_join.linked(len(a), len(b), len(np.intersect1d(a, b)))}
-    assert links and links <= kept and len(kept) < len(pairs)
+        # between components, with the shingles of one set alone left out
+        known = [int(x) for x in r.integers(0, 5, 12)]
+        tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+        joined = ngram_join.tree_links(list(range(12)), [np.intersect1d(s, tokens[count > 1]) for s in sets], known, [len(s) for s in sets])
+        assert all(known[a] != known[b] and ngram_join.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))) for a, b in joined)
+        both, wanted = list(known), list(known)
+        pairs = [(i, j) for i in range(12) for j in range(i) if ngram_join.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))]
+        for c, edges in ((both, joined), (wanted, pairs)):
+            for a, b in edges:
+                c[:] = [c[a] if x == c[b] else x for x in c]
+        assert len({*zip(both, wanted, strict=True)}) == len({*both}) == len({*wanted})
 
 
 def test_ngram_join_through_rows_without_an_id(spark):
@@ -170,7 +165,8 @@ def test_representatives_keep_all_columns(docs, texts):
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
-    got = {x["node"]: x["component"] for x in ngram_join.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    with common.Scratch(spark) as scratch:
+        got = {x["node"]: x["component"] for x in ngram_join.components(spark.createDataFrame(edges, "u bigint, v bigint"), scratch).collect()}
     label = {x: x for e in edges for x in e}
     for _ in range(200):
         for a, b in edges:
