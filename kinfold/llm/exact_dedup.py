@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, keyed, rows, short_batches
+from .common import byte_texts, keyed, rows, short_batches, written
 
 SLOTS, KICKS = 4, 200
-#: Distinct texts of one local index before it is flushed; the shards merge what several flushes send.
-LOCAL_TEXTS = 200_000
+#: Distinct texts, and ids, of one local index before it is flushed; the shards merge what several flushes send.
+LOCAL_TEXTS, LOCAL_IDS = 200_000, 500_000
 
 
 class CuckooIndex:
@@ -123,7 +123,7 @@ LOCAL = "digest binary, top long, n long, ids array<long>"
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
+    index, held = CuckooIndex(), 0
 
     def flushed() -> pa.RecordBatch:
         es = index.entries()
@@ -137,9 +137,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index.insert(d, [doc_id])
         else:
             entry[1].append(doc_id)
-        if index.n >= LOCAL_TEXTS:
+        held += 1
+        if index.n >= LOCAL_TEXTS or held >= LOCAL_IDS:
             yield flushed()
-            index = CuckooIndex()
+            index, held = CuckooIndex(), 0
     yield flushed()
 
 
@@ -167,7 +168,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if an id is repeated with equal texts, each of its rows counts and is reported.
     """
     short_batches(docs.sparkSession)
-    local = byte_texts(docs).mapInArrow(_local, LOCAL)
+    local = written(byte_texts(docs).mapInArrow(_local, LOCAL), "digests")
     live = local.select("digest", "top", "n").repartition("digest").mapInArrow(_shard, "digest binary, keep_id long, group_size long")
     per_text = local.select("digest", "ids").join(live, "digest")
     return per_text.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256")).select(
@@ -219,35 +220,63 @@ def dedup(docs: DataFrame) -> DataFrame:
     return held.join(keep, held[row] == keep["_keep"], "left_semi").drop(row)
 
 
-def live_index(docs: DataFrame, shards: int = 64) -> DataFrame:
-    """The index as a table (shard, digest, keep_id, group_size), to be stored and changed by `changed_index`."""
-    g = groups(docs).groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    return g.select(F.pmod(F.xxhash64("text_sha256"), F.lit(shards)).cast("int").alias("shard"), F.unhex("text_sha256").alias("digest"), "keep_id", "group_size")
+#: Shards of an index; each row of its table says how many there are.
+SHARDS = 64
+INDEX = "shards int, shard int, digest binary, keep_id long, group_size long"
+
+
+def _shard_of(digest_column: str, shards: int):
+    return F.pmod(F.xxhash64(digest_column), F.lit(shards)).cast("int")
+
+
+def live_index(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The index as a table (shards, shard, digest, keep_id, group_size), to be stored and changed by `changed_index`.
+
+    A row a distinct text: a null text is the empty one, repeated rows count each, keep_id is the largest id (null where no row has one);
+    columns beside doc_id and text are left behind; an empty table gives an index without rows.
+    """
+    short_batches(docs.sparkSession)
+    live = byte_texts(docs).mapInArrow(_local, LOCAL).select("digest", "top", "n").repartition("digest").mapInArrow(_shard, "digest binary, keep_id long, group_size long")
+    return live.select(F.lit(shards).alias("shards"), _shard_of("digest", shards).alias("shard"), "digest", "keep_id", "group_size")
 
 
 def changed_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
     """A new index table after deleting the digests of `removed` (texts) and inserting those of `added` (doc_id, text).
 
     Each shard rebuilds its filter from the stored keys, deletes, then inserts; texts that are live
-    already keep their keep_id unless an added id is larger. Deleting a text that isn't live does nothing.
+    already keep their keep_id unless an added id is larger, and count the added rows. Deleting a text that isn't live does nothing, and one
+    deletion takes the text out however many rows it counted. An index without rows gets SHARDS shards.
     """
-    shards = (index.agg(F.max("shard")).first()[0] or 63) + 1
+    known = index.select("shards").first()
+    shards = known[0] if known else SHARDS
 
     def changes(docs: DataFrame, kind: int) -> DataFrame:
         d = byte_texts(docs) if "doc_id" in docs.columns else byte_texts(docs.withColumn("doc_id", F.lit(None).cast("long")))
         low = d.mapInArrow(_local, LOCAL)
-        return low.select(F.pmod(F.xxhash64(F.lower(F.hex("digest"))), F.lit(shards)).cast("int").alias("shard"), "digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.lit(kind).alias("kind"))
+        return low.select(_shard_of("digest", shards).alias("shard"), "digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.lit(kind).alias("kind"))
 
-    todo = index.withColumn("kind", F.lit(0))
+    todo = index.select("shard", "digest", "keep_id", "group_size").withColumn("kind", F.lit(0))
     for docs, kind in ((removed, 1), (added, 2)):
         if docs is not None:
             todo = todo.unionByName(changes(docs, kind))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes: dict[int, CuckooIndex] = {}
+        """Rows sorted by shard and kind: one filter at a time."""
+
+        def out() -> Iterator[pa.RecordBatch]:
+            es = ix.entries()
+            for i in range(0, len(es), 10_000):
+                part = es[i : i + 10_000]
+                columns = [[shards] * len(part), [last] * len(part), [e[0] for e in part], [e[1][0] for e in part], [e[1][1] for e in part]]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+
+        last, ix = None, CuckooIndex()
         for batch in batches:
             for shard, d, top, n, kind in zip(*(batch.column(c).to_pylist() for c in ("shard", "digest", "keep_id", "group_size", "kind")), strict=True):
-                ix = indexes.setdefault(shard, CuckooIndex())
+                if shard != last:
+                    yield from out()
+                    last, ix = shard, CuckooIndex()
                 entry = ix.get(d)
                 if kind == 1:
                     ix.delete(d)
@@ -255,8 +284,6 @@ def changed_index(index: DataFrame, added: DataFrame | None = None, removed: Dat
                     ix.insert(d, [top, n])
                 else:
                     entry[1] = [max((x for x in (entry[1][0], top) if x is not None), default=None), entry[1][1] + n]
-        for shard, ix in indexes.items():
-            es = ix.entries()
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(es), pa.int32()), pa.array([e[0] for e in es], pa.binary()), pa.array([e[1][0] for e in es], pa.int64()), pa.array([e[1][1] for e in es], pa.int64())], ["shard", "digest", "keep_id", "group_size"])
+        yield from out()
 
-    return todo.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(applied, "shard int, digest binary, keep_id long, group_size long")
+    return todo.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(applied, INDEX)

@@ -1,11 +1,11 @@
 """Mixing sources to target weights (4): min-cost flow over membership patterns, then seeded selection.
 
 A document belongs to one or more sources; its set of sources is its pattern. Documents are aggregated
-by pattern (a table as small as the number of patterns, which is what reaches the driver), a min-cost
+by pattern (one row a pattern reaches the driver), a min-cost
 flow routes the patterns' words to the sources' quotas - each repetition of a pattern costs more than
 the one before, up to a limit - and the flow of a pattern becomes whole passes over its documents plus a
-seeded choice for the rest. The choice is a cut in the order of a seeded hash: a histogram of hash
-ranges finds the range that holds the cut, and only that range's documents are ordered.
+seeded choice for the rest. Patterns that share no source, not even by others between them, are flows of their own. The choice is a cut in the order of a
+seeded hash: a histogram of hash ranges, which stays a table, finds the range that holds the cut, and only that range's documents are ordered.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, written
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,12 +41,12 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, limit: float = REPEATS, total
     left, open_, out = float(sum(sizes.values()) if total is None else total), list(order), {}
     while open_:
         whole = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / whole > limit * sizes[s]]
+        over = {s for s in open_ if left * weight[s] / whole > limit * sizes[s]}
         if not over:
             return out | {s: left * weight[s] / whole for s in open_}
         for s in over:
             out[s] = float(limit * sizes[s])
-        left -= sum(out[s] for s in over)
+        left -= sum(out[s] for s in open_ if s in over)
         open_ = [s for s in open_ if s not in over]
     return out
 
@@ -104,49 +104,70 @@ def flow(patterns: list[tuple[tuple, int]], quotas: dict, limit: int = REPEATS)
     return [sum(cap[e] for e in graph[i] if e % 2 and to[e] == 0) for i in range(1, len(patterns) + 1)]
 
 
+def flows(patterns: list[tuple[tuple, int]], quotas: dict, limit: int = REPEATS) -> list[int]:
+    """`flow`, separately for groups of patterns without a common source."""
+    parent = {s: s for s in quotas}
+
+    def top(s):
+        while parent[s] != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for sources, _ in patterns:
+        for s in sources[1:]:
+            parent[top(s)] = top(sources[0])
+    groups: dict = {}
+    for i, (sources, _) in enumerate(patterns):
+        groups.setdefault(top(sources[0]), []).append(i)
+    out = [0] * len(patterns)
+    for at in groups.values():
+        own = {s: quotas[s] for i in at for s in patterns[i][0]}
+        for i, words in zip(at, flow([patterns[i] for i in at], own, limit), strict=True):
+            out[i] = words
+    return out
+
+
 def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weights: tuple = WEIGHTS, limit: int = REPEATS, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, sources, source_size, target, times, part, taken.
 
     `sources` is a string column (one source a document, null its own source) or an array column
     (overlapping sources; source_size and target are then those of its first source). times is how often the
-    document is taken whole, part the words of one more copy (of one document a pattern at most), taken = times * size + part. Runs agree: the order is md5(seed, doc_id), ties by doc_id, then by
-    the column `row` if named (a number of each row's own, see `keyed`), which is returned too. Empty documents are taken
-    once or as often as others (taken 0); an empty table gives no rows.
+    document is taken whole, part the words of one more copy (of one document a pattern at most), taken = times * size + part.
+    Runs agree: the order is md5(seed, doc_id; a hash of the text where there is no id), then doc_id, then a hash of the text, so that what is left are rows
+    with one source, id and text, of which it is the same whichever gets more; then
+    the column `row` if named (a number of each row's own, see `keyed`), which is returned too. Null and empty texts have size 0 and are taken
+    once or as often as others (taken 0); other columns don't matter; an empty table gives no rows.
     """
     column = F.col(sources) if isinstance(sources, str) else sources
     kind = docs.select(column.alias("s")).schema["s"].dataType.typeName()
     members = F.array_sort(F.array_distinct(column)) if kind == "array" else F.array(column.cast("string"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), members.alias("sources"), *([F.col(row).alias("row")] if row else [])).withColumn("key", key)
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text"), F.col("tie").cast("string"))))), 1, 13), 16, 10).cast("long")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), members.alias("sources"), tie.alias("tie"), *([F.col(row).alias("row")] if row else [])).withColumn("key", key)
     base = base.withColumn("bin", (F.col("key") / F.lit((1 << 52) // RANGES)).cast("int"))
-    hist = base.groupBy("sources", "bin").agg(F.sum("size").alias("words")).groupBy("sources").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))
-    plan = hist.collect()  # at most RANGES numbers a pattern
+    hist = written(base.groupBy("sources", "bin").agg(F.sum("size").alias("words")), "ranges")
+    plan = hist.groupBy("sources").agg(F.sum("words").alias("words")).collect()  # one row a pattern
+    patterns = [(tuple(r["sources"] or [None]), r["words"]) for r in plan]
     sizes: dict = {}
-    for r in plan:
-        for s in r["sources"] or [None]:
-            sizes[s] = sizes.get(s, 0) + r["words"]
-    want = targets(sizes, weights, limit, sum(r["words"] for r in plan))
-    got = flow([(tuple(r["sources"] or [None]), r["words"]) for r in plan], want, limit)
-    cuts = []
-    for r, words in zip(plan, got, strict=True):
-        whole = min(limit, words // r["words"]) if r["words"] else 1
-        rest = words - whole * r["words"] if r["words"] else 0
-        before, cut = 0, -1
-        for b in r["bins"] if rest else ():
-            cut = b["bin"]
-            if before + b["words"] >= rest:
-                break
-            before += b["words"]
-        first = (r["sources"] or [None])[0]
-        cuts.append((r["sources"], int(whole), int(rest - before), int(cut), int(sizes[first]), float(want[first])))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(cuts, "sources array<string>, whole int, rest long, cut int, source_size long, target double")
-    joined = base.join(F.broadcast(table), base["sources"].eqNullSafe(table["sources"])).drop(table["sources"])  # a row a pattern
-    inside = joined.filter("bin = cut")
-    order = Window.partitionBy("sources").orderBy("key", "doc_id", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, 0)
+    for names, words in patterns:
+        for s in names:
+            sizes[s] = sizes.get(s, 0) + words
+    want = targets(sizes, weights, limit, sum(words for _, words in patterns))
+    rows = []
+    for r, (names, size), words in zip(plan, patterns, flows(patterns, want, limit), strict=True):
+        whole = min(limit, words // size) if size else 1
+        rows.append((r["sources"], int(whole), int(words - whole * size if size else 0), int(sizes[names[0]]), float(want[names[0]])))
+    table = docs.sparkSession.createDataFrame(rows, "sources array<string>, whole int, left long, source_size long, target double").alias("t")
+    # the range in which a pattern's rest ends: at most RANGES rows a pattern are ordered
+    upto = F.sum("words").over(Window.partitionBy("h.sources").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    cut = hist.alias("h").join(table, F.col("h.sources").eqNullSafe(F.col("t.sources"))).select("t.*", "bin", "words", upto.alias("upto")).filter("upto >= left and upto - words < left")
+    cut = cut.select(F.col("sources").alias("cut_sources"), F.col("bin").alias("cut"), (F.col("left") - F.col("upto") + F.col("words")).alias("rest")).alias("c")
+    plan_table = table.join(cut, F.col("t.sources").eqNullSafe(F.col("c.cut_sources")), "left").select("t.*", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest")).alias("p")
+    joined = base.alias("b").join(plan_table, F.col("b.sources").eqNullSafe(F.col("p.sources"))).select("b.*", "whole", "source_size", "target", "cut", "rest")
+    order = Window.partitionBy("sources").orderBy("key", "doc_id", "tie", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("size").over(order)
     # the document at the cut is taken in part: just the words that are missing
-    ranked = inside.withColumn("extra", (total <= F.col("rest")).cast("int")).withColumn("part", F.when(total > F.col("rest"), F.greatest(F.col("rest") - total + F.col("size"), F.lit(0))).otherwise(0))
+    ranked = joined.filter("bin = cut").withColumn("extra", (total <= F.col("rest")).cast("int")).withColumn("part", F.when(total > F.col("rest"), F.greatest(F.col("rest") - total + F.col("size"), F.lit(0))).otherwise(0))
     outside = joined.filter("bin <> cut").withColumn("extra", (F.col("bin") < F.col("cut")).cast("int")).withColumn("part", F.lit(0).cast("long"))
     both = ranked.unionByName(outside).withColumn("times", F.col("whole") + F.col("extra"))
     return both.select("doc_id", "size", "sources", "source_size", "target", "times", "part", (F.col("times") * F.col("size") + F.col("part")).alias("taken"), *(["row"] if row else []))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, licenses, mixing, ngram_join, ppm, quality, sentencepieces, suffix_dedup, token_files, topk
 from .common import table
 
-#: The folder of vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """The place of a public tokenizer's file on this machine; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,52 @@ def test_sentencepiece_parity_is_compared_for_every_text(tmp_path, kind):
 # 4
 
 
+def test_mixing_agrees_for_repeated_rows_and_ids(spark):
+    r = random.Random(4)
+    rows = [(i, f"{'w ' * r.randrange(9)}{r.randrange(3)}", r.choice(["a", "b", None])) for i in [None, None, 1, 1, 1, 2, 2, 3, *range(4, 40)] for _ in range(r.randrange(1, 4))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    full = lambda n: sorted(map(repr, mixing.mix(df.repartition(n)).select("doc_id", "size", "source_size", "taken").collect()))
+    assert full(1) == full(3) == full(7)
+    taken = collections.Counter()
+    for x in mixing.mix(df).collect():
+        taken[x["sources"][0]] += x["taken"]
+        assert 0 <= x["taken"] <= 3 * x["size"]
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want = mixing.targets(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
+def test_flow_against_enumeration():
+    """The largest flow, and of those the cheapest, of small tables; separate groups give the same as one."""
+    r = random.Random(8)
+    for _ in range(25):
+        names = ["a", "b", "c"][: r.randrange(1, 4)]
+        patterns = [(tuple(sorted(r.sample(names, r.randrange(1, len(names) + 1)))), r.randrange(1, 3)) for _ in range(r.randrange(1, 3))]
+        quotas = {s: r.randrange(0, 5) for s in names}
+        price = lambda size, words: sum((words - k * size if words < (k + 1) * size else size) * k * k for k in range(3) if words > k * size)
+        best = None
+
+        def tried(i, left, total, cost):
+            nonlocal best
+            if i == len(patterns):
+                best = min(best or (0, 1 << 30), (-total, cost))
+                return
+            sources, size = patterns[i]
+            splits = [{}]
+            for s in sources:
+                splits = [d | {s: w} for d in splits for w in range(left[s] + 1)]
+            for d in splits:
+                if sum(d.values()) <= 3 * size:
+                    tried(i + 1, {s: q - d.get(s, 0) for s, q in left.items()}, total + sum(d.values()), cost + price(size, sum(d.values())))
+
+        tried(0, quotas, 0, 0)
+        for solve in (mixing.flow, mixing.flows):
+            got = solve(patterns, quotas)
+            assert (-sum(got), sum(price(size, w) for (_, size), w in zip(patterns, got, strict=True))) == best
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs).collect()
     size = {i: len(low(t).split()) for i, t in numbered(texts)}
@@ -584,6 +630,23 @@ def test_live_index_takes_changes(spark):
     assert sorted((name[bytes(r["digest"])], r["keep_id"]) for r in after.collect()) == [(b"", 4), (b"b", 10), (b"c", 9), (b"d", 0)]
 
 
+@pytest.mark.parametrize("n", [0, 3, 1000])
+def test_live_index_with_its_own_number_of_shards(spark, n):
+    """Deletion, insertion and growth against a dictionary, however few of the shards are in use."""
+    make = lambda ids: spark.createDataFrame([(i, f"Text {i % 700}") for i in ids], "doc_id bigint, text string")
+    index, wanted = exact_dedup.live_index(make(range(n))), {}
+    for i in range(n):
+        wanted.setdefault(hashlib.sha256(f"text {i % 700}".encode()).digest(), []).append(i)
+    for added, removed in ((range(0), range(0, n, 2)), (range(2000, 4000), range(1, n, 7)), (range(5), range(0))):
+        for i in removed:
+            wanted.pop(hashlib.sha256(f"text {i % 700}".encode()).digest(), None)
+        for i in added:
+            wanted.setdefault(hashlib.sha256(f"text {i % 700}".encode()).digest(), []).append(i)
+        index = exact_dedup.written(exact_dedup.changed_index(index, added=make(added), removed=make(removed)), "index")
+        got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.collect()}
+        assert got == {d: (max(ids), len(ids)) for d, ids in wanted.items()}
+
+
 # 8
 
 
