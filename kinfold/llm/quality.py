@@ -1,9 +1,9 @@
 """Quality classifier (6): compression with dictionaries built from good and bad labelled text.
 
 Each text is cut into pieces of PIECE bytes, every piece is compressed once with the dictionary of good
-text and once with that of bad text. The difference of the compressed sizes over the length of the text, with how far
-the text compresses at all (endless repetition compresses equally well with either), is calibrated to a
-probability by a logistic fit on labelled texts that the dictionaries haven't seen.
+text and once with that of bad text. The difference of the compressed sizes over the length of the text is the one thing that
+enters the score; a logistic fit on labelled texts that the dictionaries haven't seen makes it a probability. Pieces are short, so that
+a text that repeats itself is compressed by the dictionaries, not by itself.
 Fitting takes a bounded sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes a class, in the order of a
 hash of the id, of a text no more than its first TEXT_BYTES, so that no text takes the sample of the others. Scoring covers every
 document and all of its text.
@@ -27,7 +27,7 @@ from .common import byte_texts, rows, short_batches
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12 << 20
 #: What one text gives to the sample at most: a hundred texts fit in, however long.
 TEXT_BYTES = SAMPLE_BYTES // 100
-DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 4096, 3
+DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 1024, 3
 
 
 def remainder(id_col: str, by: int):
@@ -39,7 +39,7 @@ def remainder(id_col: str, by: int):
 class Model:
     good: bytes
     bad: bytes
-    weights: list[float]
+    weight: float
     base: float
 
     def packed(self) -> list[zstandard.ZstdCompressor]:
@@ -53,7 +53,7 @@ class Model:
         packed = self.packed()
 
         def score(text: bytes) -> float:
-            x = self.base + sum(w * f for w, f in zip(self.weights, features(text, *packed), strict=True))
+            x = self.base + self.weight * difference(text, *packed)
             return 1 / (1 + math.exp(-min(50.0, max(-50.0, x))))
 
         return score
@@ -65,16 +65,13 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Compressed size with bad text's dictionary less that with good text's, over the length; and the logarithm of the smaller size over the length. 0, 0 for an empty text."""
-    if not text:
-        return 0.0, 0.0
-    g = b = 0
+def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
+    """Compressed size with bad text's dictionary less that with good text's, over the length; 0 for an empty text."""
+    size = 0
     for i in range(0, len(text), PIECE):
         piece = text[i : i + PIECE]
-        g += len(good.compress(piece))
-        b += len(bad.compress(piece))
-    return (b - g) / len(text), math.log(min(g, b) / len(text))
+        size += len(bad.compress(piece)) - len(good.compress(piece))
+    return size / len(text) if text else 0.0
 
 
 def trained(texts: list[bytes]) -> bytes:
@@ -86,25 +83,25 @@ def trained(texts: list[bytes]) -> bytes:
         return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[list[float], float]:
-    """Weights and intercept by Newton's method, with a slight pull of the weights to 0."""
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Weight and intercept by Newton's method, with a slight pull of the weight to 0."""
+    scale = x.std() or 1.0
     a = np.column_stack([x / scale, np.ones(len(x))])
-    w, pull = np.zeros(a.shape[1]), np.array([0.05] * x.shape[1] + [1e-9])
+    w, pull = np.zeros(2), np.array([0.05, 1e-9])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * w)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return (w[:-1] / scale).tolist(), float(w[-1])
+    return float(w[0] / scale), float(w[1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tuple[int, bytes]]:
     """At most SAMPLE_ROWS (label, first TEXT_BYTES of the text) a class, in hash order, of labelled rows that aren't held out."""
     ids = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(remainder("doc_id", held_out_mod) != 0).distinct().withColumn("h", F.xxhash64("doc_id"))
     picked = ids.filter("quality = 0").orderBy("h", "doc_id").limit(SAMPLE_ROWS).unionByName(ids.filter("quality = 1").orderBy("h", "doc_id").limit(SAMPLE_ROWS))
-    texts = byte_texts(docs).withColumn("text", F.substring("text", 1, TEXT_BYTES)).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE_ROWS ids
+    texts = byte_texts(docs).withColumn("text", F.substring("text", 1, TEXT_BYTES)).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "quality", "text"])  # at most 2 * SAMPLE_ROWS ids
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     return [(r["quality"], bytes(r["text"])) for r in texts.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).orderBy("h", "doc_id").select("quality", "text").collect()]
 
@@ -112,22 +109,23 @@ def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tu
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Model:
     """Dictionaries from one half of the sample, calibration on the other.
 
-    Without labelled texts of both classes the score is the share of good labels, smoothed; longer texts count with their first TEXT_BYTES.
+    Without four labelled texts of each class the score is the share of good labels, smoothed; longer texts count with their first TEXT_BYTES. Rows without
+    an id or a text, repeated labels, ids with two labels or two texts, and labels other than 0 and 1 do no harm: each (id, label) counts once a text, null texts as empty ones.
     """
     got = sample(docs, labels, held_out_mod)
     good, bad = [t for q, t in got if q], [t for q, t in got if not q]
     base = math.log((len(good) + 1) / (len(bad) + 1))
     if len(good) < 4 or len(bad) < 4:
-        return Model(b"", b"", [], base)
-    model = Model(trained(good[::2]), trained(bad[::2]), [], base)
+        return Model(b"", b"", 0.0, base)
+    model = Model(trained(good[::2]), trained(bad[::2]), 0.0, base)
     packed = model.packed()
     rest = [(t, 1) for t in good[1::2]] + [(t, 0) for t in bad[1::2]]
-    model.weights, model.base = logistic(np.array([features(t, *packed) for t, _ in rest]), np.array([float(q) for _, q in rest]))
+    model.weight, model.base = logistic(np.array([difference(t, *packed) for t, _ in rest]), np.array([float(q) for _, q in rest]))
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row; null and empty texts get the score of features 0, 0; an empty table gives no rows."""
+    """doc_id, score of every row; null and empty texts get the score of no difference; repeated rows and rows without an id are scored like others; an empty table gives no rows."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +137,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns, whatever their names; rows without an id and repeated rows are judged by their texts like others; null texts as empty ones."""
     model = fit(docs, labels)
     short_batches(docs.sparkSession)
 
