@@ -2,11 +2,15 @@
 
 For vectors cut into segments of length L with means m and deviations s,
 |x - q|^2 >= sum over segments of L * ((mx - mq)^2 + (sx - sq)^2), which is the same as
-<x, q> <= sum of L * (mx * mq + sx * sq), since |x|^2 = sum of L * (m^2 + s^2). With 1, 4, 16, ... segments the
-bound gets tighter; candidates whose bound is below a query's k-th best score so far are out.
-Queries and candidates are packed in blocks; each block of candidates meets each block of queries, and
-a task sends at most k rows a query. Integers stay exact: matrix products run in float64 while every
-product sum is under 2^53, and in Python integers beyond.
+<x, q> <= sum of L * (mx * mq + sx * sq), since |x|^2 = sum of L * (m^2 + s^2). Finer segments give tighter bounds; a pair whose bound is
+below what the query's k-th best has at least is out, and only pairs that are left at the finest resolution get an exact integer score.
+
+Segments should hold unequal energy, so vectors are turned first to the axes of most variance (fitted on a bounded sample; a turn changes no product, and
+bounds are widened for its rounding). The coarsest resolution has segments of 1, 1, 2, 4, 8, ... axes, each finer one halves them.
+
+A first pass over one in LIMIT_PART rows gives each query a lower limit of its k-th best; the second goes over all rows. Candidates are
+packed in blocks and dealt once to parts; the queries, which are few, go to every part in blocks. A part works out its statistics
+once, raises the limits as it finds better rows, and sends at most k rows a query, none below the limit.
 """
 
 from __future__ import annotations
@@ -18,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, written
 
-QUERIES_PER_BLOCK, ROWS_PER_BLOCK = 512, 4096
-FACTOR = 4
+QUERIES_PER_BLOCK, ROWS_PER_BLOCK, BLOCKS_PER_PART = 512, 4096, 8
+#: One in so many rows (by a hash of the id) takes part in the pass that finds limits.
+LIMIT_PART = 64
+#: Rows that the turn is fitted on, and the longest vectors that are turned.
+FIT_ROWS, FIT_DIM = 4096, 1024
+#: Pairs scored in one go; relative widening of the bounds.
+PAIRS, SLACK = 1 << 17, 1e-6
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -34,26 +43,26 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     )
 
 
-BLOCK = "block long, dim int, ids binary, data binary"
+BLOCK = "dim int, ids binary, keys binary, limits binary, data binary"
 
 
-def _pack(per_block: int):
+def _packed(rows: int, query: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        made = 0
+        held: dict[int, list[list]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            nonlocal made
-            ids, vs = held.pop(dim)
-            made += 1
-            return pa.RecordBatch.from_pydict({"block": pa.array([made], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "data": [np.array(vs, "<i8").tobytes()]})
+            ids, keys, limits, vs = held.pop(dim)
+            cells = [dim, np.array(ids, "<i8").tobytes(), np.array(keys, "<i8").tobytes() if query else None, np.array(limits, "<f8").tobytes() if query else None, np.array(vs, "<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, [pa.int32()] + [pa.binary()] * 4, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids, vs = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vs.append(v)
-                if len(ids) >= per_block:
+            n = batch.num_rows
+            own = [batch.column(c).to_pylist() if query else [None] * n for c in ("key", "limit")]
+            for i, v, key, limit in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), *own, strict=True):
+                columns = held.setdefault(len(v), [[], [], [], []])
+                for column, value in zip(columns, (i, key, limit, v), strict=True):
+                    column.append(value)
+                if len(columns[0]) >= rows:
                     yield out(len(v))
         for dim in list(held):
             yield out(dim)
@@ -61,12 +70,14 @@ def _pack(per_block: int):
     return pack
 
 
-def levels(dim: int) -> list[np.ndarray]:
-    """Segment starts of each resolution, coarse to fine."""
-    out, n = [], 1
-    while n < dim:
-        out.append(np.unique(np.arange(n) * dim // n))
-        n *= FACTOR
+def resolutions(dim: int) -> list[np.ndarray]:
+    """Segment starts of each resolution, coarse to fine, without the last, of single axes, which is the exact score."""
+    starts = [0, *(1 << k for k in range(dim.bit_length()) if 1 << k < dim)]
+    out = []
+    while len(starts) < dim:
+        out.append(np.array(starts))
+        ends = [*starts[1:], dim]
+        starts = sorted({*starts, *((a + b) // 2 for a, b in zip(starts, ends, strict=True))})
     return out
 
 
@@ -78,78 +89,116 @@ def statistics(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.hstack([total / np.sqrt(n), spread])
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vec_id, score) of each query's k best in one block, ties to the smaller vec_id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    top = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * x.shape[1]
-    small = top < 2.0**53
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    out = []
-    alive = np.ones((len(q), len(x)), bool)
-    alive &= q_ids[:, None] != ids[None, :]
-    if small and len(x) > 4 * k:
-        # a lower limit of each query's k-th best: its score against the first rows
-        first = qf @ xf[: 4 * k].T
-        first[~alive[:, : 4 * k]] = -np.inf
-        limit = -np.partition(-first, k - 1, axis=1)[:, k - 1]
-        for starts in levels(x.shape[1]):
-            bound = statistics(qf, starts) @ statistics(xf, starts).T
-            alive &= bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= limit[:, None]
-        dense = alive.mean() > 0.1
-        scores = qf @ xf.T if dense else None
-    for i in range(len(q)):
-        at = np.flatnonzero(alive[i])
-        if not len(at):
-            continue
-        if small:
-            s = scores[i, at] if len(x) > 4 * k and dense else xf[at] @ qf[i]
-        else:
-            s = np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)))) for row in x[at]], object)
-        best = np.argsort(-s, kind="stable")[:k]  # at is in the order of ids
-        out += [(int(q_ids[i]), int(ids[at[j]]), int(s[j])) for j in best]
-    return out
+def fitted_turns(candidates: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors the axes of most variance first, as the columns of a matrix: from FIT_ROWS rows at most, with the least hashes."""
+    rows = candidates.filter(F.size("v") <= FIT_DIM).withColumn("h", F.xxhash64("vec_id", "v")).orderBy("h").limit(FIT_ROWS).select("v").collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    return {dim: np.linalg.eigh(np.array(vs, float).T @ np.array(vs, float))[1][:, ::-1] for dim, vs in by.items() if np.abs(np.array(vs, float)).max() < 2.0**50}
+
+
+class Rows:
+    """Vectors with their statistics at all resolutions."""
+
+    def __init__(self, v: np.ndarray, turn: np.ndarray | None):
+        self.v, y = v, v.astype(np.float64)
+        self.norm = np.sqrt((y * y).sum(1))
+        y = y if turn is None else y @ turn
+        self.statistics = [statistics(y, starts) for starts in resolutions(v.shape[1])]
+
+
+def exact(q: np.ndarray, x: np.ndarray, narrow: bool) -> np.ndarray:
+    """The integer inner product of each pair of rows; beyond 64 bits held at the bound."""
+    if narrow:
+        return np.einsum("ij,ij->i", q, x)
+    return np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(u, w, strict=True)))) for u, w in zip(q, x, strict=True)], np.int64)
+
+
+def survivors(q: Rows, x: Rows, limit: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of the pairs (query, row) that are alive those whose bounds reach the query's limit at every resolution; and how many were left after each."""
+    rows, left = np.arange(len(x.v)), []
+    limit = np.where(limit > -(2.0**63), limit, -np.inf)  # at the bound anything may tie
+    for a, b in zip(q.statistics, x.statistics, strict=True):
+        alive &= a @ b[rows].T + SLACK * q.norm[:, None] * x.norm[rows] + SLACK >= limit[:, None]
+        keep = alive.any(0)
+        rows, alive = rows[keep], alive[:, keep]
+        left.append(int(alive.sum()))
+    i, j = np.nonzero(alive)
+    return i, rows[j], left
+
+
+def best(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, np.negative(scores, where=scores > -(2**63), out=np.full(len(scores), 2**63 - 1, np.int64)), i))
+    first = np.searchsorted(i[order], i[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def search(q_ids: np.ndarray, q: Rows, limit: np.ndarray, blocks: list[tuple[np.ndarray, Rows]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, vec_id, score) of the k best of each query in the blocks of a part, if they reach its limit."""
+    limit, at, ids, scores = limit.copy(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    largest = float(np.abs(q.v.astype(float)).max(initial=0))
+    for own, x in blocks:
+        narrow = largest * float(np.abs(x.v.astype(float)).max(initial=0)) * x.v.shape[1] < 2.0**62
+        i, j, _ = survivors(q, x, limit, q_ids[:, None] != own[None, :])
+        for a in range(0, len(i), PAIRS):
+            u, w = i[a : a + PAIRS], j[a : a + PAIRS]
+            s = exact(q.v[u], x.v[w], narrow)
+            ok = s >= limit[u]
+            at, ids, scores = np.concatenate([at, u[ok]]), np.concatenate([ids, own[w[ok]]]), np.concatenate([scores, s[ok]])
+            keep = best(at, ids, scores, k)
+            at, ids, scores = at[keep], ids[keep], scores[keep]
+            # the k-th best so far is a limit for what comes
+            full = np.flatnonzero(np.bincount(at, minlength=len(limit)) == k)
+            limit[full] = np.maximum(limit[full], scores[np.searchsorted(at, full, "right") - 1])
+    return at, ids, scores
+
+
+def _searched(queries: DataFrame, candidates: DataFrame, n: int, k: int, turns: dict[int, np.ndarray]) -> DataFrame:
+    """(query_id, key, vec_id, score): the k best of each query in each part of the candidates, of which there are n."""
+    parts = max(1, -(-n // (ROWS_PER_BLOCK * BLOCKS_PER_PART)))
+    x = candidates.mapInArrow(_packed(ROWS_PER_BLOCK, False), BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    q = queries.mapInArrow(_packed(QUERIES_PER_BLOCK, True), BLOCK).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = x.withColumn("query", F.lit(False)).unionByName(q.withColumn("query", F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by part, a part's candidates before its queries."""
+        part, held = None, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, held = r["part"], {}
+                dim = r["dim"]
+                ids, rows = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["data"], "<i8").reshape(-1, dim)
+                if not r["query"]:
+                    # a short first block gives limits to start with
+                    cuts = [0, 64, len(ids)] if not held.get(dim) and len(ids) > 64 else [0, len(ids)]
+                    held.setdefault(dim, []).extend((ids[a:b], Rows(rows[a:b], turns.get(dim))) for a, b in zip(cuts, cuts[1:], strict=False))
+                elif dim in held:
+                    keys = np.frombuffer(r["keys"], "<i8")
+                    at, found, scores = search(ids, Rows(rows, turns.get(dim)), np.frombuffer(r["limits"], "<f8"), held[dim], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[at], keys[at], found, scores)], ["query_id", "key", "vec_id", "score"])
+
+    return both.repartition(parts, "part").sortWithinPartitions("part", "query").mapInArrow(run, "query_id long, key long, vec_id long, score long")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with the candidates, its own id left out.
 
-    Both tables are as `quantised` makes them. Vectors of another length than the query's take no part; a
-    repeated id counts once per row; scores beyond 64 bits are held at the bound, where they tie; fewer than k candidates give fewer rows; empty tables none.
+    Both tables are as `quantised` makes them (nulls are gone there). Vectors of another length than the query's take no part; a
+    candidate that repeats counts once per row; queries that repeat an id and the vector are one, those that repeat the id with another vector have a ranking each;
+    scores beyond 64 bits are held at the bound, where they tie; fewer than k candidates give fewer rows; empty tables none.
     """
     short_batches(queries.sparkSession)
-    # the blocks of queries get consecutive numbers; they are few: one in QUERIES_PER_BLOCK queries
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES_PER_BLOCK))
-    # ids are dealt to the blocks by hash, so that one block holds about QUERIES_PER_BLOCK
-    packed_q = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("b").applyInArrow(_pack_group, "b long, dim int, q_ids binary, q_data binary")
-    packed_x = candidates.mapInArrow(_pack(ROWS_PER_BLOCK), BLOCK).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = packed_x.join(packed_q, ["b", "dim"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q, x = (np.frombuffer(r[c], "<i8").reshape(-1, r["dim"]) for c in ("q_data", "data"))
-                got = search(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    part = pairs.select("dim", "q_ids", "q_data", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pack_group(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    by: dict[int, tuple[list, list]] = {}
-    for i, v in zip(t.column("vec_id").to_pylist(), t.column("v").to_pylist(), strict=True):
-        ids, vs = by.setdefault(len(v), ([], []))
-        ids.append(i)
-        vs.append(v)
-    return pa.table(
-        {
-            "b": pa.array([key[0].as_py()] * len(by), pa.int64()),
-            "dim": pa.array(list(by), pa.int32()),
-            "q_ids": pa.array([np.array(a, "<i8").tobytes() for a, _ in by.values()], pa.binary()),
-            "q_data": pa.array([np.array(v, "<i8").tobytes() for _, v in by.values()], pa.binary()),
-        }
-    )
+    queries = queries.withColumn("key", F.xxhash64("v")).dropDuplicates(["vec_id", "key"])
+    n = candidates.count()
+    turns = fitted_turns(candidates)
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    some = candidates.filter(F.pmod(F.xxhash64("vec_id"), F.lit(LIMIT_PART)) == 0)
+    first = _searched(queries.withColumn("limit", F.lit(float("-inf"))), some, -(-n // LIMIT_PART), k, turns)
+    limits = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "key", F.col("score").cast("double").alias("limit"))
+    # written, so that the limits aren't found again for each reading of the queries
+    limited = written(queries.join(limits, ["vec_id", "key"], "left").withColumn("limit", F.coalesce("limit", F.lit(float("-inf")))), "limits")
+    return ranked(_searched(limited, candidates, n, k, turns)).select("query_id", "rank", "vec_id", "score")

@@ -694,6 +694,8 @@ def test_live_index_with_its_own_number_of_shards(spark, n):
 def test_top_k(spark, monkeypatch, dim, block):
     monkeypatch.setattr(topk, "ROWS_PER_BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(topk, "LIMIT_PART", 4)
+    monkeypatch.setattr(topk, "PAIRS", 50)
     r = random.Random(dim)
     rows = [(i, [r.choice([-1.5, 0.25, r.random() - 0.5]) for _ in range(dim)], i % 3) for i in range(500)]
     rows += [(500 + i, rows[0][1], 0) for i in range(60)]  # ties
@@ -710,6 +712,34 @@ def test_top_k(spark, monkeypatch, dim, block):
     assert got == sorted(want, key=repr)
 
 
+def test_bounds_prune_clustered_vectors(spark):
+    """The bounds leave out most pairs before any exact score, resolution by resolution, and never one of the k best."""
+    r = np.random.default_rng(2)
+    # an uneven spread of energy, turned at random, in clusters
+    turn = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    centres = r.normal(size=(40, 64)) * 3000 / np.arange(1, 65)
+    v = np.floor((centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 64)) * 200 / np.arange(1, 65)) @ turn).astype(np.int64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>")
+    turned = topk.fitted_turns(df)[64]
+    assert np.allclose(turned.T @ turned, np.eye(64))
+    q, x = topk.Rows(v[::100], turned), topk.Rows(v, turned)
+    scores = v[::100] @ v.T
+    scores[np.arange(40), np.arange(0, 4000, 100)] = -(1 << 60)
+    limit = -np.sort(-scores, axis=1)[:, 9].astype(float)
+    i, j, left = topk.survivors(q, x, limit, np.arange(0, 4000, 100)[:, None] != np.arange(4000))
+    assert set(zip(*np.nonzero(scores >= limit[:, None]), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert left == sorted(left, reverse=True) and left[0] < 0.5 * scores.size and left[-1] < 0.02 * scores.size
+    got = plain(topk.top_k(df.filter("vec_id % 100 = 0"), df), "query_id", "rank", "vec_id", "score")
+    best = [(100 * a, k, b, s) for a in range(40) for k, (s, b) in enumerate(sorted(((-int(scores[a, b]), b) for b in np.argsort(-scores[a], kind="stable")[:60].tolist()))[:10], 1)]
+    assert got == sorted(((a, k, b, -s) for a, k, b, s in best), key=repr)
+
+
+def test_top_k_of_repeated_ids(spark):
+    v = spark.createDataFrame([(0, [2, 1]), (0, [2, 1]), (0, [-3, 5]), (1, [1, 1]), (1, [1, 1]), (7, [4, 0]), (8, [1, 1])], "vec_id bigint, v array<long>")
+    got = collections.Counter(map(tuple, topk.top_k(v.filter("vec_id = 0"), v, 3).collect()))
+    assert got == collections.Counter([(0, 1, 7, 8), (0, 2, 1, 3), (0, 3, 1, 3), (0, 1, 1, 2), (0, 2, 1, 2), (0, 3, 8, 2)])
+
+
 def test_top_k_of_large_numbers(spark):
     df = spark.createDataFrame([(i, [1e9 + i, -3e8 * i]) for i in range(0, 300, 10)], "vec_id bigint, embedding array<double>")
     v = topk.quantised(df)
