@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding (3) on the tokenizers library.
 
 The model protobuf is parsed here (no sentencepiece needed for that): pieces with scores and types, the
-trainer's model type and byte fallback, the normaliser's rules. From it a tokenizer is rebuilt: normaliser (a
-precompiled character map, if the model has one), the metaspace marker, unigram scores or the merges that
-the scores of a BPE model imply, and byte fallback. Parity with the sentencepiece library is checked on the whole text of every document.
+trainer's model type and byte fallback, the normaliser's rules. From it a tokenizer of the tokenizers library is rebuilt: normaliser (the
+precompiled character map and the squeezing of spaces, where the model has them), Metaspace marker, unigram scores or the merges that
+the scores of a BPE model imply, byte fallback, user-defined pieces (found before all others), unused ones (never given out), and the decoder.
+Parity with the sentencepiece library is checked on the whole text of every document.
 """
 
 from __future__ import annotations
@@ -82,45 +83,70 @@ class Codec:
 
     Texts are encoded in parts: a run of spaces with what follows up to the next space, when no
     piece has a marker after another character (checked on loading; else whole texts). Each distinct part is
-    encoded once per cache generation, in multithreaded batches where the worker may use threads.
+    encoded once per cache generation, in multithreaded batches where the worker may use threads. Known departure, shown by parity: with a unigram
+    model that lacks the characters < 0 x >, the text "<0x41>" is taken for the byte's piece.
     """
 
     def __init__(self, path: str):
         import tokenizers as tk
-        from tokenizers import models, normalizers
+        from tokenizers import Regex, decoders, models, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
             self.spec = spec = parsed(f.read())
         self.path = path
-        vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
         unknown = next((p for p, _, kind in spec.pieces if kind == 2), None)
+        # the names of control pieces are text like other text: here they get names that no text has
+        names = [p + "\U0010fffe" if kind == 3 else p for p, _, kind in spec.pieces]
+        vocab = {p: i for i, p in enumerate(names)}
+        self.unused: dict[int, list[int]] = {}
         if spec.bpe:
             made = []
             for p, score, kind in spec.pieces:
-                if kind in (1, 4) and len(p) > 1:
+                if kind in (1, 5) and len(p) > 1:
                     made += [(-score, vocab[p], vocab[p[:k]], p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in vocab and p[k:] in vocab]
             made.sort(key=lambda m: m[:3])
-            model = models.BPE(vocab, [(a, b) for *_, a, b in made], unk_token=unknown, fuse_unk=True, byte_fallback=spec.byte_fallback)
+            merges = [(a, b) for *_, a, b in made]
+            model = models.BPE(vocab, merges, unk_token=unknown, fuse_unk=True, byte_fallback=spec.byte_fallback)
+            parts = {}
+            for a, b in merges:
+                parts.setdefault(a + b, (a, b))
+            for p, _, kind in spec.pieces:
+                if kind == 5:  # what an unused piece was merged from, down to pieces that are used
+                    todo, self.unused[vocab[p]] = [p], []
+                    while todo:
+                        x = todo.pop()
+                        if spec.pieces[vocab[x]][2] == 5 and x in parts:
+                            todo += reversed(parts[x])
+                        else:
+                            self.unused[vocab[p]].append(vocab[x] if spec.pieces[vocab[x]][2] != 5 else vocab[unknown])
         else:
-            model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=vocab.get(unknown), byte_fallback=spec.byte_fallback)
+            least = min((s for _, s, kind in spec.pieces if kind == 1), default=0.0) - 1000
+            model = models.Unigram([(p, s if kind == 1 else least) for p, (_, s, kind) in zip(names, spec.pieces, strict=True)], unk_id=vocab.get(unknown), byte_fallback=spec.byte_fallback)
         self.tok = tk.Tokenizer(model)
-        self.normal = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
-        self.parts = not any(MARK in p.lstrip(MARK) for p, _, _ in spec.pieces)
-        self.byte_of = [int(p[3:5], 16) if kind == 6 else -1 for p, _, kind in spec.pieces]
-        self.raw = [bytes([b]) if b >= 0 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(MARK, " ").encode() for (p, _, kind), b in zip(spec.pieces, self.byte_of, strict=True)]
+        self.tok.add_tokens([tk.AddedToken(p, normalized=False, special=False) for p, _, kind in spec.pieces if kind == 4])
+        rules = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
+        if spec.squeeze:
+            rules += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        self.normal = normalizers.Sequence(rules) if rules else None
+        self.marker = pre_tokenizers.Metaspace(MARK, "always" if spec.dummy_prefix else "never", split=False)
+        self.parts = not any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces) and not any(kind == 4 for *_, kind in spec.pieces)
+        steps = [decoders.Replace(unknown, " ⁇ ")] if unknown else []
+        steps += [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        self.tok.decoder = decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []))
+        self.control = np.array([kind == 3 for *_, kind in spec.pieces])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.judge = None
 
+    def normalised(self, text: str) -> str:
+        return self.normal.normalize_str(text) if self.normal is not None else text
+
     def marked(self, text: str) -> str:
         """The normalised text with markers for spaces."""
-        if self.normal is not None:
-            text = self.normal.normalize_str(text)
-        if self.spec.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if text and self.spec.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
+        text = self.normalised(text)
+        # Metaspace adds no prefix where the text begins with a space, the model does
+        ahead = MARK if self.spec.dummy_prefix and text[:1] in (" ", MARK) else ""
+        return ahead + "".join(x for x, _ in self.marker.pre_tokenize_str(text)) if text else ""
 
     def split(self, text: str) -> list[str]:
         m = self.marked(text)
@@ -145,12 +171,13 @@ class Codec:
 
     def _encoded(self, new: list[str]) -> None:
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
+            ids = e.ids if not self.unused else [x for i in e.ids for x in self.unused.get(i, (i,))]
+            self.young[w] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Each text's ids as little-endian uint32, and whether the sentencepiece library gives the same for the whole text."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
+        if len(self.young) > CACHE_WORDS or not self.parts:  # whole texts aren't kept
+            self.young, self.old = {}, self.young if self.parts else {}
         split = [self.split(t) for t in texts]
         new = set().union(*split) - self.young.keys() if split else set()
         for w in [w for w in new if w in self.old]:
@@ -161,11 +188,12 @@ class Codec:
         made = [b"".join([self.young[w] for w in parts]) for parts in split]
         return [(ids, np.array(sure, "<u4").tobytes() == ids) for ids, sure in zip(made, self.judged().encode(texts, num_threads=1), strict=True)]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The text of ids (UTF-8; bytes of pieces as they are), without the prefix that encoding added."""
-        raw = self.raw
-        out = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        return out[1:] if self.spec.dummy_prefix and out[:1] == b" " else out
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The texts of ids, without the prefix that encoding added."""
+        arrays = [np.frombuffer(x, "<u4") for x in ids]
+        if any(len(x) and int(x.max()) >= len(self.control) for x in arrays):
+            raise ValueError("an id is outside the vocabulary")
+        return self.tok.decode_batch([x[~self.control[x]].tolist() for x in arrays], skip_special_tokens=False)
 
 
 def codec(path: str) -> Codec:
@@ -180,7 +208,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), parity, round_trip (decoding gives the text back), and if asked for ids and text (decoded from them).
 
-    A null text is empty: 0 ids. round_trip compares with the text as the model normalises it. Repeated rows give repeated results.
+    A null text is empty: 0 ids. round_trip compares with the text as the model normalises it (a marker in the text counts as a space). Texts of any length are
+    encoded and compared whole; repeated rows and rows without an id give a result each; columns beside doc_id and text are left behind; an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
 
@@ -196,17 +225,16 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     b += 1
                 texts = [t.decode("utf-8", "replace") for _, t in all_rows[a:b]]
                 out: list[tuple] = []
-                for (doc_id, _), text, (ids, same) in zip(all_rows[a:b], texts, c.encode(texts), strict=True):
-                    plain = text if c.normal is None and not c.spec.squeeze else c.marked(text).replace(MARK, " ").removeprefix(" ")
-                    back = c.decode(ids)
-                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back == plain.replace(MARK, " ").encode(), ids, back))
+                made = c.encode(texts)
+                for (doc_id, _), text, (ids, same), back in zip(all_rows[a:b], texts, made, c.decode([ids for ids, _ in made]), strict=True):
+                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back == c.normalised(text).replace(MARK, " "), ids, back))
                 a = b
                 *cols, all_ids, backs = zip(*out, strict=True)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
                 arrays, names = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
                 if with_ids:
                     starts = pa.array(np.cumsum([0, *cols[1]]), pa.int32())
-                    arrays += [pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int64))), pa.array([x.decode("utf-8", "replace") for x in backs], pa.string())]
+                    arrays += [pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int64))), pa.array(backs, pa.string())]
                     names += ["ids", "text"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -220,7 +248,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(np.array(ids or [], "<u4").tobytes()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            texts = c.decode([np.array(ids or [], "<u4").tobytes() for ids in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -9,6 +9,7 @@ a lost executor or a repeated task leaves no half-written file in use.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -31,46 +32,45 @@ MARKS = b".,;:!?*$%&#|()\""
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: How a tokenizer must split texts for its words to be encoded one by one: runs of letters, single digits, runs of marks; what is left, white space, is
+#: dropped (fixed values of the public vocabulary).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
-    """Encodes whole texts by their white-space separated words, each distinct word once per cache generation.
+    """Encodes whole texts: word by word, each distinct word once per cache generation, where the tokenizer's own settings say that this gives the same; else each text as it is.
 
-    For a tokenizer that drops white space and never joins what it separates, the ids of a text are the
-    ids of its words in order. Words are encoded many at a time in one text, around a NUL that has one id of its own.
+    The settings must be: NFC, squeezing of spaces and lower-casing as the only normalisers; SPLIT as the only rule that cuts, so that white space is
+    dropped and letters never share a token with marks; added tokens without white space and options. Words are encoded many at a time in one text, around a
+    NUL, which is a mark of its own.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        config = json.loads(self.tok.to_str())
+        self.added = [t["content"].encode() for t in config["added_tokens"]]
+        whole = config["normalizer"] or {}
+        rules = whole.get("normalizers", [whole] if whole else [])
+        self.words = _splits_at_space(config, rules)
+        #: whether lower-casing A-Z first is what the tokenizer does anyway
+        self.lower = any(r["type"] == "Lowercase" for r in rules)
         mark = self.tok.encode("\0", add_special_tokens=False).ids
-        #: whether the tokenizer splits words from marks and drops white space, as it says of itself
-        self.apart = self._apart()
-        self.bare = self._bare()
-        self.mark = mark[0] if len(mark) == 1 and self.tok.encode("a \0 b", add_special_tokens=False).ids[1:2] == mark else None
-
-    def _bare(self):
-        """The model alone behind a split at white space, if that gives the same ids for words of a-z, each with one token that ends it; else None."""
-        import tokenizers
-
-        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
-        if not suffix:
-            return None
-        bare = tokenizers.Tokenizer(self.tok.model)
-        bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        probe = ["a", "the", "words", "zzqqxj", "unbelievable", "q" * 50]
-        got = bare.encode(" ".join(probe), add_special_tokens=False).ids
-        same = got == self.tok.encode(" ".join(probe), add_special_tokens=False).ids and int(self.ends[got].sum()) == len(probe)
-        return bare if same else None
-
-    def _apart(self) -> bool:
-        probe = ["word", "mot", "éé", "x"]
-        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        return all(one(w + m) == one(w) + one(m) for w in probe for m in [*MARKS.decode(), "!!", "***", "$$$", ".,", "?!)"])
+        self.mark = mark[0] if len(mark) == 1 else None
+        suffix = config["model"].get("end_of_word_suffix")
+        self.bare = None
+        if self.words and suffix:
+            # words of a-z need no normalising and no splitting: the model alone gives their ids, each with one token that ends it
+            self.bare = tokenizers.Tokenizer(self.tok.model)
+            self.bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _encoded(self, words: list[bytes]) -> None:
         if self.bare is not None:  # letters a-z need no normalising and no splitting
@@ -105,10 +105,12 @@ class WordEncoder:
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
+        if not self.words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        # lower-casing A-Z first is what the tokenizer does anyway, except in the strings of special tokens
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # the strings of added tokens are found before lower-casing
+        split = [(low if self.lower and not any(a in low for a in self.added) else t).split() for t in texts for low in [t.lower()]]
         young, old = self.young, self.old
         new = set().union(*split) - young.keys() if split else set()
         found = [w for w in new if w in old]
@@ -116,7 +118,7 @@ class WordEncoder:
             young[w] = old[w]
         new.difference_update(found)
         # a letter and the marks after it are never in one token
-        pairs = [(w, base, w[len(base) :]) for w in new if (base := w.rstrip(MARKS)) != w and base and self.apart and base.decode("utf-8", "replace")[-1].isalpha()]
+        pairs = [(w, base, w[len(base) :]) for w in new if (base := w.rstrip(MARKS)) != w and base and base.decode("utf-8", "replace")[-1].isalpha() and not any(a in w for a in self.added)]
         new.difference_update([w for w, _, _ in pairs])
         parts = {x for _, *two in pairs for x in two} - young.keys()
         found = [w for w in parts if w in old]
@@ -131,6 +133,15 @@ class WordEncoder:
         return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
+def _splits_at_space(config: dict, rules: list[dict]) -> bool:
+    cut = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    cuts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = all(r["type"] in ("NFC", "Lowercase") or (r["type"], r.get("pattern"), r.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for r in rules)
+    bytes_only = len(cuts) == 2 and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    whole_tokens = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for c in t["content"]) for t in config["added_tokens"])
+    return plain and bytes_only and cuts[0] == cut and whole_tokens and config["post_processor"] is None
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _encoders:
@@ -182,7 +193,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) ->
     """Writes the files into folder `out` (any URI that pyarrow opens) and returns the manifest: part, name, docs, tokens, base, kind (numpy's name of the ids' type).
 
     A null text is empty (its document is the end id alone); rows without an id come first; rows that
-    share an id stay side by side. An empty table gives a manifest without documents.
+    share an id stay side by side; texts of any length are whole; columns beside doc_id and text are left behind. An empty table gives a manifest without documents.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -234,9 +245,11 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str, with_ids: bo
 
 
 def token_table(docs: DataFrame, vocabulary: str, out: str | None = None) -> DataFrame:
-    """Writes and reads back in one call; `out` is a new folder under the shared one unless given."""
+    """Writes and reads back in one call; `out` is a new folder under the shared one unless given. Cases as in `write_tokens`."""
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/kinfold-tokens-{uuid.uuid4().hex}"
-    if "://" not in out:
-        out = out.replace("file:", "file://") if out.startswith("file:") else f"file://{out}"
+    if "://" not in out:  # in Spark's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+        out = out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file:///") else out
     return read_tokens(spark, write_tokens(docs, vocabulary, out), out)
