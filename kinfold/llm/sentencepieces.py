@@ -94,9 +94,9 @@ class Codec:
         with open(path, "rb") as f:
             self.spec = spec = parsed(f.read())
         self.path = path
-        unknown = next((p for p, _, kind in spec.pieces if kind == 2), None)
-        # the names of control pieces are text like other text: here they get names that no text has
-        names = [p + "\U0010fffe" if kind == 3 else p for p, _, kind in spec.pieces]
+        # the names of control and unknown pieces are text like other text: here they get names that no text has
+        names = [p + "\U0010fffe" if kind in (2, 3) else p for p, _, kind in spec.pieces]
+        unknown = next((p for p, (*_, kind) in zip(names, spec.pieces, strict=True) if kind == 2), None)
         vocab = {p: i for i, p in enumerate(names)}
         self.unused: dict[int, list[int]] = {}
         if spec.bpe:
