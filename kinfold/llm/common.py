@@ -61,6 +61,15 @@ class Scratch:
         return written(df, label, self.folder)
 
 
+#: The most rows (of a few numbers each) of a table that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def broadcastable(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows: a larger one is joined by shuffling both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a number of its own for each row, and that column's name. Written, so that every reading finds the same numbers."""
     name = "_row"

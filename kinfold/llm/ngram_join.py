@@ -16,7 +16,7 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
    is dealt in blocks, so that each block of its largest component meets each block of the other members, and these meet each other.
    Families beyond WHOLE sets meet shingle by shingle instead. Trees leave out members of one component.
 
-Each set is sent once per head and once or little more per family, never once per pair. Hashes of 64 bits stand for shingles and sets; a
+Small tables (see `broadcastable`) go to the large ones. Each set is sent once per head and once or little more per family, never once per pair. Hashes of 64 bits stand for shingles and sets; a
 collision is the only way to a wrong result. Working tables are removed when the components are known.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, Scratch, byte_texts, keyed, mixed, rows, short_batches, signed, written
+from .common import GROUP_BYTES, Scratch, broadcastable, byte_texts, keyed, mixed, rows, short_batches, signed, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them.
@@ -370,13 +370,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return main.unionByName(to_main).unionByName(to_rest).select("key", F.concat_ws("-", "kind", "i", "j").alias("chunk"), "sid", "component")
 
 
-def _tree_joined(placed: DataFrame, sets: DataFrame) -> DataFrame:
+def _tree_joined(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) within each (key, chunk) of placed."""
-    return placed.join(sets.select("sid", "n", "tokens"), "sid").repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_tree, "u long, v long")
+    placed = broadcastable(scratch.written(placed, "placed"))
+    return sets.select("sid", "n", "tokens").join(placed, "sid").repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_tree, "u long, v long")
 
 
 def _closing(sets: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """All links between different components of `known` (sets without one are their own) that are needed to join them."""
+    known = broadcastable(scratch.written(known, "known"))
     named = sets.join(known, sets["sid"] == known["node"], "left").select("sid", "n", "tokens", F.coalesce("component", "sid").alias("component"))
     t = named.select("sid", "n", "component", F.explode("tokens").alias("token"))
     across = t.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df")).filter("a <> b").select("token", "df")
@@ -390,7 +392,7 @@ def _closing(sets: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     member = open_.select("sid", "n", "component", "rare").join(of_family, "sid")
     members = member.join(whole, "family", "left_semi").select(F.col("family").alias("key"), "sid", "n", "component")
     members = members.unionByName(member.join(whole, "family", "left_anti").select(F.explode("rare").alias("key"), "sid", "n", "component"))
-    return _tree_joined(_blocks(members), open_)
+    return _tree_joined(_blocks(members), open_, scratch)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -422,9 +424,9 @@ def _connected(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     with Scratch(spark) as scratch:
         credit = found.filter("holds is not null").groupBy("sid").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"), F.sum("holds").alias("holds"))
         live = credit.filter(F.col("credit") >= least_shared() * F.col("holds")).select("sid")
-        chosen = reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid")
+        chosen = scratch.written(reps.join(live, "sid").select(F.col("rep").alias("doc_id"), "sid"), "chosen")
         # an id may be repeated with another text: the key worked out again tells which row was meant
-        texts = base.join(chosen.filter("doc_id is not null"), "doc_id").select("sid", "text")
+        texts = base.join(broadcastable(chosen.filter("doc_id is not null")), "doc_id").select("sid", "text")
         # a set that only rows without an id hold is found by its key among those rows, equal ones reduced before they are joined
         loose = base.filter("doc_id is null").select("text").mapInArrow(_whole_sets, WHOLE_SET).dropDuplicates(["sid"]).join(chosen.filter("doc_id is null").select("sid"), "sid", "left_semi")
         sets = scratch.written(texts.mapInArrow(_whole_sets, WHOLE_SET).unionByName(loose), "live")
@@ -443,7 +445,7 @@ def _known(sets: DataFrame, scratch: Scratch) -> DataFrame:
     own = heads.join(counted, "key").select("key", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"), "sid")
     pivots = counted.filter("chunks > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("sid"))
     placed = own.unionByName(pivots).withColumn("component", F.lit(None).cast("long"))
-    links = scratch.written(_tree_joined(placed, sets), "links")
+    links = scratch.written(_tree_joined(placed, sets, scratch), "links")
     known = components(links, scratch)
     closing = scratch.written(_closing(sets, known, scratch), "closing")
     return components(links.unionByName(closing), scratch) if closing.limit(1).count() else known
