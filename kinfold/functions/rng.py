@@ -36,11 +36,11 @@ def integer(u: Column, low, high) -> Column:
 def poisson_table(mean: float) -> list[float]:
     """Cumulative chances of 0, 1, 2, ... up to far beyond the mean."""
     top = math.ceil(mean + 12 * math.sqrt(mean) + 20)
-    out, term, total = [], math.exp(-mean), 0.0
+    out, total = [], 0.0
     for k in range(top + 1):
-        total += term
+        # by logarithms: exp(-mean) alone is 0 from a mean of some 745 on
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
         out.append(total)
-        term *= mean / (k + 1)
     return out
 
 

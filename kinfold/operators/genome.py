@@ -135,12 +135,30 @@ def blocks(haplotypes: DataFrame, arms: DataFrame | None = None) -> DataFrame:
     return h.select("run_id", "ind_id", "copy", F.explode(F.regexp_extract_all("bits", F.lit("(1+)"), F.lit(1))).alias("run")).select("run_id", "ind_id", "copy", F.length("run").alias("length"))
 
 
+#: Bits that a word holds: a long without its sign.
+WORD = 62
+
+
+def words(bits: Column, numbits: int) -> Column:
+    """A string of 0 and 1 as an array of longs, WORD bits each."""
+    return F.array(*[F.conv(F.substring(bits, at + 1, WORD), 2, 10).cast("bigint") for at in range(0, numbits, WORD)])
+
+
+def runs(bits: Column) -> Column:
+    """The maximal runs of 1 as an array of (start, length): lengths of alternating stretches, summed up in the row itself."""
+    stretches = F.regexp_extract_all(bits, F.lit("(0+|1+)"), F.lit(1))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("runs"))
+
+    def add(acc: Column, stretch: Column) -> Column:
+        one = F.array(F.struct(acc["at"].alias("start"), F.length(stretch).alias("length")))
+        return F.struct((acc["at"] + F.length(stretch)).alias("at"), F.when(F.startswith(stretch, F.lit("1")), F.concat(acc["runs"], one)).otherwise(acc["runs"]).alias("runs"))
+
+    return F.aggregate(stretches, nothing, add, lambda acc: acc["runs"])
+
+
 def islands(haplotypes: DataFrame) -> DataFrame:
-    """The same runs with their places, (run_id, ind_id, copy, start, length), by position less row number."""
-    bits = haplotypes.select("run_id", "ind_id", "copy", F.posexplode(F.split("bits", "")).alias("position", "bit")).filter("bit = '1'")
-    w = Window.partitionBy("run_id", "ind_id", "copy").orderBy("position")
-    island = bits.withColumn("island", F.col("position") - F.row_number().over(w))
-    return island.groupBy("run_id", "ind_id", "copy", "island").agg(F.min("position").alias("start"), F.count("*").cast("int").alias("length")).drop("island")
+    """The same runs with their places, (run_id, ind_id, copy, start, length), without a shuffle."""
+    return haplotypes.select("run_id", "ind_id", "copy", F.explode(runs(F.col("bits"))).alias("r")).select("run_id", "ind_id", "copy", "r.start", "r.length")
 
 
 def fitness(mutations: DataFrame, model: str = "running") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def couples(mothers: DataFrame, people: DataFrame, cfg: Config, year: int) -> Da
     return pairs.select("run_id", "dad", "mom")
 
 
-def with_ids(births: DataFrame, last: DataFrame) -> DataFrame:
-    """births with child_id: consecutive numbers after each run's last id, in the order of a hash of the mother.
+def with_ids(births: DataFrame, last: DataFrame, cfg: Config, year: int) -> DataFrame:
+    """births with child_id: consecutive numbers after each run's last id, in the order of a hash of seed, run, year and mother.
 
-    `last` has run_id and last_id."""
-    u = uniform("child", F.col("mom"), run=F.col("run_id"))
+    `last` has run_id and last_id: a row a run."""
+    u = uniform("child", F.col("mom"), seed=cfg.seed, run=F.col("run_id"), year=year)
     return ranked(births.withColumn("_u", u), "_u", "mom").join(F.broadcast(last), "run_id").withColumn("child_id", F.col("last_id") + F.col("rank")).drop("_u", "rank", "last_id")
 
 
@@ -96,6 +98,32 @@ def children(births: DataFrame, people: DataFrame, cfg: Config, year: int) -> Da
     return b.select(*out)
 
 
+def with_newborn(people: DataFrame, newborn: DataFrame) -> DataFrame:
+    """People and the newborn; what newborn rows don't have is null."""
+    return people.unionByName(newborn, allowMissingColumns=True)
+
+
+#: Twice as many generations are covered with each round; no pedigree is deeper than that.
+ROUNDS = 40
+
+
+def pedigree_depth(people: DataFrame, saved: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(run_id, ind_id, depth): generations between a person and the first mother of the line, who has no father (dad -1).
+
+    Each round joins everybody with the ancestor reached so far, which doubles the reach: as many joins as the depth has binary digits. Lines that leave
+    the table are left out. `saved` cuts lineage between rounds.
+    """
+    first = F.col("dad") == -1
+    at = saved(people.select("run_id", "ind_id", F.when(~first, F.col("mom")).alias("above"), F.when(first, 0).otherwise(1).alias("depth")))
+    for _ in range(ROUNDS):
+        up = at.select("run_id", F.col("ind_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        done = at.filter("above IS NULL")
+        if at.count() == done.count():
+            return done.select("run_id", "ind_id", "depth")
+        at = saved(done.unionByName(at.join(up, ["run_id", "above"]).select("run_id", "ind_id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))))
+    raise ValueError("a line of mothers without an end")
+
+
 def after_births(people: DataFrame, births: DataFrame, year: int) -> DataFrame:
     """Mothers get this year as year of their last birth and one birth more."""
     moms = births.groupBy("run_id", F.col("mom").alias("ind_id")).agg(F.count("*").cast("int").alias("_born"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .genome import blocks, copies, ones
+from .genome import blocks, copies, islands, ones, words
 from .mortality import breeders
 
 
@@ -45,9 +45,15 @@ def block_stats(haplotypes: DataFrame, arms: DataFrame | None = None) -> DataFra
 
 
 def position_counts(haplotypes: DataFrame) -> DataFrame:
-    """(run_id, position, n): set bits at each position over all copies; partial sums keep the shuffle to a row a position and task."""
-    bits = haplotypes.select("run_id", F.posexplode(F.split("bits", "")).alias("position", "bit"))
-    return bits.filter("bit = '1'").groupBy("run_id", "position").agg(F.count("*").alias("n"))
+    """(run_id, position, n): set bits at each position over all copies, where there are any.
+
+    Runs of 1 count up where they start and down where they end; the running sum of these changes, at most a row a position and run, holds up to the next.
+    """
+    ends = islands(haplotypes).select("run_id", F.explode(F.array(F.struct(F.col("start").alias("position"), F.lit(1).alias("step")), F.struct((F.col("start") + F.col("length")).alias("position"), F.lit(-1).alias("step")))).alias("e"))
+    steps = ends.select("run_id", "e.*").groupBy("run_id", "position").agg(F.sum("step").alias("step"))
+    order = Window.partitionBy("run_id").orderBy("position")
+    level = steps.withColumn("n", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("past", F.lead("position").over(order)).filter("n > 0")
+    return level.select("run_id", F.explode(F.expr("sequence(position, past - 1)")).alias("position"), "n")
 
 
 def coverage(haplotypes: DataFrame, numbits: int) -> DataFrame:
@@ -60,7 +66,8 @@ def coverage(haplotypes: DataFrame, numbits: int) -> DataFrame:
 
 def heterozygosity(haplotypes: DataFrame, sizes: DataFrame, numbits: int) -> DataFrame:
     """Percentage of positions that differ between a person's copies, over the whole population (sizes: run_id, n)."""
-    differ = F.size(F.filter(F.arrays_zip(F.split("c0", "").alias("a"), F.split("c1", "").alias("b")), lambda x: x["a"] != x["b"]))
+    bits = F.zip_with(words(F.col("c0"), numbits), words(F.col("c1"), numbits), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
     h = copies(haplotypes).groupBy("run_id").agg(F.sum(differ).alias("het"))
     return sizes.join(h, "run_id", "left").select("run_id", F.coalesce("het", F.lit(0)).alias("het"), (F.coalesce("het", F.lit(0)) / (numbits * F.col("n")) * 100).alias("av_heterozygosity"))
 
@@ -93,3 +100,8 @@ def interval(year: Column, width: int) -> Column:
 def interval_counts(events: DataFrame, width: int) -> DataFrame:
     """Counts of each kind of event per run and save interval."""
     return events.groupBy("run_id", interval(F.col("sim_year"), width).alias("interval")).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("marriage", "birth", "random_death", "cull_death")])
+
+
+def with_last_size(results: DataFrame) -> DataFrame:
+    """Results with last_numinds: the population size of the row before, of the same run; null in the first."""
+    return results.withColumn("last_numinds", F.lag("numinds").over(Window.partitionBy("run").orderBy("year")))

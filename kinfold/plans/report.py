@@ -34,6 +34,15 @@ def results_row(state, events: DataFrame, cfg: Config, year: int) -> DataFrame:
     return row.select(F.col("run_id").alias("run"), F.lit(year).alias("year"), *[value(c).alias(c) for c in RESULTS[2:]])
 
 
+#: Results that are printed with one decimal (fixed names of the model's output).
+ONE_DECIMAL = ["av_ind_fitness", "av_bin_fitness", "av_mutations_per_ind", "av_mutations_per_bin"]
+
+
+def printed(results: DataFrame) -> DataFrame:
+    """Results with fitness and mutation averages as text with one decimal, halves to even."""
+    return results.withColumns({c: F.format_string("%.1f", F.bround(F.col(c), 1)) for c in ONE_DECIMAL})
+
+
 def series(results: DataFrame, variables: list[str]) -> DataFrame:
     """(run, year, variable, value) of chosen results, for plots."""
     return results.unpivot(["run", "year"], variables, "variable", "value")
@@ -63,3 +72,10 @@ def mutation_pixels(mutations: DataFrame) -> DataFrame:
     b = genome.bin_fitness(mutations)
     colour = lambda pos, zero, neg: F.when(F.col("total") > 0, pos).when(F.col("total") < 0, neg).otherwise(zero)
     return b.select("run_id", "ind_id", "copy", "position", colour(0, 255, 255).alias("r"), colour(255, 255, 0).alias("g"), colour(0, 255, 0).alias("b"))
+
+
+def mutation_rows(people: DataFrame, mutations: DataFrame) -> DataFrame:
+    """(run_id, ind_id, copy, spots): what each body row of a mutation map shows, as an array of (position, r, g, b), empty for people without mutations."""
+    spots = mutation_pixels(mutations).groupBy("run_id", "ind_id", "copy").agg(F.array_sort(F.collect_list(F.struct("position", "r", "g", "b"))).alias("spots"))
+    grid = people.select("run_id", "ind_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    return grid.join(spots, ["run_id", "ind_id", "copy"], "left").withColumn("spots", F.coalesce("spots", F.array().cast(spots.schema["spots"].dataType)))

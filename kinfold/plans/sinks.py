@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.genome import ones
-from .report import RULER, genome_rows, mutation_pixels, ruler
+from .report import RULER, genome_rows, mutation_rows, ruler
 
 #: Columns of the deaths log and where each comes from (fixed names of the model's output).
 DEATHS = {
@@ -36,6 +36,11 @@ def survivor_rows(people: DataFrame, year: int) -> DataFrame:
     return death_rows(people.withColumn("year", F.lit(year)).withColumn("cause", F.lit("-1"))).orderBy("run_id", "ID")
 
 
+def log_rows(dead: DataFrame, people: DataFrame, year: int) -> DataFrame:
+    """The deaths log as it is at the end of a run: all deaths, and the survivors with the last year in place of a year of death."""
+    return death_rows(dead).unionByName(survivor_rows(people, year))
+
+
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """One folder of CSV parts with a header, partitioned by run where there is one."""
     w = df.write.mode("append" if append else "overwrite").option("header", True)
@@ -74,12 +79,10 @@ def genome_map(people: DataFrame, haplotypes: DataFrame, arms: DataFrame, numbit
 
 def mutation_map(people: DataFrame, mutations: DataFrame, arms: DataFrame, numbits: int, limit: int = 20_000) -> bytes:
     """The same for bins: black without mutations, white neutral, green better, red worse."""
-    spots = mutation_pixels(mutations).groupBy("run_id", "ind_id", "copy").agg(F.collect_list(F.struct("position", "r", "g", "b")).alias("spots"))
-    grid = people.select("run_id", "ind_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).join(spots, ["run_id", "ind_id", "copy"], "left")
     body = []
-    for r in map_rows(grid, limit):
+    for r in map_rows(mutation_rows(people, mutations), limit):
         line = bytearray(3 * numbits)
-        for p in r["spots"] or ():
+        for p in r["spots"]:
             line[3 * p["position"] : 3 * p["position"] + 3] = bytes((p["r"], p["g"], p["b"]))
         body.append(bytes(line))
     return png(numbits, ruler_rows(arms, numbits) + body)

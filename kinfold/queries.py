@@ -11,6 +11,7 @@ from .config import Config
 from .functions.rng import integer, poisson, poisson_table, uniform, uniform_sql, weibull
 from .operators import genome, mating, mortality, people, statistics
 from .plans import report, sinks
+from .plans.state import checkpointer
 from .sources import dims, founders, views
 from .sources.views import duck
 
@@ -77,7 +78,7 @@ def half_even(x: str) -> str:
 def births(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = views.individuals(spark, sf_dir)
     last = who.groupBy("run_id").agg(F.max("ind_id").alias("last_id"))
-    return people.with_ids(people.couples(people.eligible_mothers(who, CFG, YEAR), who, CFG, YEAR), last)
+    return people.with_ids(people.couples(people.eligible_mothers(who, CFG, YEAR), who, CFG, YEAR), last, CFG, YEAR)
 
 
 def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +167,35 @@ def mother_update(spark, sf_dir):
         UNION ALL SELECT i.ind_id, d.depth + 1 FROM individuals i JOIN d ON i.mom = d.ind_id)
     SELECT ind_id, CAST(depth AS INTEGER) AS depth FROM d""" % views.INDIVIDUALS)
 def pedigree_depth_recursive(spark, sf_dir):
-    return spark.sql(
-        """WITH RECURSIVE d(ind_id, depth) MAX RECURSION LEVEL 1000 AS (SELECT ind_id, 0 FROM {people} WHERE dad = -1
-           UNION ALL SELECT i.ind_id, d.depth + 1 FROM {people} i JOIN d ON i.mom = d.ind_id) SELECT ind_id, depth FROM d""",
-        people=views.individuals(spark, sf_dir),
+    return people.pedigree_depth(views.individuals(spark, sf_dir), checkpointer(spark)).select("ind_id", "depth")
+
+
+# ind_id // 3 % 4 - 1 stands for the fewest generations: the views have none
+LEAST = "CAST(ind_id // 3 % 4 - 1 AS INTEGER)"
+SAME = "CASE WHEN greatest(d.g, m.g) >= 0 THEN greatest(d.g, m.g) + 1 ELSE -1 END"
+
+
+@query(
+    duck(
+        f"""SELECT b.child_id AS ind_id, {SAME} AS same, CASE WHEN d.g >= 0 AND m.g >= 0 THEN least(d.g, m.g) + 1 ELSE {SAME} END AS true_least
+        FROM births b JOIN least_gens d ON d.ind_id = b.dad JOIN least_gens m ON m.ind_id = b.mom""",
+        "individuals",
+        **TO_BIRTHS,
+        least_gens=f"SELECT ind_id, {LEAST} AS g FROM individuals",
     )
+)
+def child_min_generations(spark, sf_dir):
+    who = views.individuals(spark, sf_dir).withColumn("min_genealo_gens", F.expr("cast(ind_id div 3 % 4 - 1 as int)"))
+    born = births(spark, sf_dir)
+    made = lambda how, name: people.children(born, who, CFG.changed(genealogy_min=how), YEAR).select("ind_id", F.col("min_genealo_gens").alias(name))
+    return made("same", "same").join(made("true", "true_least"), "ind_id")
+
+
+@query(duck("SELECT ind_id, sex, birth_year, dad, mom, year_of_last_birth FROM individuals UNION ALL SELECT child_id, CAST(floor(%s * 2) AS INTEGER), 0, dad, mom, NULL FROM births" % uniform_sql("sex", "child_id", run="run_id"), "individuals", **TO_BIRTHS))
+def append_newborn(spark, sf_dir):
+    who = views.individuals(spark, sf_dir)
+    born = people.children(births(spark, sf_dir), who, CFG, YEAR)
+    return people.with_newborn(who, born).select("ind_id", "sex", "birth_year", "dad", "mom", "year_of_last_birth")
 
 
 # marriage
@@ -207,8 +232,6 @@ def mate_argmin_age(spark, sf_dir):
 
 @query(None)
 def distance_marriage(spark, sf_dir):
-    from .plans.simulate import checkpointer
-
     return mating.distance_pairs(views.individuals(spark, sf_dir), CFG.changed(random_mating=DISTANCE), YEAR, checkpointer(spark)).select("man", "woman")
 
 
@@ -549,14 +572,15 @@ def with_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     duck(
         f"""SELECT round(sum(fitness) / count(*), 9) AS av_ind_fitness, round(sum(fitness) / ({NUMBITS} * count(*) * 2), 9) AS av_bin_fitness, (SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id) AS num_mutations,
-        round((SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id)::DOUBLE / count(*), 9) AS av_mutations_per_ind FROM individuals""",
+        round((SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id)::DOUBLE / count(*), 9) AS av_mutations_per_ind,
+        round((SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id)::DOUBLE / (count(*) * {NUMBITS} * 2), 9) AS av_mutations_per_bin FROM individuals""",
         "individuals",
         "mutations",
     )
 )
 def fitness_stats(spark, sf_dir):
     f = statistics.fitness_stats(with_mutations(spark, sf_dir), NUMBITS)
-    return f.select(*[F.round(c, 9).alias(c) for c in ("av_ind_fitness", "av_bin_fitness")], "num_mutations", F.round("av_mutations_per_ind", 9).alias("av_mutations_per_ind"))
+    return f.select(*[F.round(c, 9).alias(c) for c in ("av_ind_fitness", "av_bin_fitness")], "num_mutations", *[F.round(c, 9).alias(c) for c in ("av_mutations_per_ind", "av_mutations_per_bin")])
 
 
 @query(duck("SELECT ind_id, copy, position, round(1 + sum(effect) / 1000.0::DOUBLE, 9) AS fitness, count(*) AS num FROM mutations GROUP BY ind_id, copy, position", "mutations"))
@@ -587,9 +611,9 @@ def hist_all_zero_filled(spark, sf_dir):
 # reports
 
 
-@query(duck("SELECT CAST(ceil(sim_year / 3.0) AS INTEGER) AS interval, count(CASE WHEN kind = 'marriage' THEN 1 END) AS marriages, count(CASE WHEN kind = 'birth' THEN 1 END) AS births, count(CASE WHEN kind = 'random_death' THEN 1 END) AS random_deaths FROM yearly_events GROUP BY 1", "yearly_events"))
+@query(duck("SELECT CAST(ceil(sim_year / 3.0) AS INTEGER) AS interval, count(CASE WHEN kind = 'marriage' THEN 1 END) AS marriages, count(CASE WHEN kind = 'birth' THEN 1 END) AS births, count(CASE WHEN kind = 'random_death' THEN 1 END) AS random_deaths, count(CASE WHEN kind = 'cull_death' THEN 1 END) AS cull_deaths FROM yearly_events GROUP BY 1", "yearly_events"))
 def interval_tracking(spark, sf_dir):
-    return statistics.interval_counts(views.yearly_events(spark, sf_dir), 3).select("interval", "marriages", "births", "random_deaths")
+    return statistics.interval_counts(views.yearly_events(spark, sf_dir), 3).select("interval", "marriages", "births", "random_deaths", "cull_deaths")
 
 
 MARKS = """SELECT x, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY chrom DESC, o DESC) AS n FROM (
@@ -633,23 +657,76 @@ def survivors_sorted(spark, sf_dir):
 
 @query(
     duck(
-        f"""SELECT (SELECT count(*) FROM individuals)::DOUBLE AS numinds, (SELECT count(*) FROM lengths)::DOUBLE AS tot_blocks, (SELECT round_even(sum(n)::DOUBLE / count(*), 1) FROM lengths) AS av_block_size,
-        (SELECT round(count(*) / {NUMBITS}::DOUBLE * 100, 9) FROM counts) AS perc_seed_genome_retained, (SELECT count(CASE WHEN mt_gens > 0 THEN 1 END) FROM individuals)::DOUBLE AS mt_descends,
-        (SELECT round(sum(fitness) / count(*), 9) FROM individuals) AS av_ind_fitness, (SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id)::DOUBLE AS num_mutations""",
+        """SELECT i.ind_id, CAST(c.copy AS INTEGER) AS copy, count(CASE WHEN m.t > 0 THEN 1 END) AS better, count(CASE WHEN m.t = 0 THEN 1 END) AS neutral, count(CASE WHEN m.t < 0 THEN 1 END) AS worse, CAST(min(m.position) AS INTEGER) AS first_bin
+        FROM individuals i CROSS JOIN (SELECT unnest([0, 1]) AS copy) c LEFT JOIN (SELECT ind_id, copy, position, sum(effect) AS t FROM mutations GROUP BY ALL) m ON m.ind_id = i.ind_id AND m.copy = c.copy GROUP BY ALL""",
         "individuals",
-        "haplotypes",
         "mutations",
-        lengths=LENGTHS,
-        counts=COUNTS,
     )
 )
-def results_row(spark, sf_dir):
+def mutation_map_rows(spark, sf_dir):
+    rows = report.mutation_rows(views.individuals(spark, sf_dir), views.mutations(spark, sf_dir))
+    of = lambda r, g: F.size(F.filter("spots", lambda p: (p["r"] == r) & (p["g"] == g))).cast("bigint")
+    return rows.select("ind_id", "copy", of(0, 255).alias("better"), of(255, 255).alias("neutral"), of(255, 0).alias("worse"), F.get("spots", F.lit(0))["position"].alias("first_bin"))
+
+
+@query(
+    duck(
+        """SELECT ind_id AS ID, birth_year AS birthyear, CASE WHEN ind_id IN (SELECT ind_id FROM dead) THEN 0 ELSE 7 END AS deathyear, CASE WHEN ind_id IN (SELECT ind_id FROM dead) THEN 'r' ELSE '-1' END AS CauseOfDeath FROM individuals""",
+        "individuals",
+        "actuarial",
+        **TO_DEAD,
+    )
+)
+def deaths_with_survivors(spark, sf_dir):
+    who, gone = views.individuals(spark, sf_dir), dead(spark, sf_dir)
+    log = sinks.log_rows(who.join(gone, ["run_id", "ind_id"]).withColumn("year", F.lit(YEAR)), mortality.without(who, gone), 7)
+    return log.select("ID", "birthyear", "deathyear", "CauseOfDeath")
+
+
+MUTATED = "(SELECT count(*) FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id)::DOUBLE"
+SIZE = "(SELECT count(*) FROM individuals)::DOUBLE"
+EVENT = "(SELECT count(*) FROM yearly_events WHERE sim_year = 0 AND kind = '{}')::DOUBLE AS {}s"
+ROW = f"""SELECT 0 AS run, 0 AS year, {SIZE} AS numinds, {', '.join(EVENT.format(k, k) for k in ('marriage', 'birth', 'random_death', 'cull_death'))},
+    (SELECT count(CASE WHEN allele_count > 0 THEN 1 END) FROM dna)::DOUBLE AS genetic_descends, (SELECT count(CASE WHEN max_genealo_gens > 0 THEN 1 END) FROM dna)::DOUBLE AS genealo_descends,
+    (SELECT count(CASE WHEN y_gens > 0 THEN 1 END) FROM dna)::DOUBLE AS Y_descends, (SELECT count(CASE WHEN mt_gens > 0 THEN 1 END) FROM dna)::DOUBLE AS mt_descends,
+    (SELECT sum(length(replace(centromeres, '0', ''))) FROM dna)::DOUBLE AS num_centromeres, (SELECT count(*) FROM lengths)::DOUBLE AS tot_blocks, (SELECT m FROM mean_length) AS av_block_size,
+    (SELECT round_even(sqrt(round_even(CAST(sum(n * n) AS DOUBLE) / count(*) - 2 * max(m) * CAST(sum(n) AS DOUBLE) / count(*) + max(m) * max(m), 2)), 1) FROM lengths, mean_length) AS sd_block_size,
+    (SELECT sum(fitness) / count(*) FROM individuals) AS av_ind_fitness, (SELECT sum(fitness) / ({NUMBITS} * count(*) * 2) FROM individuals) AS av_bin_fitness, {MUTATED} AS num_mutations,
+    {MUTATED} / {SIZE} AS av_mutations_per_ind, {MUTATED} / ({SIZE} * {NUMBITS} * 2) AS av_mutations_per_bin, (SELECT count(*) / {NUMBITS}::DOUBLE * 100 FROM counts) AS perc_seed_genome_retained,
+    (SELECT CAST(sum(n) AS DOUBLE) / (count(*) * {NUMBITS}) FROM counts) AS av_seed_genome_coverage, (SELECT CAST(sum(d) AS DOUBLE) FROM differ) / ({NUMBITS}::BIGINT * {SIZE}) * 100 AS av_heterozygosity"""
+TO_ROW = {
+    "dna": PEOPLE_DNA,
+    "lengths": LENGTHS,
+    "mean_length": "SELECT round_even(CAST(sum(n) AS DOUBLE) / count(*), 1) AS m FROM lengths",
+    "counts": COUNTS,
+    "differ": "SELECT len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda x: x[1] <> x[2])) AS d FROM (SELECT ind_id, max(CASE copy WHEN 0 THEN bits END) AS a, max(CASE copy WHEN 1 THEN bits END) AS b FROM haplotypes GROUP BY ind_id)",
+    "one_row": ROW,
+}
+ROW_VIEWS = ("individuals", "haplotypes", "mutations", "yearly_events")
+
+
+def one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     from types import SimpleNamespace
 
     who = with_dna(spark, sf_dir).join(with_mutations(spark, sf_dir).select("run_id", "ind_id", "mutations"), ["run_id", "ind_id"])
     state = SimpleNamespace(people=who, haplotypes=views.haplotypes(spark, sf_dir), sizes=who.groupBy("run_id").agg(F.count("*").alias("n")))
-    row = report.results_row(state, views.yearly_events(spark, sf_dir), CFG.changed(track_DNA=True), YEAR)
-    return row.select("numinds", "tot_blocks", "av_block_size", F.round("perc_seed_genome_retained", 9).alias("perc_seed_genome_retained"), "mt_descends", F.round("av_ind_fitness", 9).alias("av_ind_fitness"), "num_mutations")
+    return report.results_row(state, views.yearly_events(spark, sf_dir), CFG.changed(track_DNA=True, track_mutations=True), YEAR)
+
+
+@query(duck("SELECT run, year, %s FROM one_row" % ", ".join(f"round({c}, 9) AS {c}" for c in report.RESULTS[2:]), *ROW_VIEWS, **TO_ROW))
+def results_row(spark, sf_dir):
+    return one_row(spark, sf_dir).select("run", "year", *[F.round(c, 9).alias(c) for c in report.RESULTS[2:]])
+
+
+@query(duck("SELECT run, year, %s FROM one_row" % ", ".join(f"format('{{:.1f}}', round_even({c}, 1)) AS {c}" for c in report.ONE_DECIMAL), *ROW_VIEWS, **TO_ROW))
+def results_printed(spark, sf_dir):
+    return report.printed(one_row(spark, sf_dir)).select("run", "year", *report.ONE_DECIMAL)
+
+
+@query(duck("SELECT sim_year AS year, numinds, lag(numinds) OVER (ORDER BY sim_year) AS last_numinds FROM (SELECT sim_year, count(*) AS numinds FROM yearly_events GROUP BY 1)", "yearly_events"))
+def population_lag(spark, sf_dir):
+    sizes = views.yearly_events(spark, sf_dir).groupBy(F.col("run_id").alias("run"), F.col("sim_year").alias("year")).agg(F.count("*").alias("numinds"))
+    return statistics.with_last_size(sizes).select("year", "numinds", "last_numinds")
 
 
 @query(duck("SELECT CAST(interval AS INTEGER) AS interval, variable, value FROM (SELECT CAST(ceil(sim_year / 3.0) AS INTEGER) AS interval, count(CASE WHEN kind = 'marriage' THEN 1 END) AS marriages, count(CASE WHEN kind = 'birth' THEN 1 END) AS births FROM yearly_events GROUP BY 1) UNPIVOT (value FOR variable IN (marriages, births))", "yearly_events"))

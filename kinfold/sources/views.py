@@ -29,7 +29,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 EVENTS = """
 SELECT CAST(0 AS int) AS run_id, CAST(year(o_orderdate) - 1992 AS int) AS sim_year,
-       CASE o_orderstatus WHEN 'F' THEN 'birth' WHEN 'O' THEN 'marriage' ELSE 'random_death' END AS kind
+       CASE o_orderstatus WHEN 'F' THEN 'birth' WHEN 'O' THEN 'marriage' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'random_death' ELSE 'cull_death' END END AS kind
 FROM orders
 """
 HAPLOTYPES_DUCK = """

@@ -13,7 +13,7 @@ from kinfold.functions.ranking import ranked, running_sum
 from kinfold.functions.rng import poisson_table
 from kinfold.operators import genome, mating, mortality, people, statistics
 from kinfold.plans import report, sinks
-from kinfold.plans.simulate import checkpointer, simulate
+from kinfold.plans.state import checkpointer
 from kinfold.sources import dims, founders
 from kinfold.streaming.intervals import interval_stream
 
@@ -128,25 +128,6 @@ def test_distance_marriage_is_serial_choice(spark):
     assert sorted(map(tuple, got.select("man", "woman").collect())) == sorted(want)
 
 
-def test_run_keeps_its_invariants(spark):
-    cfg = Config(scenario="Flood", num_runs=2, start_pop_size=40, max_pop_size=40, max_growth_rate=9.0, birth_prob=1, spacing=0, track_DNA=True, track_dead=True, save_interval=1, menopause=0.9, seed=11)
-    o = simulate(spark, cfg, years=1)
-    who = o.state.people.collect()
-    assert len({(p["run_id"], p["ind_id"]) for p in who}) == len(who)
-    by = {(p["run_id"], p["ind_id"]): p for p in who}
-    for p in who:
-        if p["marriage_state"] >= 0:
-            mate = by[p["run_id"], p["marriage_state"]]
-            assert mate["marriage_state"] == p["ind_id"] and mate["sex"] != p["sex"]
-    born = o.events.filter("kind = 'birth'").count()
-    assert born > 0
-    assert len(who) + o.deaths.count() == 12 + born
-    assert {len(r["bits"]) for r in o.state.haplotypes.select("bits").collect()} == {3046}
-    rows = o.results.collect()
-    assert {r["year"] for r in rows} == {0, 1} and list(rows[0].asDict()) == report.RESULTS
-    assert sum(r["births"] for r in rows) == born
-
-
 def test_partitions_do_not_change_draws(spark):
     cfg = Config(start_pop_size=200)
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -205,3 +186,49 @@ def test_stream_of_events(spark, tmp_path):
     run.stop()
     got = {(r["interval"], r["kind"]): r["n"] for r in spark.table("intervals").collect()}
     assert got == {(i, k): 1 if i == 0 else 3 for i in range(4) for k in ("birth", "marriage")}
+
+
+def test_poisson_of_large_means():
+    """The cumulative chances end near 1 and have their middle at the mean, far beyond where exp(-mean) is 0."""
+    for mean in (0.0, 0.3, 40.0, 1000.0, 5000.0):
+        table = poisson_table(mean)
+        assert table == sorted(table) and table[-1] == pytest.approx(1, abs=1e-9)
+        assert abs(sum(c < 0.5 for c in table) - mean) <= 1
+
+
+def test_pedigree_of_a_long_line(spark):
+    """More generations than a recursive query allows; a line that leaves the table is left out, one without an end is refused."""
+    n = 1500
+    rows = [(0, i, -1 if i == 0 else 0, i - 1) for i in range(n)] + [(0, 5000, 1, 4999), (1, 0, -1, -1), (1, 1, 0, 0)]
+    df = spark.createDataFrame(rows, "run_id int, ind_id bigint, dad bigint, mom bigint")
+    got = {(r["run_id"], r["ind_id"]): r["depth"] for r in people.pedigree_depth(df, checkpointer(spark)).collect()}
+    assert got == {(0, i): i for i in range(n)} | {(1, 0): 0, (1, 1): 1}
+
+
+def test_ids_depend_on_seed_and_year(spark):
+    births = spark.createDataFrame([(0, 0, m) for m in range(40)], "run_id int, dad bigint, mom bigint")
+    last = spark.createDataFrame([(0, 99)], "run_id int, last_id bigint")
+    ids = lambda seed, year: tuple(r["child_id"] for r in people.with_ids(births, last, Config(seed=seed), year).orderBy("mom").collect())
+    assert len({ids(0, 0), ids(0, 1), ids(5, 0)}) == 3 and sorted(ids(5, 1)) == list(range(100, 140)) and ids(0, 1) == ids(0, 1)
+
+
+def test_runs_and_words(spark):
+    bits = ["0000", "1111", "0110111001", "1", "0", "10" * 100 + "1"]
+    df = spark.createDataFrame([(0, i, 0, b) for i, b in enumerate(bits)], "run_id int, ind_id bigint, copy int, bits string")
+    want = {(i, m.start(), len(m.group())) for i, b in enumerate(bits) for m in __import__("re").finditer("1+", b)}
+    assert {(r["ind_id"], r["start"], r["length"]) for r in genome.islands(df).collect()} == want
+    counts = {r["position"]: r["n"] for r in statistics.position_counts(df).collect()}
+    assert counts == {p: n for p in range(201) if (n := sum(b[p : p + 1] == "1" for b in bits))}
+    w = df.filter("ind_id = 5").select(genome.words(F.col("bits"), 201).alias("w")).first()["w"]
+    assert w == [int(bits[5][k : k + 62], 2) for k in range(0, 201, 62)]
+
+
+def test_population_queries_without_a_library_of_the_others():
+    """Where a library that only the text operators need is missing, the entry still has the population queries."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
+    assert set(out.stdout.split()) == set(q.QUERIES)
