@@ -94,7 +94,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]
 def with_home(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, text, rk, home) dealt by `home`, and the number of homes.
 
-    A home is a group of about GROUP_BYTES of text by a hash of the id; rk tells rows of one home apart (rows equal in
+    A home is a group of about GROUP_BYTES of text by a hash of id and text, so that rows that share an id, or have none, don't meet in one; rk tells rows of one home apart (rows equal in
     id and text share it, and share every result). Keys gathered over the whole corpus come back to the
     homes that asked for them, so nothing is broadcast and no task holds more than a home. Documents are
     dealt once; Spark reuses the exchange wherever the same frame is read again.
@@ -102,8 +102,7 @@ def with_home(docs: DataFrame) -> tuple[DataFrame, int]:
     base = byte_texts(docs)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(1, -(-total // GROUP_BYTES))
-    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(homes)).cast("int")
-    return base.withColumn("rk", F.xxhash64("doc_id", "text")).withColumn("home", home).repartition(homes, "home"), homes
+    return base.withColumn("rk", F.xxhash64("doc_id", "text")).withColumn("home", F.pmod("rk", F.lit(homes)).cast("int")).repartition(homes, "home"), homes
 
 
 def signed(x: np.ndarray) -> np.ndarray:

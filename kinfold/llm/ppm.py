@@ -5,7 +5,7 @@ end) that follows it, and how often in the training texts; shorter contexts are
 symbol is PPM's: from the longest context on, a symbol with count c of n in a context with d distinct symbols has (2c - 1) / 2n; a
 symbol not seen there costs an escape of d / 2n, and the symbols of longer contexts are excluded from shorter ones; at
 last what is left of the 257 symbols is equally likely. It depends on the last ORDER bytes alone, so it is worked out once per distinct context
-and symbol of the whole corpus, where all contexts that end in the same two bytes meet, and comes back to the homes whose
+and symbol of the whole corpus, where all contexts that end in the same three bytes meet with the counts after the last two, and comes back to the homes whose
 documents hold it. Words and their counts, for the base score, travel the same way. Nothing is broadcast but
 the counts after single bytes (at most 256 * 257 numbers).
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import short_batches, with_home, written
@@ -27,6 +27,8 @@ from .common import short_batches, with_home, written
 ORDER, END, SYMBOLS = 5, 256, 257
 #: Bytes of text that are packed in one go.
 CHUNK = 1 << 20
+#: Homes that one row of the table of keys names at most; a key of more homes has several rows.
+HOMES = 4096
 #: The end of a document in the table of words: no word holds white space.
 END_WORD = b" "
 
@@ -137,14 +139,15 @@ def counter(by: int | None, out: int):
     return count
 
 
-def chances(grams: np.ndarray, counts: np.ndarray, low: dict[int, dict[int, int]], zero: dict[int, int]) -> np.ndarray:
-    """log10 of the probability of each (context, symbol); grams are all those whose contexts end in the same two bytes, low the counts after each single byte, zero those of symbols."""
+def chances(grams: np.ndarray, counts: np.ndarray, two: dict[int, int], low: dict[int, dict[int, int]], zero: dict[int, int]) -> np.ndarray:
+    """log10 of the probability of each (context, symbol); grams are all those whose contexts end in the same three bytes, two the counts of
+    symbols after the last two of these, low those after each single byte, zero those of symbols."""
     tables: dict[int, dict[int, int]] = {}
     mask = [(1 << (8 * k)) - 1 for k in range(ORDER + 1)]
     contexts, symbols = (grams >> 9).tolist(), (grams & 511).tolist()
     for ctx, sym, n in zip(contexts, symbols, counts.tolist(), strict=True):
         if n:
-            for k in range(2, ORDER + 1):
+            for k in range(3, ORDER + 1):
                 t = tables.setdefault((k << 60) | (ctx & mask[k]), {})
                 t[sym] = t.get(sym, 0) + n
     #: per chain of contexts: (symbols' chances so far as log10, escape so far)
@@ -157,7 +160,7 @@ def chances(grams: np.ndarray, counts: np.ndarray, low: dict[int, dict[int, int]
         found: dict[int, float] = {}
         cost = 0.0
         for k in range(ORDER, -1, -1):
-            t = tables.get((k << 60) | (ctx & mask[k])) if k > 1 else low.get(ctx & 255) if k == 1 else zero
+            t = tables.get((k << 60) | (ctx & mask[k])) if k > 2 else two if k == 2 else low.get(ctx & 255) if k == 1 else zero
             if not t:
                 continue
             rest = {s: c for s, c in t.items() if s not in found} if found else t
@@ -189,12 +192,18 @@ def chances(grams: np.ndarray, counts: np.ndarray, low: dict[int, dict[int, int]
 
 def scorer(low: dict[int, dict[int, int]], zero: dict[int, int]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of (ending, gram, n, homes) sorted by ending and gram."""
+        """Batches of (ending, gram, n, homes) sorted by ending and gram; rows without homes are the counts after the last two bytes."""
 
         def finish(parts: list) -> Iterator[pa.RecordBatch]:
             grams, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            logs = chances(grams, counts, low, zero)
             homes = pa.concat_arrays([p[2] for p in parts])
+            own = homes.is_valid().to_numpy(zero_copy_only=False)
+            two = dict(zip((grams[~own] & 511).tolist(), counts[~own].tolist(), strict=True))
+            if not own.any():
+                return
+            grams, counts, homes = grams[own], counts[own], homes.filter(pa.array(own))
+            distinct, back = np.unique(grams, return_inverse=True)
+            logs = chances(distinct, np.bincount(back, counts, len(distinct)).astype(np.int64), two, low, zero)[back]
             where = np.repeat(np.arange(len(grams)), homes.value_lengths().to_numpy())
             flat = homes.flatten()
             for a in range(0, len(flat), 100_000):
@@ -261,18 +270,26 @@ def scored(docs: DataFrame, by: int | None = 7, out: int = 2) -> DataFrame:
     dealt, homes = with_home(docs)
     counts = dealt.select("doc_id", "text", "home").groupBy("home").applyInArrow(counter(by, out), COUNTS)
     # a home asks once for each of its words and grams, so no key has more rows than there are homes
-    keys = written(counts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")), "keys")
-    words = keys.filter("word is not null").select("word", "n", "homes")
-    ending = (F.shiftright("gram", 9).bitwiseAND(F.lit(0xFFFF))).cast("int")
-    grams = keys.filter("gram is not null").select("gram", "n", "homes", ending.alias("ending"))
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    keys = written(counts.groupBy("word", "gram", F.floor(F.col("home") / HOMES).alias("part")).agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")), "keys")
+    words = keys.filter("word is not null").select("word", "n", "homes", "part")
+    if homes > HOMES:
+        words = words.withColumn("n", F.sum("n").over(Window.partitionBy("word")))
+    ending = lambda mask: F.shiftright("gram", 9).bitwiseAND(F.lit(mask)).cast("int")
+    grams = keys.filter("gram is not null").select("gram", "n", "homes", ending(0xFFFFFF).alias("ending"))
+    every = words.groupBy("word").agg(F.max("n").alias("n")) if homes > HOMES else words
+    tokens, distinct = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     # counts after single bytes: 256 * 257 numbers at most
     low: dict[int, dict[int, int]] = {}
     zero: dict[int, int] = {}
     for r in grams.filter("n > 0").groupBy(F.col("ending").bitwiseAND(F.lit(255)).alias("c"), F.col("gram").bitwiseAND(F.lit(511)).alias("s")).agg(F.sum("n").alias("n")).collect():
         low.setdefault(r["c"], {})[r["s"]] = r["n"]
         zero[r["s"]] = zero.get(r["s"], 0) + r["n"]
-    by_gram = grams.select("ending", "gram", "n", "homes").repartition("ending").sortWithinPartitions("ending", "gram").mapInArrow(scorer(low, zero), "home int, gram long, value double")
+    # counts after two bytes go to each ending that has them: endings and symbols are some thousands each, whatever the corpus
+    two = grams.filter("n > 0").groupBy(F.col("ending").bitwiseAND(F.lit(0xFFFF)).alias("last"), F.col("gram").bitwiseAND(F.lit(511)).alias("gram")).agg(F.sum("n").alias("n"))
+    endings = grams.select("ending").distinct().withColumn("last", F.col("ending").bitwiseAND(F.lit(0xFFFF)))
+    after_two = endings.join(two, "last").select("ending", "gram", "n", F.lit(None).cast("array<int>").alias("homes"))
+    both = grams.select("ending", "gram", "n", "homes").unionByName(after_two)
+    by_gram = both.repartition("ending").sortWithinPartitions("ending", "gram").mapInArrow(scorer(low, zero), "home int, gram long, value double")
     by_word = words.select(F.explode("homes").alias("home"), "word", F.col("n").cast("double").alias("value"))
     model = by_gram.withColumn("word", F.lit(None).cast("binary")).unionByName(by_word.withColumn("gram", F.lit(None).cast("long"))).select("home", "word", "gram", "value")
     return dealt.groupBy("home").cogroup(model.groupBy("home")).applyInArrow(finisher(int(tokens), int(distinct), by, out), FINAL)
