@@ -25,6 +25,8 @@ from .common import mixed, short_batches, signed, with_home
 WINDOW, GRAM = 200, 64
 #: Bytes of text whose anchors are found in one go (a longer document is one go of its own), and of one block of a run.
 CHUNK, BLOCK = 1 << 20, 1 << 16
+#: Bits of a place within a chunk: no text has as many bytes.
+PLACE_BITS = np.uint64(32)
 #: Groups of entries up to this size are compared in pairs, larger ones by classes.
 PAIRS = 20
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -49,15 +51,15 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     h = gram_hashes(data)
     w = WINDOW - GRAM + 1
     n = len(data) - WINDOW + 1
-    # the least of w neighbours, by minima from both ends of blocks of w; the place is in the low bits, so that the leftmost wins
-    bits = np.uint64(int(len(data)).bit_length())
-    ranked = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    # the least of w neighbours, by minima from both ends of blocks of w; the place is in the low bits, so that the leftmost wins. As many bits of the
+    # hash count in every chunk, however long, or equal windows might have different anchors
+    ranked = (h >> PLACE_BITS << PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(h)] = ranked
     blocks = padded.reshape(-1, w)
     before = np.minimum.accumulate(blocks, axis=1).ravel()
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(after[:n], before[w - 1 : w - 1 + n]) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    at = (np.minimum(after[:n], before[w - 1 : w - 1 + n]) & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(lens)])
     doc = np.repeat(np.arange(len(texts)), lens)[:n]
     valid = np.arange(n) + WINDOW <= starts[doc + 1]
