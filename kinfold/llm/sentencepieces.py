@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from .common import byte_texts, rows, short_batches
 
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+#: A token that stands between parts that are encoded together, and how many these are.
+SEPARATOR, JOINED = "\U0010fffd", 1000
 _codecs: dict[str, Codec] = {}
 
 
@@ -122,44 +125,58 @@ class Codec:
         else:
             least = min((s for _, s, kind in spec.pieces if kind == 1), default=0.0) - 1000
             model = models.Unigram([(p, s if kind == 1 else least) for p, (_, s, kind) in zip(names, spec.pieces, strict=True)], unk_id=vocab.get(unknown), byte_fallback=spec.byte_fallback)
-        self.tok = tk.Tokenizer(model)
-        self.tok.add_tokens([tk.AddedToken(p, normalized=False, special=False) for p, _, kind in spec.pieces if kind == 4])
+        # `alone` for single parts, `tok` for parts that are joined by a separator
+        self.alone, self.tok = tk.Tokenizer(model), tk.Tokenizer(model)
         rules = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
         if spec.squeeze:
             rules += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
         self.normal = normalizers.Sequence(rules) if rules else None
-        self.marker = pre_tokenizers.Metaspace(MARK, "always" if spec.dummy_prefix else "never", split=False)
         self.parts = not any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces) and not any(kind == 4 for *_, kind in spec.pieces)
         steps = [decoders.Replace(unknown, " ⁇ ")] if unknown else []
         steps += [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        self.tok.decoder = decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []))
+        for t in (self.alone, self.tok):
+            t.add_tokens([tk.AddedToken(p, normalized=False, special=False) for p, _, kind in spec.pieces if kind == 4])
+            # the prefix is added to the whole text (see `split`); markers are the library's
+            t.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "never", split=False)
+            t.decoder = decoders.Sequence(steps)
+        self.tok.add_special_tokens([tk.AddedToken(SEPARATOR, normalized=False, special=True)])
+        # what the decoder makes of each piece alone; bytes need their neighbours
+        self.text_of = self.alone.decode_batch([[i] for i in range(len(names))], skip_special_tokens=False)
+        self.is_byte = np.array([kind == 6 for *_, kind in spec.pieces] + [False])
+        # no piece goes beyond a line: its end is a byte
+        self.lines = self.parts and spec.byte_fallback and not any("\n" in p for p in names)
         self.control = np.array([kind == 3 for *_, kind in spec.pieces])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.judge = None
 
     def normalised(self, text: str) -> str:
         return self.normal.normalize_str(text) if self.normal is not None else text
 
-    def marked(self, text: str) -> str:
-        """The normalised text with markers for spaces."""
-        text = self.normalised(text)
-        # Metaspace adds no prefix where the text begins with a space, the model does
-        ahead = MARK if self.spec.dummy_prefix and text[:1] in (" ", MARK) else ""
-        return ahead + "".join(x for x, _ in self.marker.pre_tokenize_str(text)) if text else ""
-
     def split(self, text: str) -> list[str]:
-        m = self.marked(text)
-        if not self.parts or not m:
-            return [m] if m else []
-        first, *more = m.split(MARK)
-        out, run = [first] if first else [], MARK
+        """A normalised text in parts that are encoded one by one: spaces with what follows up to the next space or end of a line, and these ends."""
+        if not text:
+            return []
+        if self.spec.dummy_prefix:
+            text = " " + text
+        if not self.parts:
+            return [text]
+        if self.lines and "\n" in text:
+            whole, *rest = text.split("\n")
+            return [*self._words(whole), *chain.from_iterable(["\n", *self._words(line)] for line in rest)]
+        return self._words(text)
+
+    def _words(self, text: str) -> list[str]:
+        first, *more = text.split(" ")
+        if "" not in more:
+            return ([first] if first else []) + [" " + w for w in more]
+        out, run = [first] if first else [], " "
         for w in more:
             if w:
                 out.append(run + w)
-                run = MARK
+                run = " "
             else:
-                run += MARK
+                run += " "
         return out + [run[:-1]] * (len(run) > 1)
 
     def judged(self):
@@ -170,30 +187,61 @@ class Codec:
         return self.judge
 
     def _encoded(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids if not self.unused else [x for i in e.ids for x in self.unused.get(i, (i,))]
-            self.young[w] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Each text's ids as little-endian uint32, and whether the sentencepiece library gives the same for the whole text."""
+        """Encodes and decodes parts many at a time, as one text around a token of its own."""
+        odd = [w for w in new if SEPARATOR in w]
+        for w, e in zip(odd, self.alone.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.young[w] = np.array(self._used(e.ids), "<u4").tobytes(), self.alone.decode(self._used(e.ids), skip_special_tokens=False)
+        new = [w for w in new if SEPARATOR not in w] if odd else new
+        chunks = [new[a : a + JOINED] for a in range(0, len(new), JOINED)]
+        between = self.tok.token_to_id(SEPARATOR)
+        for chunk, e in zip(chunks, self.tok.encode_batch_fast([SEPARATOR.join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = self._used(e.ids)
+            flat = np.array(ids, "<u4")
+            cuts = np.flatnonzero(flat == between)
+            first, past = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            held = np.concatenate([[0], np.cumsum(self.is_byte[np.minimum(flat, len(self.is_byte) - 1)])])
+            raw, some = flat.tobytes(), (held[past] > held[first]).tolist()
+            with_bytes = iter(self.tok.decode_batch([ids[a:b] for a, b, x in zip(first, past, some, strict=True) if x], skip_special_tokens=False))
+            for w, a, b, x in zip(chunk, first, past, some, strict=True):
+                self.young[w] = raw[4 * a : 4 * b], next(with_bytes) if x else "".join([self.text_of[i] for i in ids[a:b]])
+
+    def _used(self, ids: list[int]) -> list[int]:
+        return [x for i in ids for x in self.unused.get(i, (i,))] if self.unused else ids
+
+    def coded(self, texts: list[str]) -> list[tuple[bytes, bool, str, bool]]:
+        """Of each text its ids as little-endian uint32, whether the sentencepiece library gives the same for the whole text, the text decoded from them, and whether
+        that is the text as the model normalises it. Each distinct part is encoded, and its ids are decoded, once per cache generation."""
         if len(self.young) > CACHE_WORDS or not self.parts:  # whole texts aren't kept
             self.young, self.old = {}, self.young if self.parts else {}
-        split = [self.split(t) for t in texts]
-        new = set().union(*split) - self.young.keys() if split else set()
-        for w in [w for w in new if w in self.old]:
-            self.young[w] = self.old[w]
+        plain = [self.normalised(t) for t in texts]
+        split = [self.split(t) for t in plain]
+        young, old = self.young, self.old
+        new = set(chain.from_iterable(split)) - young.keys()
+        for w in [w for w in new if w in old]:
+            young[w] = old[w]
             new.discard(w)
         if new:
             self._encoded(list(new))
-        made = [b"".join([self.young[w] for w in parts]) for parts in split]
-        return [(ids, np.array(sure, "<u4").tobytes() == ids) for ids, sure in zip(made, self.judged().encode(texts, num_threads=1), strict=True)]
+        out = []
+        for text, parts, sure in zip(plain, split, self.judged().encode(texts, num_threads=1), strict=True):
+            made = [young[w] for w in parts]
+            ids, back = b"".join([m[0] for m in made]), self._bare("".join([m[1] for m in made]))
+            out.append((ids, np.array(sure, "<u4").tobytes() == ids, back, back == text.replace(MARK, " ")))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Each text's ids as little-endian uint32, and whether the sentencepiece library gives the same for the whole text."""
+        return [made[:2] for made in self.coded(texts)]
+
+    def _bare(self, text: str) -> str:
+        return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The texts of ids, without the prefix that encoding added."""
         arrays = [np.frombuffer(x, "<u4") for x in ids]
         if any(len(x) and int(x.max()) >= len(self.control) for x in arrays):
             raise ValueError("an id is outside the vocabulary")
-        return self.tok.decode_batch([x[~self.control[x]].tolist() for x in arrays], skip_special_tokens=False)
+        return [self._bare(t) for t in self.alone.decode_batch([x[~self.control[x]].tolist() for x in arrays], skip_special_tokens=False)]
 
 
 def codec(path: str) -> Codec:
@@ -225,20 +273,19 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     b += 1
                 texts = [t.decode("utf-8", "replace") for _, t in all_rows[a:b]]
                 out: list[tuple] = []
-                made = c.encode(texts)
-                for (doc_id, _), text, (ids, same), back in zip(all_rows[a:b], texts, made, c.decode([ids for ids, _ in made]), strict=True):
-                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, back == c.normalised(text).replace(MARK, " "), ids, back))
+                for (doc_id, _), (ids, same, back, again) in zip(all_rows[a:b], c.coded(texts), strict=True):
+                    out.append((doc_id, len(ids) // 4, zlib.crc32(ids), same, again, ids, back))
                 a = b
                 *cols, all_ids, backs = zip(*out, strict=True)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
                 arrays, names = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
                 if with_ids:
                     starts = pa.array(np.cumsum([0, *cols[1]]), pa.int32())
-                    arrays += [pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int64))), pa.array(backs, pa.string())]
+                    arrays += [pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), "<i4"))), pa.array(backs, pa.string())]
                     names += ["ids", "text"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return byte_texts(docs).mapInArrow(run, SCHEMA + ", ids array<long>, text string" * with_ids)
+    return byte_texts(docs).mapInArrow(run, SCHEMA + ", ids array<int>, text string" * with_ids)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:

@@ -293,7 +293,7 @@ def test_sentencepiece_unigram_model(tmp_path):
     """A unigram model with byte fallback."""
     c, judge = handmade(tmp_path / "u.model", START + BYTES + [(p, s, 1) for p, s in LETTERS], bpe=False, byte_fallback=True)
     assert not c.spec.bpe and c.spec.byte_fallback
-    tests = ["ab", "abba cab", "ba  ab", "zab", "", " a", "é ab", "<s> a<unk>"]
+    tests = ["ab", "abba cab", "ba  ab", "zab", "", " a", "é ab", "<s> a<unk>", f"a{sentencepieces.SEPARATOR}b c"]
     got = c.encode(tests)
     for t, (ids, same), back in zip(tests, got, c.decode([ids for ids, _ in got]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == judge.encode(t) and same
@@ -320,7 +320,7 @@ def test_sentencepiece_user_defined_and_unused_pieces(tmp_path, bpe):
 def test_sentencepiece_parity_is_compared_for_every_text(tmp_path, bpe):
     """A model with a character map and squeezed spaces has parity; with another tokenizer in its place no text that differs passes."""
     import sentencepiece
-    from tokenizers import Tokenizer, models
+    from tokenizers import AddedToken, Tokenizer, models
 
     # the library's own character map: its normaliser's model holds it
     spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
@@ -336,6 +336,7 @@ def test_sentencepiece_parity_is_compared_for_every_text(tmp_path, bpe):
     assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == [judge.encode(t) for t in tests] and all(same for _, same in got)
     assert c.decode([ids for ids, _ in got]) == [judge.decode(np.frombuffer(ids, "<u4").tolist()) for ids, _ in got]
     c.tok = Tokenizer(models.WordLevel({"<unk>": 0}, unk_token="<unk>"))
+    c.tok.add_special_tokens([AddedToken(sentencepieces.SEPARATOR, normalized=False, special=True)])
     c.young, c.old = {}, {}
     wrong = c.encode(tests)
     assert [same for _, same in wrong] == [np.frombuffer(ids, "<u4").tolist() == judge.encode(t) for t, (ids, _) in zip(tests, wrong, strict=True)]
