@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, written
+from .common import broadcastable, keyed, written
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -162,7 +162,8 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weight
     upto = F.sum("words").over(Window.partitionBy("h.sources").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     cut = hist.alias("h").join(table, F.col("h.sources").eqNullSafe(F.col("t.sources"))).select("t.*", "bin", "words", upto.alias("upto")).filter("upto >= left and upto - words < left")
     cut = cut.select(F.col("sources").alias("cut_sources"), F.col("bin").alias("cut"), (F.col("left") - F.col("upto") + F.col("words")).alias("rest")).alias("c")
-    plan_table = table.join(cut, F.col("t.sources").eqNullSafe(F.col("c.cut_sources")), "left").select("t.*", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest")).alias("p")
+    plan_table = table.join(cut, F.col("t.sources").eqNullSafe(F.col("c.cut_sources")), "left").select("t.*", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest"))
+    plan_table = broadcastable(written(plan_table, "cuts")).alias("p")  # a row a pattern
     joined = base.alias("b").join(plan_table, F.col("b.sources").eqNullSafe(F.col("p.sources"))).select("b.*", "whole", "source_size", "target", "cut", "rest")
     order = Window.partitionBy("sources").orderBy("key", "doc_id", "tie", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("size").over(order)

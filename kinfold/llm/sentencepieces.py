@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import byte_texts, rows, short_batches
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: A token that stands between parts that are encoded together, and how many these are.
 SEPARATOR, JOINED = "\U0010fffd", 1000
 _codecs: dict[str, Codec] = {}
@@ -140,14 +140,14 @@ class Codec:
             t.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "never", split=False)
             t.decoder = decoders.Sequence(steps)
         self.tok.add_special_tokens([tk.AddedToken(SEPARATOR, normalized=False, special=True)])
-        # what the decoder makes of each piece alone; bytes need their neighbours
+        # what the decoder makes of each piece alone; bytes from 0x80 on need their neighbours
         self.text_of = self.alone.decode_batch([[i] for i in range(len(names))], skip_special_tokens=False)
-        self.is_byte = np.array([kind == 6 for *_, kind in spec.pieces] + [False])
+        self.in_pairs = np.array([kind == 6 and int(p[3:5], 16) > 127 for p, _, kind in spec.pieces])
         # no piece goes beyond a line: its end is a byte
         self.lines = self.parts and spec.byte_fallback and not any("\n" in p for p in names)
         self.control = np.array([kind == 3 for *_, kind in spec.pieces])
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.judge = None
 
     def normalised(self, text: str) -> str:
@@ -187,61 +187,65 @@ class Codec:
         return self.judge
 
     def _encoded(self, new: list[str]) -> None:
-        """Encodes and decodes parts many at a time, as one text around a token of its own."""
+        """Encodes parts many at a time, as one text around a token of its own."""
         odd = [w for w in new if SEPARATOR in w]
         for w, e in zip(odd, self.alone.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(self._used(e.ids), "<u4").tobytes(), self.alone.decode(self._used(e.ids), skip_special_tokens=False)
+            self.young[w] = np.array(self._used(e.ids), "<u4").tobytes()
         new = [w for w in new if SEPARATOR not in w] if odd else new
         chunks = [new[a : a + JOINED] for a in range(0, len(new), JOINED)]
         between = self.tok.token_to_id(SEPARATOR)
         for chunk, e in zip(chunks, self.tok.encode_batch_fast([SEPARATOR.join(c) for c in chunks], add_special_tokens=False), strict=True):
-            ids = self._used(e.ids)
-            flat = np.array(ids, "<u4")
-            cuts = np.flatnonzero(flat == between)
-            first, past = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            held = np.concatenate([[0], np.cumsum(self.is_byte[np.minimum(flat, len(self.is_byte) - 1)])])
-            raw, some = flat.tobytes(), (held[past] > held[first]).tolist()
-            with_bytes = iter(self.tok.decode_batch([ids[a:b] for a, b, x in zip(first, past, some, strict=True) if x], skip_special_tokens=False))
-            for w, a, b, x in zip(chunk, first, past, some, strict=True):
-                self.young[w] = raw[4 * a : 4 * b], next(with_bytes) if x else "".join([self.text_of[i] for i in ids[a:b]])
+            ids = np.array(self._used(e.ids), "<u4")
+            cuts = 4 * np.flatnonzero(ids == between)
+            raw = ids.tobytes()
+            for w, a, b in zip(chunk, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                self.young[w] = raw[a:b]
 
     def _used(self, ids: list[int]) -> list[int]:
         return [x for i in ids for x in self.unused.get(i, (i,))] if self.unused else ids
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, bool, str, bool]]:
         """Of each text its ids as little-endian uint32, whether the sentencepiece library gives the same for the whole text, the text decoded from them, and whether
-        that is the text as the model normalises it. Each distinct part is encoded, and its ids are decoded, once per cache generation."""
+        that is the text as the model normalises it. Each distinct part is encoded once per cache generation."""
         if len(self.young) > CACHE_WORDS or not self.parts:  # whole texts aren't kept
             self.young, self.old = {}, self.young if self.parts else {}
         plain = [self.normalised(t) for t in texts]
         split = [self.split(t) for t in plain]
         young, old = self.young, self.old
-        new = set(chain.from_iterable(split)) - young.keys()
+        found = [list(map(young.get, parts)) for parts in split]
+        again = [k for k, made in enumerate(found) if None in made]
+        new = {w for k in again for w, made in zip(split[k], found[k], strict=True) if made is None}
         for w in [w for w in new if w in old]:
             young[w] = old[w]
             new.discard(w)
         if new:
             self._encoded(list(new))
+        for k in again:
+            found[k] = [young[w] for w in split[k]]
         out = []
-        for text, parts, sure in zip(plain, split, self.judged().encode(texts, num_threads=1), strict=True):
-            made = [young[w] for w in parts]
-            ids, back = b"".join([m[0] for m in made]), self._bare("".join([m[1] for m in made]))
-            out.append((ids, np.array(sure, "<u4").tobytes() == ids, back, back == text.replace(MARK, " ")))
+        for text, made, sure in zip(plain, found, self.judged().encode(texts, num_threads=1), strict=True):
+            ids = b"".join(made)
+            same = np.array(sure, "<u4").tobytes() == ids
+            back = self._text(np.frombuffer(ids, "<u4"), sure if same else None)
+            out.append((ids, same, back, back == text.replace(MARK, " ")))
         return out
 
+    def _text(self, ids: np.ndarray, listed: list[int] | None = None) -> str:
+        """The text of ids: that of each piece, by the decoder, one after the other; where bytes belong together, the decoder's text of all."""
+        listed = ids.tolist() if listed is None else listed
+        text = self.alone.decode(listed, skip_special_tokens=False) if self.in_pairs[ids].any() else "".join([self.text_of[i] for i in listed])
+        return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Each text's ids as little-endian uint32, and whether the sentencepiece library gives the same for the whole text."""
         return [made[:2] for made in self.coded(texts)]
 
-    def _bare(self, text: str) -> str:
-        return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
-
     def decode(self, ids: list[bytes]) -> list[str]:
         """The texts of ids, without the prefix that encoding added."""
         arrays = [np.frombuffer(x, "<u4") for x in ids]
         if any(len(x) and int(x.max()) >= len(self.control) for x in arrays):
             raise ValueError("an id is outside the vocabulary")
-        return [self._bare(t) for t in self.alone.decode_batch([x[~self.control[x]].tolist() for x in arrays], skip_special_tokens=False)]
+        return [self._text(x[~self.control[x]]) for x in arrays]
 
 
 def codec(path: str) -> Codec:

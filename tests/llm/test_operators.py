@@ -336,6 +336,7 @@ def test_sentencepiece_parity_is_compared_for_every_text(tmp_path, bpe):
     assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == [judge.encode(t) for t in tests] and all(same for _, same in got)
     assert c.decode([ids for ids, _ in got]) == [judge.decode(np.frombuffer(ids, "<u4").tolist()) for ids, _ in got]
     c.tok = Tokenizer(models.WordLevel({"<unk>": 0}, unk_token="<unk>"))
+    c.text_of, c.in_pairs = ["?"] * 5, np.zeros(5, bool)
     c.tok.add_special_tokens([AddedToken(sentencepieces.SEPARATOR, normalized=False, special=True)])
     c.young, c.old = {}, {}
     wrong = c.encode(tests)
