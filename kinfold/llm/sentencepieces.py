@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -225,7 +226,7 @@ class Codec:
         out = []
         for text, made, sure in zip(plain, found, self.judged().encode(texts, num_threads=1), strict=True):
             ids = b"".join(made)
-            same = np.array(sure, "<u4").tobytes() == ids
+            same = array("I", sure).tobytes() == ids
             back = self._text(np.frombuffer(ids, "<u4"), sure if same else None)
             out.append((ids, same, back, back == text.replace(MARK, " ")))
         return out
@@ -233,7 +234,7 @@ class Codec:
     def _text(self, ids: np.ndarray, listed: list[int] | None = None) -> str:
         """The text of ids: that of each piece, by the decoder, one after the other; where bytes belong together, the decoder's text of all."""
         listed = ids.tolist() if listed is None else listed
-        text = self.alone.decode(listed, skip_special_tokens=False) if self.in_pairs[ids].any() else "".join([self.text_of[i] for i in listed])
+        text = self.alone.decode(listed, skip_special_tokens=False) if self.in_pairs[ids].any() else "".join(map(self.text_of.__getitem__, listed))
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
