@@ -7,6 +7,10 @@ belong to a repeated window and are left out first. Each home group sorts the re
 of anchors, merges its own equal entries, and front-codes the runs; shards receive runs and combine them with a
 loser tree that compares two suffixes only beyond the prefix both are known to share with the last one out. The
 common prefixes that come with the merge, and those of the reversed left sides, tell which windows of an anchor are equal.
+
+The entries of one anchor meet in one shard, so this is for anchors that occur up to HOT times. Of the others (a passage that very many documents
+share, each in a context of its own) each home merges its equal entries too, and sends each distinct window once, dealt by a 128-bit hash of
+its bytes instead of by anchor; where a hash comes from two homes, or twice from one, the window is repeated. No anchor, however common, makes a large group.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +35,10 @@ CHUNK, BLOCK = 1 << 20, 1 << 16
 PLACE_BITS = np.uint64(32)
 #: Groups of entries up to this size are compared in pairs, larger ones by classes.
 PAIRS = 20
+#: Anchors that occur more often are dealt by windows; the entries of others (under half a kB each) stay below GROUP_BYTES.
+HOT = 20_000
+#: In place of a run's number: the row is a window of a hot anchor, its hash the payload, its count (2: twice or more) in `past`.
+HOT_RUN = -1
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -86,7 +96,7 @@ def chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each home's distinct anchor hashes, and how often each occurs there (2: twice or more)."""
+    """Each home's distinct anchor hashes, and how often each occurs there."""
     found: dict[int, list] = {}
     def rows():
         for batch in batches:
@@ -101,7 +111,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
         for a in range(0, len(keys), 200_000):
             k = keys[a : a + 200_000]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(k)), "home": pa.array(np.full(len(k), home, np.int32)), "n": pa.array(np.minimum(n[a : a + 200_000], 2).astype(np.int8))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(k)), "home": pa.array(np.full(len(k), home, np.int32)), "n": pa.array(n[a : a + 200_000].astype(np.int32))})
 
 
 RUNS = "shard int, run int, seq int, payload binary, home int, rk long, first long, past long"
@@ -269,33 +279,63 @@ def _ranges(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, k) for k in KINDS[:4]] + [pa.array(c, k) for c, k in zip(cols, KINDS[4:], strict=True)], NAMES)
 
 
+def distinct(entries: list[tuple], home: int, found: list[tuple]) -> list[tuple]:
+    """A home's entries (suffix, reversed left side, row key, place, repeated) sorted, equal ones as one that is repeated; their ranges are added to found."""
+    entries.sort()
+    run: list[tuple] = []
+    for e in entries:
+        if run and e[0] == run[-1][0] and e[1] == run[-1][1]:
+            for x in (e, run[-1]):
+                if not x[4]:
+                    found.append((home, x[2], x[3] - len(x[1]), x[3] + len(x[0])))
+            run[-1] = (*run[-1][:4], True)
+        else:
+            run.append(e)
+    return run
+
+
+def hot_windows(run: list[tuple], home: int, shards: int, found: list[tuple]) -> pa.RecordBatch:
+    """One row for each distinct window of a home's distinct entries of one hot anchor; ranges of those that occur twice there are added to found."""
+    seen: dict[bytes, tuple | None] = {}
+    for right, left, rk, p, many in run:
+        text, start = left[::-1] + right, p - len(left)
+        for i in range(len(text) - WINDOW + 1):
+            key = xxhash.xxh3_128_digest(text[i : i + WINDOW])
+            here = None if many else (home, rk, start + i, start + i + WINDOW)
+            if key in seen:
+                found += [x for x in (seen[key], here) if x]
+                here = None
+            seen[key] = here
+    n = len(seen)
+    shard = (np.frombuffer(b"".join(seen), ">u8")[::2] % np.uint64(shards)).astype(np.int32)
+    one = [(x[1], x[2], 1) if x else (None, None, 2) for x in seen.values()]
+    cols = [shard, np.full(n, HOT_RUN, np.int32), np.zeros(n, np.int32), list(seen), np.full(n, home, np.int32), *zip(*one, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], NAMES)
+
+
 def run_maker(shards: int):
     def make(key: tuple[pa.Scalar, ...], docs: pa.Table, keys: pa.Table) -> pa.Table:
         home = key[0].as_py()
-        wanted = np.sort(keys.column("key").to_numpy())
+        order = np.argsort(keys.column("key").to_numpy())
+        wanted, often = keys.column("key").to_numpy()[order], keys.column("hot").to_numpy()[order]
         out: list[pa.RecordBatch] = []
         by: dict[int, list] = {}
+        hot: dict[int, list] = {}
         texts_of = zip(docs.column("rk").to_pylist(), (t.as_py() for t in docs.column("text")), strict=True)
         for rks, texts in chunks(texts_of) if len(wanted) else ():
             doc, p, first, last, h = anchors(texts)
             at = np.minimum(np.searchsorted(wanted, signed(h)), len(wanted) - 1)
             hit = np.flatnonzero(wanted[at] == signed(h))
             shard = (h[hit] % np.uint64(shards)).astype(int).tolist()
-            for d, q, a, b, s in zip(doc[hit].tolist(), p[hit].tolist(), first[hit].tolist(), last[hit].tolist(), shard, strict=True):
+            for d, q, a, b, s, k in zip(doc[hit].tolist(), p[hit].tolist(), first[hit].tolist(), last[hit].tolist(), shard, at[hit].tolist(), strict=True):
                 t = texts[d]
-                by.setdefault(s, []).append((t[q : b + WINDOW], t[a:q][::-1], rks[d], q, False))
+                group = hot.setdefault(k, []) if often[k] else by.setdefault(s, [])
+                group.append((t[q : b + WINDOW], t[a:q][::-1], rks[d], q, False))
         found: list[tuple] = []
+        while hot:
+            out.append(hot_windows(distinct(hot.popitem()[1], home, found), home, shards, found))
         for s, entries in by.items():
-            entries.sort()
-            run: list[tuple] = []
-            for e in entries:
-                if run and e[0] == run[-1][0] and e[1] == run[-1][1]:
-                    for x in (e, run[-1]):
-                        if not x[4]:
-                            found.append((home, x[2], x[3] - len(x[1]), x[3] + len(x[0])))
-                    run[-1] = (*run[-1][:4], True)
-                else:
-                    run.append(e)
+            run = distinct(entries, home, found)
             entries.clear()
             for seq, block in enumerate(coded(run)):
                 out.append(pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((s, home, seq, block, None, None, None, None), KINDS, strict=True)], NAMES))
@@ -306,7 +346,8 @@ def run_maker(shards: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges each shard's runs (rows sorted by shard, run, seq); ranges that are known already pass through."""
+    """Merges each shard's runs (rows sorted by shard, run, seq, payload); ranges that are known already pass through. A shard's windows of hot
+    anchors come before its runs, equal ones one after the other, and are told apart as they stream by."""
 
     def finish(runs: dict[int, list[bytes]]) -> pa.RecordBatch:
         found: list[tuple] = []
@@ -323,14 +364,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found += repeats(group, lcps)
         return _ranges(_joined(found))
 
-    shard, runs = None, {}
+    def again(windows: pa.RecordBatch) -> pa.RecordBatch:
+        """Ranges of windows that other homes have too; the last window of a batch is kept for the next."""
+        nonlocal last
+        found = []
+        for key, *here, n in zip(*(windows.column(c).to_pylist() for c in ("payload", "home", "rk", "first", "past")), strict=True):
+            here = here if n == 1 else None
+            if last and last[0] == key:
+                found += [(*x, x[2] + WINDOW) for x in (last[1], here) if x]
+                here = None
+            last = (key, here)
+        return _ranges(_joined(found))
+
+    shard, runs, last = None, {}, None
     for batch in batches:
         known = batch.filter(batch.column("payload").is_null())
         if known.num_rows:
             yield known
+        batch = batch.filter(batch.column("payload").is_valid())
+        is_window = pc.equal(batch.column("run"), HOT_RUN)
+        windows, batch = batch.filter(is_window), batch.filter(pc.invert(is_window))
+        if windows.num_rows:
+            yield again(windows)
         for s, run, block in zip(*(batch.column(c).to_pylist() for c in NAMES[:2]), (x.as_py() for x in batch.column("payload")), strict=True):
-            if block is None:
-                continue
             if s != shard and runs:
                 yield finish(runs)
                 runs = {}
@@ -373,11 +429,11 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     dealt, homes = with_home(docs)
-    hashes = dealt.select("text", "home").mapInArrow(_hashes, "key long, home int, n tinyint")
-    repeated = hashes.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).filter("all > 1").select("home", "key")
+    hashes = dealt.select("text", "home").mapInArrow(_hashes, "key long, home int, n int")
+    repeated = hashes.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).filter("all > 1").select("home", "key", (F.col("all") > HOT).alias("hot"))
     runs = dealt.groupBy("home").cogroup(repeated.groupBy("home")).applyInArrow(run_maker(homes), RUNS)
     # ranges that are known already travel with their home's number as shard
     spread = F.coalesce("shard", F.pmod("home", F.lit(homes)))
-    ranges = runs.repartition(homes, spread).sortWithinPartitions("shard", "run", "seq").mapInArrow(_merge, RUNS).select("home", "rk", "first", "past")
+    ranges = runs.repartition(homes, spread).sortWithinPartitions("shard", "run", "seq", "payload").mapInArrow(_merge, RUNS).select("home", "rk", "first", "past")
     final = dealt.groupBy("home").cogroup(ranges.groupBy("home")).applyInArrow(finisher(with_text), FINAL)
     return final if with_text else final.drop("spans", "kept")

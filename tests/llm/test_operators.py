@@ -508,6 +508,21 @@ def test_suffix_dedup_of_shifted_and_tiny_alphabets(spark, monkeypatch, pairs):
     assert plain(suffix_dedup.dedup(df), *FIVE) == sorted(brute_suffixes(rows), key=repr)
 
 
+@pytest.mark.parametrize("hot", [1, 6])
+def test_suffix_dedup_of_hot_anchors(spark, docs, texts, monkeypatch, hot):
+    """Anchors above HOT are dealt by windows: passages in contexts of their own, copies in one home and in several, rows that share an id."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "GROUP_BYTES", 4000)
+    r = random.Random(hot)
+    passage = " ".join(words(r, 60))
+    rows = [(i, " ".join(words(r, r.randrange(40))) + passage[r.randrange(2) * 9 : len(passage) - r.randrange(3) * 7] + " ".join(words(r, r.randrange(40)))) for i in range(60)]
+    rows += [(60 + i, rows[i % 5][1]) for i in range(20)] + [(100, "ab" * 500), (101, None), (102, "")] + rows[:3]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert plain(suffix_dedup.dedup(df), *FIVE) == sorted(brute_suffixes(rows), key=repr)
+    monkeypatch.setattr(common, "GROUP_BYTES", 200_000)
+    assert plain(suffix_dedup.dedup(docs), *FIVE) == sorted(brute_suffixes(numbered(texts)), key=repr)
+
+
 def test_merge_is_sorted_with_its_prefixes():
     r = random.Random(1)
     runs = [sorted((bytes(r.choice(b"ab") for _ in range(r.randrange(1, 12))), b"", 0, 0, False) for _ in range(r.randrange(0, 30))) for _ in range(7)]
