@@ -5,8 +5,8 @@ text and once with that of bad text. The difference of the compressed sizes over
 enters the score; a logistic fit on labelled texts that the dictionaries haven't seen makes it a probability. Pieces are short, so that
 a text that repeats itself is compressed by the dictionaries, not by itself.
 Fitting takes a bounded sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes a class, in the order of a
-hash of the id, of a text no more than its first TEXT_BYTES, so that no text takes the sample of the others. Scoring covers every
-document and all of its text.
+hash of the id; of a text longer than TEXT_BYTES as many pieces as fit in, evenly spread from its start to its end, so that no text takes the sample of the
+others. Scoring covers every document and all of its text.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import byte_texts, rows, short_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12 << 20
-#: What one text gives to the sample at most: a hundred texts fit in, however long.
-TEXT_BYTES = SAMPLE_BYTES // 100
 DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 1024, 3
+#: What one text gives to the sample at most (whole pieces): a hundred texts fit in, however long.
+TEXT_BYTES = SAMPLE_BYTES // 100 // PIECE * PIECE
 
 
 def remainder(id_col: str, by: int):
@@ -97,11 +97,18 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(w[0] / scale), float(w[1])
 
 
+def spread(text: str = "text"):
+    """A binary text of up to TEXT_BYTES whole; of a longer one, pieces at even distances that make TEXT_BYTES."""
+    n = TEXT_BYTES // PIECE
+    pieces = f"aggregate(sequence(0, {n - 1}), X'', (s, i) -> concat(s, substring({text}, cast(i * (octet_length({text}) - {PIECE}L) div {n - 1} AS int) + 1, {PIECE})))"
+    return F.expr(f"CASE WHEN octet_length({text}) <= {TEXT_BYTES} THEN {text} ELSE {pieces} END")
+
+
 def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tuple[int, bytes]]:
-    """At most SAMPLE_ROWS (label, first TEXT_BYTES of the text) a class, in hash order, of labelled rows that aren't held out."""
+    """At most SAMPLE_ROWS (label, text, or pieces of one beyond TEXT_BYTES) a class, in hash order, of labelled rows that aren't held out."""
     ids = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(remainder("doc_id", held_out_mod) != 0).distinct().withColumn("h", F.xxhash64("doc_id"))
     picked = ids.filter("quality = 0").orderBy("h", "doc_id").limit(SAMPLE_ROWS).unionByName(ids.filter("quality = 1").orderBy("h", "doc_id").limit(SAMPLE_ROWS))
-    texts = byte_texts(docs).withColumn("text", F.substring("text", 1, TEXT_BYTES)).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "quality", "text"])  # at most 2 * SAMPLE_ROWS ids
+    texts = byte_texts(docs).join(F.broadcast(picked), "doc_id").withColumn("text", spread()).dropDuplicates(["doc_id", "quality", "text"])  # at most 2 * SAMPLE_ROWS ids
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     return [(r["quality"], bytes(r["text"])) for r in texts.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).orderBy("h", "doc_id").select("quality", "text").collect()]
 
@@ -109,7 +116,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> list[tu
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Model:
     """Dictionaries from one half of the sample, calibration on the other.
 
-    Without four labelled texts of each class the score is the share of good labels, smoothed; longer texts count with their first TEXT_BYTES. Rows without
+    Without four labelled texts of each class the score is the share of good labels, smoothed; texts beyond TEXT_BYTES count with pieces from all over. Rows without
     an id or a text, repeated labels, ids with two labels or two texts, and labels other than 0 and 1 do no harm: each (id, label) counts once a text, null texts as empty ones.
     """
     got = sample(docs, labels, held_out_mod)

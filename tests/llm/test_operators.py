@@ -632,6 +632,16 @@ def test_quality_of_a_huge_text_first_in_order(spark):
     assert sum((scores[i] >= 0.3) == truth[i] for i in held) / len(held) > 0.95
 
 
+def test_quality_samples_long_texts_from_start_to_end(spark):
+    n, piece = quality.TEXT_BYTES, quality.PIECE
+    for size in (0, 1, n - 1, n, n + 1, 2 * n + 77, 9 * n):
+        text = random.Random(size).randbytes(size)
+        row = spark.createDataFrame([(bytearray(text),)], "text binary").select(quality.spread().alias("t")).first()
+        k = n // piece
+        want = text if size <= n else b"".join(text[i * (size - piece) // (k - 1) :][:piece] for i in range(k))
+        assert bytes(row["t"]) == want and (size <= n or want.endswith(text[-piece:]))
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality.fit(docs, none)
