@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, ngram_join, ppm, quality, sentencepieces, suffix_dedup, token_files, topk
+from . import alignment, bpe, exact_dedup, fim, licenses, mixing, ngram_join, ppm, quality, sentencepieces, suffix_dedup, token_files, topk
 from .common import table
 
 
@@ -59,7 +59,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_sentencepiece, op4_mixing, op5_suffix_dedup, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), with_groups=False)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50, with_text=False)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_sentencepiece, op4_mixing, op5_suffix_dedup, op6_quality, op7_exact_dedup, op8_topk, op9_licenses, op10_token_files, op11_alignment, op12_fim, op13_bpe)}
 
 ORACLE_SQL = {
     "op1_ngram_join": """
@@ -99,4 +111,14 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_fim": """
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        r AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, CAST(1 + 8 * k AS BIGINT), 8) AS BIGINT)) AS d FROM u),
+        c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS lo, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS hi,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+        p AS (SELECT doc_id, n, form, text, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:], '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p
+    """,
 }
