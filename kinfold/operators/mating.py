@@ -46,34 +46,112 @@ def candidates(men: DataFrame, women: DataFrame, distance: float) -> DataFrame:
     return near.select("run_id", F.col("m_ind_id").alias("man"), F.col("w_ind_id").alias("woman"), F.col("m_rank").alias("man_rank"), F.col("w_rank").alias("woman_rank"), gap.alias("gap"), F.when(gap > 0, 0).otherwise(1).alias("older"), F.abs(gap).alias("size"))
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """Each man's first choice: (run_id, man, woman, gap)."""
-    key = F.struct("older", "size", "woman_rank")
-    return pairs.groupBy("run_id", "man").agg(F.min_by("woman", key).alias("woman"), F.min_by("gap", key).alias("gap"))
+PLACE = ["run_id", "lat", "lon"]
+
+
+def near_places(men: DataFrame, women: DataFrame, distance: float) -> DataFrame:
+    """(run_id, lat, lon, at_lat, at_lon): for each place of a man the places within `distance` where women live. Coordinates are kept to two decimals, so there are
+    few places, however many people live there."""
+    m = men.select(*PLACE).distinct()
+    w = women.select("run_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon")).distinct()
+    if distance <= 0:
+        return m.withColumn("at_lat", F.col("lat")).withColumn("at_lon", F.col("lon")).join(w, ["run_id", "at_lat", "at_lon"], "left_semi").select(*PLACE, "at_lat", "at_lon")
+    cell = lambda c: F.floor(F.col(c) / distance)
+    steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    m = m.withColumn("dx", steps).withColumn("dy", steps).withColumn("x", cell("lat") + F.col("dx")).withColumn("y", cell("lon") + F.col("dy"))
+    w = w.withColumn("x", cell("at_lat")).withColumn("y", cell("at_lon"))
+    far = F.sqrt(F.pow(F.col("at_lat") - F.col("lat"), F.lit(2.0)) + F.pow(F.col("at_lon") - F.col("lon"), F.lit(2.0)))
+    return m.join(w, ["run_id", "x", "y"]).filter(far <= distance).select(*PLACE, "at_lat", "at_lon")
+
+
+def nearest(men: DataFrame, women: DataFrame, distance: float) -> DataFrame:
+    """Each man's first choice, (run_id, man, woman, gap), as `candidates` ranks them, by as-of matching instead of pairs.
+
+    A choice depends on a man's place and year of birth alone, and of the women of a place and year only the first in rank can be one. So both sides are grouped by place and year
+    first; at each place the years asked about and the women's years stand in one order, and windows carry the nearest later and the nearest earlier
+    woman to each; the best of the neighbouring places is the choice of all men of that place and year. men and women: as for `candidates`.
+    """
+    first = women.groupBy(*PLACE, "birth_year").agg(F.min(F.struct(F.col("rank").alias("rank"), F.col("ind_id").alias("woman"))).alias("w"))
+    first = first.select("run_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "birth_year", F.struct(F.col("birth_year").alias("year"), F.col("w.rank").alias("rank"), F.col("w.woman").alias("woman")).alias("w"))
+    near = near_places(men, women, distance)
+    asking = men.select(*PLACE, "birth_year").distinct().join(near, PLACE)
+    asked = asking.select("run_id", "at_lat", "at_lon", "birth_year").distinct().withColumn("w", F.lit(None).cast(first.schema["w"].dataType))
+    both = first.unionByName(asked)
+    here = Window.partitionBy("run_id", "at_lat", "at_lon")
+    is_ask = F.col("w").isNull()
+    # at equal years a woman stands before the question in the one order and behind it in the other: gap 0 counts as earlier
+    earlier = F.last("w", ignorenulls=True).over(here.orderBy("birth_year", is_ask).rowsBetween(Window.unboundedPreceding, 0))
+    later = F.last("w", ignorenulls=True).over(here.orderBy(F.desc("birth_year"), ~is_ask).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("earlier", earlier).withColumn("later", later).filter(is_ask)
+    choice = F.coalesce("later", "earlier")
+    gap = choice["year"] - F.col("birth_year")
+    found = found.filter(choice.isNotNull()).select("run_id", "at_lat", "at_lon", "birth_year", F.struct(F.when(gap > 0, 0).otherwise(1).alias("older"), F.abs(gap).alias("size"), choice["rank"].alias("rank"), choice["woman"].alias("woman"), gap.alias("gap")).alias("c"))
+    best = asking.join(found, ["run_id", "at_lat", "at_lon", "birth_year"]).groupBy(*PLACE, "birth_year").agg(F.min("c").alias("c"))
+    return men.join(best, [*PLACE, "birth_year"]).select("run_id", F.col("ind_id").alias("man"), F.col("c.woman").alias("woman"), F.col("c.gap").alias("gap"))
+
+
+def choices(men: DataFrame, women: DataFrame, distance: float, saved) -> tuple[DataFrame, DataFrame]:
+    """The women within reach of each place in order of years, and for each place and year of men how many of them are younger and how many there are.
+
+    (run_id, lat, lon, up, at, woman): at counts from 1 in rising years (up is true) or falling ones, by rank within a year. Numbers are given within a year and start where those
+    of the years before end, so no window holds all women of a place.
+    """
+    near = near_places(men, women, distance)
+    w = women.select("run_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), F.col("birth_year").alias("year"), F.col("rank").alias("woman_rank"), F.col("ind_id").alias("woman"))
+    reach = saved(near.join(w, ["run_id", "at_lat", "at_lon"]).select(*PLACE, "year", "woman_rank", "woman"))
+    place = Window.partitionBy(*PLACE)
+    years = reach.groupBy(*PLACE, "year").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum("n").over(place.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = F.coalesce(F.sum("n").over(place.orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    years = saved(years.select(*PLACE, "year", below.alias("below"), above.alias("above"), F.sum("n").over(place).alias("all")))
+    own = F.row_number().over(Window.partitionBy(*PLACE, "year").orderBy("woman_rank"))
+    numbered = reach.withColumn("n", own).join(years, [*PLACE, "year"])
+    both = F.explode(F.array(F.struct(F.lit(True).alias("up"), (F.col("below") + F.col("n")).alias("at")), F.struct(F.lit(False).alias("up"), (F.col("above") + F.col("n")).alias("at"))))
+    index = saved(numbered.select(*PLACE, "woman", both.alias("b")).select(*PLACE, "b.up", "b.at", "woman"))
+    # of the years of a place's women and those that its men ask about, in one order: how many women are not younger
+    asked = men.select(*PLACE, "birth_year").distinct().withColumnRenamed("birth_year", "year")
+    marks = reach.groupBy(*PLACE, "year").agg(F.count("*").alias("n")).unionByName(asked.withColumn("n", F.lit(0).cast("long")))
+    marks = marks.groupBy(*PLACE, "year").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(place.orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
+    counted = marks.select(*PLACE, F.col("year").alias("birth_year"), upto.alias("older"), F.sum("n").over(place).alias("all"))
+    return index, asked.withColumnRenamed("year", "birth_year").join(counted, [*PLACE, "birth_year"])
 
 
 def distance_pairs(people: DataFrame, cfg: Config, year: int, saved=None) -> DataFrame:
     """(run_id, man, woman): men in shuffled order take the best woman left within the distance; only as many men as the smaller side has take part.
 
     Men choosing in order is what deferred acceptance gives when all women prefer men in that order: in each round every man without a
-    match asks the best woman who hasn't refused him, and each woman keeps the first in order. `saved` cuts lineage between rounds.
+    match asks the best woman who hasn't refused him, and each woman keeps the first in order. A man is one row with a cursor into the sorted index of his place (see
+    `choices`), so a round moves a row a man. Men of one place and year have the same list, and each of them ends behind those before him: cursors of such a class are
+    kept rising, so that a crowd of them doesn't ask one woman round after round. `saved` cuts lineage between rounds.
     """
     saved = saved or (lambda df: df)
     men = shuffled(singles(people, cfg, year, MALE), "shufm", cfg, year)
     women = shuffled(singles(people, cfg, year, FEMALE), "shuff", cfg, year)
     count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
     limits = count(men, "men").join(count(women, "women"), "run_id").select("run_id", F.least("men", "women").alias("most"))
-    men = men.join(F.broadcast(limits), "run_id").filter("rank <= most").drop("most")
-    open_ = saved(candidates(men, women, cfg.random_mating))
-    order = Window.partitionBy("run_id", "man").orderBy("older", "size", "woman_rank")
+    cols = ["run_id", "ind_id", "lat", "lon", "birth_year", "rank"]
+    men = saved(men.join(limits, "run_id").filter("rank <= most").select(*cols))
+    women = saved(women.select(*cols))
+    index, counted = choices(men, women, cfg.random_mating, saved)
+    group = Window.partitionBy(*PLACE, "birth_year").orderBy("rank")
+    state = men.join(counted, [*PLACE, "birth_year"]).withColumn("i", F.row_number().over(group).cast("long"))
+    state = state.select(*cols, "older", "all", "i", (F.col("i") - 1).alias("next"), F.lit(None).cast("long").alias("woman"), F.lit(-1).cast("long").alias("asked"))
+    upto = group.rowsBetween(Window.unboundedPreceding, 0)
+    younger = F.col("all") - F.col("older")
     while True:
-        asks = open_.withColumn("choice", F.row_number().over(order)).filter("choice = 1")
-        kept = asks.groupBy("run_id", "woman").agg(F.min("man_rank").alias("best"))
-        # a woman refuses, for good, everybody behind the best man who asks her
-        left = saved(open_.join(kept, ["run_id", "woman"], "left").filter(F.col("best").isNull() | (F.col("man_rank") <= F.col("best"))).drop("best"))
-        if left.count() == open_.count():
-            return asks.select("run_id", "man", "woman")
-        open_ = left
+        # whoever has a new place in his list looks up the woman there; who is past its end is out
+        moved = state.filter("next <> asked AND next < all").withColumn("up", F.col("next") < younger)
+        moved = moved.withColumn("at", F.when(F.col("up"), F.col("older") + F.col("next") + 1).otherwise(F.col("next") + 1)).drop("woman")
+        moved = moved.join(index, [*PLACE, "up", "at"]).withColumn("asked", F.col("next"))
+        state = saved(state.filter("next = asked AND next < all").unionByName(moved.select(*state.columns)))
+        kept = state.groupBy("run_id", "woman").agg(F.min("rank").alias("best"))
+        judged = state.join(kept, ["run_id", "woman"]).withColumn("next", F.col("next") + (F.col("rank") > F.col("best")).cast("long"))
+        judged = judged.withColumn("next", F.max(F.col("next") - F.col("i")).over(upto) + F.col("i")).select(*state.columns)
+        judged = saved(judged)
+        if judged.filter("next <> asked").isEmpty():
+            return judged.select("run_id", F.col("ind_id").alias("man"), "woman")
+        state = judged
 
 
 def marriages(people: DataFrame, cfg: Config, year: int, saved=None) -> DataFrame:

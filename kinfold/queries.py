@@ -213,21 +213,19 @@ def spouse_update(spark, sf_dir):
     return mating.married(who, mating.random_pairs(who, CFG, YEAR), CFG).select("ind_id", "marriage_state", "year_of_last_birth")
 
 
-def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     who = views.individuals(spark, sf_dir)
-    men = mating.shuffled(people.singles(who, CFG, YEAR, people.MALE), "shufm", CFG, YEAR)
-    women = mating.shuffled(people.singles(who, CFG, YEAR, people.FEMALE), "shuff", CFG, YEAR)
-    return mating.candidates(men, women, DISTANCE)
+    return mating.shuffled(people.singles(who, CFG, YEAR, people.MALE), "shufm", CFG, YEAR), mating.shuffled(people.singles(who, CFG, YEAR, people.FEMALE), "shuff", CFG, YEAR)
 
 
 @query(duck("SELECT man, woman, CAST(gap AS INTEGER) AS gap FROM candidates", "individuals", **TO_RANKS, candidates=CANDIDATES))
 def mate_candidates_distance(spark, sf_dir):
-    return candidate_pairs(spark, sf_dir).select("man", "woman", "gap")
+    return mating.candidates(*both_sides(spark, sf_dir), DISTANCE).select("man", "woman", "gap")
 
 
 @query(duck("SELECT man, woman, CAST(gap AS INTEGER) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY man ORDER BY CASE WHEN gap > 0 THEN 0 ELSE 1 END, abs(gap), wr) AS n FROM candidates) WHERE n = 1", "individuals", **TO_RANKS, candidates=CANDIDATES))
 def mate_argmin_age(spark, sf_dir):
-    return mating.best(candidate_pairs(spark, sf_dir)).select("man", "woman", "gap")
+    return mating.nearest(*both_sides(spark, sf_dir), DISTANCE).select("man", "woman", "gap")
 
 
 @query(None)

@@ -107,25 +107,58 @@ def single(spark, rows):
     return spark.createDataFrame(rows, "run_id int, ind_id bigint, sex int, birth_year int, lifespan int, marriage_state bigint, year_of_last_birth int, lat double, lon double")
 
 
-def test_distance_marriage_is_serial_choice(spark):
-    import random
-
-    r = random.Random(5)
-    rows = [(0, i, i % 2, -25 - r.randrange(12), 850, -1, 0, r.randrange(-6, 7) / 10, r.randrange(-6, 7) / 10) for i in range(60)]
-    df, cfg = single(spark, rows), Config(random_mating=0.4)
-    men = [x["ind_id"] for x in mating.shuffled(people.singles(df, cfg, 0, 0), "shufm", cfg, 0).orderBy("rank").collect()]
-    women = [x["ind_id"] for x in mating.shuffled(people.singles(df, cfg, 0, 1), "shuff", cfg, 0).orderBy("rank").collect()]
+def serial_choice(rows, men, women, distance):
+    """Men in order take the best woman left: younger ones by the smallest gap, then the others, ties by the women's order."""
     by = {x[1]: x for x in rows}
-    left, want = list(women), []
+    left, out = list(women), []
+    place = {w: i for i, w in enumerate(women)}
     for m in men[: min(len(men), len(women))]:
-        fits = [w for w in left if math.sqrt((by[w][7] - by[m][7]) ** 2 + (by[w][8] - by[m][8]) ** 2) <= 0.4]
+        fits = [w for w in left if math.sqrt((by[w][7] - by[m][7]) ** 2 + (by[w][8] - by[m][8]) ** 2) <= distance]
         if fits:
             gap = lambda w: by[w][3] - by[m][3]  # noqa: E731, B023
-            w = min(fits, key=lambda w: (gap(w) <= 0, abs(gap(w)), women.index(w)))
+            w = min(fits, key=lambda w: (gap(w) <= 0, abs(gap(w)), place[w]))
             left.remove(w)
-            want.append((m, w))
+            out.append((m, w))
+    return out
+
+
+def in_ranks(df, cfg):
+    return [[x["ind_id"] for x in mating.shuffled(people.singles(df, cfg, 0, sex), draw, cfg, 0).orderBy("rank").collect()] for sex, draw in ((0, "shufm"), (1, "shuff"))]
+
+
+@pytest.mark.parametrize(("n", "spread", "years", "distance"), [(60, 6, 12, 0.4), (600, 6, 12, 0.4), (600, 0, 3, 0.4), (400, 3, 20, 0.0), (300, 9, 1, 0.15)])
+def test_distance_marriage_is_serial_choice(spark, n, spread, years, distance):
+    """Also where all live in one place, are of one age, or must be of one place."""
+    import random
+
+    r = random.Random(5)
+    rows = [(0, i, i % 2, -25 - r.randrange(years), 850, -1, 0, r.randrange(-spread, spread + 1) / 10, r.randrange(-spread, spread + 1) / 10) for i in range(n)]
+    df, cfg = single(spark, rows), Config(random_mating=distance)
     got = mating.distance_pairs(df, cfg, 0, checkpointer(spark))
-    assert sorted(map(tuple, got.select("man", "woman").collect())) == sorted(want)
+    assert sorted(map(tuple, got.select("man", "woman").collect())) == sorted(serial_choice(rows, *in_ranks(df, cfg), distance))
+
+
+def test_nearest_is_the_best_of_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i % 3 // 2, i, i % 2, -25 - r.randrange(30), 850, -1, 0, r.randrange(-9, 10) / 20, r.randrange(-9, 10) / 20) for i in range(400)]
+    df, cfg = single(spark, rows), Config()
+    men, women = (mating.shuffled(people.singles(df, cfg, 0, sex), draw, cfg, 0) for sex, draw in ((0, "shufm"), (1, "shuff")))
+    for distance in (0.0, 0.1, 0.33, 2.0):
+        pairs = {}
+        for p in mating.candidates(men, women, distance).collect():
+            key = (p["older"], p["size"], p["woman_rank"])
+            if p["man"] not in pairs or key < pairs[p["man"]][0]:
+                pairs[p["man"]] = (key, p["run_id"], p["woman"], p["gap"])
+        got = mating.nearest(men, women, distance)
+        assert sorted(map(tuple, got.select("run_id", "man", "woman", "gap").collect())) == sorted((run, m, w, g) for m, (_, run, w, g) in pairs.items())
+
+
+def test_empty_sides_marry_nobody(spark):
+    none, cfg = single(spark, []), Config(random_mating=0.3)
+    assert mating.distance_pairs(none, cfg, 0, checkpointer(spark)).count() == 0
+    assert mating.distance_pairs(single(spark, [(0, 1, 0, -30, 85, -1, 0, 0.0, 0.0)]), cfg, 0, checkpointer(spark)).count() == 0
 
 
 def test_partitions_do_not_change_draws(spark):
