@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .sentencepieces import MARK, codec
 
 #: White space, as both tokenizers' rules know it (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and marks (digits among them) between which a part may end (fixed values; a choice among those that every version of Unicode knows as such).
+LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 #: Text bytes of one chunk and of what is tokenized together, and characters of one piece of a long text.
 CHUNK_BYTES, BATCH_CHARS, PIECE_CHARS = 10 << 20, 1 << 20, 1 << 20
 #: Parts of one generation of the cache.
@@ -54,17 +57,24 @@ class Aligner:
         self.a_bytes = {i: bytes(map(byte_of.__getitem__, t)) for t, i in config["model"]["vocab"].items()}
         self.b = codec(b_path)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(MARK, " ").encode() for p, _, kind in self.b.spec.pieces]
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.fromiter(map(len, self.b_bytes), np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.named = [f"{k}{mark}" for k in range(max(len(self.a_size), len(self.b_size))) for mark in ",;"]
         cut = config["pre_tokenizer"] or {}
         by_word = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not config["normalizer"]
         self.parts = None
         if by_word and self.b.parts and self.b.normal is None and self.b.spec.dummy_prefix:
-            # a part may begin at white space that no piece of B has after another character
+            # a part may begin at white space after something else, and at a mark or digit after a letter: A always ends a word there, and B has no piece that goes on
             every = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c)]
-            joined = {c for p, *_ in self.b.spec.pieces for c in re.findall(f"(?<=[^{SPACE}{MARK}])[{SPACE}]", p)}
-            inner = "".join(c for c in every if c in joined)
-            more = f"(?:[{inner}][{SPACE}]*[^{SPACE}]+)*(?:[{inner}][{SPACE}]*\\Z)?" if inner else ""
-            self.parts = re.compile(f"[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+")
-            self.gap = re.compile(f"(?<=[^{SPACE}])[{''.join(c for c in every if c not in joined)}]")
+            pieces = [p for p, *_ in self.b.spec.pieces]
+            joined = {c for p in pieces for c in re.findall(f"(?<=[^{SPACE}{MARK}])[{SPACE}]", p)}
+            marks = "".join(re.escape(c) for c in set(MARKS) - {c for p in pieces for c in re.findall(f"(?<=[{LETTERS}])[{re.escape(MARKS)}]", p)})
+            cut, inner = ("".join(c for c in every if (c in joined) is wanted) for wanted in (False, True))
+            word = f"[{SPACE}]*[{LETTERS}]++(?=[{marks}{cut}]|\\Z)"
+            more = f"[^{SPACE}]" + (f"|[{inner}][{SPACE}]*+(?:(?=[^{SPACE}])|\\Z)" if inner else "")
+            other = f"[{SPACE}]*[^{SPACE}](?:(?!(?<=[{LETTERS}])[{marks}])(?:{more}))*+"
+            self.parts = re.compile(f"{word}|{other}|[{SPACE}]+") if marks else None
+            self.gap = re.compile(f"(?<=[^{SPACE}])[{cut}]")
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -79,42 +89,56 @@ class Aligner:
     def split(self, piece: str) -> list[str]:
         return [piece] if self.parts is None else self.parts.findall(piece)
 
-    def groups(self, a_ids: list[int], b_ids: list[int]) -> list[str]:
-        out, i, j, a_end, b_end, a_from, b_from = [], 0, 0, 0, 0, 0, 0
-        while i < len(a_ids):
-            a_end += len(self.a_bytes[a_ids[i]])
-            i += 1
-            while b_end < a_end:
-                b_end += len(self.b_bytes[b_ids[j]])
-                j += 1
-            if a_end == b_end:
-                out.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
-                a_from, b_from = i, j
-        return out
-
-    def _b_ids(self, parts: list[str]) -> list[list[int]]:
+    def _b_ids(self, parts: list[str]) -> list[bytes]:
+        """Of each part as little-endian uint32."""
         if self.parts is None:
             split = [self.b.split(self.b.normalised(p[1:])) for p in parts]
             flat = list({w for ws in split for w in ws})
             self.b._encoded(flat)
             found = {w: self.b.young.pop(w) for w in flat}
-            return [np.frombuffer(b"".join(map(found.__getitem__, ws)), "<u4").tolist() for ws in split]
+            return [b"".join(map(found.__getitem__, ws)) for ws in split]
         self.b._encoded(parts)
-        return [np.frombuffer(self.b.young.pop(p), "<u4").tolist() for p in parts]
+        return list(map(self.b.young.pop, parts))
 
     def aligned(self, parts: set[str]) -> dict[str, tuple | None]:
         """Of each part (A tokens, B tokens, groups as one text), None where the tokens' bytes aren't the part's."""
         if len(self.young) > CACHE_PARTS:
             self.young, self.old = {}, self.young
-        for p in (parts - self.young.keys()) & self.old.keys():
-            self.young[p] = self.old[p]
-        new = list(parts - self.young.keys())
+        young, old = self.young, self.old
+        new = [p for p in parts if p not in young]
+        young.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in young]
         if new:
-            for p, e, b_ids in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self._b_ids(new), strict=True):
-                raw, a_ids = p.encode(), e.ids
-                same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids))
-                self.young[p] = (len(a_ids), len(b_ids), ";".join(self.groups(a_ids, b_ids))) if same else None
-        return self.young
+            self._align(new, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self._b_ids(new))
+        return young
+
+    def _align(self, parts: list[str], a_lists: list[list[int]], b_raw: list[bytes]) -> None:
+        """Adds parts to the cache: the tokens of all of them stand one after the other, as their bytes do."""
+        a_ids, b_ids = np.fromiter(chain.from_iterable(a_lists), np.int64), np.frombuffer(b"".join(b_raw), "<u4").astype(np.int64)
+        n_a, n_b = np.fromiter(map(len, a_lists), np.int64, len(parts)), np.fromiter(map(len, b_raw), np.int64, len(parts)) // 4
+        raw = [p.encode() for p in parts]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        a_last, b_last = np.cumsum(n_a), np.cumsum(n_b)
+        same = len(a_ids) > 0 and len(b_ids) > 0 and np.array_equal(a_ends[a_last - 1], ends) and np.array_equal(b_ends[b_last - 1], ends)
+        whole = b"".join(raw)
+        if not (same and b"".join(map(self.a_bytes.__getitem__, a_ids.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b_ids.tolist()))):
+            # some part's tokens aren't its bytes: it gets no groups, the others are taken without it
+            kept = []
+            for k, (p, r) in enumerate(zip(parts, raw, strict=True)):
+                if b"".join(map(self.a_bytes.__getitem__, a_lists[k])) == r == b"".join(map(self.b_bytes.__getitem__, np.frombuffer(b_raw[k], "<u4").tolist())):
+                    kept.append(k)
+                else:
+                    self.young[p] = None
+            if kept:
+                self._align([parts[k] for k in kept], [a_lists[k] for k in kept], [b_raw[k] for k in kept])
+            return
+        in_b, in_a = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends, a_ends[np.searchsorted(a_ends, b_ends)] == b_ends
+        # a token's number with `,` or, at the end of a group, `;`
+        a_groups, b_groups = ("".join(map(self.named.__getitem__, (2 * ids + last).tolist())).split(";") for ids, last in ((a_ids, in_b), (b_ids, in_a)))
+        groups = list(map("|".join, zip(a_groups[:-1], b_groups[:-1], strict=True)))
+        upto = np.cumsum(in_b)[a_last - 1].tolist()
+        self.young.update((p, (x, y, ";".join(groups[i:j]))) for p, x, y, i, j in zip(parts, n_a.tolist(), n_b.tolist(), [0, *upto], upto, strict=False))
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -194,9 +218,10 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = Fal
                     doc["sha"].update((b";" if doc["parts"] else b"") + text.encode())
                     if with_groups:
                         doc["text"].append(text)
-                    for p in set(parts) - index.keys():
-                        index[p] = len(of_part)
-                        of_part.append(known[p])
+                    for p in parts:
+                        if p not in index:
+                            index[p] = len(of_part)
+                            of_part.append(known[p])
                     doc["parts"].append(np.fromiter(map(index.__getitem__, parts), np.int32, len(parts)))
                 if last:
                     some = doc["ok"] and doc["parts"]
@@ -237,10 +262,10 @@ def links(groups: DataFrame, a_path: str, b_path: str, link: str = "end") -> Dat
             out: list[tuple] = []
             for key, weight in zip(batch.column("key").to_pylist(), batch.column("weight").to_pylist(), strict=True):
                 a, b = (list(map(int, x.split(","))) for x in key.split("|"))
-                a_ends, b_ends = np.cumsum([len(al.a_bytes[x]) for x in a]), np.cumsum([len(al.b_bytes[x]) for x in b])
                 if link == "end":
-                    met = zip(*(x.tolist() for x in np.nonzero(a_ends[:, None] == b_ends[None, :])), strict=True) if len(a) * len(b) < 1 << 16 else [(len(a) - 1, len(b) - 1)]
+                    met = [(len(a) - 1, len(b) - 1)]  # no token is empty, so only the last two end together
                 else:
+                    a_ends, b_ends = np.cumsum([al.a_size[x] for x in a]), np.cumsum([al.b_size[x] for x in b])
                     first = np.searchsorted(b_ends, np.concatenate([[0], a_ends[:-1]]), "right")
                     last = np.searchsorted(b_ends, a_ends, "left")
                     met = ((i, j) for i in range(len(a)) for j in range(first[i], last[i] + 1))

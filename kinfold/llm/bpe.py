@@ -226,9 +226,9 @@ class ByteBpe:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         split = [self.split(p) if isinstance(p, str) else p for p in parts]
-        new = set().union(*[words for words in split if isinstance(words, list)]) - young.keys()
-        young.update((w, old[w]) for w in new & old.keys())
-        words = list(new - young.keys())
+        new = [w for w in set().union(*[words for words in split if isinstance(words, list)]) if w not in young]
+        young.update((w, old[w]) for w in new if w in old)
+        words = [w for w in new if w not in young]
         made = dict(zip(words, self.encoded_words(words), strict=True))
         young.update(made)
         out = [b"".join(map(young.__getitem__, words)) if isinstance(words, list) else words for words in split]
