@@ -44,10 +44,5 @@ def poisson_table(mean: float) -> list[float]:
     return out
 
 
-def poisson(u: Column, mean: float) -> Column:
-    """How many of the cumulative chances are at or below u."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_table(mean)]), lambda c: c <= u))
-
-
 def weibull(u: Column, shape: float, scale: float) -> Column:
     return F.lit(scale) * F.pow(-F.ln(1 - u), F.lit(1 / shape))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.rng import integer, poisson, uniform, weibull
+from ..functions.choice import poisson_drawn
+from ..functions.rng import integer, uniform, weibull
 from ..sources.dims import chromosome_rows
 
 X = 23
@@ -106,7 +107,7 @@ def effect(cfg: Config, u: Column, w: Column, s: Column) -> Column:
 def new_mutations(births: DataFrame, cfg: Config, year: int, numbits: int) -> DataFrame:
     """(run_id, ind_id, copy, position, effect): a Poisson number for each birth."""
     u = lambda draw, *k: uniform(draw, F.col("child_id"), *k, seed=cfg.seed, run=F.col("run_id"), year=year)
-    n = births.select("run_id", "child_id", poisson(u("npois"), cfg.mu).alias("k")).filter("k > 0")
+    n = poisson_drawn(births.select("run_id", "child_id", u("npois").alias("u")), "u", cfg.mu, "k").filter("k > 0")
     j = n.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k"))))
     k = F.col("j")
     return j.select(

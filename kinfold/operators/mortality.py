@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.ranking import ranked, running_sum
 from ..functions.rng import uniform
+from ..functions.selection import lowest
 from ..sources.dims import INFANT_RISK
 from .people import MALE, age, fertile
 
@@ -79,17 +79,15 @@ def _removable(people: DataFrame, cfg: Config, year: int, seeds: DataFrame | Non
 
 def culled(people: DataFrame, caps: DataFrame, cfg: Config, year: int, seeds: DataFrame | None = None) -> DataFrame:
     """(run_id, ind_id) of people removed at random until each run has its cap; caps has run_id and cap. The seed person is never removed."""
-    excess = people.groupBy("run_id").agg(F.count("*").alias("n")).join(caps, "run_id").select("run_id", (F.col("n") - F.col("cap")).alias("excess")).filter("excess > 0")
-    r = ranked(_removable(people, cfg, year, seeds), "_u", "ind_id")
-    return r.join(F.broadcast(excess), "run_id").filter("rank <= excess").select("run_id", "ind_id")
+    excess = people.groupBy("run_id").agg(F.count("*").alias("n")).join(caps, "run_id").select("run_id", (F.col("n") - F.col("cap")).alias("limit"))
+    return lowest(_removable(people, cfg, year, seeds), excess, "_u", "ind_id").select("run_id", "ind_id")
 
 
 def culled_breeders(people: DataFrame, cap: int, cfg: Config, year: int, seeds: DataFrame | None = None) -> DataFrame:
     """(run_id, ind_id) removed at random, children too, until the breeders are down to the cap."""
-    p = people.withColumn("breeds", breeders(cfg, year).cast("int"))
-    excess = p.groupBy("run_id").agg((F.sum("breeds") - cap).alias("excess")).filter("excess > 0")
-    r = running_sum(_removable(p, cfg, year, seeds), "breeds", "_u", "ind_id")
-    return r.join(F.broadcast(excess), "run_id").filter("total - breeds < excess").select("run_id", "ind_id")
+    breeds = breeders(cfg, year).cast("int")
+    excess = people.groupBy("run_id").agg((F.sum(breeds) - cap).alias("limit"))
+    return lowest(_removable(people, cfg, year, seeds), excess, "_u", "ind_id", breeds).select("run_id", "ind_id")
 
 
 def growth_caps(last: DataFrame, cfg: Config) -> DataFrame:

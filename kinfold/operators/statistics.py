@@ -10,10 +10,6 @@ from .genome import blocks, copies, islands, ones, words
 from .mortality import breeders
 
 
-def per_run(name: str, value: Column):
-    return value.alias(name)
-
-
 def breeding(people: DataFrame, cfg: Config, year: int) -> DataFrame:
     return people.groupBy("run_id").agg(F.count_if(breeders(cfg, year)).alias("breeders"))
 
@@ -84,14 +80,38 @@ LOW, HIGH = -1000, 1000
 
 def histogram(ever: DataFrame, now: DataFrame) -> DataFrame:
     """(run_id, bin, all_mutations, circulating_mutations), every bin; effects beyond the ends are counted in the end bins."""
-    clamp = F.greatest(F.least("effect", F.lit(HIGH)), F.lit(LOW)).alias("bin")
-    count = lambda df, name: df.groupBy("run_id", clamp).agg(F.count("*").alias(name))
+    count = lambda df, name: df.groupBy("run_id", clamped()).agg(F.count("*").alias(name))
     runs = ever.select("run_id").unionByName(now.select("run_id")).distinct()
     bins = runs.withColumn("bin", F.explode(F.sequence(F.lit(LOW), F.lit(HIGH))))
     made = bins.join(count(ever, "a"), ["run_id", "bin"], "left").join(count(now, "c"), ["run_id", "bin"], "left")
     return made.select("run_id", "bin", F.coalesce("a", F.lit(0)).alias("all_mutations"), F.coalesce("c", F.lit(0)).alias("circulating_mutations"))
 
 
+def clamped() -> Column:
+    return F.greatest(F.least("effect", F.lit(HIGH)), F.lit(LOW)).alias("bin")
+
+
+def histogram_change(new: DataFrame, gone: DataFrame, interval: int) -> DataFrame:
+    """(run_id, interval, bin, born, died): what a save interval adds to the histograms, from its own new mutations and those of its dead (run_id, effect each); bins without a change have no rows."""
+    one = lambda df, name: df.groupBy("run_id", clamped()).agg(F.count("*").alias(name))
+    both = one(new, "born").join(one(gone, "died"), ["run_id", "bin"], "full")
+    return both.select("run_id", F.lit(interval).alias("interval"), "bin", F.coalesce("born", F.lit(0)).alias("born"), F.coalesce("died", F.lit(0)).alias("died"))
+
+
+def histograms(changes: DataFrame) -> DataFrame:
+    """(run_id, interval, bin, all_mutations, circulating_mutations) of each stored interval, from the changes up to it; only bins that have had a mutation.
+
+    Changes merge by adding up, whatever their number and order: those of one interval may come in parts. A window holds the changes of one bin.
+    """
+    c = changes.groupBy("run_id", "interval", "bin").agg(F.sum("born").alias("born"), F.sum("died").alias("died"))
+    at = changes.select("run_id", "interval").distinct()
+    seen = c.groupBy("run_id", "bin").agg(F.min("interval").alias("first"))
+    grid = at.join(seen, "run_id").filter("interval >= first").select("run_id", "interval", "bin")  # at most a row a bin and interval
+    upto = Window.partitionBy("run_id", "bin").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda name: F.sum(F.coalesce(name, F.lit(0))).over(upto)
+    return grid.join(c, ["run_id", "interval", "bin"], "left").select("run_id", "interval", "bin", total("born").alias("all_mutations"), (total("born") - total("died")).alias("circulating_mutations"))
+
+
 def interval(year: Column, width: int) -> Column:
     """The save interval that a year's events are reported in: year 0 alone, then (k - 1) * width + 1 to k * width."""
     return F.ceil(year / width).cast("int")

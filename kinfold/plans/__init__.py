@@ -1 +1 @@
-"""Yearly step, runs, reports and sinks."""
+"""Reports, sinks, logs, pictures, and frames that cut lineage."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.genome import ones
+from . import png
 from .report import RULER, genome_rows, mutation_rows, ruler
 
 #: Columns of the deaths log and where each comes from (fixed names of the model's output).
@@ -48,13 +47,6 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     (w.partitionBy(*keys) if keys else w).csv(path)
 
 
-def png(width: int, rows: list[bytes]) -> bytes:
-    """An RGB image of rows of 3 * width bytes."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    body = zlib.compress(b"".join(b"\0" + r for r in rows))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
-
-
 def ruler_rows(arms: DataFrame, numbits: int) -> list[bytes]:
     line = bytearray(b"\xff" * (3 * numbits))
     for m in ruler(arms).collect():  # at most a dozen columns a chromosome
@@ -62,27 +54,24 @@ def ruler_rows(arms: DataFrame, numbits: int) -> list[bytes]:
     return [bytes(line)] * RULER
 
 
-def map_rows(rows: DataFrame, limit: int) -> list:
-    """The body rows of a picture in the order of people; a picture of more than `limit` rows is refused rather than cut."""
-    got = rows.orderBy("ind_id", "copy").limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"a picture of more than {limit} rows; write the pixel table instead")
-    return got
+def genome_map(people: DataFrame, haplotypes: DataFrame, arms: DataFrame, numbits: int, path: str) -> None:
+    """A PNG of one run at path: the ruler, then two rows a person, 1 red and 0 black."""
 
+    def line(bits: str) -> bytes:
+        out = np.zeros((len(bits), 3), np.uint8)
+        out[np.frombuffer(bits.encode(), np.uint8) == ord("1"), 0] = 255
+        return out.tobytes()
 
-def genome_map(people: DataFrame, haplotypes: DataFrame, arms: DataFrame, numbits: int, limit: int = 20_000) -> bytes:
-    """A PNG of one run: the ruler, then two rows a person."""
-    colour = {"1": b"\xff\0\0", "0": b"\0\0\0"}
-    body = [b"".join(map(colour.__getitem__, r["bits"])) for r in map_rows(genome_rows(people, haplotypes, numbits), limit)]
-    return png(numbits, ruler_rows(arms, numbits) + body)
+    png.write(genome_rows(people, haplotypes, numbits).select("ind_id", "copy", "bits"), ["ind_id", "copy"], "bits", line, numbits, ruler_rows(arms, numbits), path)
 
 
-def mutation_map(people: DataFrame, mutations: DataFrame, arms: DataFrame, numbits: int, limit: int = 20_000) -> bytes:
+def mutation_map(people: DataFrame, mutations: DataFrame, arms: DataFrame, numbits: int, path: str) -> None:
     """The same for bins: black without mutations, white neutral, green better, red worse."""
-    body = []
-    for r in map_rows(mutation_rows(people, mutations), limit):
-        line = bytearray(3 * numbits)
-        for p in r["spots"]:
-            line[3 * p["position"] : 3 * p["position"] + 3] = bytes((p["r"], p["g"], p["b"]))
-        body.append(bytes(line))
-    return png(numbits, ruler_rows(arms, numbits) + body)
+
+    def line(spots: list[dict]) -> bytes:
+        out = bytearray(3 * numbits)
+        for p in spots:
+            out[3 * p["position"] : 3 * p["position"] + 3] = bytes((p["r"], p["g"], p["b"]))
+        return bytes(out)
+
+    png.write(mutation_rows(people, mutations).select("ind_id", "copy", "spots"), ["ind_id", "copy"], "spots", line, numbits, ruler_rows(arms, numbits), path)

@@ -9,17 +9,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a frame into spark.checkpoint.dir and reads it back. Where that is unset: a temporary folder in local mode, an error on a cluster."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset: a temporary folder in local mode, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame into the shared folder and reads it back."""
+    where = shared_dir(spark)
 
     def saved(df: DataFrame) -> DataFrame:
-        path = f"{where.rstrip('/')}/state-{uuid.uuid4().hex}"
+        path = f"{where}/state-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

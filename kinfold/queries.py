@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions.rng import integer, poisson, poisson_table, uniform, uniform_sql, weibull
-from .operators import genome, mating, mortality, people, statistics
-from .plans import report, sinks
-from .plans.state import checkpointer
+from .functions.choice import chosen, guide, poisson_drawn
+from .functions.rng import integer, poisson_table, uniform, uniform_sql, weibull
+from .operators import genome, mating, mortality, packed, pedigree, people, statistics
+from .plans import logs, report, sinks
+from .plans.state import checkpointer, shared_dir
 from .sources import dims, founders, views
 from .sources.views import duck
 
@@ -170,6 +172,20 @@ def pedigree_depth_recursive(spark, sf_dir):
     return people.pedigree_depth(views.individuals(spark, sf_dir), checkpointer(spark)).select("ind_id", "depth")
 
 
+# run 1 has the same people with a woman as the seed
+@query("""WITH RECURSIVE i0 AS (%s), individuals AS (SELECT * FROM i0 UNION ALL SELECT 1, * EXCLUDE (run_id) FROM i0),
+    links AS (SELECT run_id, ind_id, sex, dad AS parent, 1 AS father FROM individuals WHERE dad >= 0 UNION ALL SELECT run_id, ind_id, sex, mom, 0 FROM individuals WHERE mom >= 0),
+    f AS (SELECT run_id, ind_id, 0 AS r, sex = 0 AS y, true AS mt FROM individuals WHERE ind_id = run_id
+          UNION SELECT l.run_id, l.ind_id, f.r + 1, f.y AND l.father = 1 AND l.sex = 0, f.mt AND l.father = 0 FROM f JOIN links l ON l.run_id = f.run_id AND l.parent = f.ind_id),
+    g AS (SELECT run_id, ind_id, max(CASE WHEN y THEN r END) AS y, max(CASE WHEN mt THEN r END) AS mt, min(r) AS least, max(r) AS most FROM f GROUP BY ALL)
+    SELECT i.run_id, i.ind_id, CAST(coalesce(y, -1) AS INTEGER) AS y_gens, CAST(coalesce(mt, -1) AS INTEGER) AS mt_gens, CAST(coalesce(least, -1) AS INTEGER) AS min_genealo_gens, CAST(coalesce(most, -1) AS INTEGER) AS max_genealo_gens
+    FROM individuals i LEFT JOIN g ON g.run_id = i.run_id AND g.ind_id = i.ind_id""" % views.INDIVIDUALS)
+def genealogy_generations(spark, sf_dir):
+    one = views.individuals(spark, sf_dir)
+    who = one.unionByName(one.withColumn("run_id", F.lit(1)))
+    return pedigree.genealogy(who, who.filter("ind_id = run_id"), checkpointer(spark))
+
+
 # ind_id // 3 % 4 - 1 stands for the fewest generations: the views have none
 LEAST = "CAST(ind_id // 3 % 4 - 1 AS INTEGER)"
 SAME = "CASE WHEN greatest(d.g, m.g) >= 0 THEN greatest(d.g, m.g) + 1 ELSE -1 END"
@@ -206,6 +222,15 @@ def random_marriage(spark, sf_dir):
     return mating.random_pairs(views.individuals(spark, sf_dir), CFG, YEAR).select("man", "woman")
 
 
+@query(duck("SELECT m.ind_id AS man, w.ind_id AS woman, 'random' AS how FROM men m JOIN women w ON w.rank = m.rank", "individuals", **TO_RANKS))
+def marriage_dispatch(spark, sf_dir):
+    """Pairs by whichever way the parameter says: 1 is random; a tiny distance in which nobody lives adds none."""
+    who = views.individuals(spark, sf_dir)
+    apart = who.withColumn("lat", F.col("ind_id") * 10.0)
+    pairs = lambda p, cfg, how: mating.marriages(p, cfg, YEAR, checkpointer(spark)).select("man", "woman", F.lit(how).alias("how"))
+    return pairs(who, CFG, "random").unionByName(pairs(apart, CFG.changed(random_mating=DISTANCE), "near"))
+
+
 @query(duck("""SELECT i.ind_id, coalesce(p.woman, q.man, i.marriage_state) AS marriage_state, CASE WHEN q.man IS NOT NULL THEN -3 ELSE i.year_of_last_birth END AS year_of_last_birth
     FROM individuals i LEFT JOIN wed p ON p.man = i.ind_id LEFT JOIN wed q ON q.woman = i.ind_id""", "individuals", **TO_RANKS, wed="SELECT m.ind_id AS man, w.ind_id AS woman FROM men m JOIN women w ON w.rank = m.rank"))
 def spouse_update(spark, sf_dir):
@@ -300,6 +325,14 @@ def growth_cull(spark, sf_dir):
     return mortality.culled(who, mortality.growth_caps(last, CFG), CFG, YEAR, founders.seed_person(who, CFG, YEAR)).select("ind_id")
 
 
+@query(duck(CULLED + "40", "individuals", seed=SEED))
+def bottleneck_cull(spark, sf_dir):
+    """The cap of a year within a bottleneck."""
+    who, cfg = views.individuals(spark, sf_dir), CFG.changed(bottleneck_start=YEAR - 2, bottleneck_end=YEAR, bottleneck_size=40)
+    caps = who.select("run_id").distinct().withColumn("cap", F.lit(cfg.cap(YEAR)))
+    return mortality.culled(who, caps, cfg, YEAR, founders.seed_person(who, cfg, YEAR)).select("ind_id")
+
+
 @query(duck(f"""SELECT ind_id FROM (SELECT ind_id, b, sum(b) OVER (ORDER BY {u('cull', 'ind_id')}, ind_id ROWS UNBOUNDED PRECEDING) AS t
     FROM (SELECT *, CAST({BREEDS} AS INTEGER) AS b FROM individuals) WHERE ind_id <> (SELECT ind_id FROM seed)) WHERE t - b < (SELECT count(CASE WHEN {BREEDS} THEN 1 END) FROM individuals) - 100""", "individuals", seed=SEED))
 def breeder_cull(spark, sf_dir):
@@ -388,21 +421,28 @@ def mask_string(spark, sf_dir):
     return genome.mask_strings(cross(spark, sf_dir)).select("child_id", "role", "mask")
 
 
-@query(
-    duck(
-        """SELECT child_id AS ind_id, CAST(CASE role WHEN 'dad' THEN 0 ELSE 1 END AS INTEGER) AS copy, string_agg(CASE WHEN role = 'dad' AND chrom = 23 THEN substr(b, pstart + 1, plen + qlen) ELSE
+SPLICED = """SELECT child_id AS ind_id, CAST(CASE role WHEN 'dad' THEN 0 ELSE 1 END AS INTEGER) AS copy, string_agg(CASE WHEN role = 'dad' AND chrom = 23 THEN substr(b, pstart + 1, plen + qlen) ELSE
         substr(CASE coin WHEN 1 THEN b ELSE a END, pstart + 1, ploc) || substr(CASE coin WHEN 1 THEN a ELSE b END, lo + 1, hi - lo) || substr(CASE coin WHEN 1 THEN b ELSE a END, hi + 1, qstart + qlen - hi) END, '' ORDER BY chrom) AS bits
-        FROM crossed c JOIN (SELECT ind_id, max(CASE copy WHEN 0 THEN bits END) AS a, max(CASE copy WHEN 1 THEN bits END) AS b FROM haplotypes GROUP BY ind_id) h ON h.ind_id = c.parent GROUP BY ALL""",
-        "individuals",
-        "haplotypes",
-        "chromosomes",
-        **TO_CROSS,
-    )
-)
+        FROM crossed c JOIN (SELECT ind_id, max(CASE copy WHEN 0 THEN bits END) AS a, max(CASE copy WHEN 1 THEN bits END) AS b FROM haplotypes GROUP BY ind_id) h ON h.ind_id = c.parent GROUP BY ALL"""
+
+
+@query(duck(SPLICED, "individuals", "haplotypes", "chromosomes", **TO_CROSS))
 def meiosis_splice(spark, sf_dir):
     return genome.meiosis(cross(spark, sf_dir), views.haplotypes(spark, sf_dir), NUMBITS).select("ind_id", "copy", "bits")
 
 
+def words_sql(table: str) -> str:
+    """DuckDB SQL of the words of a table of strings of bits: a row a word that has a bit."""
+    word = f"list_reduce(list_transform(string_split(rpad(substr(bits, w * {genome.WORD} + 1, {genome.WORD}), {genome.WORD}, '0'), ''), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 2 + b)"
+    return f"SELECT * FROM (SELECT ind_id, copy, CAST(w AS INTEGER) AS word, CAST({word} AS BIGINT) AS bits FROM {table}, range({packed.word_count(NUMBITS)}) t(w)) WHERE bits <> 0"
+
+
+@query(duck(words_sql("spliced"), "individuals", "haplotypes", "chromosomes", **TO_CROSS, spliced=SPLICED))
+def meiosis_words(spark, sf_dir):
+    made = packed.meiosis(cross(spark, sf_dir), views.packed_haplotypes(spark, sf_dir), NUMBITS)
+    return packed.by_word(made).select("ind_id", "copy", "word", "bits")
+
+
 @query(
     duck(
         """SELECT child_id, '00' || string_agg(substr(centromeres, CAST(2 * chrom + (1 - coin) + 1 AS BIGINT), 1), '' ORDER BY chrom, role) AS centromeres
@@ -436,7 +476,32 @@ POISSON_SQL = f"len(list_filter([{', '.join(f'{c!r}::DOUBLE' for c in poisson_ta
 
 @query(duck(f"SELECT ind_id, CAST({POISSON_SQL} AS INTEGER) AS k FROM individuals", "individuals"))
 def poisson_draws(spark, sf_dir):
-    return views.individuals(spark, sf_dir).select("ind_id", poisson(uniform("npois", F.col("ind_id"), run=F.col("run_id")), CFG.mu).alias("k"))
+    draws = views.individuals(spark, sf_dir).select("ind_id", uniform("npois", F.col("ind_id"), run=F.col("run_id")).alias("u"))
+    return poisson_drawn(draws, "u", CFG.mu, "k").select("ind_id", "k")
+
+
+# the sums of a large mean as a table: the number drawn is how many of them are at or below u
+LARGE_MEAN = 5000.0
+LARGE_SUMS = f"SELECT unnest(range(1, {len(poisson_table(LARGE_MEAN)) + 1})) AS k, unnest([{', '.join(f'{c!r}::DOUBLE' for c in poisson_table(LARGE_MEAN))}]) AS c"
+
+
+@query(duck(f"SELECT o_orderkey, CAST(coalesce(k, 0) AS INTEGER) AS k FROM (SELECT o_orderkey, {uniform_sql('npois', 'o_orderkey')} AS u FROM orders) d ASOF LEFT JOIN (SELECT max(k) AS k, c FROM sums GROUP BY c) s ON d.u >= s.c", sums=LARGE_SUMS))
+def poisson_large_mean(spark, sf_dir):
+    draws = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", uniform("npois", F.col("o_orderkey")).alias("u"))
+    return poisson_drawn(draws, "u", LARGE_MEAN, "k").select("o_orderkey", "k")
+
+
+@query(f"""WITH w AS (SELECT n_nationkey AS nation, c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS w FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE round(c_acctbal * 100) > 0),
+    s AS (SELECT *, CAST(sum(w) OVER (PARTITION BY nation ORDER BY {uniform_sql('guide', 'c_custkey')}, c_custkey) - w AS BIGINT) AS low, CAST(sum(w) OVER (PARTITION BY nation) AS BIGINT) AS total FROM w),
+    d AS (SELECT o_orderkey, CAST(o_orderkey % 25 AS INTEGER) AS nation, {uniform_sql('pick', 'o_orderkey')} AS u FROM orders),
+    t AS (SELECT d.*, CAST(floor(u * total) AS BIGINT) AS ticket FROM d JOIN (SELECT DISTINCT nation, total FROM s) n USING (nation))
+    SELECT o_orderkey, t.nation, s.c_custkey FROM t ASOF JOIN s ON t.nation = s.nation AND t.ticket >= s.low""")
+def weighted_choice(spark, sf_dir):
+    """For each order a customer of one nation, each with a chance in proportion to the balance."""
+    weights = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    draws = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 25).cast("int").alias("nation"), uniform("pick", F.col("o_orderkey")).alias("u"))
+    table, totals = guide(weights, "c_custkey", "cents", ["nation"])
+    return chosen(draws, table, totals, "u", ["nation"]).select("o_orderkey", "nation", "c_custkey")
 
 
 def effect_sql(*keys: str) -> str:
@@ -519,6 +584,16 @@ def seed_retained(spark, sf_dir):
     return statistics.coverage(views.haplotypes(spark, sf_dir), NUMBITS).select("retained", F.round("perc_seed_genome", 9).alias("perc_seed_genome"), F.round("av_coverage", 9).alias("av_coverage"))
 
 
+@query(ORACLE_SQL["position_counts"])
+def position_counts_words(spark, sf_dir):
+    return packed.position_counts(views.packed_haplotypes(spark, sf_dir)).select(F.col("position").cast("int").alias("position"), "n")
+
+
+@query(ORACLE_SQL["seed_retained"])
+def seed_retained_words(spark, sf_dir):
+    return packed.retained(views.packed_haplotypes(spark, sf_dir), NUMBITS).select("retained", F.round("perc_seed_genome", 9).alias("perc_seed_genome"), F.round("av_coverage", 9).alias("av_coverage"))
+
+
 @query(
     duck(
         f"""SELECT CAST(sum(d) AS BIGINT) AS het, round(CAST(sum(d) AS DOUBLE) / ({NUMBITS}::BIGINT * (SELECT count(*) FROM individuals)) * 100, 9) AS av_heterozygosity FROM (
@@ -532,6 +607,12 @@ def heterozygosity(spark, sf_dir):
     return statistics.heterozygosity(views.haplotypes(spark, sf_dir), sizes, NUMBITS).select(F.col("het").cast("bigint").alias("het"), F.round("av_heterozygosity", 9).alias("av_heterozygosity"))
 
 
+@query(ORACLE_SQL["heterozygosity"])
+def heterozygosity_words(spark, sf_dir):
+    sizes = views.individuals(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"))
+    return packed.heterozygosity(views.packed_haplotypes(spark, sf_dir), sizes, NUMBITS).select("het", F.round("av_heterozygosity", 9).alias("av_heterozygosity"))
+
+
 def with_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.individuals(spark, sf_dir).join(genome.allele_counts(views.haplotypes(spark, sf_dir)), ["run_id", "ind_id"], "left")
 
@@ -606,9 +687,55 @@ def hist_all_zero_filled(spark, sf_dir):
     return statistics.histogram(ever, mortality.without(ever, dead(spark, sf_dir))).select("bin", "all_mutations", "circulating_mutations")
 
 
+# of 100 years before this one, in save intervals of 25: a person's mutations are new in that of the birth, and gone one to three intervals later with the death
+BORN = "CAST(ceil((birth_year + 99) / 25.0) AS INTEGER)"
+GONE = f"CASE WHEN d.ind_id IS NOT NULL THEN {BORN} + 1 + CAST(i.ind_id % 3 AS INTEGER) END"
+
+
+@query(
+    duck(
+        """SELECT k AS interval, effect AS bin, count(*) AS all_mutations, count(CASE WHEN gone IS NULL OR gone > k THEN 1 END) AS circulating_mutations
+        FROM lives JOIN (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS k) ON born <= k GROUP BY ALL""",
+        "individuals",
+        "actuarial",
+        "mutations",
+        **TO_DEAD,
+        lives=f"SELECT m.effect, {BORN} AS born, {GONE} AS gone FROM mutations m JOIN individuals i ON i.ind_id = m.ind_id LEFT JOIN dead d ON d.ind_id = i.ind_id",
+    )
+)
+def hist_by_interval(spark, sf_dir):
+    """Both histograms at the end of each save interval, from changes that are stored interval by interval (one of them twice) and merged."""
+    who = views.individuals(spark, sf_dir)
+    fate = who.join(dead(spark, sf_dir).select("run_id", "ind_id", F.lit(True).alias("dies")), ["run_id", "ind_id"], "left")
+    born = F.ceil((F.col("birth_year") + 99) / 25).cast("int")
+    lives = views.mutations(spark, sf_dir).join(fate.select("run_id", "ind_id", born.alias("born"), F.when(F.col("dies"), born + 1 + (F.col("ind_id") % 3).cast("int")).alias("gone")), ["run_id", "ind_id"])
+    path = f"{shared_dir(spark)}/histogram-{uuid.uuid4().hex}"
+    for k in [*range(8), 3]:
+        change = statistics.histogram_change(lives.filter(F.col("born") == k), lives.filter(F.col("gone") == k), k).withColumnRenamed("interval", "year")
+        logs.write_log(change, who.select("run_id", F.lit(k).alias("year")).distinct(), path)
+    changes = logs.read_log(spark, path).withColumnRenamed("year", "interval")
+    # every interval is reported, also one in which nothing changed
+    every = who.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("interval")).distinct()
+    none = every.join(changes.select("run_id", "bin").distinct(), "run_id").select("run_id", "interval", "bin", F.lit(0).cast("long").alias("born"), F.lit(0).cast("long").alias("died"))
+    return statistics.histograms(changes.unionByName(none)).filter("all_mutations > 0").select("interval", "bin", "all_mutations", "circulating_mutations")
+
+
 # reports
 
 
+@query(duck("SELECT sim_year AS year, kind, count(*) AS n FROM yearly_events GROUP BY ALL", "yearly_events"))
+def log_rewritten(spark, sf_dir):
+    """A log of events in which some years were written wrongly first, and one year has no rows any more of those it had."""
+    events = views.yearly_events(spark, sf_dir).withColumnRenamed("sim_year", "year")
+    rows = events.groupBy("run_id", "year", "kind").agg(F.count("*").alias("n"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    wrong = rows.withColumn("n", F.col("n") + 1).unionByName(rows.filter("year = 0").withColumn("year", F.lit(50)))
+    logs.write_log(wrong, wrong.select("run_id", "year"), path)
+    years = rows.select("run_id", "year").unionByName(rows.select("run_id", F.lit(50).alias("year")))
+    logs.write_log(rows, years, path)
+    return logs.read_log(spark, path).select("year", "kind", "n")
+
+
 @query(duck("SELECT CAST(ceil(sim_year / 3.0) AS INTEGER) AS interval, count(CASE WHEN kind = 'marriage' THEN 1 END) AS marriages, count(CASE WHEN kind = 'birth' THEN 1 END) AS births, count(CASE WHEN kind = 'random_death' THEN 1 END) AS random_deaths, count(CASE WHEN kind = 'cull_death' THEN 1 END) AS cull_deaths FROM yearly_events GROUP BY 1", "yearly_events"))
 def interval_tracking(spark, sf_dir):
     return statistics.interval_counts(views.yearly_events(spark, sf_dir), 3).select("interval", "marriages", "births", "random_deaths", "cull_deaths")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import packed
 from . import dims
 
 INDIVIDUALS = """
@@ -65,6 +66,16 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("bits", F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 16)), stretch), ""), 1, size))
 
 
+def packed_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as words of bits, made without a string."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    both = people.select(F.lit(0).alias("run_id"), F.col("c_custkey").alias("ind_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    size = dims.genome_size()
+    stretches = F.filter(F.sequence(F.lit(0), F.lit((size - 1) // 16)), lambda k: (F.col("ind_id") * 7 + F.col("copy") * 13 + k) % 11 < 4)
+    spans = F.transform(stretches, lambda k: F.struct((k * 16).alias("low"), F.least(k * 16 + 16, F.lit(size)).alias("high")))
+    return both.withColumn("words", packed.from_spans(spans, size))
+
+
 def values(rows: list[tuple], names: str) -> str:
     """Rows as a SELECT from VALUES."""
     one = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from kinfold import queries as q
 from kinfold.config import Config
+from kinfold.functions.choice import chosen, guide, poisson_drawn, poisson_guide
 from kinfold.functions.ranking import ranked, running_sum
 from kinfold.functions.rng import poisson_table
-from kinfold.operators import genome, mating, mortality, people, statistics
-from kinfold.plans import report, sinks
+from kinfold.functions.selection import lowest
+from kinfold.operators import genome, mating, mortality, packed, pedigree, people, statistics
+from kinfold.plans import logs, sinks
 from kinfold.plans.state import checkpointer
 from kinfold.sources import dims, founders
 from kinfold.streaming.intervals import interval_stream
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem".split()
+TABLES = "customer orders lineitem nation".split()
 
 
 def plain(rows):
@@ -192,15 +194,118 @@ def test_culls_spare_the_seed(spark):
     assert 7 not in {r["ind_id"] for r in mortality.culled_breeders(df, 3, Config(), 0, seeds).collect()}
 
 
-def test_pictures(spark):
+def pixels(path):
+    """(width, rows) of an RGB picture, chunk by chunk, with all checksums tested."""
+    import zlib
+
+    with open(path, "rb") as f:
+        data = f.read()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body = 8, b""
+    while at < len(data):
+        (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        content = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + content)
+        if kind == b"IHDR":
+            width, height = struct.unpack(">II", content[:8])
+        body += content * (kind == b"IDAT")
+        at += 12 + n
+    raw = zlib.decompress(body)  # tests the Adler-32
+    assert len(raw) == height * (3 * width + 1)
+    rows = [raw[k * (3 * width + 1) : (k + 1) * (3 * width + 1)] for k in range(height)]
+    assert all(r[0] == 0 for r in rows)
+    return width, [r[1:] for r in rows]
+
+
+def test_pictures(spark, tmp_path, monkeypatch):
+    """Any number of rows over many tasks and chunks; people without bits are black, an empty population gives the ruler alone."""
+    from kinfold.plans import png
+
+    monkeypatch.setattr(png, "CHUNK", 2000)
     n = dims.genome_size()
-    who = spark.createDataFrame([(0, 0), (0, 1)], "run_id int, ind_id bigint")
-    image = sinks.genome_map(who, haplotypes(spark, ("1" * n, "0" * n)), dims.arms(spark), n)
-    assert image[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", image[16:24]) == (n, 14)
-    m = spark.createDataFrame([(0, 0, 0, 5, -3), (0, 1, 1, 9, 2)], "run_id int, ind_id bigint, copy int, position int, effect int")
-    assert struct.unpack(">II", sinks.mutation_map(who, m, dims.arms(spark), n)[16:24]) == (n, 14)
-    with pytest.raises(ValueError):
-        sinks.genome_map(who, haplotypes(spark, ("1" * n, "0" * n)), dims.arms(spark), n, limit=3)
+    rnd = __import__("random").Random(4)
+    bits = {(i, k): "".join(rnd.choice("01") for _ in range(n)) for i in range(60) for k in (0, 1) if i % 3}
+    who = spark.createDataFrame([(0, i) for i in range(60)], "run_id int, ind_id bigint").repartition(4)
+    h = spark.createDataFrame([(0, i, k, b) for (i, k), b in bits.items()], "run_id int, ind_id bigint, copy int, bits string")
+    sinks.genome_map(who, h, dims.arms(spark), n, str(tmp_path / "g.png"))
+    width, rows = pixels(tmp_path / "g.png")
+    colour = {"1": b"\xff\0\0", "0": b"\0\0\0"}
+    assert width == n and rows[:10] == sinks.ruler_rows(dims.arms(spark), n)
+    assert rows[10:] == [b"".join(map(colour.__getitem__, bits.get((i, k), "0" * n))) for i in range(60) for k in (0, 1)]
+    m = spark.createDataFrame([(0, 0, 0, 5, -3), (0, 1, 1, 9, 2), (0, 1, 1, 9, -2)], "run_id int, ind_id bigint, copy int, position int, effect int")
+    sinks.mutation_map(who.filter("ind_id < 2"), m, dims.arms(spark), n, str(tmp_path / "m.png"))
+    want = [bytearray(3 * n) for _ in range(4)]
+    want[0][15:18], want[3][27:30] = b"\xff\0\0", b"\xff\xff\xff"
+    assert pixels(tmp_path / "m.png")[1][10:] == list(map(bytes, want))
+    sinks.genome_map(who.filter("ind_id < 0"), h, dims.arms(spark), n, str(tmp_path / "e.png"))
+    assert len(pixels(tmp_path / "e.png")[1]) == 10
+
+
+def test_checksums_join():
+    import os
+    import zlib
+
+    from kinfold.plans.png import adler_of_both
+
+    for sizes in ((0, 0), (1, 0), (0, 7), (70_000, 200_000), (5, 65_521)):
+        a, b = map(os.urandom, sizes)
+        assert adler_of_both(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+
+
+def test_log_of_repeated_years(spark, tmp_path):
+    """A year is there once however often it is written; what a broken writer left isn't read; a column may be added later."""
+    path = str(tmp_path / "log")
+    frame = lambda rows, more="": spark.createDataFrame(rows, "run_id int, year int, id long" + more)
+    years = lambda *ys: spark.createDataFrame([(0, y) for y in ys], "run_id int, year int")
+    logs.write_log(frame([(0, 1, 5), (0, 1, 6), (0, 2, 7), (0, 3, 8), (0, 9, 9)]), years(1, 2, 3), path)
+    logs.write_log(frame([(0, 2, 70)]), years(2, 3), path)
+    got = lambda: sorted((r["year"], r["id"]) for r in logs.read_log(spark, path).collect())
+    assert got() == [(1, 5), (1, 6), (2, 70)]
+    logs._replaced(frame([(0, 1, 99)]).withColumn("_write", F.lit("never finished")), path + "/rows")
+    assert got() == [(2, 70)]
+    logs.write_log(frame([(0, 1, 5, "x")], ", cause string"), years(1), path)
+    assert got() == [(1, 5), (2, 70)] and {r["cause"] for r in logs.read_log(spark, path).collect()} == {None, "x"}
+
+
+def test_histogram_changes_add_up(spark):
+    """Equal to a recount after each interval, also when the changes of an interval come in parts; effects beyond the ends are counted in the end bins."""
+    import random
+
+    r = random.Random(8)
+    lives = [(r.randrange(2), r.choice([-1500, -3, 0, 4, 1200]), r.randrange(5), r.choice([None, 3, 4, 5])) for _ in range(300)]
+    df = spark.createDataFrame(lives, "run_id int, effect int, born int, gone int").filter("gone IS NULL OR gone >= born")
+    lives = [tuple(x) for x in df.collect()]
+    parts = [statistics.histogram_change(df.filter((F.col("born") == k) & (F.pmod("effect", F.lit(2)) == p)), df.filter((F.col("gone") == k) & (F.pmod("effect", F.lit(2)) == p)), k) for k in range(6) for p in (0, 1)]
+    changes = parts[0]
+    for p in parts[1:]:
+        changes = changes.unionByName(p)
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in statistics.histograms(changes).collect()}
+    want = {}
+    for run in (0, 1):
+        for k in sorted({x[2] for x in lives if x[0] == run} | {x[3] for x in lives if x[0] == run and x[3] is not None}):
+            for b in (-1000, -3, 0, 4, 1000):
+                own = [x for x in lives if x[0] == run and max(-1000, min(1000, x[1])) == b and x[2] <= k]
+                if own:
+                    want[run, k, b] = (len(own), sum(x[3] is None or x[3] > k for x in own))
+    assert got == want
+
+
+def test_words_are_the_bits(spark):
+    """Packed haplotypes against strings: odd sizes, ends of words, a copy that isn't there."""
+    rnd = __import__("random").Random(2)
+    for n in (1, 61, 62, 63, 124, 200):
+        bits = {(i, k): "".join(rnd.choice("0001") for _ in range(n)) for i in range(12) for k in (0, 1) if (i, k) != (3, 0)}
+        spans = [(0, i, k, [(m.start(), m.end()) for m in __import__("re").finditer("1+", b)]) for (i, k), b in bits.items()]
+        df = spark.createDataFrame(spans, "run_id int, ind_id long, copy int, spans array<struct<low:int,high:int>>")
+        h = df.withColumn("words", packed.from_spans(F.col("spans"), n)).drop("spans")
+        got = {(r["ind_id"], r["copy"]): r["words"] for r in h.collect()}
+        assert got == {key: [int(b[a : a + 62].ljust(62, "0"), 2) for a in range(0, n, 62)] for key, b in bits.items()}
+        counts = {r["position"]: r["n"] for r in packed.position_counts(h).collect()}
+        assert counts == {p: c for p in range(n) if (c := sum(b[p] == "1" for b in bits.values()))}
+        kept = packed.retained(h, n).first()
+        assert kept["retained"] == len(counts)
+        het = packed.heterozygosity(h, spark.createDataFrame([(0, 12)], "run_id int, n long"), n).first()["het"]
+        assert het == sum(bits.get((i, 0), "0" * n)[p] != bits[i, 1][p] for i in range(12) for p in range(n))
 
 
 def test_csv_sinks(spark, tmp_path):
@@ -265,3 +370,59 @@ def test_population_queries_without_a_library_of_the_others():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
     assert set(out.stdout.split()) == set(q.QUERIES)
+
+
+@pytest.mark.parametrize("few", [1, 7, 100_000])
+def test_lowest_is_a_plain_cut(spark, few):
+    """With weights of 0, equal numbers, limits of 0, beyond the sum, and of runs without rows; refined to single rows, and not at all."""
+    import random
+
+    r = random.Random(few)
+    rows = [(run, i, r.choice([r.randrange(2**52) / 2.0**52, r.randrange(8) / 8, 0.25 + r.randrange(9) * 2.0**-52]), r.choice([0, 0, 1, 3])) for run in range(5) for i in range(200)]
+    limits = {0: 17, 1: 0, 2: 10_000, 3: 60, 9: 4}
+    df = spark.createDataFrame(rows, "run_id int, id long, u double, w int")
+    table = spark.createDataFrame(list(limits.items()), "run_id int, limit long")
+    for weight in (None, F.col("w")):
+        want = []
+        for run, limit in limits.items():
+            total = 0
+            for x in sorted((x for x in rows if x[0] == run), key=lambda x: (x[2], x[1])):
+                if total >= limit:
+                    break
+                want.append((run, x[1]))
+                total += 1 if weight is None else x[3]
+        got = lowest(df, table, "u", "id", weight, few=few)
+        assert got.columns == df.columns and sorted((x["run_id"], x["id"]) for x in got.collect()) == sorted(want)
+
+
+def test_poisson_by_guide_is_the_count_of_sums(spark):
+    for mean in (0.0, 0.3, 40.0, 5000.0):
+        sums = poisson_table(mean)
+        us = [k / 997 for k in range(997)] + [0.0, 1 - 2.0**-52, *[c for c in sums if c < 1][:300]]
+        df = spark.createDataFrame(list(enumerate(us)), "id int, u double")
+        got = {x["id"]: x["k"] for x in poisson_drawn(df, "u", mean, "k").collect()}
+        assert got == {i: sum(c <= x for c in sums) for i, x in enumerate(us)}
+        assert len(poisson_guide(mean)) <= 2 * len(sums) + 2
+
+
+def test_choice_by_guide(spark):
+    """One value with nearly all weight, values without any, and a group where nothing has weight."""
+    rows = [("a", k, w) for k, w in enumerate([1, 0, 5000, 2, 0, 7])] + [("b", 9, 3), ("c", 8, 0)]
+    table, totals = guide(spark.createDataFrame(rows, "g string, k long, w long"), "k", "w", ["g"])
+    assert table.count() <= 2 * 5
+    draws = spark.createDataFrame([(g, n, (n + 0.5) / 5010) for g in "abc" for n in range(5010)], "g string, n int, u double")
+    got = {(x["g"], x["k"]): x["n"] for x in chosen(draws, table, totals, "u", ["g"]).groupBy("g", "k").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 0): 1, ("a", 2): 5000, ("a", 3): 2, ("a", 5): 7, ("b", 9): 5010}
+
+
+def test_genealogy_of_odd_pedigrees(spark):
+    """A line of many lengths, a parent missing from the table, no descendants, a seed that isn't there, a cycle."""
+    rows = [(0, 0, 0, -1, -1), (0, 1, 1, -1, -1), (0, 2, 0, 0, 1), (0, 3, 1, 2, 1), (0, 4, 0, 0, 3), (0, 5, 0, 4, 99), (0, 6, 1, -1, 3), (0, 7, 0, 98, 97), (1, 0, 0, -1, -1), (2, 5, 1, -1, -1)]
+    schema = "run_id int, ind_id long, sex int, dad long, mom long"
+    df = spark.createDataFrame(rows, schema)
+    seeds = spark.createDataFrame([(0, 0), (1, 0), (2, 77)], "run_id int, ind_id long")
+    got = {tuple(x)[:2]: tuple(x)[2:] for x in pedigree.genealogy(df, seeds, checkpointer(spark)).collect()}
+    assert got == {(0, 0): (0, 0, 0, 0), (0, 1): (-1,) * 4, (0, 2): (1, -1, 1, 1), (0, 3): (-1, -1, 2, 2), (0, 4): (1, -1, 1, 3), (0, 5): (2, -1, 2, 4), (0, 6): (-1, -1, 3, 3), (0, 7): (-1,) * 4, (1, 0): (0, 0, 0, 0), (2, 5): (-1,) * 4}
+    loop = spark.createDataFrame([(0, 0, 0, 1, -1), (0, 1, 0, 0, -1)], schema)
+    with pytest.raises(ValueError, match="cycle"):
+        pedigree.genealogy(loop, seeds, checkpointer(spark))
