@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,16 +70,29 @@ def broadcastable(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def plainly_named(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with all columns but the used ones under names of ours, by their places: so no name, dotted or equal to another but for its case, is ever looked up."""
+    return docs.toDF(*[c if c in used else f"_{k}_column" for k, c in enumerate(docs.columns)])
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number of its own for each row, and that column's name. Written, so that every reading finds the same numbers."""
-    name = "_row"
-    while name in docs.columns:
+    """docs with a number of its own for each row, and that column's name, which differs from all others in more than case. Written, so that every reading finds the same numbers."""
+    name, others = "_row", {c.casefold() for c in docs.columns}
+    while name in others:
         name += "_"
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def carried(docs: DataFrame, *used: str) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """`keyed` for a result that has the columns of docs: only the used ones keep their names meanwhile (see `plainly_named`); the last is what gives a table made from it those columns back."""
+    plain = plainly_named(docs, *used)
+    held, row = keyed(plain)
+    return held, row, lambda df: df.select(*plain.columns).toDF(*docs.columns)
+
+
 def byte_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id long, text binary), and the numbers of `keyed` as row if named, nothing else; a null text becomes the empty one. Extra or clashing columns are left behind here."""
+    docs = plainly_named(docs, id_col, text_col, *([row] if row else []))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *([F.col(row).alias("row")] if row else []))
 
 

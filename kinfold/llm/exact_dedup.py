@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, keyed, rows, short_batches, written
+from .common import byte_texts, carried, rows, short_batches, written
 
 SLOTS, KICKS = 4, 200
 #: Distinct texts, and ids, of one local index before it is flushed; the shards merge what several flushes send.
@@ -212,12 +212,13 @@ def _shard_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: one row of each group of equal texts, of those with its largest doc_id if it has any.
 
-    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text.
+    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text. Null and empty texts are one group; of ties any one row stays; other columns
+    pass through whatever their names; texts of any length are compared whole, by a 256-bit digest; an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
-    held, row = keyed(docs)
+    held, row, restored = carried(docs, "doc_id", "text")
     keep = byte_texts(held, row=row).mapInArrow(_local_tops, TOP).repartition("digest").mapInArrow(_shard_tops, TOP).select(F.col("row").alias("_keep"))
-    return held.join(keep, held[row] == keep["_keep"], "left_semi").drop(row)
+    return restored(held.join(keep, held[row] == keep["_keep"], "left_semi"))
 
 
 #: Shards of an index; each row of its table says how many there are.

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import plainly_named
+
 #: Lines with their ends; the last may lack one.
 LINES = r"[^\n]*\n|[^\n]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -52,7 +54,7 @@ def transformed(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int =
     repeated whole give equal rows. Texts of any length that a row can hold are taken whole. Columns beside doc_id and text are left behind; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = plainly_named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # two hashes name a row: rows that share them are equal in id and text, so one of them is cut for all
     base = base.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")).alias("k2"))
     key = ["k1", "k2"]

@@ -12,8 +12,10 @@ TEMPLATES holds notices and whole short licenses; whole long ones (GPL, Apache a
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +28,8 @@ from .common import byte_texts, rows, short_batches
 #: One differing word is tolerated for so many words of a template.
 TOLERANCE = 10
 LEVEL, CACHE_BLOCKS = 3, 50_000
+#: Bytes of the longest block whose matches are kept.
+CACHE_BYTES = 1 << 14
 #: One edit in a cell of `fitted`: more than any text has words.
 EDIT = 1 << 40
 WORD = re.compile(r"\w+")
@@ -157,6 +161,7 @@ def fitted(template: list[str], block: list[str], slack: int) -> tuple[int, int,
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = built(templates)
+        self.by_name = {t.name: t for t in self.templates}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         # segments by their longest word, which few texts have
         self.by_cue: dict[str, list[tuple[int, int, list[str], Template]]] = {}
@@ -166,29 +171,33 @@ class Scanner:
                 self.by_cue.setdefault(part[k], []).append((k, place, part, t))
         self.seen: dict[tuple, tuple | None] = {}
 
-    def stretches(self, words: list[str]) -> list[tuple[int, int, tuple[Template, ...]]]:
-        """(from, to, templates) of candidate blocks by word number: where the whole template would be around an intact segment; windows that overlap are one block."""
+    def windows(self, words: list[str]) -> set[tuple[int, int, str]]:
+        """(from, to, template): where a whole template would be around an intact segment, give or take its slack. Every stretch within slack of a template lies in a window of it."""
         found = set()
         for i, w in enumerate(words):
             for k, place, part, t in self.by_cue.get(w, ()):
                 if i >= k and words[i - k : i - k + len(part)] == part:
                     first = i - k - place
                     found.add((max(0, first - t.slack), min(len(words), first + t.length + t.slack), t.name))
-        by = {t.name: t for t in self.templates}
+        return found
+
+    def stretches(self, words: list[str]) -> list[tuple[int, int, tuple[Template, ...]]]:
+        """(from, to, templates) of candidate blocks by word number: windows that overlap are one block."""
         out: list[list] = []
-        for a, b, name in sorted(found):
+        for a, b, name in sorted(self.windows(words)):
             if out and a < out[-1][1]:
                 out[-1][1] = max(out[-1][1], b)
-                out[-1][2].setdefault(name, by[name])
+                out[-1][2].setdefault(name, self.by_name[name])
             else:
-                out.append([a, b, {name: by[name]}])
+                out.append([a, b, {name: self.by_name[name]}])
         return [(a, b, tuple(ts.values())) for a, b, ts in out]
 
     def judged(self, block: list[str], templates: tuple[Template, ...]) -> list[tuple]:
         """(name, reduction, rank, differing, from, to) of confirmed templates of a block; a word belongs to one match.
 
         Of overlapping stretches the one wins whose template has most words, less two for each that differs: of templates of one
-        length the one with fewest differing words, and a near copy of a long text before a short notice inside it. Then the better rank, then the name.
+        length the one with fewest differing words, and a near copy of a long text before a short notice inside it. Then the better rank, then the name, then the place.
+        A template is fitted to each of its windows alone, and once more to what is left of a window when a better match takes words of its stretch; so the work grows with the length of the block.
         """
         key = (" ".join(block), tuple(t.name for t in templates))
         if key in self.seen:
@@ -196,20 +205,40 @@ class Scanner:
         text = key[0].encode()
         alone = len(self.plain.compress(text))
         sizes = {t.name: len(t.raw.compress(text)) for t in templates}
-        ranked = sorted(templates, key=lambda t: (sizes[t.name], t.name))
+        rank = {t.name: k for k, t in enumerate(sorted(templates, key=lambda t: (sizes[t.name], t.name)), 1)}
+        heap: list[tuple] = []
+
+        def fit(name: str, a: int, b: int) -> None:
+            t = self.by_name[name]
+            if b - a >= t.length - t.slack and (got := fitted(t.words, block[a:b], t.slack)):
+                heappush(heap, (2 * got[0] - t.length, rank[name], name, a + got[2], a + got[1], got[0], a, b))
+
+        for a, b, name in sorted(self.windows(block)):
+            if name in rank:
+                fit(name, a, b)
         out: list[tuple] = []
-        todo = [(0, len(block))]
-        while todo:
-            a, b = todo.pop()
-            fits = [(2 * got[0] - t.length, rank, t.name, got) for rank, t in enumerate(ranked, 1) if b - a >= t.length - t.slack and (got := fitted(t.words, block[a:b], t.slack))]
-            if fits:
-                _, rank, name, (differing, x, y) = min(fits)
-                out.append((name, (alone - sizes[name]) / alone, rank, differing, a + x, a + y))
-                todo += [(a, a + x), (a + y, b)]
-        if len(self.seen) > CACHE_BLOCKS:
-            self.seen.clear()
-        self.seen[key] = sorted(out, key=lambda m: m[4:])
-        return self.seen[key]
+        taken: list[tuple[int, int]] = []  # in order
+        while heap:
+            _, place, name, y, x, differing, a, b = heappop(heap)
+            near = taken[max(0, bisect(taken, (a, a)) - 1) : bisect(taken, (b, b))]
+            if all(end <= x or y <= start for start, end in near):
+                insort(taken, (x, y))
+                out.append((name, (alone - sizes[name]) / alone, place, differing, x, y))
+                continue
+            at = a
+            for start, end in near:  # the free pieces of the window
+                if end > a and start < b:
+                    if start > at:
+                        fit(name, at, start)
+                    at = max(at, end)
+            if at < b:
+                fit(name, at, b)
+        out.sort(key=lambda m: m[4:])
+        if len(text) <= CACHE_BYTES:
+            if len(self.seen) > CACHE_BLOCKS:
+                self.seen.clear()
+            self.seen[key] = out
+        return out
 
     def scan(self, text: bytes) -> list[tuple]:
         """(name, reduction, rank, differing words, first character, past the last) of each match in a text."""

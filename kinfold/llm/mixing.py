@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcastable, keyed, written
+from .common import broadcastable, carried, plainly_named, written
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,6 +138,8 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weight
     the column `row` if named (a number of each row's own, see `keyed`), which is returned too. Null and empty texts have size 0 and are taken
     once or as often as others (taken 0); other columns don't matter; an empty table gives no rows.
     """
+    if isinstance(sources, str):
+        docs = plainly_named(docs, "doc_id", "text", sources, *([row] if row else []))
     column = F.col(sources) if isinstance(sources, str) else sources
     kind = docs.select(column.alias("s")).schema["s"].dataType.typeName()
     members = F.array_sort(F.array_distinct(column)) if kind == "array" else F.array(column.cast("string"))
@@ -175,8 +177,11 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 7, weight
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed documents with their own columns: a document taken k times is k rows, one taken 0 times is gone; a part counts as a copy from half the document on. Rows without an id and repeated ids are taken row by row."""
+    """The mixed documents with their own columns: a document taken k times is k rows, one taken 0 times is gone; a part counts as a copy from half the document on. Rows without an id and repeated ids are taken row by row.
+
+    Null and empty texts have no words and are taken as often as their source is taken whole; null is a source of its own; ties are settled as in `mix`; other columns pass
+    through whatever their names; texts of any length count whole; an empty table gives no rows."""
     more = ((F.col("size") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
-    held, row = keyed(docs)
-    times = mix(held, seed=seed, row=row).select(F.col("row").alias("_id"), (F.col("times") + more).alias("_times")).filter("_times > 0")
-    return held.join(times, held[row] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), times["_times"]))).select(*[held[c] for c in docs.columns])
+    held, row, restored = carried(docs, "doc_id", "text", "source")
+    times = mix(held, seed=seed, row=row).select(F.col("row").alias(row), (F.col("times") + more).alias("_times")).filter("_times > 0")
+    return restored(held.join(times, row).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, Scratch, broadcastable, byte_texts, keyed, mixed, rows, short_batches, signed, written
+from .common import GROUP_BYTES, Scratch, broadcastable, byte_texts, carried, mixed, rows, short_batches, signed, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Prefix shingles that an input partition holds before it settles and sends them.
@@ -454,13 +454,14 @@ def _known(sets: DataFrame, scratch: Scratch) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies (with the smallest doc_id, if one has an id) and every row that links with nothing, with all their columns.
 
-    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text; rows without words link with nothing.
+    Rows repeated whole are copies like others, and an id repeated with another text is judged text by text; rows without words (null and empty texts too) link with nothing.
+    Of rows repeated with the smallest id any one stays; other columns pass through whatever their names; texts of any length are judged whole; an empty table gives no rows.
     """
-    held, row = keyed(docs)
+    held, row, restored = carried(docs, "doc_id", "text")
     keys, named = _connected(byte_texts(held, row=row))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     # the set's own first row, then its component's: a set that very many rows share is reduced before it is joined
     of_set = keys.filter("sid is not null").groupBy("sid").agg(F.min(order).alias("first"))
     of_class = of_set.join(named.select("sid", "c"), "sid").groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_keep"))
     keep = of_class.unionByName(keys.filter("sid is null").select(F.col("row").alias("_keep")))
-    return held.join(keep, held[row] == keep["_keep"], "left_semi").drop(row)
+    return restored(held.join(keep, held[row] == keep["_keep"], "left_semi"))

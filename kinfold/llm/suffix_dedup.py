@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import mixed, short_batches, signed, with_home
 
 WINDOW, GRAM = 200, 64
-#: Bytes of text whose anchors are found in one go (a longer document is one go of its own), and of one block of a run.
+#: Bytes of text whose anchors are found in one go (a longer document is read in pieces of that size), and of one block of a run.
 CHUNK, BLOCK = 1 << 20, 1 << 16
 #: Bits of a place within a chunk: no text has as many bytes.
 PLACE_BITS = np.uint64(32)
@@ -52,7 +52,27 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document, anchor, first window, last window, hash) of each stretch of windows with one anchor; places within the document."""
+    """(document, anchor, first window, last window, hash) of each stretch of windows with one anchor; places within the document.
+
+    Documents of more than CHUNK bytes are read in pieces, each with the bytes that its last window needs; a stretch that a piece's end has cut is made whole again.
+    """
+    if all(len(t) <= CHUNK for t in texts):
+        return _anchors(texts)
+    found = []
+    for k, t in enumerate(texts):
+        for a in range(0, len(t), CHUNK) if len(t) > CHUNK else (0,):
+            _, place, first, last, h = _anchors([t[a : a + CHUNK + WINDOW - 1]] if len(t) > CHUNK else [t])
+            found.append((np.full(len(place), k, np.int64), place + a, first + a, last + a, h))
+    doc, place, first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(doc):
+        return doc, place, first, last, h
+    cut = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)
+    starts = np.flatnonzero(np.concatenate([[True], ~cut]))
+    ends = np.concatenate([starts[1:] - 1, [len(doc) - 1]])
+    return doc[starts], place[starts], first[starts], last[ends], h[starts]
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     lens = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
@@ -424,8 +444,9 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and, if with_text, spans (pairs of byte places) and kept.
 
     A byte goes if a WINDOW-byte string that covers it also starts anywhere else in the corpus, the same document
-    included. A null text is empty; texts shorter than WINDOW lose nothing; repeated rows lose all that is WINDOW bytes long; kept may
-    cut a character of several bytes, so it is binary; an empty table gives no rows.
+    included. A null text is empty; texts shorter than WINDOW lose nothing; repeated rows lose all that is WINDOW bytes long; rows without an id and rows that share one are
+    judged each by its text; there are no ties, as every occurrence goes; kept may
+    cut a character of several bytes, so it is binary; columns beside doc_id and text are left behind; an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
     dealt, homes = with_home(docs)

@@ -117,8 +117,8 @@ class WordEncoder:
         for w in found:
             young[w] = old[w]
         new.difference_update(found)
-        # a letter and the marks after it are never in one token
-        pairs = [(w, base, w[len(base) :]) for w in new if (base := w.rstrip(MARKS)) != w and base and base.decode("utf-8", "replace")[-1].isalpha() and not any(a in w for a in self.added)]
+        # a letter of A-Z and the marks after it are never in one token; other letters may end in a mark of their own when they are normalised
+        pairs = [(w, base, w[len(base) :]) for w in new if (base := w.rstrip(MARKS)) != w and base[-1:].isalpha() and not any(a in w for a in self.added)]
         new.difference_update([w for w, _, _ in pairs])
         parts = {x for _, *two in pairs for x in two} - young.keys()
         found = [w for w in parts if w in old]

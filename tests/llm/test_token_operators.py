@@ -28,7 +28,7 @@ def odd_texts():
 
 def frame(spark, rows):
     """Extra columns whose names clash with those used inside, among them one with a dot and one that differs by case."""
-    schema = "doc_id long, text string, K1 long, `a.b` string, ids string, form string, chunk int, g int"
+    schema = "doc_id long, text string, K1 long, `a.b` string, ids string, form string, TEXT int, g int"
     return spark.createDataFrame([(*r, 1, "x", "y", "z", 2, 3) for r in rows], schema)
 
 
