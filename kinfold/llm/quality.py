@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, rows, short_batches
+from .common import byte_texts, plainly_named, rows, short_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12 << 20
 DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 1024, 3
@@ -153,4 +153,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         s = model.scorer()
         return texts.map(lambda t: s(bytes(t) if t is not None else b""))
 
-    return docs.filter(score(F.col("text").cast("binary")) >= threshold)
+    return plainly_named(docs, "text").filter(score(F.col("text").cast("binary")) >= threshold).toDF(*docs.columns)

@@ -30,6 +30,18 @@ def test_columns_of_any_name_pass_through(spark, operator):
     assert operator(docs.limit(0)).columns == docs.columns and operator(docs.limit(0)).count() == 0
 
 
+def test_all_stages_of_the_pipeline_carry_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = clashing(spark, [(1, text, "a"), (2, text + " thirteen", "b"), (None, None, None)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 3
+
+
 def taken_apart():
     import unicodedata
 
