@@ -22,6 +22,8 @@ from .common import byte_texts, carried, rows, short_batches, written
 SLOTS, KICKS = 4, 200
 #: Distinct texts, and ids, of one local index before it is flushed; the shards merge what several flushes send.
 LOCAL_TEXTS, LOCAL_IDS = 200_000, 500_000
+#: Texts that one shard's index holds, about: more texts are dealt to more shards.
+SHARD_TEXTS = 1_000_000
 
 
 class CuckooIndex:
@@ -119,6 +121,12 @@ def digest(text: bytes) -> bytes:
     return hashlib.sha256(text.lower()).digest()  # bytes.lower() changes A-Z only
 
 
+def _dealt(found: DataFrame, texts: int) -> DataFrame:
+    """Rows by digest in as many shards as `texts` need, Spark's own number at least."""
+    shards = -(-texts // SHARD_TEXTS)
+    return found.repartition(shards, "digest") if shards > int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) else found.repartition("digest")
+
+
 LOCAL = "digest binary, top long, n long, ids array<long>"
 
 
@@ -169,7 +177,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     local = written(byte_texts(docs).mapInArrow(_local, LOCAL), "digests")
-    live = local.select("digest", "top", "n").repartition("digest").mapInArrow(_shard, "digest binary, keep_id long, group_size long")
+    live = _dealt(local.select("digest", "top", "n"), local.count()).mapInArrow(_shard, "digest binary, keep_id long, group_size long")
     per_text = local.select("digest", "ids").join(live, "digest")
     return per_text.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256")).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
@@ -217,11 +225,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     held, row, restored = carried(docs, "doc_id", "text")
-    keep = byte_texts(held, row=row).mapInArrow(_local_tops, TOP).repartition("digest").mapInArrow(_shard_tops, TOP).select(F.col("row").alias("_keep"))
+    keep = _dealt(byte_texts(held, row=row).mapInArrow(_local_tops, TOP), held.count()).mapInArrow(_shard_tops, TOP).select(F.col("row").alias("_keep"))
     return restored(held.join(keep, held[row] == keep["_keep"], "left_semi"))
 
 
-#: Shards of an index; each row of its table says how many there are.
+#: Shards of an index, at least; each row of its table says how many there are.
 SHARDS = 64
 INDEX = "shards int, shard int, digest binary, keep_id long, group_size long"
 
@@ -230,14 +238,16 @@ def _shard_of(digest_column: str, shards: int):
     return F.pmod(F.xxhash64(digest_column), F.lit(shards)).cast("int")
 
 
-def live_index(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The index as a table (shards, shard, digest, keep_id, group_size), to be stored and changed by `changed_index`.
+def live_index(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """The index as a table (shards, shard, digest, keep_id, group_size), to be stored and changed by `changed_index`. There are as many shards as the documents need unless `shards` says so.
 
     A row a distinct text: a null text is the empty one, repeated rows count each, keep_id is the largest id (null where no row has one);
     columns beside doc_id and text are left behind; an empty table gives an index without rows.
     """
     short_batches(docs.sparkSession)
-    live = byte_texts(docs).mapInArrow(_local, LOCAL).select("digest", "top", "n").repartition("digest").mapInArrow(_shard, "digest binary, keep_id long, group_size long")
+    n = docs.count()
+    shards = shards or max(SHARDS, -(-n // SHARD_TEXTS))
+    live = _dealt(byte_texts(docs).mapInArrow(_local, LOCAL).select("digest", "top", "n"), n).mapInArrow(_shard, "digest binary, keep_id long, group_size long")
     return live.select(F.lit(shards).alias("shards"), _shard_of("digest", shards).alias("shard"), "digest", "keep_id", "group_size")
 
 

@@ -42,6 +42,17 @@ def test_all_stages_of_the_pipeline_carry_columns_of_any_name(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 3
 
 
+def test_shards_follow_the_texts(spark, monkeypatch):
+    """More texts than Spark's shards hold get more shards, with the same result."""
+    docs = spark.createDataFrame([(k, f"text {k % 300}") for k in range(900)], "doc_id long, text string")
+    want = sorted(map(tuple, exact_dedup.groups(docs).collect()))
+    kept = sorted(map(tuple, exact_dedup.dedup(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "SHARD_TEXTS", 4)
+    assert exact_dedup._dealt(docs.withColumnRenamed("text", "digest"), 900).rdd.getNumPartitions() == 225
+    assert sorted(map(tuple, exact_dedup.groups(docs).collect())) == want and sorted(map(tuple, exact_dedup.dedup(docs).collect())) == kept
+    assert exact_dedup.live_index(docs).select("shards").first()[0] == 225
+
+
 def taken_apart():
     import unicodedata
 
