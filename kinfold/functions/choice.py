@@ -30,27 +30,31 @@ def chosen(draws: DataFrame, table: DataFrame, totals: DataFrame, u: str, by: li
     return d.join(table, [*by, "cell"]).filter("low <= _t AND _t < high").drop("cell", "low", "high", "_t", "total", "width")
 
 
-#: Rows of a guide table of Poisson numbers that are broadcast at most; a table of a larger mean is joined by shuffling.
+#: Rows of a guide table that are broadcast at most; a longer one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
 
-def poisson_guide(mean: float) -> list[tuple[int, int, float, float]]:
-    """(cell, k, low, high): a number in [low, high) gives k; a row for each of the cells, as many as there are values, that it reaches into."""
-    sums = poisson_table(mean)
-    cells, out, low = len(sums), [], 0.0
-    for k, high in enumerate([*sums, 2.0]):  # what is left above the last sum is the last value
-        if high > low:
-            last = min(cells - 1, int(high * cells))
-            out += [(c, k, low, high) for c in range(int(low * cells), last + 1)] if low < 1 else []
-        low = max(low, high)
-    return out
+def guided(ranges: list[tuple[int, float, float]]) -> list[tuple[int, int, float, float]]:
+    """(cell, value, low, high) of values with ranges [low, high) that follow each other from 0 to 1: a row for each of the cells, as many as there are values, that a range reaches into."""
+    cells = len(ranges)
+    return [(c, value, low, high) for value, low, high in ranges if low < high and low < 1 for c in range(int(low * cells), min(cells - 1, int(high * cells)) + 1)]
 
 
-def poisson_drawn(df: DataFrame, u: str, mean: float, name: str) -> DataFrame:
-    """df with `name`: how many of the cumulative Poisson chances are at or below u (in [0, 1)). The plan holds no table of numbers; a row of df meets those of its cell."""
-    rows = poisson_guide(mean)
+def drawn(df: DataFrame, u: str, ranges: list[tuple[int, float, float]], name: str) -> DataFrame:
+    """df with `name`: the value in whose range u (in [0, 1)) lies. A row of df meets the few values of its cell by equality, and the plan holds no table of numbers."""
+    rows = guided(ranges)
     table = df.sparkSession.createDataFrame(rows, f"_cell int, {name} int, _low double, _high double")
     table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
-    cells = 1 + max(r[0] for r in rows)
-    d = df.withColumn("_cell", F.least(F.floor(F.col(u) * cells), F.lit(cells - 1)).cast("int"))
+    d = df.withColumn("_cell", F.least(F.floor(F.col(u) * len(ranges)), F.lit(len(ranges) - 1)).cast("int"))
     return d.join(table, "_cell").filter((F.col("_low") <= F.col(u)) & (F.col(u) < F.col("_high"))).drop("_cell", "_low", "_high")
+
+
+def poisson_ranges(mean: float) -> list[tuple[int, float, float]]:
+    """Each number's range: it is drawn by numbers at or above just as many of the cumulative chances. What is left above the last chance is the last number's."""
+    sums = [*poisson_table(mean), 2.0]
+    return [(k, low, high) for k, (low, high) in enumerate(zip([0.0, *sums], sums, strict=False)) if low < high]
+
+
+def poisson_drawn(df: DataFrame, u: str, mean: float, name: str) -> DataFrame:
+    """df with `name`: how many of the cumulative Poisson chances are at or below u (in [0, 1))."""
+    return drawn(df, u, poisson_ranges(mean), name)

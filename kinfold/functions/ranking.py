@@ -1,7 +1,7 @@
 """Ranks by a random number without a single-task window.
 
 Rows are numbered within ranges of the number, and ranges start where the sizes of those before end. The sizes are a table of at most
-BUCKETS rows a run, which is broadcast.
+BUCKETS rows a run; rows lie by run and range already when they meet it, so it alone is shuffled, or broadcast where Spark finds it small.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def ranked(df: DataFrame, u: str, tie: str, by: list[str] | None = None, name: s
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_from"))
     own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(u, tie))
-    return cut.withColumn("_r", own).join(F.broadcast(starts), [*by, "_b"]).withColumn(name, (F.col("_from") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_from")
+    return cut.withColumn("_r", own).join(starts, [*by, "_b"]).withColumn(name, (F.col("_from") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_from")
 
 
 def running_sum(df: DataFrame, value: str, u: str, tie: str, by: list[str] | None = None, name: str = "total") -> DataFrame:
@@ -31,4 +31,4 @@ def running_sum(df: DataFrame, value: str, u: str, tie: str, by: list[str] | Non
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_from"))
     own = F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(u, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_r", own).join(F.broadcast(starts), [*by, "_b"]).withColumn(name, F.col("_from") + F.col("_r")).drop("_b", "_r", "_from")
+    return cut.withColumn("_r", own).join(starts, [*by, "_b"]).withColumn(name, F.col("_from") + F.col("_r")).drop("_b", "_r", "_from")

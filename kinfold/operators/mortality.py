@@ -43,7 +43,7 @@ def random_deaths(people: DataFrame, actuarial: DataFrame, cfg: Config, year: in
     if seeds is None:
         dies, own = u < F.col("threshold"), F.lit(False)
     else:
-        p = p.join(F.broadcast(seeds.select("run_id", F.col("ind_id").alias("_seed"))), "run_id", "left")
+        p = p.join(seeds.select("run_id", F.col("ind_id").alias("_seed")), "run_id", "left")  # a row a run
         own = F.coalesce(F.col("ind_id") == F.col("_seed"), F.lit(False))
         dies = F.when(own, age(year) >= F.col("lifespan")).otherwise(u < F.col("threshold"))
     return p.filter(dies).select("run_id", "ind_id", F.lit("r").alias("cause"), (~own).alias("counted"))

@@ -54,7 +54,7 @@ def with_ids(births: DataFrame, last: DataFrame, cfg: Config, year: int) -> Data
 
     `last` has run_id and last_id: a row a run."""
     u = uniform("child", F.col("mom"), seed=cfg.seed, run=F.col("run_id"), year=year)
-    return ranked(births.withColumn("_u", u), "_u", "mom").join(F.broadcast(last), "run_id").withColumn("child_id", F.col("last_id") + F.col("rank")).drop("_u", "rank", "last_id")
+    return ranked(births.withColumn("_u", u), "_u", "mom").join(last, "run_id").withColumn("child_id", F.col("last_id") + F.col("rank")).drop("_u", "rank", "last_id")
 
 
 def generations(parents: list[Column], how) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions.choice import chosen, guide, poisson_drawn
+from .functions.choice import chosen, drawn, guide, poisson_drawn
 from .functions.rng import integer, poisson_table, uniform, uniform_sql, weibull
 from .operators import genome, mating, mortality, packed, pedigree, people, statistics
 from .plans import logs, report, sinks
@@ -367,9 +367,8 @@ def founders_default(spark, sf_dir):
 
 @query(duck(f"SELECT ind_id, CAST(age AS INTEGER) AS age FROM individuals JOIN ages ON {u('age', 'ind_id')} >= low AND {u('age', 'ind_id')} < high", "individuals", ages=views.values(dims.age_ranges(20_000), "age, low, high")))
 def age_cdf_sample(spark, sf_dir):
-    ages = spark.createDataFrame(dims.age_ranges(20_000), "age int, low double, high double")
     who = views.individuals(spark, sf_dir).select("ind_id", uniform("age", F.col("ind_id"), run=F.col("run_id")).alias("u"))
-    return who.join(F.broadcast(ages), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("ind_id", "age")
+    return drawn(who, "u", dims.age_ranges(20_000), "age").select("ind_id", "age")
 
 
 @query(duck(f"SELECT ind_id, {COORDINATES} FROM individuals", "individuals"))
@@ -848,9 +847,11 @@ def results_printed(spark, sf_dir):
     return report.printed(one_row(spark, sf_dir)).select("run", "year", *report.ONE_DECIMAL)
 
 
-@query(duck("SELECT sim_year AS year, numinds, lag(numinds) OVER (ORDER BY sim_year) AS last_numinds FROM (SELECT sim_year, count(*) AS numinds FROM yearly_events GROUP BY 1)", "yearly_events"))
+@query(duck("SELECT year, numinds, lag(numinds) OVER (ORDER BY year) AS last_numinds FROM (SELECT y.year, count(*) AS numinds FROM (SELECT DISTINCT birth_year AS year FROM individuals) y JOIN individuals i ON i.birth_year <= y.year GROUP BY 1)", "individuals"))
 def population_lag(spark, sf_dir):
-    sizes = views.yearly_events(spark, sf_dir).groupBy(F.col("run_id").alias("run"), F.col("sim_year").alias("year")).agg(F.count("*").alias("numinds"))
+    """The number of people born up to each year, with that of the year before."""
+    born = views.individuals(spark, sf_dir).groupBy(F.col("run_id").alias("run"), F.col("birth_year").alias("year")).agg(F.count("*").alias("n"))  # a row a year
+    sizes = born.select("run", "year", F.sum("n").over(Window.partitionBy("run").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)).alias("numinds"))
     return statistics.with_last_size(sizes).select("year", "numinds", "last_numinds")
 
 

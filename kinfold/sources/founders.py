@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.choice import drawn
 from ..functions.rng import integer, uniform
 from . import dims
 
@@ -53,9 +54,7 @@ def default(spark: SparkSession, cfg: Config) -> DataFrame:
     """start_pop_size single people, of ages by the pyramid, at random places."""
     ids = spark.range(cfg.start_pop_size).select(F.col("id").alias("ind_id")).crossJoin(spark.range(cfg.num_runs).select(F.col("id").cast("int").alias("run_id")))
     run, key = F.col("run_id"), F.col("ind_id")
-    ages = spark.createDataFrame(dims.age_ranges(cfg.start_pop_size), "age int, low double, high double")
-    p = ids.withColumn("u", uniform("age", key, seed=cfg.seed, run=run))
-    p = p.join(F.broadcast(ages), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))  # at most 100 ages
+    p = drawn(ids.withColumn("u", uniform("age", key, seed=cfg.seed, run=run)), "u", dims.age_ranges(cfg.start_pop_size), "age")
     lat, lon = coordinates(key, cfg.seed, run)
     made = p.select("run_id", "ind_id", integer(uniform("sex0", key, seed=cfg.seed, run=run), 0, 1).alias("sex"), (-F.col("age")).alias("birth_year"), F.lit(cfg.init_lifespan).alias("lifespan"), F.lit(-1).alias("marriage_state"), F.lit(-cfg.spacing).alias("year_of_last_birth"), lat.alias("lat"), lon.alias("lon"), F.lit(1.0).alias("fitness"), F.lit(0).alias("mutations"))
     return shaped(made)
@@ -85,7 +84,7 @@ def seed_person(people: DataFrame, cfg: Config, year: int) -> DataFrame:
 
 def inoculated(people: DataFrame, seeds: DataFrame, numbits: int) -> DataFrame:
     """People with the seed's genome marked: all centromeres, generation 0 (of the Y only for a man)."""
-    p = people.join(F.broadcast(seeds.withColumn("_seed", F.lit(True))), ["run_id", "ind_id"], "left")
+    p = people.join(seeds.withColumn("_seed", F.lit(True)), ["run_id", "ind_id"], "left")
     mark = lambda c, v, when=None: F.when(F.col("_seed") & (when if when is not None else F.lit(True)), v).otherwise(F.col(c)).alias(c)
     new = {"centromeres": mark("centromeres", F.repeat(F.lit("1"), F.lit(48))), "y_gens": mark("y_gens", F.lit(0), F.col("sex") == 0), "mt_gens": mark("mt_gens", F.lit(0)), "min_genealo_gens": mark("min_genealo_gens", F.lit(0)), "max_genealo_gens": mark("max_genealo_gens", F.lit(0)), "allele_count": mark("allele_count", F.lit(2 * numbits)), "num_blocks": mark("num_blocks", F.lit(2))}
     return p.select(*[new.get(c, F.col(c)) for c in people.columns])

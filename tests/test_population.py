@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold import queries as q
 from kinfold.config import Config
-from kinfold.functions.choice import chosen, guide, poisson_drawn, poisson_guide
+from kinfold.functions.choice import chosen, guide, guided, poisson_drawn, poisson_ranges
 from kinfold.functions.ranking import ranked, running_sum
 from kinfold.functions.rng import poisson_table
 from kinfold.functions.selection import lowest
@@ -402,7 +402,7 @@ def test_poisson_by_guide_is_the_count_of_sums(spark):
         df = spark.createDataFrame(list(enumerate(us)), "id int, u double")
         got = {x["id"]: x["k"] for x in poisson_drawn(df, "u", mean, "k").collect()}
         assert got == {i: sum(c <= x for c in sums) for i, x in enumerate(us)}
-        assert len(poisson_guide(mean)) <= 2 * len(sums) + 2
+        assert len(guided(poisson_ranges(mean))) <= 2 * len(sums) + 2
 
 
 def test_choice_by_guide(spark):
