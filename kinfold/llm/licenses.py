@@ -15,7 +15,7 @@ import re
 from bisect import bisect, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -197,7 +197,8 @@ class Scanner:
 
         Of overlapping stretches the one wins whose template has most words, less two for each that differs: of templates of one
         length the one with fewest differing words, and a near copy of a long text before a short notice inside it. Then the better rank, then the name, then the place.
-        A template is fitted to each of its windows alone, and once more to what is left of a window when a better match takes words of its stretch; so the work grows with the length of the block.
+        Windows wait in the order of the best score that they can have, equals by rank; one is fitted when it is its turn, to the words that no better match has taken by then, so a template
+        that can't win any more is spared. A window whose stretch loses words to a better match is fitted once more to what is left. So the work grows with the length of the block.
         """
         key = (" ".join(block), tuple(t.name for t in templates))
         if key in self.seen:
@@ -206,33 +207,27 @@ class Scanner:
         alone = len(self.plain.compress(text))
         sizes = {t.name: len(t.raw.compress(text)) for t in templates}
         rank = {t.name: k for k, t in enumerate(sorted(templates, key=lambda t: (sizes[t.name], t.name)), 1)}
-        heap: list[tuple] = []
-
-        def fit(name: str, a: int, b: int) -> None:
-            t = self.by_name[name]
-            if b - a >= t.length - t.slack and (got := fitted(t.words, block[a:b], t.slack)):
-                heappush(heap, (2 * got[0] - t.length, rank[name], name, a + got[2], a + got[1], got[0], a, b))
-
-        for a, b, name in sorted(self.windows(block)):
-            if name in rank:
-                fit(name, a, b)
+        #: (score, rank, name, end, start, differing, window); a window that isn't fitted yet stands at the best score that it can have, with no end
+        heap = [(-self.by_name[name].length, rank[name], name, -1, -1, -1, a, b) for a, b, name in self.windows(block) if name in rank]
+        heapify(heap)
         out: list[tuple] = []
         taken: list[tuple[int, int]] = []  # in order
         while heap:
-            _, place, name, y, x, differing, a, b = heappop(heap)
+            score, place, name, y, x, differing, a, b = heappop(heap)
+            t = self.by_name[name]
             near = taken[max(0, bisect(taken, (a, a)) - 1) : bisect(taken, (b, b))]
-            if all(end <= x or y <= start for start, end in near):
+            if y >= 0 and all(end <= x or y <= start for start, end in near):
                 insort(taken, (x, y))
                 out.append((name, (alone - sizes[name]) / alone, place, differing, x, y))
                 continue
-            at = a
-            for start, end in near:  # the free pieces of the window
+            at, free = a, []  # the free pieces of the window
+            for start, end in near:
                 if end > a and start < b:
-                    if start > at:
-                        fit(name, at, start)
+                    free.append((at, start))
                     at = max(at, end)
-            if at < b:
-                fit(name, at, b)
+            for p, q in [*free, (at, b)]:
+                if q - p >= t.length - t.slack and (got := fitted(t.words, block[p:q], t.slack)):
+                    heappush(heap, (2 * got[0] - t.length, place, name, p + got[2], p + got[1], got[0], p, q))
         out.sort(key=lambda m: m[4:])
         if len(text) <= CACHE_BYTES:
             if len(self.seen) > CACHE_BLOCKS:
