@@ -117,12 +117,17 @@ def choices(men: DataFrame, women: DataFrame, distance: float, saved) -> tuple[D
     return index, asked.withColumnRenamed("year", "birth_year").join(counted, [*PLACE, "birth_year"])
 
 
+#: Places of his list that a man without a woman looks at in one round.
+AHEAD = 32
+
+
 def distance_pairs(people: DataFrame, cfg: Config, year: int, saved=None) -> DataFrame:
     """(run_id, man, woman): men in shuffled order take the best woman left within the distance; only as many men as the smaller side has take part.
 
     Men choosing in order is what deferred acceptance gives when all women prefer men in that order: in each round every man without a
     match asks the best woman who hasn't refused him, and each woman keeps the first in order. A man is one row with a cursor into the sorted index of his place (see
-    `choices`), so a round moves a row a man. Men of one place and year have the same list, and each of them ends behind those before him: cursors of such a class are
+    `choices`), so a round moves a row a man, and AHEAD short ones for each who looks for a woman: women who are held by a man before him are passed over, as they would
+    refuse him. Men of one place and year have the same list, and each of them ends behind those before him: cursors of such a class are
     kept rising, so that a crowd of them doesn't ask one woman round after round. `saved` cuts lineage between rounds.
     """
     saved = saved or (lambda df: df)
@@ -139,19 +144,22 @@ def distance_pairs(people: DataFrame, cfg: Config, year: int, saved=None) -> Dat
     state = state.select(*cols, "older", "all", "i", (F.col("i") - 1).alias("next"), F.lit(None).cast("long").alias("woman"), F.lit(-1).cast("long").alias("asked"))
     upto = group.rowsBetween(Window.unboundedPreceding, 0)
     younger = F.col("all") - F.col("older")
+    pos = F.col("next") + F.col("step")
     while True:
-        # whoever has a new place in his list looks up the woman there; who is past its end is out
-        moved = state.filter("next <> asked AND next < all").withColumn("up", F.col("next") < younger)
-        moved = moved.withColumn("at", F.when(F.col("up"), F.col("older") + F.col("next") + 1).otherwise(F.col("next") + 1)).drop("woman")
-        moved = moved.join(index, [*PLACE, "up", "at"]).withColumn("asked", F.col("next"))
-        state = saved(state.filter("next = asked AND next < all").unionByName(moved.select(*state.columns)))
-        kept = state.groupBy("run_id", "woman").agg(F.min("rank").alias("best"))
-        judged = state.join(kept, ["run_id", "woman"]).withColumn("next", F.col("next") + (F.col("rank") > F.col("best")).cast("long"))
-        judged = judged.withColumn("next", F.max(F.col("next") - F.col("i")).over(upto) + F.col("i")).select(*state.columns)
-        judged = saved(judged)
-        if judged.filter("next <> asked").isEmpty():
-            return judged.select("run_id", F.col("ind_id").alias("man"), "woman")
-        state = judged
+        # who has no woman looks for the next in his list whom nobody before him holds, AHEAD places at a time; who is past its end is out
+        moved = state.filter("next <> asked AND next < all").drop("woman", "asked")
+        probes = moved.select(*PLACE, "ind_id", "rank", "older", "all", "next", F.explode(F.sequence(F.lit(0), F.lit(AHEAD - 1))).alias("step")).filter(pos < F.col("all"))
+        probes = probes.withColumn("pos", pos).withColumn("up", F.col("pos") < younger).withColumn("at", F.when(F.col("up"), F.col("older") + F.col("pos") + 1).otherwise(F.col("pos") + 1))
+        held = state.filter("next = asked").select("run_id", "woman", F.col("rank").alias("holder"))
+        seen = probes.join(index, [*PLACE, "up", "at"]).join(held, ["run_id", "woman"], "left").filter(F.col("holder").isNull() | (F.col("holder") > F.col("rank")))
+        found = seen.groupBy("run_id", "ind_id").agg(F.min("pos").alias("asked"), F.min_by("woman", "pos").alias("woman"))
+        moved = moved.join(found, ["run_id", "ind_id"], "left").withColumn("next", F.coalesce("asked", F.col("next") + AHEAD)).withColumn("asked", F.coalesce("asked", F.lit(-1).cast("long")))
+        state = saved(state.filter("next = asked").unionByName(moved.select(*state.columns)))
+        kept = state.filter("asked >= 0").groupBy("run_id", "woman").agg(F.min("rank").alias("best"))
+        judged = state.join(kept, ["run_id", "woman"], "left").withColumn("next", F.col("next") + F.coalesce((F.col("rank") > F.col("best")).cast("long"), F.lit(0)))
+        state = saved(judged.withColumn("next", F.max(F.col("next") - F.col("i")).over(upto) + F.col("i")).select(*state.columns))
+        if state.filter("next <> asked AND next < all").isEmpty():
+            return state.filter("next = asked").select("run_id", F.col("ind_id").alias("man"), "woman")
 
 
 def marriages(people: DataFrame, cfg: Config, year: int, saved=None) -> DataFrame:

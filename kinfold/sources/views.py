@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packed
@@ -71,9 +71,15 @@ def packed_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = spark.read.parquet(f"{sf_dir}/customer.parquet")
     both = people.select(F.lit(0).alias("run_id"), F.col("c_custkey").alias("ind_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     size = dims.genome_size()
-    stretches = F.filter(F.sequence(F.lit(0), F.lit((size - 1) // 16)), lambda k: (F.col("ind_id") * 7 + F.col("copy") * 13 + k) % 11 < 4)
-    spans = F.transform(stretches, lambda k: F.struct((k * 16).alias("low"), F.least(k * 16 + 16, F.lit(size)).alias("high")))
-    return both.withColumn("words", packed.from_spans(spans, size))
+    key = F.col("ind_id") * 7 + F.col("copy") * 13
+
+    def word(w: Column) -> Column:
+        """The bits of the stretches that lie in the word, at least in part."""
+        low, high = w * packed.WORD, F.least(w * packed.WORD + packed.WORD, F.lit(size))
+        own = lambda k: F.when((key + k) % 11 < 4, packed.span(k * 16, F.least(k * 16 + 16, F.lit(size)), w)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(F.sequence(F.floor(low / 16).cast("int"), F.floor((high - 1) / 16).cast("int")), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(own(k)))
+
+    return both.withColumn("words", F.transform(F.sequence(F.lit(0), F.lit(packed.word_count(size) - 1)), word))
 
 
 def values(rows: list[tuple], names: str) -> str:
