@@ -173,7 +173,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     The row with the largest doc_id of equal texts stays; a null text counts as empty; rows without
     an id are members (counted) and stay only in a group without any id; an empty table gives no rows;
-    if an id is repeated with equal texts, each of its rows counts and is reported.
+    if an id is repeated with equal texts, each of its rows counts and is reported; texts of any length are compared whole; columns beside doc_id and text are left behind.
     """
     short_batches(docs.sparkSession)
     local = written(byte_texts(docs).mapInArrow(_local, LOCAL), "digests")

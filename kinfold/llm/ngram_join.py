@@ -400,7 +400,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and link with nothing; equal texts link unless empty; rows that repeat an id are each
     reported (an id's rows may lie in different components); rows without an id take part in links but
-    don't lend their id (component_id is null where no member has one); an empty table gives no rows.
+    don't lend their id (component_id is null where no member has one); texts of any length are judged whole; columns beside doc_id and text are left behind; an empty table gives no rows.
     """
     keys, named = _connected(byte_texts(docs))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

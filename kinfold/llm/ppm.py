@@ -263,7 +263,8 @@ def scored(docs: DataFrame, by: int | None = 7, out: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of the lower-cased text and its end).
 
     Learns from the documents whose crc32(doc_id) modulo `by` isn't `out` (by None: from all); rows without an id are learnt from. A null text
-    is empty: its score is that of the end alone. Without any training text all symbols are equally likely; an empty table gives no rows.
+    is empty: its score is that of the end alone. Without any training text all symbols are equally likely; an empty table gives no rows. Rows repeated whole
+    are learnt from as often as they stand there and have a row each; a text is scored whole as one row of a task, which bounds its length by the task's memory (17 to 27 bytes a byte); columns beside doc_id and text are left behind.
     """
     spark = docs.sparkSession
     short_batches(spark)

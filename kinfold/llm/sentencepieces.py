@@ -294,7 +294,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, text from (doc_id, ids array); null ids give the empty text; ids outside the vocabulary raise."""
+    """doc_id, text from (doc_id, ids array); null ids give the empty text; ids outside the vocabulary raise; repeated rows give a row each; other columns are left behind; an empty table gives no rows."""
     short_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

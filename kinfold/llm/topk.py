@@ -188,7 +188,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Both tables are as `quantised` makes them (nulls are gone there). Vectors of another length than the query's take no part; a
     candidate that repeats counts once per row; queries that repeat an id and the vector are one, those that repeat the id with another vector have a ranking each;
-    scores beyond 64 bits are held at the bound, where they tie; fewer than k candidates give fewer rows; empty tables none.
+    scores beyond 64 bits are held at the bound, where they tie; fewer than k candidates give fewer rows; empty tables none; columns beside vec_id and v must not be there (`quantised` leaves them behind).
     """
     short_batches(queries.sparkSession)
     queries = queries.withColumn("key", F.xxhash64("v")).dropDuplicates(["vec_id", "key"])
