@@ -114,7 +114,9 @@ def choices(men: DataFrame, women: DataFrame, distance: float, saved) -> tuple[D
     marks = marks.groupBy(*PLACE, "year").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(place.orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
     counted = marks.select(*PLACE, F.col("year").alias("birth_year"), upto.alias("older"), F.sum("n").over(place).alias("all"))
-    return index, asked.withColumnRenamed("year", "birth_year").join(counted, [*PLACE, "birth_year"])
+    counted = saved(asked.withColumnRenamed("year", "birth_year").join(counted, [*PLACE, "birth_year"]))
+    getattr(saved, "forget", lambda *frames: None)(reach, years)
+    return index, counted
 
 
 #: Places of his list that a man without a woman looks at in one round.
@@ -131,6 +133,7 @@ def distance_pairs(people: DataFrame, cfg: Config, year: int, saved=None) -> Dat
     kept rising, so that a crowd of them doesn't ask one woman round after round. `saved` cuts lineage between rounds.
     """
     saved = saved or (lambda df: df)
+    forget = getattr(saved, "forget", lambda *frames: None)
     men = shuffled(singles(people, cfg, year, MALE), "shufm", cfg, year)
     women = shuffled(singles(people, cfg, year, FEMALE), "shuff", cfg, year)
     count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
@@ -154,11 +157,15 @@ def distance_pairs(people: DataFrame, cfg: Config, year: int, saved=None) -> Dat
         seen = probes.join(index, [*PLACE, "up", "at"]).join(held, ["run_id", "woman"], "left").filter(F.col("holder").isNull() | (F.col("holder") > F.col("rank")))
         found = seen.groupBy("run_id", "ind_id").agg(F.min("pos").alias("asked"), F.min_by("woman", "pos").alias("woman"))
         moved = moved.join(found, ["run_id", "ind_id"], "left").withColumn("next", F.coalesce("asked", F.col("next") + AHEAD)).withColumn("asked", F.coalesce("asked", F.lit(-1).cast("long")))
-        state = saved(state.filter("next = asked").unionByName(moved.select(*state.columns)))
+        asking = saved(state.filter("next = asked").unionByName(moved.select(*state.columns)))
+        forget(state)
+        state = asking
         kept = state.filter("asked >= 0").groupBy("run_id", "woman").agg(F.min("rank").alias("best"))
         judged = state.join(kept, ["run_id", "woman"], "left").withColumn("next", F.col("next") + F.coalesce((F.col("rank") > F.col("best")).cast("long"), F.lit(0)))
         state = saved(judged.withColumn("next", F.max(F.col("next") - F.col("i")).over(upto) + F.col("i")).select(*state.columns))
+        forget(asking)
         if state.filter("next <> asked AND next < all").isEmpty():
+            forget(index, counted, men, women)
             return state.filter("next = asked").select("run_id", F.col("ind_id").alias("man"), "woman")
 
 

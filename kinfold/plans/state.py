@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,13 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a frame into the shared folder and reads it back."""
-    where = shared_dir(spark)
+class Checkpoints:
+    """Calling it writes a frame into the shared folder and reads it back; `forget` removes such tables when nothing is read from them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.where = spark, shared_dir(spark)
 
-    def saved(df: DataFrame) -> DataFrame:
-        path = f"{where}/state-{uuid.uuid4().hex}"
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.where}/state-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.saved_at = path
+        return out
+
+    def forget(self, *frames: DataFrame) -> None:
+        for df in frames:
+            if path := getattr(df, "saved_at", None):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
 
-    return saved
+def checkpointer(spark: SparkSession) -> Checkpoints:
+    return Checkpoints(spark)

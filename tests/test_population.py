@@ -128,7 +128,7 @@ def in_ranks(df, cfg):
     return [[x["ind_id"] for x in mating.shuffled(people.singles(df, cfg, 0, sex), draw, cfg, 0).orderBy("rank").collect()] for sex, draw in ((0, "shufm"), (1, "shuff"))]
 
 
-@pytest.mark.parametrize(("n", "spread", "years", "distance"), [(60, 6, 12, 0.4), (600, 6, 12, 0.4), (600, 0, 3, 0.4), (400, 3, 20, 0.0), (300, 9, 1, 0.15)])
+@pytest.mark.parametrize(("n", "spread", "years", "distance"), [(60, 6, 12, 0.4), (600, 6, 12, 0.4), (120, 0, 3, 0.4), (400, 3, 20, 0.0), (300, 9, 1, 0.15)])
 def test_distance_marriage_is_serial_choice(spark, n, spread, years, distance):
     """Also where all live in one place, are of one age, or must be of one place."""
     import random
