@@ -13,6 +13,7 @@ the counts after single bytes (at most 256 * 257 numbers).
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import short_batches, with_home, written
 
 ORDER, END, SYMBOLS = 5, 256, 257
-#: Bytes of text that are packed in one go.
-CHUNK = 1 << 20
+#: Bytes of text that are packed in one go, and counts of grams that a home holds before it adds up equal ones.
+CHUNK, UNMERGED = 1 << 20, 1 << 21
 #: Homes that one row of the table of keys names at most; a key of more homes has several rows.
 HOMES = 4096
 #: The end of a document in the table of words: no word holds white space.
 END_WORD = b" "
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 def packed(texts: list[bytes]) -> np.ndarray:
@@ -49,6 +51,32 @@ def packed(texts: list[bytes]) -> np.ndarray:
     return key[keep]
 
 
+def packed_pieces(text: bytes) -> Iterator[np.ndarray]:
+    """`packed` of one lower-cased text, CHUNK bytes at a time, each piece with the ORDER bytes before it."""
+    for a in range(0, max(1, len(text)), CHUNK):
+        before = min(a, ORDER)
+        keys = packed([text[a - before : a + CHUNK].lower()])
+        yield keys[before : None if a + CHUNK >= len(text) else -1]
+
+
+def word_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, some CHUNK bytes of it at a time; cuts are made at white space only."""
+    a = 0
+    while a < len(text):
+        space = SPACE.search(text, a + CHUNK)
+        b = space.start() if space else len(text)
+        yield text[a:b].lower().split()
+        a = b
+
+
+def summed(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of grams with equal ones added up."""
+    if not grams:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, back = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in grams]), len(keys)).astype(np.int64)
+
+
 class Lookup:
     """A table from keys to values that answers whole arrays at once (open addressing)."""
 
@@ -98,22 +126,29 @@ def counter(by: int | None, out: int):
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         held: dict[bool, list[bytes]] = {True: [], False: []}
 
+        def add(keys: np.ndarray, train: bool) -> None:
+            k, n = np.unique(keys, return_counts=True)
+            grams.append((k, n if train else np.zeros_like(n)))
+            # what is added up counts as new only once: a home of many distinct grams isn't summed again for each piece
+            if len(grams) > 1 and sum(len(k) for k, _ in grams[1:]) > max(UNMERGED, len(grams[0][0])):
+                grams[:] = [summed(grams)]
+
         def flush(train: bool) -> None:
             if held[train]:
-                k, n = np.unique(packed(held[train]), return_counts=True)
-                grams.append((k, n if train else np.zeros_like(n)))
+                add(packed(held[train]), train)
                 held[train] = []
 
         size = {True: 0, False: 0}
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), (t.as_py() for t in docs.column("text")), strict=True):
-            text = text.lower()
             train = trains(doc_id, by, out)
-            if train:
-                words.update(text.split())
-                words[END_WORD] += 1
-            else:
-                seen.update(text.split())
-            held[train].append(text)
+            for split in word_pieces(text):
+                words.update(split) if train else seen.update(split)
+            words[END_WORD] += train
+            if len(text) > CHUNK:
+                for keys in packed_pieces(text):
+                    add(keys, train)
+                continue
+            held[train].append(text.lower())
             size[train] += len(text)
             if size[train] > CHUNK:
                 flush(train)
@@ -122,10 +157,7 @@ def counter(by: int | None, out: int):
         flush(False)
         for w in (*seen, END_WORD):
             words[w] += 0
-        k = np.concatenate([g[0] for g in grams]) if grams else np.empty(0, np.int64)
-        n = np.concatenate([g[1] for g in grams]) if grams else np.empty(0, np.int64)
-        keys, back = np.unique(k, return_inverse=True)
-        total = np.bincount(back, n, len(keys)).astype(np.int64)
+        keys, total = summed(grams)
         a, b = len(words), len(keys)
         return pa.table(
             {
@@ -247,11 +279,11 @@ def finisher(tokens: int, distinct: int, by: int | None, out: int):
         table = Lookup(rest.column("gram").to_numpy(), rest.column("value").to_numpy())
         result = []
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), (t.as_py() for t in docs.column("text")), strict=True):
-            text = text.lower()
-            split = text.split()
-            own = np.fromiter(map(value.__getitem__, split), np.float64, len(split))
-            known = int((own > new).sum()) + (end > new)
-            result.append((doc_id, not trains(doc_id, by, out), len(split) + 1, known, tokens, float(own.sum()) + end, table.total(packed([text]))))
+            n, known, base = 1, int(end > new), 0.0
+            for split in word_pieces(text):
+                own = np.fromiter(map(value.__getitem__, split), np.float64, len(split))
+                n, known, base = n + len(split), known + int((own > new).sum()), base + float(own.sum())
+            result.append((doc_id, not trains(doc_id, by, out), n, known, tokens, base + end, sum(map(table.total, packed_pieces(text)))))
         cols = list(zip(*result, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FINAL.split(", ")])
@@ -264,7 +296,8 @@ def scored(docs: DataFrame, by: int | None = 7, out: int = 2) -> DataFrame:
 
     Learns from the documents whose crc32(doc_id) modulo `by` isn't `out` (by None: from all); rows without an id are learnt from. A null text
     is empty: its score is that of the end alone. Without any training text all symbols are equally likely; an empty table gives no rows. Rows repeated whole
-    are learnt from as often as they stand there and have a row each; a text is scored whole as one row of a task, which bounds its length by the task's memory (17 to 27 bytes a byte); columns beside doc_id and text are left behind.
+    are learnt from as often as they stand there and have a row each; texts of any length are
+    counted and scored whole, a piece of CHUNK bytes at a time (a task holds the text itself and the distinct grams of its home); columns beside doc_id and text are left behind.
     """
     spark = docs.sparkSession
     short_batches(spark)

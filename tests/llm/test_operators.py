@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -232,6 +233,27 @@ def test_lm_without_training(spark):
     assert r["score"] == pytest.approx(3 * math.log10(1 / 257))
 
 
+def test_long_texts_are_learnt_and_scored_in_pieces(monkeypatch):
+    texts = [b"", b" ", b"Ab", b"one word  and\tanother " * 40 + b"x", b"\n" * 30, bytes(range(256)) * 3, b"nospaceatall" * 20]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary())})
+    key = (pa.scalar(3, pa.int32()),)
+
+    def made() -> tuple:
+        counted = ppm.counter(7, 2)(key, docs).to_pylist()
+        model = pa.table({"word": pa.array([r["word"] for r in counted], pa.binary()), "gram": pa.array([r["gram"] for r in counted], pa.int64()), "value": pa.array([float(r["n"]) for r in counted])})
+        rows = ppm.finisher(100, 10, 7, 2)(key, docs, model).to_pylist()
+        return sorted(counted, key=lambda r: (r["word"] or b"", r["gram"] or 0)), [(*list(r.values())[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in rows]
+
+    whole = made()
+    for chunk, unmerged in ((1, 0), (3, 50), (64, 200), (500, 1 << 22)):
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
+        monkeypatch.setattr(ppm, "UNMERGED", unmerged)
+        assert made() == whole
+        for t in texts:
+            assert np.concatenate(list(ppm.packed_pieces(t))).tolist() == ppm.packed([low(t)]).tolist()
+            assert [w for split in ppm.word_pieces(t) for w in split] == low(t).split()
+
+
 # 3
 
 
