@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .genome import WORD, whole_x
+from .statistics import length_stats
 
 #: Bits of a lane in which set bits are counted: two lanes in a long, for up to 2**31 - 1 copies a run.
 LANE = WORD // 2
@@ -64,6 +65,62 @@ def meiosis(cross: DataFrame, haplotypes: DataFrame, numbits: int) -> DataFrame:
     return grid.join(made, ["run_id", "ind_id", "copy"], "left").withColumn("words", F.coalesce("words", zeros))
 
 
+def _cut_words(places: list[int], words: Column) -> Column:
+    """Of each word those bits that stand at the places, which are few and known."""
+    masks: dict[int, int] = {}
+    for p in places:
+        masks[p // WORD] = masks.get(p // WORD, 0) | 1 << (WORD - 1 - p % WORD)
+    every = F.array(*[F.lit(masks.get(w, 0)).cast("long") for w in range(max(masks, default=0) + 1)])
+    return F.transform(words, lambda x, i: x.bitwiseAND(F.coalesce(F.get(every, i), F.lit(0).cast("long"))))
+
+
+def first_bits(words: Column, cuts: list[int] | None = None) -> Column:
+    """Words in which the first bit of each run of ones is set; with cuts, positions at which a run ends and another begins."""
+    nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    before = lambda x, i: F.shiftright(x, 1).bitwiseOR(F.shiftleft(F.coalesce(F.get(words, i - 1), nothing).bitwiseAND(one), WORD - 1))
+    found = F.transform(words, lambda x, i: x.bitwiseAND(F.bitwise_not(before(x, i))))
+    return F.zip_with(found, _cut_words(cuts, words), lambda a, b: a.bitwiseOR(b)) if cuts else found
+
+
+def last_bits(words: Column, cuts: list[int] | None = None) -> Column:
+    """Words in which the last bit of each run of ones is set."""
+    nothing = F.lit(0).cast("long")
+    after = lambda x, i: F.shiftleft(x, 1).bitwiseOR(F.shiftright(F.coalesce(F.get(words, i + 1), nothing), WORD - 1))
+    found = F.transform(words, lambda x, i: x.bitwiseAND(F.bitwise_not(after(x, i))))
+    return F.zip_with(found, _cut_words([c - 1 for c in cuts if c], words), lambda a, b: a.bitwiseOR(b)) if cuts else found
+
+
+def positions(words: Column) -> Column:
+    """The positions of the bits that are set, in order: each step takes a word's lowest bit, so the work grows with the set bits alone."""
+    one = F.lit(1).cast("long")
+
+    def step(acc: Column, i: Column) -> Column:
+        left = acc["left"]
+        behind = F.bit_count(left.bitwiseAND(-left) - one)
+        return F.struct(left.bitwiseAND(left - one).alias("left"), F.concat(F.array((i * WORD + (WORD - 1) - behind).cast("int")), acc["at"]).alias("at"))
+
+    start = lambda x: F.struct(x.alias("left"), F.array().cast("array<int>").alias("at"))
+    return F.flatten(F.transform(words, lambda x, i: F.aggregate(F.array_repeat(F.lit(0), F.bit_count(x)), start(x), lambda acc, _: step(acc, i), lambda acc: acc["at"])))
+
+
+def islands(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
+    """(run_id, ind_id, copy, start, length) of the maximal runs of ones, without a shuffle; they cross chromosomes unless cut, for example at the starts of arms."""
+    ends = haplotypes.select("run_id", "ind_id", "copy", positions(first_bits(F.col("words"), cuts)).alias("first"), positions(last_bits(F.col("words"), cuts)).alias("last"))
+    spans = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
+    return ends.select("run_id", "ind_id", "copy", F.explode(spans).alias("r")).select("run_id", "ind_id", "copy", "r.start", "r.length")
+
+
+def block_stats(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
+    """As `statistics.block_stats`."""
+    return length_stats(haplotypes, islands(haplotypes, cuts))
+
+
+def allele_counts(haplotypes: DataFrame) -> DataFrame:
+    """(run_id, ind_id, allele_count, num_blocks), as `genome.allele_counts`: set bits, and first bits of runs, of both copies."""
+    total = lambda words: F.sum(F.aggregate(words, F.lit(0), lambda n, x: n + F.bit_count(x))).cast("int")
+    return haplotypes.groupBy("run_id", "ind_id").agg(total(F.col("words")).alias("allele_count"), total(first_bits(F.col("words"))).alias("num_blocks"))
+
+
 def by_word(haplotypes: DataFrame) -> DataFrame:
     """(run_id, ind_id, copy, word, bits): a row a word, words without a bit left out."""
     return haplotypes.select("run_id", "ind_id", "copy", F.posexplode("words").alias("word", "bits")).filter("bits <> 0")

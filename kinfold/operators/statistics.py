@@ -30,7 +30,12 @@ def descendants(people: DataFrame) -> DataFrame:
 
 def block_stats(haplotypes: DataFrame, arms: DataFrame | None = None) -> DataFrame:
     """Number, mean (one decimal) and deviation of block lengths per run; the deviation is about the rounded mean, its square rounded to two decimals first."""
-    b = blocks(haplotypes, arms).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.sum(F.col("length").cast("bigint") * F.col("length")).alias("q"))
+    return length_stats(haplotypes, blocks(haplotypes, arms))
+
+
+def length_stats(haplotypes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """`block_stats` of given blocks (run_id, length); runs without blocks have zeros."""
+    b = lengths.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.sum(F.col("length").cast("bigint") * F.col("length")).alias("q"))
     m = F.bround(F.col("s") / F.col("n"), 1)
     b = b.withColumn("m", m)
     variance = F.bround((F.col("q") - 2 * F.col("m") * F.col("s")) / F.col("n") + F.col("m") * F.col("m"), 2)

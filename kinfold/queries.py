@@ -531,6 +531,11 @@ def allele_count(spark, sf_dir):
     return genome.allele_counts(views.haplotypes(spark, sf_dir)).select("ind_id", "allele_count", "num_blocks")
 
 
+@query(ORACLE_SQL["allele_count"])
+def allele_count_words(spark, sf_dir):
+    return packed.allele_counts(views.packed_haplotypes(spark, sf_dir)).select("ind_id", "allele_count", "num_blocks")
+
+
 @query(duck("SELECT ind_id, copy, CAST(n AS INTEGER) AS length FROM lengths", "haplotypes", lengths=LENGTHS))
 def blocks_regex(spark, sf_dir):
     return genome.blocks(views.haplotypes(spark, sf_dir)).select("ind_id", "copy", "length")
@@ -547,6 +552,11 @@ def blocks_islands(spark, sf_dir):
     return genome.islands(views.haplotypes(spark, sf_dir)).select("ind_id", "copy", "start", "length")
 
 
+@query(ORACLE_SQL["blocks_islands"])
+def blocks_islands_words(spark, sf_dir):
+    return packed.islands(views.packed_haplotypes(spark, sf_dir)).select("ind_id", "copy", "start", "length")
+
+
 @query(
     duck(
         """SELECT count(*) AS tot_blocks, max(m) AS av_block_size, round_even(sqrt(round_even(CAST(sum(n * n) AS DOUBLE) / count(*) - 2 * max(m) * CAST(sum(n) AS DOUBLE) / count(*) + max(m) * max(m), 2)), 1) AS sd_block_size
@@ -559,6 +569,11 @@ def block_stats(spark, sf_dir):
     return statistics.block_stats(views.haplotypes(spark, sf_dir)).select("tot_blocks", "av_block_size", "sd_block_size")
 
 
+@query(ORACLE_SQL["block_stats"])
+def block_stats_words(spark, sf_dir):
+    return packed.block_stats(views.packed_haplotypes(spark, sf_dir)).select("tot_blocks", "av_block_size", "sd_block_size")
+
+
 @query(
     duck(
         "SELECT ind_id, copy, CAST(length(unnest(regexp_extract_all(substr(bits, CAST(start + 1 AS BIGINT), CAST(length AS BIGINT)), '1+'))) AS INTEGER) AS length FROM haplotypes CROSS JOIN arms",
@@ -570,6 +585,11 @@ def blocks_by_arm(spark, sf_dir):
     return genome.blocks(views.haplotypes(spark, sf_dir), dims.arms(spark)).select("ind_id", "copy", "length")
 
 
+@query(ORACLE_SQL["blocks_by_arm"])
+def blocks_by_arm_words(spark, sf_dir):
+    return packed.islands(views.packed_haplotypes(spark, sf_dir), [start for _, _, start, _ in dims.arm_rows()]).select("ind_id", "copy", "length")
+
+
 COUNTS = "SELECT p - 1 AS position, count(*) AS n FROM (SELECT unnest(range(1, length(bits) + 1)) AS p, bits FROM haplotypes) WHERE substr(bits, p, 1) = '1' GROUP BY ALL"
 
 
@@ -612,6 +632,10 @@ def heterozygosity_words(spark, sf_dir):
     return packed.heterozygosity(views.packed_haplotypes(spark, sf_dir), sizes, NUMBITS).select("het", F.round("av_heterozygosity", 9).alias("av_heterozygosity"))
 
 
+def with_packed_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.individuals(spark, sf_dir).join(packed.allele_counts(views.packed_haplotypes(spark, sf_dir)), ["run_id", "ind_id"], "left")
+
+
 def with_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.individuals(spark, sf_dir).join(genome.allele_counts(views.haplotypes(spark, sf_dir)), ["run_id", "ind_id"], "left")
 
@@ -829,11 +853,12 @@ TO_ROW = {
 ROW_VIEWS = ("individuals", "haplotypes", "mutations", "yearly_events")
 
 
-def one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_row(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame:
     from types import SimpleNamespace
 
-    who = with_dna(spark, sf_dir).join(with_mutations(spark, sf_dir).select("run_id", "ind_id", "mutations"), ["run_id", "ind_id"])
-    state = SimpleNamespace(people=who, haplotypes=views.haplotypes(spark, sf_dir), sizes=who.groupBy("run_id").agg(F.count("*").alias("n")))
+    who, held = (with_packed_dna(spark, sf_dir), views.packed_haplotypes(spark, sf_dir)) if words else (with_dna(spark, sf_dir), views.haplotypes(spark, sf_dir))
+    who = who.join(with_mutations(spark, sf_dir).select("run_id", "ind_id", "mutations"), ["run_id", "ind_id"])
+    state = SimpleNamespace(people=who, haplotypes=held, sizes=who.groupBy("run_id").agg(F.count("*").alias("n")))
     return report.results_row(state, views.yearly_events(spark, sf_dir), CFG.changed(track_DNA=True, track_mutations=True), YEAR)
 
 
@@ -842,6 +867,12 @@ def results_row(spark, sf_dir):
     return one_row(spark, sf_dir).select("run", "year", *[F.round(c, 9).alias(c) for c in report.RESULTS[2:]])
 
 
+@query(ORACLE_SQL["results_row"])
+def results_row_words(spark, sf_dir):
+    """The same from packed haplotypes, without any string of bits."""
+    return one_row(spark, sf_dir, True).select("run", "year", *[F.round(c, 9).alias(c) for c in report.RESULTS[2:]])
+
+
 @query(duck("SELECT run, year, %s FROM one_row" % ", ".join(f"format('{{:.1f}}', round_even({c}, 1)) AS {c}" for c in report.ONE_DECIMAL), *ROW_VIEWS, **TO_ROW))
 def results_printed(spark, sf_dir):
     return report.printed(one_row(spark, sf_dir)).select("run", "year", *report.ONE_DECIMAL)

@@ -1,6 +1,8 @@
 """Small golden cases, invariants of a run, and every query against its SQL."""
 
+import itertools
 import math
+import re
 import struct
 
 import duckdb
@@ -306,6 +308,12 @@ def test_words_are_the_bits(spark):
         assert kept["retained"] == len(counts)
         het = packed.heterozygosity(h, spark.createDataFrame([(0, 12)], "run_id int, n long"), n).first()["het"]
         assert het == sum(bits.get((i, 0), "0" * n)[p] != bits[i, 1][p] for i in range(12) for p in range(n))
+        for cuts in (None, [0], sorted({0, n // 3, n // 2, n - 1}), list(range(n))):
+            marks = {*(cuts or []), n}
+            want = sorted((i, k, m.start() + a, m.end() - m.start()) for (i, k), b in bits.items() for a, z in itertools.pairwise(sorted({0, *marks})) for m in re.finditer("1+", b[a:z]))
+            assert sorted((r["ind_id"], r["copy"], r["start"], r["length"]) for r in packed.islands(h, cuts).collect()) == want
+        alleles = {r["ind_id"]: (r["allele_count"], r["num_blocks"]) for r in packed.allele_counts(h).collect()}
+        assert alleles == {i: tuple(sum(f(bits.get((i, k), "")) for k in (0, 1)) for f in (lambda b: b.count("1"), lambda b: len(re.findall("1+", b)))) for i in range(12)}
 
 
 def test_csv_sinks(spark, tmp_path):
