@@ -304,7 +304,9 @@ def scored(docs: DataFrame, by: int | None = 7, out: int = 2) -> DataFrame:
     dealt, homes = with_home(docs)
     counts = dealt.select("doc_id", "text", "home").groupBy("home").applyInArrow(counter(by, out), COUNTS)
     # a home asks once for each of its words and grams, so no key has more rows than there are homes
-    keys = written(counts.groupBy("word", "gram", F.floor(F.col("home") / HOMES).alias("part")).agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")), "keys")
+    # (dealt before they are grouped: the keys of a home are distinct, so there is nothing to add up in its task)
+    dealt_keys = counts.withColumn("part", F.floor(F.col("home") / HOMES).cast("int")).repartition("word", "gram", "part")
+    keys = written(dealt_keys.groupBy("word", "gram", "part").agg(F.sum("n").alias("n"), F.collect_list("home").alias("homes")), "keys")
     words = keys.filter("word is not null").select("word", "n", "homes", "part")
     if homes > HOMES:
         words = words.withColumn("n", F.sum("n").over(Window.partitionBy("word")))
