@@ -28,6 +28,8 @@ from .common import short_batches, with_home, written
 ORDER, END, SYMBOLS = 5, 256, 257
 #: Bytes of text that are packed in one go, and counts of grams that a home holds before it adds up equal ones.
 CHUNK, UNMERGED = 1 << 20, 1 << 21
+#: Bytes of short texts that are scored in one go.
+SCORED = 1 << 16
 #: Homes that one row of the table of keys names at most; a key of more homes has several rows.
 HOMES = 4096
 #: The end of a document in the table of words: no word holds white space.
@@ -95,16 +97,18 @@ class Lookup:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def total(self, keys: np.ndarray) -> float:
-        """The sum of the values of keys, all of which are in the table."""
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which are in the table."""
         slot = self._slot(keys)
-        found = self.keys[slot] == keys
-        parts = self.values[slot[found]].sum()
-        while not found.all():
-            keys, slot = keys[~found], (slot[~found] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot] == keys
-            parts += self.values[slot[found]].sum()
-        return float(parts)
+        out = self.values[slot]
+        left = np.flatnonzero(self.keys[slot] != keys)
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot] == keys[left]
+            out[left[found]] = self.values[slot[found]]
+            left, slot = left[~found], slot[~found]
+        return out
 
 
 def trains(doc_id, by: int | None = 7, out: int = 2):
@@ -277,14 +281,33 @@ def finisher(tokens: int, distinct: int, by: int | None, out: int):
         end = value.pop(END_WORD, -log_all)
         rest = model.filter(pc.invert(is_word))
         table = Lookup(rest.column("gram").to_numpy(), rest.column("value").to_numpy())
-        result = []
+        result, scores = [], []
+        held: list[bytes] = []
+
+        def score_held() -> None:
+            if held:
+                starts = np.cumsum([0, *(len(t) + 1 for t in held[:-1])])
+                scores.extend(np.add.reduceat(table.of(packed(held)), starts).tolist())
+                held.clear()
+
+        size = 0
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), (t.as_py() for t in docs.column("text")), strict=True):
             n, known, base = 1, int(end > new), 0.0
             for split in word_pieces(text):
                 own = np.fromiter(map(value.__getitem__, split), np.float64, len(split))
                 n, known, base = n + len(split), known + int((own > new).sum()), base + float(own.sum())
-            result.append((doc_id, not trains(doc_id, by, out), n, known, tokens, base + end, sum(map(table.total, packed_pieces(text)))))
-        cols = list(zip(*result, strict=True)) or [()] * 7
+            result.append((doc_id, not trains(doc_id, by, out), n, known, tokens, base + end))
+            if len(text) > SCORED:
+                score_held()
+                scores.append(sum(float(table.of(keys).sum()) for keys in packed_pieces(text)))
+                continue
+            held.append(text.lower())
+            size += len(text)
+            if size > SCORED:
+                score_held()
+                size = 0
+        score_held()
+        cols = [*zip(*result, strict=True), scores] if result else [()] * 7
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FINAL.split(", ")])
 
