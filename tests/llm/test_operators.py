@@ -806,6 +806,26 @@ def test_bounds_prune_clustered_vectors(spark):
     assert got == sorted(((a, k, b, -s) for a, k, b, s in best), key=repr)
 
 
+@pytest.mark.parametrize("fit_dim,part", [(3, 1 << 21), (3, 100), (1024, 100)])
+def test_top_k_in_many_parts_with_and_without_cells(spark, monkeypatch, fit_dim, part):
+    """Vectors too long to be turned are all in one cell without a box; a cell of many rows is split over parts. A third of the rows are the same vector."""
+    monkeypatch.setattr(topk, "FIT_DIM", fit_dim)
+    monkeypatch.setattr(topk, "PART_NUMBERS", part)
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(topk, "LIMIT_PART", 4)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, 8)) * 500
+    v = np.floor(centres[r.integers(0, 6, 300)] + r.normal(size=(300, 8)) * 20).astype(np.int64)
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>").repartition(3)
+    got = plain(topk.top_k(df.filter("vec_id % 50 = 0"), df), "query_id", "rank", "vec_id", "score")
+    want = []
+    for a in range(0, 300, 50):
+        best = sorted((-int(v[a] @ v[b]), b) for b in range(300) if b != a)[:10]
+        want += [(a, k, b, -s) for k, (s, b) in enumerate(best, 1)]
+    assert got == sorted(want, key=repr)
+
+
 def test_top_k_of_repeated_ids(spark):
     v = spark.createDataFrame([(0, [2, 1]), (0, [2, 1]), (0, [-3, 5]), (1, [1, 1]), (1, [1, 1]), (7, [4, 0]), (8, [1, 1])], "vec_id bigint, v array<long>")
     got = collections.Counter(map(tuple, topk.top_k(v.filter("vec_id = 0"), v, 3).collect()))
