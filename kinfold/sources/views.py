@@ -57,29 +57,49 @@ def yearly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, EVENTS, "orders")
 
 
-def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+#: People whose haplotypes one task makes: some 30 MB of text. A person is a row of a few bytes, so that Parquet alone would deal thousands of times as much to a task.
+PEOPLE_A_TASK = 5000
+#: Bits of a haplotype come in stretches of STRETCH equal ones, and those of any haplotype are the same PERIOD stretches over and over, from one of them on.
+STRETCH, PERIOD = 16, 11
+
+
+def _both_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, ind_id, copy, key): two rows a person, dealt to tasks by the number of people, before anything wide is made."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    people = people.repartition(-(-people.count() // PEOPLE_A_TASK) or 1, "c_custkey")
     both = people.select(F.lit(0).alias("run_id"), F.col("c_custkey").alias("ind_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    # bits come in stretches of 16 equal ones
-    stretch = lambda k: F.repeat(F.when((F.col("ind_id") * 7 + F.col("copy") * 13 + k) % 11 < 4, "1").otherwise("0"), F.lit(16))
-    size = dims.genome_size()
-    return both.withColumn("bits", F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 16)), stretch), ""), 1, size))
+    return both.withColumn("key", F.col("ind_id") * 7 + F.col("copy") * 13)
+
+
+def _stretches(size: int, first: int = 0) -> str:
+    """The bits from a stretch on."""
+    return "".join(("1" if k % PERIOD < 4 else "0") * STRETCH for k in range(first, first + -(-size // STRETCH)))[:size]
+
+
+def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, key = dims.genome_size(), F.col("key")
+    whole = F.lit(_stretches(size + PERIOD * STRETCH))
+    # the remainder of a negative number is none above 0, so all stretches are ones up to number 0
+    ones = F.repeat(F.lit("1"), (F.least(-key, F.lit(-(-size // STRETCH))) * STRETCH).cast("int"))
+    bits = F.when(key >= 0, F.substring(whole, (key % PERIOD * STRETCH + 1).cast("int"), F.lit(size))).when(key < 0, F.substring(F.concat(ones, whole), 1, size))
+    return _both_copies(spark, sf_dir).select("run_id", "ind_id", "copy", F.coalesce(bits, F.repeat(F.lit("0"), F.lit(size))).alias("bits"))
 
 
 def packed_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as words of bits, made without a string."""
-    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    both = people.select(F.lit(0).alias("run_id"), F.col("c_custkey").alias("ind_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    size = dims.genome_size()
-    key = F.col("ind_id") * 7 + F.col("copy") * 13
+    """The same as words of bits, made without a string a row."""
+    size, key = dims.genome_size(), F.col("key")
 
     def word(w: Column) -> Column:
         """The bits of the stretches that lie in the word, at least in part."""
         low, high = w * packed.WORD, F.least(w * packed.WORD + packed.WORD, F.lit(size))
-        own = lambda k: F.when((key + k) % 11 < 4, packed.span(k * 16, F.least(k * 16 + 16, F.lit(size)), w)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.sequence(F.floor(low / 16).cast("int"), F.floor((high - 1) / 16).cast("int")), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(own(k)))
-
-    return both.withColumn("words", F.transform(F.sequence(F.lit(0), F.lit(packed.word_count(size) - 1)), word))
+        own = lambda k: F.when((key + k) % PERIOD < 4, packed.span(k * STRETCH, F.least((k + 1) * STRETCH, F.lit(size)), w)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(F.sequence(F.floor(low / STRETCH).cast("int"), F.floor((high - 1) / STRETCH).cast("int")), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(own(k)))
+
+    at = range(0, size, packed.WORD)
+    known = [[int(bits[i : i + packed.WORD].ljust(packed.WORD, "0"), 2) for i in at] for bits in (_stretches(size, first) for first in range(PERIOD))]
+    ready = F.get(F.array(*[F.expr(f"array({', '.join(f'{w}L' for w in words)})") for words in known]), (key % PERIOD).cast("int"))
+    words = F.when(key >= 0, ready).otherwise(F.transform(F.sequence(F.lit(0), F.lit(len(at) - 1)), word))
+    return _both_copies(spark, sf_dir).select("run_id", "ind_id", "copy", words.alias("words"))
 
 
 def values(rows: list[tuple], names: str) -> str:
