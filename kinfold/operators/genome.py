@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,30 +46,44 @@ def mask_strings(cross: DataFrame) -> DataFrame:
     return joined_by_chrom(cross.withColumn("seg", seg), ["run_id", "child_id", "role"], "mask")
 
 
-def copies(haplotypes: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are wide, or that much is made of, by keys over all partitions of a shuffle: by their size on disk Spark would take few, as strings of bits compress well and people are short rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def copies(haplotypes: DataFrame, bits: str = "bits") -> DataFrame:
     """One row a carrier: run_id, ind_id, c0, c1."""
-    one = lambda k: F.max(F.when(F.col("copy") == k, F.col("bits"))).alias(f"c{k}")
+    one = lambda k: F.max(F.when(F.col("copy") == k, F.col(bits))).alias(f"c{k}")
     return haplotypes.groupBy("run_id", "ind_id").agg(one(0), one(1))
 
 
+def carriers(made: DataFrame, bits: str, zeros: Column, some: Callable[[Column], Column]) -> DataFrame:
+    """Of newborn haplotypes (run_id, ind_id, copy and bits) both copies of each child with some bit set, zeros for a copy that isn't there."""
+    both = copies(made, bits).filter(F.coalesce(some(F.col("c0")), F.lit(False)) | F.coalesce(some(F.col("c1")), F.lit(False)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("copy"), F.coalesce(f"c{k}", zeros).alias(bits)) for k in (0, 1)]))
+    return both.select("run_id", "ind_id", each.alias("h")).select("run_id", "ind_id", "h.*")
+
+
 def meiosis(cross: DataFrame, haplotypes: DataFrame, numbits: int) -> DataFrame:
     """Haplotypes of the newborn: copy 0 from the father and 1 from the mother; bits with mask 1 come from the parent's copy 0, others from copy 1.
 
-    Only carriers are joined: a parent without seed bits gives none, and a child without any has no rows.
+    Only carriers are joined: a parent without seed bits gives none, and a child without any has no rows. A parent's 23 chromosomes lie in one row when they meet the copies, so that
+    text is moved once a parent and child; it is never broadcast, as its size can't be seen before it is made.
     """
-    c = cross.join(copies(haplotypes).withColumnRenamed("ind_id", "parent"), ["run_id", "parent"])
     zeros = F.repeat(F.lit("0"), F.lit(numbits))
-    a, b = F.coalesce("c0", zeros), F.coalesce("c1", zeros)
-    inner, outer = F.when(F.col("coin") == 1, a).otherwise(b), F.when(F.col("coin") == 1, b).otherwise(a)
+    of = F.array_sort(F.collect_list(F.struct("chrom", "pstart", "plen", "ploc", "qstart", "qlen", "lo", "hi", "coin")))
+    parts = cross.groupBy("run_id", "child_id", "role", "parent").agg(of.alias("parts"))  # 23 rows each
+    both = copies(dealt(haplotypes, "run_id", "ind_id")).select("run_id", F.col("ind_id").alias("parent"), F.coalesce("c0", zeros).alias("a"), F.coalesce("c1", zeros).alias("b"))
     cut = lambda s, at, n: F.substring(s, at + 1, n)
-    end = F.col("qstart") + F.col("qlen")
-    seg = F.concat(cut(outer, F.col("pstart"), F.col("ploc")), cut(inner, F.col("lo"), F.col("hi") - F.col("lo")), cut(outer, F.col("hi"), end - F.col("hi")))
-    seg = F.when(whole_x(), cut(b, F.col("pstart"), F.col("plen") + F.col("qlen"))).otherwise(seg)
-    made = joined_by_chrom(c.withColumn("seg", seg), ["run_id", "child_id", "role"], "bits")
+
+    def seg(p: Column) -> Column:
+        inner, outer = F.when(p["coin"] == 1, F.col("a")).otherwise(F.col("b")), F.when(p["coin"] == 1, F.col("b")).otherwise(F.col("a"))
+        own = F.concat(cut(outer, p["pstart"], p["ploc"]), cut(inner, p["lo"], p["hi"] - p["lo"]), cut(outer, p["hi"], p["qstart"] + p["qlen"] - p["hi"]))
+        return F.when((F.col("role") == "dad") & (p["chrom"] == X), cut(F.col("b"), p["pstart"], p["plen"] + p["qlen"])).otherwise(own)
+
+    made = parts.join(both.hint("merge"), ["run_id", "parent"]).withColumn("bits", F.array_join(F.transform("parts", seg), ""))
     made = made.select("run_id", F.col("child_id").alias("ind_id"), F.when(F.col("role") == "dad", 0).otherwise(1).alias("copy"), "bits")
-    carriers = made.filter(F.instr("bits", "1") > 0).select("run_id", "ind_id").distinct()
-    both = carriers.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return both.join(made, ["run_id", "ind_id", "copy"], "left").withColumn("bits", F.coalesce("bits", zeros))
+    return carriers(made, "bits", zeros, lambda bits: F.instr(bits, "1") > 0)
 
 
 def centromeres(cross: DataFrame, people: DataFrame) -> DataFrame:
@@ -132,7 +148,9 @@ def blocks(haplotypes: DataFrame, arms: DataFrame | None = None) -> DataFrame:
     """(run_id, ind_id, copy, length) of each maximal run of 1; runs cross chromosomes unless arms are given to split by."""
     h = haplotypes
     if arms is not None:
-        h = h.crossJoin(F.broadcast(arms)).withColumn("bits", F.expr("substring(bits, start + 1, length)"))
+        # a row with all arms: the arms of a haplotype are cut in its own row, and a 0 between them ends the runs
+        every = arms.agg(F.collect_list(F.struct("start", "length")).alias("arms"))
+        h = h.crossJoin(F.broadcast(every)).withColumn("bits", F.expr("array_join(transform(arms, a -> substring(bits, a.start + 1, a.length)), '0')"))
     return h.select("run_id", "ind_id", "copy", F.explode(F.regexp_extract_all("bits", F.lit("(1+)"), F.lit(1))).alias("run")).select("run_id", "ind_id", "copy", F.length("run").alias("length"))
 
 
@@ -141,8 +159,9 @@ WORD = 62
 
 
 def words(bits: Column, numbits: int) -> Column:
-    """A string of 0 and 1 as an array of longs, WORD bits each."""
-    return F.array(*[F.conv(F.substring(bits, at + 1, WORD), 2, 10).cast("bigint") for at in range(0, numbits, WORD)])
+    """A string of 0 and 1 as an array of longs, WORD bits each. The string is cut in one pass."""
+    parts = F.regexp_extract_all(F.substring(bits, 1, -(-numbits // WORD) * WORD), F.lit(f"(.{{1,{WORD}}})"), F.lit(1))
+    return F.transform(parts, lambda part: F.conv(part, 2, 10).cast("bigint"))
 
 
 def runs(bits: Column) -> Column:

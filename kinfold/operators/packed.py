@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .genome import WORD, whole_x
+from .genome import WORD, carriers, copies, whole_x
 from .statistics import length_stats
 
 #: Bits of a lane in which set bits are counted: two lanes in a long, for up to 2**31 - 1 copies a run.
@@ -38,8 +38,7 @@ def from_spans(spans: Column, numbits: int) -> Column:
 
 def copies_of(haplotypes: DataFrame) -> DataFrame:
     """One row a carrier: run_id, ind_id, c0, c1; null for a copy that isn't there."""
-    one = lambda k: F.max(F.when(F.col("copy") == k, F.col("words"))).alias(f"c{k}")
-    return haplotypes.groupBy("run_id", "ind_id").agg(one(0), one(1))
+    return copies(haplotypes, "words")
 
 
 def masks(cross: DataFrame, numbits: int) -> DataFrame:
@@ -53,16 +52,15 @@ def masks(cross: DataFrame, numbits: int) -> DataFrame:
 
 
 def meiosis(cross: DataFrame, haplotypes: DataFrame, numbits: int) -> DataFrame:
-    """Haplotypes of the newborn, as `genome.meiosis` makes them: word by word (mask & copy 0) | (~mask & copy 1). Only carriers are joined, before masks are made; a child without any seed bit has no rows."""
+    """Haplotypes of the newborn, as `genome.meiosis` makes them: word by word (mask & copy 0) | (~mask & copy 1). Only carriers are joined, before masks are made; a child without any seed bit has no rows.
+    Words are never broadcast, as their size can't be seen before they are made."""
     both = copies_of(haplotypes).withColumnRenamed("ind_id", "parent")
     zeros = F.array_repeat(F.lit(0).cast("long"), word_count(numbits))
-    carried = cross.join(both.select("run_id", "parent"), ["run_id", "parent"], "left_semi")
-    m = masks(carried, numbits).join(both, ["run_id", "parent"]).withColumn("c0", F.coalesce("c0", zeros)).withColumn("c1", F.coalesce("c1", zeros))
+    carried = cross.join(haplotypes.select("run_id", F.col("ind_id").alias("parent")).hint("merge"), ["run_id", "parent"], "left_semi")
+    m = masks(carried, numbits).join(both.hint("merge"), ["run_id", "parent"]).withColumn("c0", F.coalesce("c0", zeros)).withColumn("c1", F.coalesce("c1", zeros))
     taken = F.transform("mask", lambda x, i: x.bitwiseAND(F.col("c0")[i]).bitwiseOR(F.bitwise_not(x).bitwiseAND(F.col("c1")[i])))
     made = m.select("run_id", F.col("child_id").alias("ind_id"), F.when(F.col("role") == "dad", 0).otherwise(1).alias("copy"), taken.alias("words"))
-    carriers = made.filter(F.exists("words", lambda x: x != 0)).select("run_id", "ind_id").distinct()
-    grid = carriers.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return grid.join(made, ["run_id", "ind_id", "copy"], "left").withColumn("words", F.coalesce("words", zeros))
+    return carriers(made, "words", zeros, lambda words: F.exists(words, lambda x: x != 0))
 
 
 def _cut_words(places: list[int], words: Column) -> Column:

@@ -68,9 +68,11 @@ def ruler(arms: DataFrame) -> DataFrame:
 
 
 def genome_rows(people: DataFrame, haplotypes: DataFrame, numbits: int) -> DataFrame:
-    """(run_id, ind_id, copy, bits): what each body row of a genome map shows, 1 red and 0 black; people without seed bits are black."""
+    """(run_id, ind_id, copy, bits): what each body row of a genome map shows, 1 red and 0 black; people without seed bits are black.
+    Text is never broadcast, as its size can't be seen before it is made."""
     grid = people.select("run_id", "ind_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    return grid.join(haplotypes, ["run_id", "ind_id", "copy"], "left").select("run_id", "ind_id", "copy", F.coalesce("bits", F.repeat(F.lit("0"), F.lit(numbits))).alias("bits"))
+    held = genome.dealt(haplotypes, "run_id", "ind_id", "copy").hint("merge")
+    return grid.join(held, ["run_id", "ind_id", "copy"], "left").select("run_id", "ind_id", "copy", F.coalesce("bits", F.repeat(F.lit("0"), F.lit(numbits))).alias("bits"))
 
 
 def mutation_pixels(mutations: DataFrame) -> DataFrame:
