@@ -5,6 +5,7 @@ A draw depends on its keys alone, so it is the same for any partitioning, after
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -14,11 +15,28 @@ from pyspark.sql import functions as F
 SCALE = 4503599627370496
 
 
+def counter(draw: str, *keys: Column, seed: int = 0, run: Column | int = 0, year: int = 0) -> Column:
+    """The text whose md5 is the draw; more keys may follow, each after a bar."""
+    run = F.lit(run) if isinstance(run, int) else run
+    return F.concat_ws("|", F.lit(str(seed)), run.cast("string"), F.lit(str(year)), F.lit(draw), *[k.cast("string") for k in keys])
+
+
 def uniform(draw: str, *keys: Column, seed: int = 0, run: Column | int = 0, year: int = 0) -> Column:
     """A number in [0, 1)."""
-    run = F.lit(run) if isinstance(run, int) else run
-    text = F.concat_ws("|", F.lit(str(seed)), run.cast("string"), F.lit(str(year)), F.lit(draw), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(SCALE))
+    return F.conv(F.substring(F.md5(counter(draw, *keys, seed=seed, run=run, year=year)), 1, 13), 16, 10).cast("bigint") / F.lit(float(SCALE))
+
+
+def below(limit: float, start: bytes, keys: list[bytes]) -> list[bool]:
+    """Whether the draw of each key is below a limit, for tasks that draw very many: `uniform` of the text start + key, whose md5 goes on from that of the start."""
+    whole = math.ceil(limit * SCALE)  # exact, as SCALE is a power of two
+    if not 0 < whole < SCALE:
+        return [whole > 0] * len(keys)
+    first, upto, out = hashlib.md5(start), bytes.fromhex(f"{whole:013x}0"), []
+    for key in keys:
+        d = first.copy()
+        d.update(key)
+        out.append(d.digest() < upto)
+    return out
 
 
 def uniform_sql(draw: str, *keys: str, seed: int = 0, run: str = "0", year: int = 0) -> str:

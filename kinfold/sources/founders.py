@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.choice import drawn
-from ..functions.rng import integer, uniform
+from ..functions.rng import below, counter, integer, uniform
+from ..operators.genome import dealt
 from . import dims
 
 SCHEMA = """run_id int, ind_id bigint, dad bigint, mom bigint, sex int, birth_year int, lifespan int, marriage_state bigint, year_of_last_birth int,
@@ -69,11 +70,20 @@ def founders(spark: SparkSession, cfg: Config) -> DataFrame:
 
 
 def heterozygous(people: DataFrame, cfg: Config, numbits: int) -> DataFrame:
-    """Haplotypes with each bit of copy 0 set by chance, copy 1 empty."""
-    h = cfg.init_heterozygosity
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(numbits - 1)), lambda p: F.when(uniform("het", F.col("ind_id"), p, seed=cfg.seed, run=F.col("run_id")) < h, "1").otherwise("0")), "")
-    copies = people.select("run_id", "ind_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    return copies.withColumn("bits", F.when(F.col("copy") == 0, bits).otherwise(F.repeat(F.lit("0"), F.lit(numbits))))
+    """Haplotypes with each bit of copy 0 set by chance, copy 1 empty. A draw a bit is much work for a short row, so people are dealt over all tasks first."""
+    limit, places = cfg.init_heterozygosity, [str(p).encode() for p in range(numbits)]
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = ["".join("1" if one else "0" for one in below(limit, start.encode(), places)) for start in batch["start"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["run_id"], batch["ind_id"], pa.array(bits, pa.string())], ["run_id", "ind_id", "bits"])
+
+    start = F.concat(counter("het", F.col("ind_id"), seed=cfg.seed, run=F.col("run_id")), F.lit("|"))
+    made = dealt(people.select("run_id", "ind_id", start.alias("start")), "ind_id").mapInArrow(draw, f"run_id {people.schema['run_id'].dataType.simpleString()}, ind_id {people.schema['ind_id'].dataType.simpleString()}, bits string")
+    copies = made.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return copies.select("run_id", "ind_id", "copy", F.when(F.col("copy") == 0, F.col("bits")).otherwise(F.repeat(F.lit("0"), F.lit(numbits))).alias("bits"))
 
 
 def seed_person(people: DataFrame, cfg: Config, year: int) -> DataFrame:
