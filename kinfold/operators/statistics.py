@@ -66,10 +66,11 @@ def coverage(haplotypes: DataFrame, numbits: int) -> DataFrame:
 
 
 def heterozygosity(haplotypes: DataFrame, sizes: DataFrame, numbits: int) -> DataFrame:
-    """Percentage of positions that differ between a person's copies, over the whole population (sizes: run_id, n)."""
-    bits = F.zip_with(words(F.col("c0"), numbits), words(F.col("c1"), numbits), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    """Percentage of positions that differ between a person's copies, over the whole population (sizes: run_id, n). Copies meet as words, an eighth of their text."""
+    packed = haplotypes.select("run_id", "ind_id", "copy", words(F.col("bits"), numbits).alias("words"))
+    bits = F.zip_with("c0", "c1", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     differ = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
-    h = copies(haplotypes).groupBy("run_id").agg(F.sum(differ).alias("het"))
+    h = copies(packed, "words").groupBy("run_id").agg(F.sum(differ).alias("het"))
     return sizes.join(h, "run_id", "left").select("run_id", F.coalesce("het", F.lit(0)).alias("het"), (F.coalesce("het", F.lit(0)) / (numbits * F.col("n")) * 100).alias("av_heterozygosity"))
 
 
@@ -96,9 +97,10 @@ def clamped() -> Column:
     return F.greatest(F.least("effect", F.lit(HIGH)), F.lit(LOW)).alias("bin")
 
 
-def histogram_change(new: DataFrame, gone: DataFrame, interval: int) -> DataFrame:
-    """(run_id, interval, bin, born, died): what a save interval adds to the histograms, from its own new mutations and those of its dead (run_id, effect each); bins without a change have no rows."""
-    one = lambda df, name: df.groupBy("run_id", clamped()).agg(F.count("*").alias(name))
+def histogram_change(new: DataFrame, gone: DataFrame, interval: int, number: str | None = None) -> DataFrame:
+    """(run_id, interval, bin, born, died): what a save interval adds to the histograms, from its own new mutations and those of its dead (run_id, effect each); bins without a change have no rows.
+    number: a column that says how many mutations a row stands for."""
+    one = lambda df, name: df.groupBy("run_id", clamped()).agg((F.sum(number) if number else F.count("*")).alias(name))
     both = one(new, "born").join(one(gone, "died"), ["run_id", "bin"], "full")
     return both.select("run_id", F.lit(interval).alias("interval"), "bin", F.coalesce("born", F.lit(0)).alias("born"), F.coalesce("died", F.lit(0)).alias("died"))
 

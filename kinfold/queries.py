@@ -732,9 +732,11 @@ def hist_by_interval(spark, sf_dir):
     fate = who.join(dead(spark, sf_dir).select("run_id", "ind_id", F.lit(True).alias("dies")), ["run_id", "ind_id"], "left")
     born = F.ceil((F.col("birth_year") + 99) / 25).cast("int")
     lives = views.mutations(spark, sf_dir).join(fate.select("run_id", "ind_id", born.alias("born"), F.when(F.col("dies"), born + 1 + (F.col("ind_id") % 3).cast("int")).alias("gone")), ["run_id", "ind_id"])
+    # all mutations are read and joined once: a row an effect and pair of intervals is left
+    lives = checkpointer(spark)(lives.groupBy("run_id", "effect", "born", "gone").agg(F.count("*").alias("n")))
     path = f"{shared_dir(spark)}/histogram-{uuid.uuid4().hex}"
     for k in [*range(8), 3]:
-        change = statistics.histogram_change(lives.filter(F.col("born") == k), lives.filter(F.col("gone") == k), k).withColumnRenamed("interval", "year")
+        change = statistics.histogram_change(lives.filter(F.col("born") == k), lives.filter(F.col("gone") == k), k, "n").withColumnRenamed("interval", "year")
         logs.write_log(change, who.select("run_id", F.lit(k).alias("year")).distinct(), path)
     changes = logs.read_log(spark, path).withColumnRenamed("year", "interval")
     # every interval is reported, also one in which nothing changed
