@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,21 +166,46 @@ def words(bits: Column, numbits: int) -> Column:
     return F.transform(parts, lambda part: F.conv(part, 2, 10).cast("bigint"))
 
 
-def runs(bits: Column) -> Column:
-    """The maximal runs of 1 as an array of (start, length): lengths of alternating stretches, summed up in the row itself."""
-    stretches = F.regexp_extract_all(bits, F.lit("(0+|1+)"), F.lit(1))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("runs"))
+#: Bytes of haplotypes whose runs are looked for in one go.
+AT_ONCE = 1 << 21
 
-    def add(acc: Column, stretch: Column) -> Column:
-        one = F.array(F.struct(acc["at"].alias("start"), F.length(stretch).alias("length")))
-        return F.struct((acc["at"] + F.length(stretch)).alias("at"), F.when(F.startswith(stretch, F.lit("1")), F.concat(acc["runs"], one)).otherwise(acc["runs"]).alias("runs"))
 
-    return F.aggregate(stretches, nothing, add, lambda acc: acc["runs"])
+def found_runs(haplotypes: DataFrame, bits: str, find: Callable) -> DataFrame:
+    """(run_id, ind_id, copy, start, length) of the maximal runs of ones, without a shuffle. find: of a column of haplotypes in Arrow the row, first and last position of each run, as numbers in order."""
+    ids = ["run_id", "ind_id", "copy"]
+
+    def cut(batches):
+        for batch in batches:
+            step = max(1, AT_ONCE * len(batch) // max(1, batch[bits].nbytes))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                row, first, last = find(part[bits])
+                where = [pa.array(x.astype("int32")) for x in (first, last - first + 1)]
+                yield pa.RecordBatch.from_arrays([part[c].take(pa.array(row)) for c in ids] + where, [*ids, "start", "length"])
+
+    kinds = [f"{c} {haplotypes.schema[c].dataType.simpleString()}" for c in ids]
+    return haplotypes.select(*ids, bits).mapInArrow(cut, ", ".join([*kinds, "start int", "length int"]))
+
+
+def runs(bits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last position of each maximal run of 1 in an array of texts, which are looked at as one array of bytes."""
+    text = bits.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    ones = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] == ord("1")
+    bounds = bounds - bounds[0]
+    before, after = np.zeros_like(ones), np.zeros_like(ones)
+    before[1:], after[:-1] = ones[:-1], ones[1:]
+    begins = bounds[:-1][bounds[:-1] < bounds[1:]]
+    before[begins] = False
+    after[begins[1:] - 1] = False
+    first, last = np.flatnonzero(ones & ~before), np.flatnonzero(ones & ~after)
+    row = np.searchsorted(bounds, first, "right") - 1
+    return row, first - bounds[row], last - bounds[row]
 
 
 def islands(haplotypes: DataFrame) -> DataFrame:
-    """The same runs with their places, (run_id, ind_id, copy, start, length), without a shuffle."""
-    return haplotypes.select("run_id", "ind_id", "copy", F.explode(runs(F.col("bits"))).alias("r")).select("run_id", "ind_id", "copy", "r.start", "r.length")
+    """The same runs with their places, (run_id, ind_id, copy, start, length)."""
+    return found_runs(haplotypes, "bits", runs)
 
 
 def fitness(mutations: DataFrame, model: str = "running") -> DataFrame:
