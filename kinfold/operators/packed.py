@@ -5,10 +5,13 @@ A haplotype table has run_id, ind_id, copy and words; `copies_of` has one row a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .genome import WORD, carriers, copies, whole_x
+from .genome import WORD, carriers, copies, found_runs, whole_x
 from .statistics import length_stats
 
 #: Bits of a lane in which set bits are counted: two lanes in a long, for up to 2**31 - 1 copies a run.
@@ -63,49 +66,50 @@ def meiosis(cross: DataFrame, haplotypes: DataFrame, numbits: int) -> DataFrame:
     return carriers(made, "words", zeros, lambda words: F.exists(words, lambda x: x != 0))
 
 
-def _cut_words(places: list[int], words: Column) -> Column:
-    """Of each word those bits that stand at the places, which are few and known."""
-    masks: dict[int, int] = {}
-    for p in places:
-        masks[p // WORD] = masks.get(p // WORD, 0) | 1 << (WORD - 1 - p % WORD)
-    every = F.array(*[F.lit(masks.get(w, 0)).cast("long") for w in range(max(masks, default=0) + 1)])
-    return F.transform(words, lambda x, i: x.bitwiseAND(F.coalesce(F.get(every, i), F.lit(0).cast("long"))))
-
-
-def first_bits(words: Column, cuts: list[int] | None = None) -> Column:
-    """Words in which the first bit of each run of ones is set; with cuts, positions at which a run ends and another begins."""
+def first_bits(words: Column) -> Column:
+    """Words in which the first bit of each run of ones is set."""
     nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     before = lambda x, i: F.shiftright(x, 1).bitwiseOR(F.shiftleft(F.coalesce(F.get(words, i - 1), nothing).bitwiseAND(one), WORD - 1))
-    found = F.transform(words, lambda x, i: x.bitwiseAND(F.bitwise_not(before(x, i))))
-    return F.zip_with(found, _cut_words(cuts, words), lambda a, b: a.bitwiseOR(b)) if cuts else found
+    return F.transform(words, lambda x, i: x.bitwiseAND(F.bitwise_not(before(x, i))))
 
 
-def last_bits(words: Column, cuts: list[int] | None = None) -> Column:
-    """Words in which the last bit of each run of ones is set."""
-    nothing = F.lit(0).cast("long")
-    after = lambda x, i: F.shiftleft(x, 1).bitwiseOR(F.shiftright(F.coalesce(F.get(words, i + 1), nothing), WORD - 1))
-    found = F.transform(words, lambda x, i: x.bitwiseAND(F.bitwise_not(after(x, i))))
-    return F.zip_with(found, _cut_words([c - 1 for c in cuts if c], words), lambda a, b: a.bitwiseOR(b)) if cuts else found
-
-
-def positions(words: Column) -> Column:
-    """The positions of the bits that are set, in order: each step takes a word's lowest bit, so the work grows with the set bits alone."""
-    one = F.lit(1).cast("long")
-
-    def step(acc: Column, i: Column) -> Column:
-        left = acc["left"]
-        behind = F.bit_count(left.bitwiseAND(-left) - one)
-        return F.struct(left.bitwiseAND(left - one).alias("left"), F.concat(F.array((i * WORD + (WORD - 1) - behind).cast("int")), acc["at"]).alias("at"))
-
-    start = lambda x: F.struct(x.alias("left"), F.array().cast("array<int>").alias("at"))
-    return F.flatten(F.transform(words, lambda x, i: F.aggregate(F.array_repeat(F.lit(0), F.bit_count(x)), start(x), lambda acc, _: step(acc, i), lambda acc: acc["at"])))
+def _at(places: list[int], size: int) -> np.ndarray:
+    """Words with the bits at the places."""
+    made = np.zeros(size, np.int64)
+    for p in places:
+        if p // WORD < size:
+            made[p // WORD] |= 1 << (WORD - 1 - p % WORD)
+    return made
+
+
+def runs(words: pa.Array, cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last position of each maximal run of ones in an array of words; cuts: positions at which a run ends and another begins.
+    First and last bits of runs are found word by word, with the carry of the word beside it."""
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    x = words.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    before, after = np.zeros_like(x), np.zeros_like(x)
+    before[1:], after[:-1] = x[:-1], x[1:]
+    begins = bounds[:-1][sizes > 0]
+    before[begins] = 0
+    after[begins[1:] - 1] = 0
+    number = np.arange(len(x)) - np.repeat(bounds[:-1], sizes)
+    most = int(sizes.max(initial=0))
+    first = x & ~(x >> 1 | (before & 1) << WORD - 1) | x & _at(cuts, most)[number]
+    last = x & ~(x << 1 | after >> WORD - 1) | x & _at([c - 1 for c in cuts if c > 0], most)[number]
+
+    def places(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words and positions of the bits that are set."""
+        at = np.flatnonzero(np.unpackbits(marks.astype(">i8").view(np.uint8)))
+        return at // 64, number[at // 64] * WORD + at % 64 - (64 - WORD)
+
+    word, start = places(first)
+    return np.searchsorted(bounds, word, "right") - 1, start, places(last)[1]
 
 
 def islands(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
     """(run_id, ind_id, copy, start, length) of the maximal runs of ones, without a shuffle; they cross chromosomes unless cut, for example at the starts of arms."""
-    ends = haplotypes.select("run_id", "ind_id", "copy", positions(first_bits(F.col("words"), cuts)).alias("first"), positions(last_bits(F.col("words"), cuts)).alias("last"))
-    spans = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
-    return ends.select("run_id", "ind_id", "copy", F.explode(spans).alias("r")).select("run_id", "ind_id", "copy", "r.start", "r.length")
+    return found_runs(haplotypes, "words", lambda words: runs(words, cuts or []))
 
 
 def block_stats(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
