@@ -138,7 +138,8 @@ def new_mutations(births: DataFrame, cfg: Config, year: int, numbits: int) -> Da
 
 
 def ones(bits: Column) -> Column:
-    return F.length(F.replace(bits, F.lit("0"), F.lit("")))
+    """The number of 1; zeros are taken out sixteen at a time, what is left one by one."""
+    return F.length(F.replace(F.replace(bits, F.lit("0" * 16), F.lit("")), F.lit("0"), F.lit("")))
 
 
 def allele_counts(haplotypes: DataFrame) -> DataFrame:
