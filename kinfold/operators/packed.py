@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .genome import WORD, carriers, copies, found_runs, whole_x
+from .genome import WORD, carriers, copies, found_runs, measured, whole_x
 from .statistics import length_stats
 
 #: Bits of a lane in which set bits are counted: two lanes in a long, for up to 2**31 - 1 copies a run.
@@ -112,6 +112,11 @@ def islands(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
     return found_runs(haplotypes, "words", lambda words: runs(words, cuts or []))
 
 
+def measures(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
+    """`genome.measured` of words."""
+    return measured(haplotypes, "words", lambda words: runs(words, cuts or []), lambda words: words)
+
+
 def block_stats(haplotypes: DataFrame, cuts: list[int] | None = None) -> DataFrame:
     """As `statistics.block_stats`."""
     return length_stats(haplotypes, islands(haplotypes, cuts))

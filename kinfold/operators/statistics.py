@@ -36,15 +36,20 @@ def block_stats(haplotypes: DataFrame, arms: DataFrame | None = None) -> DataFra
 def length_stats(haplotypes: DataFrame, lengths: DataFrame) -> DataFrame:
     """`block_stats` of given blocks (run_id, length); runs without blocks have zeros."""
     b = lengths.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.sum(F.col("length").cast("bigint") * F.col("length")).alias("q"))
-    m = F.bround(F.col("s") / F.col("n"), 1)
-    b = b.withColumn("m", m)
-    variance = F.bround((F.col("q") - 2 * F.col("m") * F.col("s")) / F.col("n") + F.col("m") * F.col("m"), 2)
-    made = b.select("run_id", F.col("n").alias("tot_blocks"), F.col("m").alias("av_block_size"), F.bround(F.sqrt(F.greatest(variance, F.lit(0.0))), 1).alias("sd_block_size"))
+    made = b.select("run_id", *length_columns(F.col("n"), F.col("s"), F.col("q")))
     runs = haplotypes.select("run_id").distinct()
     zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
     return runs.join(made, "run_id", "left").select("run_id", zero("tot_blocks", "bigint"), zero("av_block_size", "double"), zero("sd_block_size", "double"))
 
 
+def length_columns(n: Column, s: Column, q: Column) -> list[Column]:
+    """Number, mean and deviation of n lengths, from their sum and that of their squares."""
+    some = F.when(n > 0, n)
+    m = F.bround(s / some, 1)
+    variance = F.bround((q - 2 * m * s) / some + m * m, 2)
+    return [n.alias("tot_blocks"), m.alias("av_block_size"), F.bround(F.sqrt(F.greatest(variance, F.lit(0.0))), 1).alias("sd_block_size")]
+
+
 def position_counts(haplotypes: DataFrame) -> DataFrame:
     """(run_id, position, n): set bits at each position over all copies, where there are any.
 
@@ -76,8 +81,41 @@ def heterozygosity(haplotypes: DataFrame, sizes: DataFrame, numbits: int) -> Dat
 
 def fitness_stats(people: DataFrame, numbits: int) -> DataFrame:
     p = people.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("fitness").alias("f"), F.coalesce(F.sum("mutations"), F.lit(0)).alias("num_mutations"))
-    bins = F.col("n") * numbits * 2
-    return p.select("run_id", (F.col("f") / F.col("n")).alias("av_ind_fitness"), (F.col("f") / bins).alias("av_bin_fitness"), "num_mutations", (F.col("num_mutations") / F.col("n")).alias("av_mutations_per_ind"), (F.col("num_mutations") / bins).alias("av_mutations_per_bin"))
+    return p.select("run_id", *fitness_columns(F.col("n"), F.col("f"), F.col("num_mutations"), numbits))
+
+
+def fitness_columns(n: Column, f: Column, mutations: Column, numbits: int) -> list[Column]:
+    """Averages of the fitness and mutations of n people, from their sums."""
+    bins = n * numbits * 2
+    return [(f / n).alias("av_ind_fitness"), (f / bins).alias("av_bin_fitness"), mutations.alias("num_mutations"), (mutations / n).alias("av_mutations_per_ind"), (mutations / bins).alias("av_mutations_per_bin")]
+
+
+def whole_row(people: DataFrame, measures: DataFrame, numbits: int, lone: bool, mutations: bool) -> DataFrame:
+    """All that a results row holds of people and their haplotypes, per run: `descendants`, `length_stats`, `coverage`, `heterozygosity` and, with mutations, `fitness_stats`, each of which would pass over them by itself.
+
+    measures: of `genome.measured`. lone: a copy that isn't there counts as zeros where copies differ, else its person isn't counted there.
+    People and haplotypes are rows of one table that is grouped by person, where the copies meet; then a row is a word of a person, and its first word carries the person's numbers.
+    """
+    sums = ["fitness", "mutations"] if mutations else []
+    marks = {"Y_descends": F.col("y_gens") > 0, "mt_descends": F.col("mt_gens") > 0, "genealo_descends": F.col("max_genealo_gens") > 0, "num_centromeres": ones(F.col("centromeres"))}
+    who = people.select("run_id", "ind_id", F.lit(1).cast("bigint").alias("n"), *[c.cast("bigint").alias(name) for name, c in marks.items()], *sums)
+    held = ["ones", "blocks", "squares"]
+    one = lambda k: F.max(F.when(F.col("copy") == k, F.col("words"))).alias(f"c{k}")
+    added = ["n", *marks, *sums, *held]
+    person = who.unionByName(measures, allowMissingColumns=True).groupBy("run_id", "ind_id").agg(*[F.sum(c).alias(c) for c in added], one(0), one(1))
+    none = F.lit(0).cast("bigint")
+    each = lambda f: F.zip_with(F.coalesce("c0", F.array().cast("array<bigint>")), F.coalesce("c1", F.array().cast("array<bigint>")), lambda a, b: f(F.coalesce(a, none), F.coalesce(b, none)))
+    differ = F.aggregate(each(lambda a, b: a.bitwiseXOR(b)), none, lambda total, x: total + F.bit_count(x))
+    person = person.withColumn("het", differ if lone else F.when(F.col("c0").isNotNull() & F.col("c1").isNotNull(), differ)).withColumn("genetic_descends", F.when(F.col("ones") > 0, F.col("n")))
+    added += ["het", "genetic_descends"]
+    word = person.select("run_id", *added, F.posexplode_outer(each(lambda a, b: a.bitwiseOR(b))).alias("word", "any"))
+    first = F.coalesce("word", F.lit(0)) == 0
+    words = word.groupBy("run_id", F.coalesce("word", F.lit(0)).alias("word")).agg(F.bit_or("any").alias("any"), *[F.sum(F.when(first, F.col(c))).alias(c) for c in added])
+    r = words.groupBy("run_id").agg(F.sum(F.bit_count("any")).alias("kept"), *[F.sum(c).alias(c) for c in added])
+    n, kept = F.when(F.col("n") > 0, F.col("n")), F.when(F.col("kept") > 0, F.col("kept"))
+    shares = [(F.col("kept") / numbits * 100).alias("perc_seed_genome_retained"), (F.col("ones") / (kept * numbits)).alias("av_seed_genome_coverage"), (F.col("het") / (numbits * n) * 100).alias("av_heterozygosity")]
+    fit = fitness_columns(n, F.col("fitness"), F.coalesce("mutations", none), numbits) if mutations else []
+    return r.select("run_id", *marks, "genetic_descends", *length_columns(F.col("blocks"), F.col("ones"), F.col("squares")), *shares, *fit)
 
 
 #: Bins of the mutation histogram, in thousandths.

@@ -17,23 +17,17 @@ RULER = 10  # rows of the ruler above a map
 
 
 def results_row(state, events: DataFrame, cfg: Config, year: int) -> DataFrame:
-    """One row a run of the state at the end of a year, with the events since the last save. The state's haplotypes are text or packed words."""
+    """One row a run of the state at the end of a year, with the events since the last save. The state's haplotypes are text or packed words; people and haplotypes are passed over once, and who descends genetically is seen from the haplotypes."""
     numbits = dims.genome_size(cfg.multiplier)
     at = -(-year // cfg.save_interval)
     counts = statistics.interval_counts(events, cfg.save_interval).filter(F.col("interval") == at).drop("interval")
     row = state.sizes.join(counts, "run_id", "left")
     if cfg.track_DNA:
-        row = row.join(statistics.descendants(state.people).drop("numinds"), "run_id", "left")
-        if "words" in state.haplotypes.columns:
-            cuts = [start for _, _, start, _ in dims.arm_rows(cfg.multiplier)] if cfg.split_blocks_by_arm else None
-            genes = packed.block_stats(state.haplotypes, cuts), packed.retained(state.haplotypes, numbits), packed.heterozygosity(state.haplotypes, state.sizes, numbits)
-        else:
-            arms = dims.arms(state.people.sparkSession, cfg.multiplier) if cfg.split_blocks_by_arm else None
-            genes = statistics.block_stats(state.haplotypes, arms), statistics.coverage(state.haplotypes, numbits), statistics.heterozygosity(state.haplotypes, state.sizes, numbits)
-        for part in genes:
-            row = row.join(part.drop("retained", "het"), "run_id", "left")
-        row = row.withColumnsRenamed({"perc_seed_genome": "perc_seed_genome_retained", "av_coverage": "av_seed_genome_coverage"})
-    if cfg.track_mutations:
+        cuts = [start for _, _, start, _ in dims.arm_rows(cfg.multiplier)] if cfg.split_blocks_by_arm else None
+        words = "words" in state.haplotypes.columns
+        measures = packed.measures(state.haplotypes, cuts) if words else genome.measures(state.haplotypes, numbits, cuts)
+        row = row.join(statistics.whole_row(state.people, measures, numbits, words, cfg.track_mutations), "run_id", "left")
+    elif cfg.track_mutations:
         row = row.join(statistics.fitness_stats(state.people, numbits), "run_id", "left")
     row = row.withColumnsRenamed({"n": "numinds", "births": "births", "marriages": "marriages"})
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in row.columns else F.lit(0.0)

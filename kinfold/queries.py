@@ -632,10 +632,6 @@ def heterozygosity_words(spark, sf_dir):
     return packed.heterozygosity(views.packed_haplotypes(spark, sf_dir), sizes, NUMBITS).select("het", F.round("av_heterozygosity", 9).alias("av_heterozygosity"))
 
 
-def with_packed_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.individuals(spark, sf_dir).join(packed.allele_counts(views.packed_haplotypes(spark, sf_dir)), ["run_id", "ind_id"], "left")
-
-
 def with_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.individuals(spark, sf_dir).join(genome.allele_counts(views.haplotypes(spark, sf_dir)), ["run_id", "ind_id"], "left")
 
@@ -858,9 +854,9 @@ ROW_VIEWS = ("individuals", "haplotypes", "mutations", "yearly_events")
 def one_row(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame:
     from types import SimpleNamespace
 
-    who, held = (with_packed_dna(spark, sf_dir), views.packed_haplotypes(spark, sf_dir)) if words else (with_dna(spark, sf_dir), views.haplotypes(spark, sf_dir))
-    who = who.join(with_mutations(spark, sf_dir).select("run_id", "ind_id", "mutations"), ["run_id", "ind_id"])
-    state = SimpleNamespace(people=who, haplotypes=held, sizes=who.groupBy("run_id").agg(F.count("*").alias("n")))
+    sizes = views.individuals(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"))
+    held = views.packed_haplotypes(spark, sf_dir) if words else views.haplotypes(spark, sf_dir)
+    state = SimpleNamespace(people=with_mutations(spark, sf_dir), haplotypes=held, sizes=sizes)
     return report.results_row(state, views.yearly_events(spark, sf_dir), CFG.changed(track_DNA=True, track_mutations=True), YEAR)
 
 
